@@ -60,6 +60,15 @@ def hash_fraction(df: DataFrame, key: str, fraction: float, salt: str) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < F.lit(limit))
 
 
+SMALL_IDS = 500_000
+
+
+def matching(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join the wide rows of df with narrow rows by key. Up to SMALL_IDS counted rows are
+    broadcast (some ten MB), so that df need not be shuffled; beyond, Spark shuffles both."""
+    return df.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, how)
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for a shuffle by key, as the session sets them."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

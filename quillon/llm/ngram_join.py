@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parts, runs, slices, stored, unstore
+from .common import matching, mix64, parts, runs, slices, stored, unstore
 from .components import connected_components
 
 LEAF = 16
@@ -52,9 +52,9 @@ def _prefix_length(size: int, num: int, den: int) -> int:
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A bitmap of 4 to 8 bits per member, in 64-bit words: the hash's high bits choose the
+    """A bitmap of 2 to 4 bits per member, in 64-bit words: the hash's high bits choose the
     bit, so that folding a wider bitmap to half joins neighbouring bits."""
-    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(hashes)) * 4 / 64))))
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(hashes)) * 2 / 64))))
     at = (hashes >> np.uint64(64 - 6 - int(np.log2(words)))).astype(np.int64)
     bits = np.zeros(words * 64, dtype=bool)
     bits[at] = True
@@ -176,6 +176,8 @@ def _equal_width(maps: list[np.ndarray]) -> np.ndarray:
 
 def _ordered(group: pd.DataFrame) -> pd.DataFrame:
     """By size, then bitmap: alike rows come to lie in the same leaves."""
+    if "members" in group:
+        group = group.assign(bitmap=[_bitmap(np.frombuffer(m, dtype=np.uint64)).tobytes() for m in group["members"]])
     return group.sort_values(["n", "bitmap", "id"], kind="stable", ignore_index=True)
 
 
@@ -220,31 +222,25 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Deal each group (g1, g2) of more than `block` members out as pairs of blocks: p and q
-    number the pair, b the member's own block. Groups of one, or of rows
-    of the smaller class alone, are dropped."""
-    sized = members.groupBy("g1", "g2").agg(F.count("*").alias("members_in_group"), F.min("low").alias("only_low")).where("members_in_group > 1 and not only_low").drop("only_low")
-    blocks = F.ceil(F.col("members_in_group") / F.lit(block)).cast("int")
-    dealt = members.join(sized, ["g1", "g2"]).withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    return (
-        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("p", F.least("b", "other"))
-        .withColumn("q", F.greatest("b", "other"))
-        .drop("other", "nb", "members_in_group")
-    )
+def _dealt(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """Say which tasks compare the members (g1, id, n) of each group g1.
 
-
-def _size_class(num: int, den: int):
-    """Sizes of linked sets differ by at most one class."""
-    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int")
-
-
-def _by_size(members: DataFrame) -> DataFrame:
-    """Split groups by size class: key g2 gets the classes g2 and g2 - 1. `low` marks rows of the
-    smaller class, whose pairs with each other belong to another key."""
-    keys = F.explode(F.array(F.struct(F.col("size_class").alias("g2"), F.lit(False).alias("low")), F.struct((F.col("size_class") + 1).alias("g2"), F.lit(True).alias("low"))))
-    return members.withColumn("key", keys).select("*", "key.g2", "key.low").drop("key", "size_class")
+    A group of up to `block` members is one task. A larger one is split by size class: key g2
+    gets the classes g2 and g2 - 1, whose sizes may link; `low` marks rows of the smaller class,
+    whose pairs with each other belong to another key. What is still larger is dealt out as
+    pairs of blocks: p and q number the pair, b the member's own block. Groups of one, and keys
+    without a row of their own class, are dropped.
+    """
+    classed = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
+    groups = classed.groupBy("g1").agg(F.count("*").alias("size")).where("size > 1")
+    own = F.array(F.struct(F.lit(0).alias("g2"), F.lit(False).alias("low")))
+    split = F.array(F.struct(F.col("c").alias("g2"), F.lit(False).alias("low")), F.struct((F.col("c") + 1).alias("g2"), F.lit(True).alias("low")))
+    keyed = classed.join(groups, "g1").withColumn("key", F.explode(F.when(F.col("size") <= block, own).otherwise(split))).select("g1", "key.g2", "key.low", "id")
+    sized = keyed.groupBy("g1", "g2").agg(F.count("*").alias("size"), F.min("low").alias("only_low")).where("size > 1 and not only_low").drop("only_low")
+    nb = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    dealt = keyed.join(sized, ["g1", "g2"]).withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 400) -> DataFrame:
@@ -253,30 +249,29 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     Returns doc_id, n_shingles (size of the set), component_id (smallest doc_id reachable by
     links, its own included). Null, empty or white-space texts have an empty set and link with
     nothing; equal texts always link (if they have a word); rows that repeat a doc_id are each
-    returned. Further columns are ignored. An empty table gives an empty result. A null doc_id
-    is kept with its own null component unless its set is shared.
+    returned, by their own text. Further columns are ignored. An empty table gives an empty
+    result. A null doc_id is kept; it gets the component of the documents that it links to.
     """
     base = docs.select("doc_id", "text")
     profile = stored(base.mapInPandas(_profiles(n, num, den), "doc_id long, n_shingles int, set_key binary, prefix array<long>, bitmap binary"))
-    classes = profile.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")).where("id is not null")
-    classes = stored(classes.drop("set_key").withColumn("size_class", _size_class(num, den)))
+    firsts = [F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "bitmap"))]
+    classes = stored(profile.where("set_key is not null").groupBy("set_key").agg(*firsts).where("id is not null").drop("set_key").withColumnRenamed("n_shingles", "n"))
+    keyed = stored(profile.select("doc_id", "n_shingles", "set_key"))
+    unstore(profile)
 
-    tokens = classes.select(F.explode("prefix").alias("token"), "id").repartition(parts(docs), "token")
+    tokens = classes.select(F.explode("prefix").alias("token"), "id", "n").repartition(parts(docs), "token")
     shared = tokens.groupBy("token").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(7L, id))").alias("h2")).where("k > 1")
     chosen = shared.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    members = stored(tokens.join(chosen, "token"))
-    signed = members.join(classes, "id").select(F.col("token").alias("g1"), "id", "n", "bitmap", "size_class")
-    near = _by_size(signed)
-    families = connected_components(_linked(_in_blocks(near, block), num, den, False))
-
-    families = stored(families)
+    members = stored(tokens.join(chosen, "token").withColumnRenamed("token", "g1"))
+    near = _dealt(members, block, num, den).join(classes.select("id", "n", "bitmap"), "id")
+    families = stored(connected_components(_linked(near, num, den, False)))
     unstore(members)
-    wanted = base.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = wanted.mapInPandas(_member_sets(n), "id long, n int, bitmap binary, members binary").join(classes.select("id", F.col("n").alias("n_class"), "size_class"), "id").where("n = n_class").drop("n_class")
-    inside = sets.join(families, "id").select(F.col("root").alias("g1"), "id", "n", "bitmap", "members", "size_class")
-    links = connected_components(_linked(_in_blocks(_by_size(inside), block), num, den, True))
 
-    keyed = profile.select("doc_id", "n_shingles", "set_key")
+    wanted = matching(base.withColumnRenamed("doc_id", "id"), families.select("id"), "id", "left_semi")
+    inside = _dealt(families.join(classes.select("id", "n"), "id").withColumnRenamed("root", "g1"), block, num, den)
+    sets = matching(wanted.mapInPandas(_member_sets(n), "id long, n int, members binary"), inside, "id")
+    links = connected_components(_linked(sets, num, den, True))
+
     least = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     roots = least.join(links, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     return keyed.join(roots, "set_key", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
@@ -286,10 +281,10 @@ def _member_sets(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, 200):
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, text in zip(frame["id"], frame["text"], strict=True):
                 h = shingle_hashes(text, n)
-                rows.append((doc, len(h), _bitmap(h).tobytes(), h.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "n", "bitmap", "members"])
+                rows.append((doc, len(h), h.tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "n", "members"])
 
     return run
 
