@@ -161,17 +161,10 @@ class _Union:
         return True
 
 
-def _equal_width(maps: list[np.ndarray]) -> np.ndarray:
-    """Fold wider bitmaps to the narrowest by OR-ing neighbouring bits (no more than needed:
-    sizes in a group lie within a class of the threshold's ratio)."""
-    width = min(map(len, maps))
-    out = np.empty((len(maps), width), dtype=np.uint64)
-    for k, m in enumerate(maps):
-        if len(m) > width:
-            bits = np.unpackbits(m.view(np.uint8), bitorder="little").reshape(-1, len(m) // width).any(axis=1)
-            m = np.packbits(bits, bitorder="little").view(np.uint64)
-        out[k] = m
-    return out
+def _folded(bitmap: np.ndarray) -> np.ndarray:
+    """Half as many bits, each the OR of two neighbours."""
+    bits = np.unpackbits(bitmap.view(np.uint8), bitorder="little").reshape(-1, 2).any(axis=1)
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def _ordered(group: pd.DataFrame) -> pd.DataFrame:
@@ -198,21 +191,33 @@ def _group_links(num: int, den: int, exact: bool):
 
 
 def _links(group: pd.DataFrame, num: int, den: int, exact: bool) -> list[tuple]:
+    """Links of one block pair. Bitmaps come in powers of two, and sizes that may link differ by
+    less than a doubling: each width is compared with itself and with the next, folded."""
     ids, sizes = group["id"].to_numpy(), group["n"].to_numpy().astype(np.int64)
-    p, q, block = group["p"].iat[0], group["q"].iat[0], group["b"].to_numpy()
-    maps = _equal_width([np.frombuffer(m, dtype=np.uint64) for m in group["bitmap"]])
-    tree, union, out, low = SignatureTree(sizes, maps), _Union(len(ids)), [], group["low"].to_numpy()
+    p, q, block, low = group["p"].iat[0], group["q"].iat[0], group["b"].to_numpy(), group["low"].to_numpy()
+    maps = [np.frombuffer(m, dtype=np.uint64) for m in group["bitmap"]]
     sets = [np.frombuffer(m, dtype=np.uint64) for m in group["members"]] if exact else None
-    for a, b in dual_traversal(tree, block == p, block == q, num, den, lambda a, b: union.same(a, b) | (low[a] & low[b])):
-        for x, y in zip(a, b, strict=True):
-            if union.root[x] == union.root[y]:
-                continue
-            if exact:
-                common = _overlap(sets[x], sets[y])
-                if den * common < num * (sizes[x] + sizes[y] - common):
+    widths, union, out = np.array([len(m) for m in maps]), _Union(len(ids)), []
+    for width in np.unique(widths):
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(at) < 2:
+            continue
+        wide = low[at].astype(np.int8) + 2 * (widths[at] > width)
+        tree = SignatureTree(sizes[at], np.stack([maps[i] if len(maps[i]) == width else _folded(maps[i]) for i in at]))
+
+        def skip(a, b, at=at, wide=wide):
+            return union.same(at[a], at[b]) | ((wide[a] & wide[b]) > 0)
+
+        for a, b in dual_traversal(tree, block[at] == p, block[at] == q, num, den, skip):
+            for x, y in zip(at[a], at[b], strict=True):
+                if union.root[x] == union.root[y]:
                     continue
-            union.join(x, y)
-            out.append((ids[x], ids[y]))
+                if exact:
+                    common = _overlap(sets[x], sets[y])
+                    if den * common < num * (sizes[x] + sizes[y] - common):
+                        continue
+                union.join(x, y)
+                out.append((ids[x], ids[y]))
     return out
 
 

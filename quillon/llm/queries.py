@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import inner_product_search
+from .chat import repair_chats
 from .common import remainder
 from .langid import identify_language, train_language_model
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
+from .threshold_search import threshold_search
 from .toxicity import score_toxicity, train_toxicity
+from .viterbi import decode_texts, encode_texts
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +42,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "toxic_spans")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=2048)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of pieces, xxhash64 of the ids, and whether decoding them gives the
+    text back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = decode_texts(encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    ids = F.coalesce("piece_ids", F.array().cast("array<int>"))
+    return coded.select("doc_id", F.size(ids).cast("long").alias("n_pieces"), F.xxhash64(ids).alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+def op2_inner_product_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -38,6 +74,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op10_toxicity": op10_toxicity,
+    "op3_packing": op3_packing,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op2_inner_product_ann": op2_inner_product_ann,
+    "op7_threshold_topk": op7_threshold_topk,
+    "op4_chat_repair": op4_chat_repair,
     "op6_ngram_jaccard": op6_ngram_jaccard,
 }
 
