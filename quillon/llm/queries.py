@@ -11,6 +11,8 @@ from .ann import inner_product_search
 from .chat import repair_chats
 from .common import remainder
 from .langid import identify_language, train_language_model
+from .licenses import known_licenses, oracle_sql, scan_licenses
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .threshold_search import threshold_search
@@ -67,6 +69,14 @@ def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -79,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_inner_product_ann": op2_inner_product_ann,
     "op7_threshold_topk": op7_threshold_topk,
     "op4_chat_repair": op4_chat_repair,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": oracle_sql()}
