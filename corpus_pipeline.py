@@ -17,8 +17,7 @@ from quillon.llm.toxicity import score_toxicity, train_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. Trained on every labelled document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = train_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return score_toxicity(docs, model, locate=False).where("predicted = 0").select(*docs.columns)
+    return score_toxicity(docs, train_toxicity(docs, labels), locate=False).where("predicted = 0").select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0).select("doc_id", "toxic")
-    found = score_toxicity(docs, train_toxicity(docs.join(labels, "doc_id")))
+    found = score_toxicity(docs, train_toxicity(docs, labels))
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "toxic_spans")
 
 

@@ -118,15 +118,17 @@ def _fit(texts: list[str], y: np.ndarray, min_docs: int, lift: float, steps: int
     return {n: float(x) for n, x in zip(names, w, strict=True) if x}, float(b)
 
 
-def train_toxicity(docs: DataFrame, max_docs: int = 8000, max_chars: int = 30_000_000, min_docs: int = 5, lift: float = 3.0, steps: int = 500, rate: float = 0.3, l1: float = 1e-5) -> ToxicityModel:
-    """Fit on docs (doc_id, text, toxic 0/1), whole texts of a hash sample of about max_docs
-    rows and max_chars characters. Rows with a null or empty text or a null label take no part.
-    Without a row of each label no sentence scores above the prior."""
-    usable = docs.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and length(text) > 0")
-    sizes = usable.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
-    if not sizes["n"]:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_chars: int = 30_000_000, min_docs: int = 5, lift: float = 3.0, steps: int = 500, rate: float = 0.3, l1: float = 1e-5) -> ToxicityModel:
+    """Fit on docs (doc_id, text) with labels (doc_id, toxic 0/1): whole texts of a hash sample of
+    about max_docs labels and max_chars characters. The sampled labels, bounded by max_docs, are
+    broadcast, so that no text moves but theirs. Rows with a null or empty text or a null label
+    take no part. Without a row of each label no sentence scores above the prior."""
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
+    n, size = marked.count(), docs.agg(F.avg(F.length("text"))).first()[0]
+    if not n or not size:
         return ToxicityModel({}, -20.0)
-    sample = hash_fraction(usable, "text", min(1.0, max_docs / sizes["n"], max_chars / sizes["c"]), "toxicity")
+    some = hash_fraction(marked, "doc_id", min(1.0, max_docs / n, max_chars / (n * size)), "toxicity")
+    sample = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(some), "doc_id").select("text", "toxic")
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"text": [], "toxic": []}, dtype=object), *frames]).sort_values(["text", "toxic"])
