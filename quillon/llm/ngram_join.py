@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import matching, mix64, parts, runs, slices, stored, unstore
@@ -233,19 +233,23 @@ def _dealt(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
     A group of up to `block` members is one task. A larger one is split by size class: key g2
     gets the classes g2 and g2 - 1, whose sizes may link; `low` marks rows of the smaller class,
     whose pairs with each other belong to another key. What is still larger is dealt out as
-    pairs of blocks: p and q number the pair, b the member's own block. Groups of one, and keys
-    without a row of their own class, are dropped.
+    pairs of blocks: p and q number the pair, b the member's own block. Groups of one, keys
+    without a row of their own class, and rows whose neighbours by size are too small or too
+    large to link are dropped.
     """
     classed = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
     groups = classed.groupBy("g1").agg(F.count("*").alias("size")).where("size > 1")
     own = F.array(F.struct(F.lit(0).alias("g2"), F.lit(False).alias("low")))
     split = F.array(F.struct(F.col("c").alias("g2"), F.lit(False).alias("low")), F.struct((F.col("c") + 1).alias("g2"), F.lit(True).alias("low")))
-    keyed = classed.join(groups, "g1").withColumn("key", F.explode(F.when(F.col("size") <= block, own).otherwise(split))).select("g1", "key.g2", "key.low", "id")
+    keyed = classed.join(groups, "g1").withColumn("key", F.explode(F.when(F.col("size") <= block, own).otherwise(split))).select("g1", "key.g2", "key.low", "id", "n")
     sized = keyed.groupBy("g1", "g2").agg(F.count("*").alias("size"), F.min("low").alias("only_low")).where("size > 1 and not only_low").drop("only_low")
     nb = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = keyed.join(sized, ["g1", "g2"]).withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id")
+    pairs = other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id", "n")
+    by_size = Window.partitionBy("g1", "g2", "p", "q").orderBy("n", "id")
+    near = (F.lead("n").over(by_size) * num <= F.col("n") * den) | (F.col("n") * num <= F.lag("n").over(by_size) * den)
+    return pairs.withColumn("near", near).where("near").drop("near", "n")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 400) -> DataFrame:
