@@ -9,6 +9,8 @@ rounded down; what remains is packed greedily, one piece after the other, cut at
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import zlib
@@ -28,10 +30,12 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+@functools.lru_cache(maxsize=1)
 def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """An encoder of texts to ids (little-endian unsigned 32-bit) with the word-level tokenizer
     file at path. Plain texts are split here and each distinct word is encoded once while it is
-    remembered; other texts go to the tokenizer whole."""
+    remembered, over all tasks of a Python worker; other texts go to the tokenizer whole. New
+    words are encoded many at a time, as one text: every word's last piece is marked as such."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -39,8 +43,21 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     words: dict[str, bytes] = {}
 
-    def raw(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def raw(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(new: list[str]) -> None:
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = raw(" ".join(some))
+            ends = [0, *(np.flatnonzero(last[ids]) + 1).tolist()]
+            if len(ends) != len(some) + 1:
+                raise ValueError("the tokenizer does not mark the ends of words")
+            blob = ids.tobytes()
+            words.update((w, blob[4 * a : 4 * b]) for w, (a, b) in zip(some, itertools.pairwise(ends), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [PRETOKEN.findall(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in special) else None for t in texts]
@@ -48,8 +65,8 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         if len(words) + len(new) > CACHED_WORDS:
             words.clear()
             new = list({w for found in split if found for w in found})
-        words.update(zip(new, raw(new), strict=True))
-        return [raw([t])[0] if found is None else b"".join(map(words.__getitem__, found)) for t, found in zip(texts, split, strict=True)]
+        learn(new)
+        return [raw(t).tobytes() if found is None else b"".join(map(words.__getitem__, found)) for t, found in zip(texts, split, strict=True)]
 
     return encode
 

@@ -8,6 +8,7 @@ the common prefix. The segmentation of highest total piece score wins.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -94,6 +95,12 @@ class ViterbiEncoder:
         return [b"".join(map(self.words.__getitem__, found)) for found in split]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> ViterbiEncoder:
+    """One encoder per Python worker: later tasks find the words of earlier ones."""
+    return ViterbiEncoder(path)
+
+
 def decode_ids(ids, vocabulary: PieceVocabulary) -> str:
     """The text of ids: pieces joined, byte pieces as UTF-8, marks as spaces, the first dropped.
     A text's own marks come back as spaces."""
@@ -122,7 +129,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ViterbiEncoder(model_path)
+        encoder = _encoder(model_path)
         for frame in slices(frames, 200):
             ids = encoder.encode([t or "" for t in frame["text"]])
             found = [None if t is None else np.frombuffer(x, dtype="<u4").astype(np.int32) for t, x in zip(frame["text"], ids, strict=True)]
@@ -138,7 +145,7 @@ def decode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = PieceVocabulary(model_path)
+        vocabulary = _encoder(model_path).vocabulary
         for frame in slices(frames, 200):
             found = [None if ids is None else decode_ids(ids.tolist(), vocabulary) for ids in frame["piece_ids"]]
             yield frame.assign(decoded=pd.Series(found, index=frame.index, dtype=object))
