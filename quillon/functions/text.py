@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The coarse families, in the order that settles ties.
 FAMILIES = (
@@ -178,13 +179,13 @@ def slug(c, limit: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(_col(c), r"[^0-9A-Za-z._-]+", "-"), r"^-+|-+$", ""), 1, limit)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_ascii(c: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII (Spark has no such function)."""
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
