@@ -20,45 +20,58 @@ STEP = 16
 
 
 def top_k(x: np.ndarray, ids: np.ndarray, order: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of the k best rows of x (integers) for q, without id own.
-    order[:, d]: rows by descending component d."""
+    """Row numbers and scores of the k best rows of x (whole numbers) for q, without id own.
+    order[:, d]: rows by descending component d. The lists are read in steps that double."""
     used = np.flatnonzero(q)
+    if not len(used):
+        rows = np.flatnonzero(ids != own)
+        rows = rows[np.argsort(ids[rows], kind="stable")[:k]]
+        return rows, np.zeros(len(rows), dtype=x.dtype)
     lists = np.where(q[used] > 0, order[:, used], order[::-1, used])
-    seen = ids == own
-    rows, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    for depth in range(0, len(x) if len(used) else 0, STEP):
-        new = np.unique(lists[depth : depth + STEP])
-        new = new[~seen[new]]
+    seen, reached = ids == own, np.zeros(len(x), dtype=bool)
+    rows, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=x.dtype)
+    depth, step = 0, STEP
+    while depth < len(x):
+        reached[lists[depth : depth + step]] = True
+        new = np.flatnonzero(reached & ~seen)
         seen[new] = True
-        rows, scores = np.concatenate([rows, new]), np.concatenate([scores, x[new] @ q])
-        if len(rows) > k:
-            best = np.lexsort((ids[rows], -scores))[:k]
-            rows, scores = rows[best], scores[best]
-        bound = int((x[lists[min(depth + STEP, len(x)) - 1], used] * q[used]).sum())
-        if len(rows) == k and scores.min() > bound:
+        depth, step = depth + step, 2 * step
+        found = x[new] @ q
+        if len(rows) == k:
+            good = found >= scores[-1]
+            new, found = new[good], found[good]
+        rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found])
+        best = np.lexsort((ids[rows], -scores))[:k]
+        rows, scores = rows[best], scores[best]
+        bound = (x[lists[min(depth, len(x)) - 1], used] * q[used]).sum()
+        if len(rows) == k and scores[-1] > bound:
             break
-    if not len(used):
-        rows = np.flatnonzero(~seen)
-        scores = np.zeros(len(rows), dtype=np.int64)
-    best = np.lexsort((ids[rows], -scores))[:k]
-    return rows[best], scores[best]
+    return rows, scores
+
+
+def _exact_type(x: np.ndarray, q: np.ndarray) -> type:
+    """Doubles where every sum of products is below 2^53 and so exact, else 64-bit integers."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
+    return np.float64 if most < 2.0**53 else np.int64
 
 
 def _search(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})]
         if len(rows) and len(queries):
-            x, ids = np.stack(rows["embedding"].to_numpy()).astype(np.int64), rows["vec_id"].to_numpy()
+            x, ids, asked = np.stack(rows["embedding"].to_numpy()), rows["vec_id"].to_numpy(), np.stack(queries["query"].to_numpy())
+            kind = _exact_type(x, asked)
+            x, asked = x.astype(kind), asked.astype(kind)
             order = np.argsort(-x, axis=0, kind="stable")
-            for own, q in zip(queries["query_id"], queries["query"], strict=True):
-                best, scores = top_k(x, ids, order, np.asarray(q, dtype=np.int64), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": scores}))
+            for own, q in zip(queries["query_id"], asked, strict=True):
+                best, scores = top_k(x, ids, order, q, own, k)
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": scores.astype(np.int64)}))
         return pd.concat(out)
 
     return run
 
 
-def threshold_search(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, candidate_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def threshold_search(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, candidate_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
     """Exact k best rows by integer inner product, components turned into floor(scale * x).
 
     vectors: vec_id, embedding (further columns ignored); is_query: a column that selects the
