@@ -129,9 +129,9 @@ def _render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if group["is_last"].iat[0]:
                 at = moves[-1][1]
                 chunks[-1] += "<|end|>\n" if at in LAST else "<|end|>\n<|user|>\n<|end|>\n"
-            lots.append(group[["conv_id", "turn", "repair_cost"]].assign(action=[m[3] for m in moves], out_role=[ROLES[m[1]] for m in moves], inserted=[ROLES[m[4]] if m[4] >= 0 else None for m in moves], rendered=chunks))
+            lots.append(group[["conv_id", "turn", "repair_cost"]].assign(place=np.arange(len(group), dtype=np.int32), action=[m[3] for m in moves], out_role=[ROLES[m[1]] for m in moves], inserted=[ROLES[m[4]] if m[4] >= 0 else None for m in moves], rendered=chunks))
         out = pd.concat(lots)
-        yield out[["conv_id", "turn", "action", "out_role", "inserted", "rendered", "repair_cost"]]
+        yield out[["conv_id", "turn", "place", "action", "out_role", "inserted", "rendered", "repair_cost"]]
 
 
 def _batches(groups: Iterator[pd.DataFrame], rows: int = 5000) -> Iterator[list[pd.DataFrame]]:
@@ -149,7 +149,8 @@ def _batches(groups: Iterator[pd.DataFrame], rows: int = 5000) -> Iterator[list[
 def repair_chats(turns: DataFrame, segment_turns: int = 1024) -> DataFrame:
     """Repair and render conversations, turns (conv_id, turn, role, text).
 
-    One row per input row: conv_id, turn, action (keep, relabel, merge), out_role, inserted (role
+    One row per input row: conv_id, turn, place (its number within the segment; turn, then place
+    order a conversation), action (keep, relabel, merge), out_role, inserted (role
     of an empty turn put before it, or null), rendered (its part of the conversation's text, to be
     joined in order; the last part closes it), repair_cost (of the whole conversation: merge 1,
     relabel 2, insertion 3 each). Turns are ordered by turn (nulls last), role, text. Unknown and
@@ -164,7 +165,7 @@ def repair_chats(turns: DataFrame, segment_turns: int = 1024) -> DataFrame:
     matrices = dealt.select("conv_key", "segment", "turn", "role").mapInPandas(_matrices, "conv_key string, segment long, matrix array<long>")
     cuts = matrices.repartition(n, "conv_key").sortWithinPartitions("conv_key", "segment").mapInPandas(_cuts, "conv_key string, segment long, entry int, leave int, is_last boolean, is_first boolean, repair_cost long")
     types = dict(turns.dtypes)
-    schema = f"conv_id {types['conv_id']}, turn {types['turn']}, action string, out_role string, inserted string, rendered string, repair_cost long"
+    schema = f"conv_id {types['conv_id']}, turn {types['turn']}, place int, action string, out_role string, inserted string, rendered string, repair_cost long"
     joined = keyed.join(cuts, ["conv_key", "segment"]).repartition(n, "conv_key", "segment").sortWithinPartitions(*order)
     return joined.mapInPandas(_render, schema)
 
@@ -172,5 +173,5 @@ def repair_chats(turns: DataFrame, segment_turns: int = 1024) -> DataFrame:
 def whole_chats(rendered: DataFrame) -> DataFrame:
     """Each conversation's text as one row: conv_id, text, n_turns, repair_cost. The rendered parts
     meet in one value, so a conversation must fit into a string."""
-    part = F.struct(F.col("turn").isNull().alias("late"), "turn", F.monotonically_increasing_id().alias("at"), "rendered")
+    part = F.struct(F.col("turn").isNull().alias("late"), "turn", "place", "rendered")
     return rendered.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("repair_cost").alias("repair_cost")).select("conv_id", F.concat_ws("", F.col("parts.rendered")).alias("text"), F.size("parts").alias("n_turns"), "repair_cost")
