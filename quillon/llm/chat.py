@@ -129,9 +129,9 @@ def _render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if group["is_last"].iat[0]:
                 at = moves[-1][1]
                 chunks[-1] += "<|end|>\n" if at in LAST else "<|end|>\n<|user|>\n<|end|>\n"
-            lots.append(group[["conv_id", "turn", "repair_cost"]].assign(place=np.arange(len(group), dtype=np.int32), action=[m[3] for m in moves], out_role=[ROLES[m[1]] for m in moves], inserted=[ROLES[m[4]] if m[4] >= 0 else None for m in moves], rendered=chunks))
+            lots.append(group[["conv_key", "turn_text", "repair_cost"]].assign(place=np.arange(len(group), dtype=np.int32), action=[m[3] for m in moves], out_role=[ROLES[m[1]] for m in moves], inserted=[ROLES[m[4]] if m[4] >= 0 else None for m in moves], rendered=chunks))
         out = pd.concat(lots)
-        yield out[["conv_id", "turn", "place", "action", "out_role", "inserted", "rendered", "repair_cost"]]
+        yield out[["conv_key", "turn_text", "place", "action", "out_role", "inserted", "rendered", "repair_cost"]]
 
 
 def _batches(groups: Iterator[pd.DataFrame], rows: int = 5000) -> Iterator[list[pd.DataFrame]]:
@@ -162,12 +162,15 @@ def repair_chats(turns: DataFrame, segment_turns: int = 1024) -> DataFrame:
     keyed = turns.select("conv_id", "turn", "role", "text", segment.alias("segment"), F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")).alias("conv_key"))
     n, order = parts(turns), [F.col("conv_key"), F.col("segment"), F.asc_nulls_last("turn"), F.col("role"), F.col("text")]
     dealt = keyed.repartition(n, "conv_key", "segment").sortWithinPartitions(*order)
-    matrices = dealt.select("conv_key", "segment", "turn", "role").mapInPandas(_matrices, "conv_key string, segment long, matrix array<long>")
+    matrices = dealt.select("conv_key", "segment", "role").mapInPandas(_matrices, "conv_key string, segment long, matrix array<long>")
     cuts = matrices.repartition(n, "conv_key").sortWithinPartitions("conv_key", "segment").mapInPandas(_cuts, "conv_key string, segment long, entry int, leave int, is_last boolean, is_first boolean, repair_cost long")
     types = dict(turns.dtypes)
-    schema = f"conv_id {types['conv_id']}, turn {types['turn']}, place int, action string, out_role string, inserted string, rendered string, repair_cost long"
+    schema = "conv_key string, turn_text string, place int, action string, out_role string, inserted string, rendered string, repair_cost long"
     joined = keyed.join(cuts, ["conv_key", "segment"]).repartition(n, "conv_key", "segment").sortWithinPartitions(*order)
-    return joined.mapInPandas(_render, schema)
+    sent = joined.select("conv_key", "segment", F.col("turn").cast("string").alias("turn_text"), "role", "text", "entry", "is_last", "leave", "repair_cost")
+    out = sent.mapInPandas(_render, schema)
+    conv = F.when(F.col("conv_key") != "n", F.substring("conv_key", 2, 1 << 30)).cast(types["conv_id"])
+    return out.select(conv.alias("conv_id"), F.col("turn_text").cast(types["turn"]).alias("turn"), *out.columns[2:])
 
 
 def whole_chats(rendered: DataFrame) -> DataFrame:

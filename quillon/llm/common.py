@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,18 @@ def hash_fraction(df: DataFrame, key: str, fraction: float, salt: str) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < F.lit(limit))
 
 
+#: Stands for a null id inside Python batches, where a null would turn ids into floats.
+NO_ID = -(1 << 63)
+
+
+def filled_id(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID)).alias(col)
+
+
+def emptied_id(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(NO_ID)).alias(col)
+
+
 SMALL_IDS = 500_000
 
 
@@ -74,6 +87,24 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_struct(df: DataFrame, column: str, function, fields: T.StructType) -> DataFrame:
+    """df with the fields that a Python function gives for one column (a list of values to a list
+    of tuples), replacing columns of those names. Only that column goes to Python, so ids and
+    other columns keep their types and nulls. The call is not repeated by later filters."""
+
+    @F.pandas_udf(fields)
+    def call(values: pd.Series) -> pd.DataFrame:
+        rows = function(values.tolist())
+        return pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype=_NUMPY.get(f.dataType.typeName(), object)) for i, f in enumerate(fields)})
+
+    kept = df.drop(*fields.names)
+    made = kept.withColumn("_made", call.asNondeterministic()(F.col(column)))
+    return made.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col("_made").getField(n).alias(n) for n in fields.names])
+
+
+_NUMPY = {"double": np.float64, "integer": np.int32, "long": np.int64}
+
+
 def slices(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for at in range(0, len(frame), rows):

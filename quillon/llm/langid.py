@@ -6,19 +6,20 @@ document frequencies over every training document, then calibrated by one temper
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_fraction, slices
+from .common import hash_fraction, with_struct
 
 BUCKETS = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -168,21 +169,16 @@ def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame
     A null text, one without a letter, or a missing model gives `und` with score 0. Every
     other column is carried; columns named lang_pred or score are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema.fields)
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, 1000):
-            names, scores = [], []
-            for text in frame["text"]:
-                if model is None or text is None or not LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                s = _logits(text, model) / model.temperature
-                p = np.exp(s - s.max())
-                names.append(model.labels[int(s.argmax())])
-                scores.append(float(1.0 / p.sum()))
-            yield frame.assign(lang_pred=pd.Series(names, index=frame.index, dtype=object), score=np.array(scores))
-
-    return docs.select(*[f"`{c}`" for c in kept]).mapInPandas(predict, f"{schema}, lang_pred string, score double")
+    def predict(texts: list) -> list[tuple[str, float]]:
+        out = []
+        for text in texts:
+            if model is None or text is None or not LETTER.search(text):
+                out.append((UNKNOWN, 0.0))
+                continue
+            s = _logits(text, model) / model.temperature
+            p = np.exp(s - s.max())
+            out.append((model.labels[int(s.argmax())], float(1.0 / p.sum())))
+        return out
+
+    return with_struct(docs, "text", predict, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matching, mix64, parts, runs, slices, stored, unstore
+from .common import emptied_id, filled_id, matching, mix64, parts, runs, slices, stored, unstore
 from .components import connected_components
 
 LEAF = 16
@@ -261,8 +261,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     returned, by their own text. Further columns are ignored. An empty table gives an empty
     result. A null doc_id is kept; it gets the component of the documents that it links to.
     """
-    base = docs.select("doc_id", "text")
-    profile = stored(base.mapInPandas(_profiles(n, num, den), "doc_id long, n_shingles int, set_key binary, prefix array<long>, bitmap binary"))
+    base = docs.select(filled_id("doc_id"), "text")
+    profile = stored(base.mapInPandas(_profiles(n, num, den), "doc_id long, n_shingles int, set_key binary, prefix array<long>, bitmap binary").withColumn("doc_id", emptied_id("doc_id")))
     firsts = [F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "bitmap"))]
     classes = stored(profile.where("set_key is not null").groupBy("set_key").agg(*firsts).where("id is not null").drop("set_key").withColumnRenamed("n_shingles", "n"))
     keyed = stored(profile.select("doc_id", "n_shingles", "set_key"))

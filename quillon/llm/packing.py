@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matching, parts, slices, stored
+from .common import emptied_id, filled_id, matching, parts, slices, stored
 
 END_ID = 1
 CACHED_WORDS = 400_000
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
     the last sequence may be shorter than the window. Further columns are ignored; an empty
     table gives no piece. Rows that share doc_id and text are interchangeable.
     """
-    base = docs.select("doc_id", "text")
+    base = docs.select(filled_id("doc_id"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = stored(base.mapInPandas(_pieces(tokenizer_path, window), schema))
     histogram = np.zeros(window + 1, dtype=np.int64)
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
     whole = placed.where(F.col("offset") + F.col("length") <= window)
     over = placed.where(F.col("offset") + F.col("length") > window)
     cut = matching(base, over, "doc_id").mapInPandas(_cut(tokenizer_path, window), f"{schema}, sequence_id long, offset long").distinct()
-    return whole.unionByName(cut)
+    return whole.unionByName(cut).withColumn("doc_id", emptied_id("doc_id"))
 
 
 def _cut(path: str, window: int):

@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_fraction, slices
+from .common import hash_fraction, with_struct
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
@@ -147,9 +148,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = True) -
     `locate` toxic_spans: start, end (character offsets) and score of each sentence that by
     itself reaches 0.5. Null and empty texts score 0 with no span. Other columns are carried;
     columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "toxic_spans")]
-    source = docs.select(*[f"`{c}`" for c in kept])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 
     def spans(text: str | None) -> list[dict]:
         found = []
@@ -159,13 +157,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = True) -
                 found.append({"start": m.start(), "end": m.end(), "score": float(1.0 / (1.0 + np.exp(-s)))})
         return found
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, 1000):
-            scores = np.array([document_score(t, model) for t in frame["text"]], dtype=np.float64)
-            out = frame.assign(score=scores, predicted=(scores >= 0.5).astype(np.int32))
-            if locate:
-                out["toxic_spans"] = pd.Series([spans(t) if s >= 0.5 else [] for t, s in zip(frame["text"], scores, strict=True)], index=frame.index, dtype=object)
-            yield out
+    def judge(texts: list) -> list[tuple]:
+        scores = [document_score(t, model) for t in texts]
+        return [(s, int(s >= 0.5), *([spans(t) if s >= 0.5 else []] if locate else [])) for t, s in zip(texts, scores, strict=True)]
 
-    more = ", toxic_spans array<struct<start:int,end:int,score:double>>" if locate else ""
-    return source.mapInPandas(run, f"{schema}, score double, predicted int{more}")
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    if locate:
+        fields.append(T.StructField("toxic_spans", T.ArrayType(span)))
+    return with_struct(docs if locate else docs.drop("toxic_spans"), "text", judge, T.StructType(fields))

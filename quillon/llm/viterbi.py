@@ -10,13 +10,11 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import with_struct
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -125,29 +123,24 @@ def decode_ids(ids, vocabulary: PieceVocabulary) -> str:
 def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     """Add piece_ids array<int> to docs (text, ...). A null text gives null, an empty one an
     empty array. Other columns are carried; a column of that name is replaced."""
-    kept = docs.drop("piece_ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(model_path)
-        for frame in slices(frames, 200):
-            ids = encoder.encode([t or "" for t in frame["text"]])
-            found = [None if t is None else np.frombuffer(x, dtype="<u4").astype(np.int32) for t, x in zip(frame["text"], ids, strict=True)]
-            yield frame.assign(piece_ids=pd.Series(found, index=frame.index, dtype=object))
+    def encode(texts: list) -> list[tuple]:
+        encoder, out = _encoder(model_path), []
+        for at in range(0, len(texts), 200):
+            some = texts[at : at + 200]
+            ids = encoder.encode([t or "" for t in some])
+            out += [(None if t is None else np.frombuffer(x, dtype="<u4").astype(np.int32),) for t, x in zip(some, ids, strict=True)]
+        return out
 
-    return kept.mapInPandas(run, f"{schema}, piece_ids array<int>")
+    return with_struct(docs, "text", encode, T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     """Add decoded (the text) to docs (piece_ids, ...); null ids give null, no ids the empty
     text. Other columns are carried; a column of that name is replaced."""
-    kept = docs.drop("decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(rows: list) -> list[tuple]:
         vocabulary = _encoder(model_path).vocabulary
-        for frame in slices(frames, 200):
-            found = [None if ids is None else decode_ids(ids.tolist(), vocabulary) for ids in frame["piece_ids"]]
-            yield frame.assign(decoded=pd.Series(found, index=frame.index, dtype=object))
+        return [(None if ids is None else decode_ids(list(ids), vocabulary),) for ids in rows]
 
-    return kept.mapInPandas(run, f"{schema}, decoded string")
+    return with_struct(docs, "piece_ids", decode, T.StructType([T.StructField("decoded", T.StringType())]))

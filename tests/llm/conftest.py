@@ -13,6 +13,8 @@ AWKWARD = [
     (10, "ünïcödé 漢字 \U0001f600 İstanbul <|endoftext|> don't"),
     (11, "All rights reserved.\nReleased under the MIT License.\n\nAll rights reserved."),
     (11, "All rights reserved.\nReleased under the MIT License.\n\nAll rights reserved."),
+    (None, "A row without an id, of nine plain words."),
+    (9_007_199_254_740_993, "½ ² 5"),
 ]
 
 

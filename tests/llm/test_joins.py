@@ -72,12 +72,14 @@ def near_copies(n_docs=90, seed=1):
 
 
 def test_ngram_join_equals_brute_force(spark, awkward, nothing):
-    rows = near_copies() + [(1000 + r["doc_id"], r["text"]) for r in awkward.collect()]
+    rows = near_copies() + [(1000 + r["doc_id"], r["text"]) for r in awkward.where("doc_id is not null").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("n", F.lit(1))
     for n, num, den, block in ((4, 85, 100, 8), (5, 80, 100, 400)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df, n, num, den, block).collect()}
         assert got == brute(rows, n, num, den)
     assert ngram_jaccard_join(nothing).count() == 0
+    odd = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(awkward).collect()}
+    assert odd[None] is None and odd[6] == odd[7] == 5 and odd[9_007_199_254_740_993] == 9_007_199_254_740_993
 
 
 @settings(max_examples=25, deadline=None)
