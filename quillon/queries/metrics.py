@@ -202,11 +202,11 @@ def f7(spark, d):
     return r.choose_evaluation_artists(p, 2, 4, 9).withColumn("position", F.col("position").cast("long"))
 
 
-@query("f10_holm_adjust", f"""WITH {V_METRIC}, p AS (SELECT scenario, artist_key, CASE WHEN artist_key % 9 = 0 THEN 'NaN'::DOUBLE ELSE round(1 / (1 + sum(value)), 9) END AS p FROM v_metric GROUP BY 1, 2),
+@query("f10_holm_adjust", f"""WITH {V_METRIC}, p AS (SELECT scenario, artist_key, CASE WHEN artist_key % 9 = 0 THEN 'NaN'::DOUBLE ELSE (artist_key * 7 + length(scenario)) % 101 / 9973 END AS p FROM v_metric GROUP BY 1, 2),
 h AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY p) - 1 AS k, count(*) OVER (PARTITION BY scenario) AS m FROM p WHERE NOT isnan(p))
 SELECT scenario, artist_key, round(least(1.0, max((m - k) * p) OVER (PARTITION BY scenario ORDER BY p, k ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h UNION ALL SELECT scenario, artist_key, NULL FROM p WHERE isnan(p)""")
 def f10(spark, d):
-    p = metrics(spark, d).groupBy("scenario", "artist_key").agg(F.when(F.col("artist_key") % 9 == 0, float("nan")).otherwise(F.round(1 / (1 + F.sum("value")), 9)).alias("p"))
+    p = metrics(spark, d).groupBy("scenario", "artist_key").agg(F.first(F.when(F.col("artist_key") % 9 == 0, float("nan")).otherwise((F.col("artist_key") * 7 + F.length("scenario")) % 101 / 9973)).alias("p"))
     h = r.holm_adjust(p, ["scenario"])
     return h.select("scenario", "artist_key", F.when(~F.isnan("p_holm"), F.round("p_holm", 6)).alias("p_holm"))
 

@@ -251,10 +251,10 @@ def h9(spark, d):
 # Series
 
 
-@query("j1_envelope", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), b AS (SELECT user_id, least(i // greatest(1, n // 20), 19) AS bucket, round_even(least(1.0, max(abs(value)) / 256), 4) AS peak FROM r GROUP BY 1, 2)
+@query("j1_envelope", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), b AS (SELECT user_id, least(i // greatest(1, n // 20), 19) AS bucket, round_even(least(1.0, max(abs(value)) / 250), 4) AS peak FROM r GROUP BY 1, 2)
 SELECT user_id, bucket, coalesce(peak, 0) AS peak FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT i AS bucket FROM range(20) t(i)) LEFT JOIN b USING (user_id, bucket)""")
 def j1(spark, d):
-    return s.envelope(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 20, 256.0)
+    return s.envelope(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 20, 250.0)
 
 
 HOURS = "hh AS (SELECT event_type, (epoch_us(ts) // 3600000000 % 168) AS slot, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT event_type, slot, coalesce(v, 0) AS value FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT i AS slot FROM range(168) t(i)) LEFT JOIN hh USING (event_type, slot))"
