@@ -23,10 +23,10 @@ def _json_lines(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
 
 
-def read_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the files named YYYY-MM-DD.jsonl; a malformed line has its text in _corrupt, blank
+def read_catalog(spark: SparkSession, folder: str, glob: str = DATED) -> DataFrame:
+    """Rows of the files named YYYY-MM-DD.jsonl (or as glob says); a malformed line has its text in _corrupt, blank
     lines are skipped; genre, instrument and vartag lists from musicinfo or music_info."""
-    raw = _json_lines(spark, folder, CATALOG, DATED)
+    raw = _json_lines(spark, folder, CATALOG, glob)
     info = F.coalesce("musicinfo", "music_info")
     return raw.select("*", *(info.getField("tags").getField(n).alias(n) for n in ("genres", "instruments", "vartags")), F.col("_metadata.file_name").alias("file_name")).drop("musicinfo", "music_info")
 

@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there.
 
@@ -27,7 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
     led to them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
