@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import matching, stored
 from quillon.llm.langid import UNKNOWN, identify_language, train_language_model
 from quillon.llm.line_dedup import dedup_lines
 from quillon.llm.ngram_join import ngram_jaccard_join
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one of least doc_id stays."""
     joined = ngram_jaccard_join(docs, n=5, num=80, den=100)
     gone = joined.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return matching(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
