@@ -1,16 +1,19 @@
 """Fuzzy line de-duplication by MinHash, with DataFrame functions only.
 
 Every line's character shingles are hashed; HASHES minima per line form its signature. Lines
-whose signatures agree in a band fall into one bucket. A bucket has a few leaders, and
-each line is compared with the leader whose signature agrees most; lines that do not match are
-compared with new leaders once more, and what then is left
-of a bucket (mostly chance meetings) pair by pair. Pairs whose signatures agree too little are
-dropped, exact Jaccard similarity decides on the others. Linked lines are joined by distributed
-union-find, and of each component, equal lines included, the first line of the corpus stays.
+whose signatures agree in a band fall into one bucket, and every pair of a bucket is a candidate.
+Two rounds of leaders join most of a family cheaply: first each line meets a few lines of its
+bucket, then the one that by then has most links. Then all pairs of a bucket whose ends are not
+yet one component are compared, block by block; settled lines and leaders remain partners. Pairs
+whose signatures agree too little are dropped, exact Jaccard similarity decides on the others.
+Linked lines are joined by distributed union-find, and of each component, equal lines included,
+the first line of the corpus stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,9 @@ NUM, DEN = 8, 10
 #: Least number of equal minima of a pair that is compared exactly: at a similarity of 0.8 fewer
 #: than 9 of 18 agree once in two thousand pairs.
 AGREE = 9
-LEADERS, ROUNDS = 4, 2
+LEADERS = 4
+#: Lines of a bucket that meet in one task: those outside its largest component by all of them.
+MINOR_ROWS, ALL_ROWS = 1024, 2048
 
 
 def _masks() -> list[int]:
@@ -58,11 +63,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(sig: DataFrame) -> DataFrame:
-    """(bucket, line) of every band bucket that more than one line falls into."""
+    """(bucket, band, line) of every band bucket that more than one line falls into."""
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{j}" for j in band)) for b, band in enumerate(BANDS)))
-    rows = sig.select(F.col("k1").alias("line"), F.explode(keys).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("line").alias("least")).where("n > 1").select("bucket")
-    return rows.join(shared, "bucket").select("bucket", "line")
+    rows = sig.select(F.col("k1").alias("line"), F.posexplode(keys).alias("band", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return rows.join(shared, "bucket").select("bucket", "band", "line")
 
 
 def _shingle_set(code: str) -> Column:
@@ -71,11 +76,15 @@ def _shingle_set(code: str) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col(code), i * 2 + 1, F.lit(2 * SHINGLE)))))
 
 
+def _agreed(a: str, b: str) -> Column:
+    """Number of equal minima of two signatures."""
+    return sum(((F.col(f"{a}.m{j}") == F.col(f"{b}.m{j}")).cast("int") for j in range(HASHES)), F.lit(0))
+
+
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """pairs (src, dst, ...) with `agreed`, the number of equal minima, where there are enough."""
-    mine, other = signed.select(F.col("line").alias("src"), F.col("sig").alias("a")), signed.select(F.col("line").alias("dst"), F.col("sig").alias("b"))
-    agreed = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(mine, "src").join(other, "dst").select(*pairs.columns, agreed.alias("agreed")).where(F.col("agreed") >= AGREE)
+    """pairs (src, dst) with `agreed`, the number of equal minima, where there are enough."""
+    joined = pairs.alias("p").join(signed.alias("a"), F.col("p.src") == F.col("a.line")).join(signed.alias("b"), F.col("p.dst") == F.col("b.line"))
+    return joined.select("p.src", "p.dst", _agreed("a", "b").alias("agreed")).where(F.col("agreed") >= AGREE)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -89,35 +98,79 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _with_leaders(rows: DataFrame) -> DataFrame:
-    """bucket, src, dst: every line of a bucket with its leaders, the least line of each residue of
+    """Distinct src, dst: every line of a bucket with its leaders, the least line of each residue of
     a hash; leaders are paired with smaller leaders only."""
     part = F.pmod(F.hash("line"), F.lit(LEADERS))
     least = rows.groupBy("bucket").agg(*(F.min(F.when(part == j, F.col("line"))).alias(f"l{j}") for j in range(LEADERS)))
     leaders = F.array(*(f"l{j}" for j in range(LEADERS)))
-    joined = rows.join(least, "bucket").select("bucket", F.col("line").alias("src"), F.array_contains(leaders, F.col("line")).alias("leads"), F.explode(leaders).alias("dst"))
-    return joined.where("dst is not null and src <> dst and (not coalesce(leads, false) or src > dst)").drop("leads")
+    joined = rows.join(least, "bucket").select(F.col("line").alias("src"), F.array_contains(leaders, F.col("line")).alias("leads"), F.explode(leaders).alias("dst"))
+    return joined.where("dst is not null and src <> dst and (not coalesce(leads, false) or src > dst)").select("src", "dst").distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (line, ...) with the root of the line's component, itself where it has none."""
+    return rows.join(roots.select(F.col("id").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+
+
+def _with_most_linked(rows: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct src, dst: every line of a bucket with the line of most links, if that is of
+    another component. The original of many edited copies has more links than any copy."""
+    ends = links.select(F.col("src").alias("line")).union(links.select(F.col("dst").alias("line")))
+    named = _rooted(rows, roots).join(ends.groupBy("line").agg(F.count("*").alias("links")), "line", "left")
+    most = named.where("links > 1").groupBy("bucket").agg(F.max(F.struct("links", "line", "root")).alias("most"))
+    met = named.join(most, "bucket").where("root <> most.root")
+    return met.select(F.col("line").alias("src"), F.col("most.line").alias("dst")).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"src": F.greatest("src", "dst"), "dst": F.least("src", "dst")})
+
+
+def _open_pairs(rows: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """src, dst, agreed: every pair of a bucket whose ends are of different components and whose
+    signatures agree enough, once. The lines outside a bucket's largest component meet all of its
+    lines, in salted blocks of both, so that no task grows with the bucket."""
+    named = stored(_rooted(rows, roots))
+    counts = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("n"))
+    mixed = counts.where("n > 2 and n > major.n").select("bucket", F.col("major.root").alias("major"), F.ceil((F.col("n") - F.col("major.n")) / MINOR_ROWS).cast("int").alias("nl"), F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("nr"))
+    dealt = stored(named.join(mixed, "bucket").join(signed, "line"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = dealt.where("root <> major").withColumn("l", F.pmod(F.xxhash64("line"), F.col("nl")).cast("int")).withColumn("r", spread("nr")).alias("a")
+    every = dealt.withColumn("r", F.pmod(F.xxhash64("line"), F.col("nr")).cast("int")).withColumn("l", spread("nl")).alias("b")
+    same = lambda band: reduce(Column.__and__, (F.col(f"a.m{j}") == F.col(f"b.m{j}") for j in band))
+    earlier = reduce(Column.__or__, ((F.col("a.band") > k) & same(band) for k, band in enumerate(BANDS)))
+    once = (F.col("b.root") == F.col("b.major")) | (F.col("a.line") > F.col("b.line"))
+    on = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "l", "r")))
+    met = minor.join(every, on & (F.col("a.root") != F.col("b.root")) & once & (_agreed("a", "b") >= AGREE) & ~earlier)
+    # Two bands may see one pair from both ends, where their largest components differ.
+    pairs = met.select(F.col("a.line").alias("src"), F.col("b.line").alias("dst"), _agreed("a", "b").alias("agreed"))
+    found = stored(_ordered(pairs).distinct())
+    for df in (named, dealt):
+        unstore(df)
+    return found
 
 
-def _settled(chosen: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (src, dst) among the chosen pairs, and the rows (bucket, line) that they settle.
+def _settled(chosen: DataFrame, texts: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links (src, dst), those given and those among the chosen pairs (src, dst, agreed), and
+    their components (id, root).
 
     First one pair per line is compared exactly, its best. Of the others only those whose ends
     are not one component by then need to be, which spares large families most of the work.
     """
     best = chosen.groupBy("src").agg(F.max(F.struct("agreed", "dst")).alias("best")).select("src", "best.dst")
     first = stored(best)
-    alike = stored(_verified(first, texts))
-    roots = stored(connected_components(alike))
-    named = chosen.select("bucket", "src", "dst")
+    found = [stored(_verified(first, texts))] + ([links] if links else [])
+    roots = stored(connected_components(union_all(found)))
+    named = chosen.select("src", "dst")
     for end in ("src", "dst"):
         named = named.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    same = F.coalesce("src_root", "src") == F.coalesce("dst_root", "dst")
-    named = stored(named.select("bucket", "src", "dst", same.alias("same")))
-    more = stored(_verified(named.where("not same").join(first, ["src", "dst"], "left_anti"), texts))
-    settled = named.where("same").select("bucket", F.col("src").alias("line")).union(named.join(more, ["src", "dst"], "left_semi").select("bucket", F.col("src").alias("line")))
+    apart = F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")
+    rest = named.where(apart).select("src", "dst").join(first, ["src", "dst"], "left_anti")
+    found.append(stored(_verified(rest, texts)))
+    every = union_all(found)
     for df in (first, roots):
         unstore(df)
-    return union_all([alike, more]), settled
+    return every, stored(connected_components(every))
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
@@ -125,24 +178,18 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     sig = stored(signatures(docs))
     rows = stored(_buckets(sig))
     wanted = stored(rows.select("line").distinct())
-    sigs = F.array(*(f"m{j}" for j in range(HASHES))).alias("sig")
-    signed = stored(matching(sig.select(F.col("k1").alias("line"), sigs), wanted, "line", "left_semi"))
+    signed = stored(matching(sig.withColumnRenamed("k1", "line").drop("k2"), wanted, "line", "left_semi"))
     unstore(sig)
     found = matching(_lines(docs).select(F.xxhash64("line").alias("k1"), "line"), wanted.select(F.col("line").alias("k1")), "k1", "left_semi")
     texts = stored(found.groupBy("k1").agg(F.min("line").alias("line")).select(F.col("k1").alias("line"), F.encode("line", "UTF-16BE").alias("code")))
-    links = []
-    for _ in range(ROUNDS):
-        best = F.max(F.struct("agreed", "dst")).alias("best")
-        chosen = stored(_likely(_with_leaders(rows), signed).groupBy("bucket", "src").agg(best).select("bucket", "src", "best.dst", "best.agreed"))
-        alike, matched = _settled(chosen, texts)
-        links.append(alike)
-        led = chosen.select("bucket", F.col("dst").alias("line"))
-        rows = stored(rows.join(matched.union(led).distinct(), ["bucket", "line"], "left_anti"))
-    others = rows.select("bucket", F.col("line").alias("dst"))
-    rest = rows.select("bucket", F.col("line").alias("src")).join(others, "bucket").where("src > dst").select("src", "dst")
-    links.append(_settled(stored(_likely(rest.distinct(), signed).withColumn("bucket", F.lit(0))), texts)[0])
-    roots = stored(connected_components(union_all(links)))
-    for df in (texts, signed, wanted):
+    chosen = stored(_likely(_with_leaders(rows), signed))
+    links, roots = _settled(chosen, texts)
+    more = stored(_likely(_with_most_linked(rows, links, roots), signed))
+    links, roots = _settled(more, texts, links)
+    compared = _ordered(chosen.union(more).select("src", "dst"))
+    rest = stored(_open_pairs(rows, roots, signed).join(compared, ["src", "dst"], "left_anti"))
+    roots = _settled(rest, texts, links)[1]
+    for df in (texts, signed, wanted, chosen, more, rest):
         unstore(df)
     return roots
 

@@ -196,3 +196,17 @@ def test_lines_equal_brute_force(spark, awkward, nothing):
         want = None if old is None else "\n".join(x for p, x in enumerate(old.split("\n")) if (r["doc_id"], p) not in gone)
         assert r["text"] == want and r["n_chars"] == (None if want is None else len(want))
     assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_lines_compare_settled_lines_too(spark):
+    """An original and copies with one edit each, far apart: the copies are alike it, not each other."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(40):
+        base = "".join(rng.choice(list("abcdefghijklmnopqrstuvw "), 96))
+        rows += [base, *(base[:i] + "X" + base[i + 1 :] for i in range(8, 90, 9))]
+    rows = [(i, line) for i, line in enumerate(rows)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {(r["doc_id"], 0) for r in got if r["n_lines_removed"]}
+    want = brute_lines(rows)
+    assert len(want) == 400 and gone <= want and len(gone) >= 0.97 * len(want)
