@@ -71,7 +71,8 @@ def document_score(text: str | None, model: ToxicityModel) -> float:
 
 
 def _screen(split: list[list[set[str]]], y: np.ndarray, min_docs: int, lift: float) -> list[str]:
-    """Features in at least min_docs documents whose toxic share is lift times the overall one."""
+    """Features in at least min_docs documents whose odds of a toxic label are lift times the
+    overall ones; unlike a share, odds can reach that at every base rate."""
     seen: dict[str, list[int]] = {}
     for doc, label in zip(split, y, strict=True):
         words = set().union(*doc)
@@ -81,7 +82,8 @@ def _screen(split: list[list[set[str]]], y: np.ndarray, min_docs: int, lift: flo
                 n = seen[f] = [0, 0]
             n[0] += 1
             n[1] += int(label)
-    return sorted(f for f, (n, k) in seen.items() if n >= min_docs and k / n >= lift * y.mean())
+    toxic, clean = int(y.sum()), len(y) - int(y.sum())
+    return sorted(f for f, (n, k) in seen.items() if n >= min_docs and k * clean >= lift * (n - k) * toxic)
 
 
 def _fit(texts: list[str], y: np.ndarray, min_docs: int, lift: float, steps: int, rate: float, l1: float) -> tuple[dict[str, float], float]:

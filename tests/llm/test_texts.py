@@ -210,3 +210,19 @@ def test_lines_compare_settled_lines_too(spark):
     gone = {(r["doc_id"], 0) for r in got if r["n_lines_removed"]}
     want = brute_lines(rows)
     assert len(want) == 400 and gone <= want and len(gone) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.8])
+def test_toxicity_is_learned_at_every_base_rate(share):
+    """A third of the rows are copies of one toxic text; clean documents may be long."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    say = lambda: " ".join(rng.choice(words, 8)).capitalize() + "."
+    texts, y = [], np.array([i < share * 600 for i in range(600)], dtype=int)
+    for i, bad in enumerate(y):
+        parts = [say() for _ in range(rng.integers(1, 40))]
+        if bad:
+            parts[rng.integers(len(parts))] = f"Some {rng.choice(['gruk', 'blarg'])} here."
+        texts.append(texts[0] if bad and 0 < i < 200 and share > 1 / 3 else " ".join(parts))
+    model = toxicity.ToxicityModel(*toxicity._fit(texts, y, 5, 3.0, 500, 0.3, 1e-5))
+    assert [int(toxicity.document_score(t, model) >= 0.5) for t in texts] == list(y)
