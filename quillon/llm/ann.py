@@ -142,8 +142,22 @@ def _probe(quantizer: Quantizer):
     return run
 
 
+def _copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by equal vectors and then vec_id, without rows beyond a vector's k + 1 least
+    ids (one may be the query's own); where each vector's rows start in it, and their number."""
+    same = np.unique(x + 0.0, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    group, own = same[order], ids[order]
+    new = np.r_[True, group[1:] != group[:-1]]
+    place = np.cumsum(new | np.r_[True, own[1:] != own[:-1]])
+    order = order[place - np.maximum.accumulate(np.where(new, place, 0)) <= k]
+    starts = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
+    return order, starts, np.diff(np.r_[starts, len(order)])
+
+
 def _scan(quantizer: Quantizer, k: int, again: int):
-    """Scan one block of a cell for one block of queries; exact scores of the best `again`."""
+    """Scan one block of a cell for one block of queries; exact scores of the rows of the best
+    `again` different vectors, and of all that tie with the last of them."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
@@ -151,17 +165,23 @@ def _scan(quantizer: Quantizer, k: int, again: int):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy())
         packed = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
-        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(rows), -1)
+        order, starts, sizes = _copies(ids, x, k)
+        ids, x, packed = ids[order], x[order], packed[order[starts]]
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(starts), -1)
         cell, out = rows["cell"].iat[0], []
-        for lot in np.array_split(np.arange(len(queries)), max(1, len(queries) * len(rows) // 500_000)):
+        for lot in np.array_split(np.arange(len(queries)), max(1, len(queries) * len(starts) // 500_000)):
             q = np.stack(queries["query"].to_numpy()[lot])
             wide = _padded(q)
             tables = np.einsum("qmw,mcw->mqc", wide.reshape(len(q), -1, WIDTH), quantizer.codebooks).astype(np.float32)
-            scores = np.repeat((wide @ quantizer.centroids[cell]).astype(np.float32)[:, None], len(rows), axis=1)
+            scores = np.repeat((wide @ quantizer.centroids[cell]).astype(np.float32)[:, None], len(starts), axis=1)
             for j, table in enumerate(tables):
                 scores += table[:, codes[:, j]]
             for i, own in enumerate(queries["query_id"].to_numpy()[lot]):
-                best = np.argpartition(-scores[i], again)[:again] if len(ids) > again else np.arange(len(ids))
+                if len(starts) > again:
+                    good = scores[i] >= np.partition(scores[i], len(starts) - again)[len(starts) - again]
+                    best = np.flatnonzero(np.repeat(good, sizes))
+                else:
+                    best = np.arange(len(ids))
                 best = best[ids[best] != own]
                 exact = np.cumsum(x[best] * q[i], axis=1)[:, -1]
                 top = np.lexsort((ids[best], -exact))[:k]

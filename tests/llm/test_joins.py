@@ -214,3 +214,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r[0] for r in spark.read.parquet(str(tmp_path / "3")).select("doc_id").collect()} == {d for d, (_, c) in roots.items() if c == d}
     again = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, at.collect()))
+
+
+def test_inner_product_search_with_a_third_of_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    hot = rng.permutation(3000)[:1000]
+    x[hot] = x[hot[0]]
+    asked = [*map(int, hot[:10]), *range(2990, 3000)]
+    df = spark.createDataFrame([(i, [float(v) for v in z]) for i, z in enumerate(x)], "vec_id long, embedding array<float>")
+    got = inner_product_search(df, F.col("vec_id").isin(asked), k=20, cells=4).toPandas()
+    y, hits = x.astype(float), 0
+    for q in asked:
+        s = np.cumsum(y * y[q], axis=1)[:, -1]
+        s[q] = -np.inf
+        hits += len(set(got[got["query_id"] == q]["vec_id"]) & set(np.lexsort((np.arange(3000), -s))[:20]))
+    assert hits >= 0.98 * 20 * len(set(asked)), hits / 20 / len(set(asked))
