@@ -24,8 +24,8 @@ def metric_matrix(values: DataFrame, scenarios: list[str]) -> DataFrame:
 
 def rm_anova(matrix: DataFrame) -> DataFrame:
     """Per metric: sums of squares of values centred on the grand mean, F and degrees of freedom."""
-    m = Window.partitionBy("metric")
-    centred = matrix.withColumn("x", F.col("value") - F.avg("value").over(m))
+    grand = matrix.groupBy("metric").agg(F.avg("value").alias("grand"))
+    centred = matrix.join(F.broadcast(grand), "metric").withColumn("x", F.col("value") - F.col("grand"))
     by = lambda key: centred.groupBy("metric", key).agg(F.avg("x").alias("mean"), F.count("*").alias("n")).groupBy("metric").agg(F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias(f"ss_{key}"), F.count("*").alias(f"n_{key}"))
     total = centred.groupBy("metric").agg(F.sum(F.col("x") * F.col("x")).alias("ss_total"))
     j = total.join(by("pos"), "metric").join(by("artist_key"), "metric")

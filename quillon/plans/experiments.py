@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stable_hash
+from quillon.operators.dataset import dense_index
 
 #: The scenarios in order, with their direction.
 SCENARIOS = (
@@ -145,15 +146,25 @@ def different_entity_pair(source: DataFrame, candidates: DataFrame) -> DataFrame
     """source (pos, artist_key) with match: candidate number pos mod m among the m candidates of
     other artists, in candidate order (candidates: cpos dense from 0, artist_key, clip_id); no
     such candidate, no row. Positions among "all but mine" are found by arithmetic: the j-th is
-    shifted by as many of the artist's own as stand before it."""
+    shifted by as many of the artist's own as stand before it. Those are counted from dense numbers
+    of range partitions, so that no row and no task holds an artist's positions."""
     total = candidates.agg(F.count("*").alias("total"))
-    own = candidates.groupBy("artist_key").agg(F.array_sort(F.collect_list("cpos")).alias("mine"))
-    j = source.join(F.broadcast(total)).join(own, "artist_key", "left").withColumn("mine", F.coalesce("mine", F.array().cast("array<long>")))
-    m = F.col("total") - F.size("mine")
+    known = candidates.where("artist_key is not null").select("artist_key", "cpos")
+    j = source.join(F.broadcast(total)).join(known.groupBy("artist_key").agg(F.count("*").alias("own")), "artist_key", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    m = F.col("total") - F.col("own")
     j = j.where(m > 0).withColumn("j", F.col("pos") % m)
-    # The i-th own candidate (from 0) has mine[i] - i others before it: it is passed if that is at most j.
-    passed = F.size(F.filter(F.transform("mine", lambda x, i: x - i), lambda x: x <= F.col("j")))
-    return j.withColumn("cpos", F.col("j") + passed).join(candidates.select("cpos", "clip_id"), "cpos").select("pos", "artist_key", F.col("clip_id").alias("match"))
+    # The i-th own candidate (from 0) has cpos - i others before it: it is passed if that is at most j.
+    owned = dense_index(known, "artist_key", "cpos", name="i")
+    firsts = owned.groupBy("artist_key").agg(F.min("i").alias("first"))
+    points = j.where("own > 0").select("artist_key", F.col("j").alias("at")).distinct()
+    events = owned.join(firsts, "artist_key").select("artist_key", (F.col("cpos") - F.col("i") + F.col("first")).alias("at"), F.lit(0).alias("kind"), "cpos")
+    events = events.union(points.select("artist_key", "at", F.lit(1), F.lit(0)))
+    among = dense_index(events, "artist_key", "at", "kind", "cpos", name="p").where("kind = 1").select("artist_key", "at", "p")
+    # Of the p events before a point q are points; the others are candidates, `first` of them of earlier artists.
+    shifts = among.join(dense_index(points, "artist_key", "at", name="q"), ["artist_key", "at"]).join(firsts, "artist_key")
+    shifts = shifts.select("artist_key", F.col("at").alias("j"), (F.col("p") - F.col("q") - F.col("first")).alias("passed"))
+    placed = j.join(shifts, ["artist_key", "j"], "left").withColumn("cpos", F.col("j") + F.coalesce("passed", F.lit(0)))
+    return placed.join(candidates.select("cpos", "clip_id"), "cpos").select("pos", "artist_key", F.col("clip_id").alias("match"))
 
 
 def clip_cohort_rows(cohort: DataFrame, records: DataFrame) -> DataFrame:

@@ -170,3 +170,31 @@ def test_scoring_tries_entry_points(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "k string, v array<double>")
     assert [z["scores"] for z in score_with(Model, df, "v", 1).orderBy("k").collect()] == [[2.0, 4.0], [6.0, 8.0]]
     assert {z["k"]: z["value"] for z in group_eval(df, "k", lambda g: {"n": len(g)}).collect()} == {"a": 1.0, "b": 1.0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_hot_entity_without_arrays(spark):
+    rng = random.Random(8)
+    keys = [rng.choice(["hot", "hot", "b", "c", "d"]) for _ in range(120)]
+    candidates = spark.createDataFrame([(i, k, 1000 + i) for i, k in enumerate(keys)], "cpos long, artist_key string, clip_id long")
+    asked = [(7 * i, rng.choice(["hot", "b", "c", "none", None])) for i in range(90)] + [(7, "hot"), (7, "hot")]
+    got = x.different_entity_pair(spark.createDataFrame(asked, "pos long, artist_key string"), candidates)
+    want = []
+    for pos, key in asked:
+        others = [1000 + i for i, k in enumerate(keys) if k != key]
+        want.append((pos, key or "", others[pos % len(others)]))
+    assert sorted((r["pos"], r["artist_key"] or "", r["match"]) for r in got.collect()) == sorted(want)
+    assert "collect_list" not in _plan(got)
+
+
+def test_anova_centres_without_a_window(spark):
+    rows = [("m", f"a{i}", p, float((i * 7 + p * p * 3) % 11)) for i in range(9) for p in range(3)]
+    found = h.rm_anova(spark.createDataFrame(rows, "metric string, artist_key string, pos int, value double"))
+    y = np.array([r[3] for r in rows]).reshape(9, 3)
+    y = y - y.mean()
+    ss, artists = 9 * (y.mean(axis=0) ** 2).sum(), 3 * (y.mean(axis=1) ** 2).sum()
+    assert np.isclose(found.first()["f_statistic"], (ss / 2) / (((y**2).sum() - ss - artists) / 16))
+    assert "Window" not in _plan(found)
