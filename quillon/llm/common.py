@@ -3,49 +3,20 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillon.sources.stored import stored, unstore
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only for local masters."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    named = tempfile.mkdtemp(prefix="quillon-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there.
-
-    Lost executors then reread files instead of recomputing (and perhaps reordering) what
-    led to them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstore(df: DataFrame) -> None:
-    """Delete the files behind a stored() table that is no longer needed."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.rsplit("/", 1)[1].startswith("llm-"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["stored", "unstore"]
 
 
 def remainder(col: str, modulus: int) -> Column:
@@ -73,13 +44,22 @@ def emptied_id(col: str) -> Column:
     return F.nullif(F.col(col), F.lit(NO_ID)).alias(col)
 
 
-SMALL_IDS = 500_000
+#: Bytes that a broadcast may take in each executor.
+BROADCAST_BYTES = 48_000_000
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether df's rows, counted and measured, take at most BROADCAST_BYTES as a hash table."""
+    wide = [f"size(`{c}`) * 8" if t.startswith("array") else f"length(cast(`{c}` as binary))" for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr(" + ".join(f"coalesce({w}, 0)" for w in wide) or "0")), F.lit(0)).alias("size")).first()
+    return row["n"] * (40 + 16 * len(df.columns)) + row["size"] <= BROADCAST_BYTES
 
 
-def matching(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join the wide rows of df with narrow rows by key. Up to SMALL_IDS counted rows are
-    broadcast (some ten MB), so that df need not be shuffled; beyond, Spark shuffles both."""
-    return df.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, how)
+def matching(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Join the wide rows of df with narrow rows by key. Up to BROADCAST_BYTES, measured, the
+    narrow rows are broadcast, so that df need not be shuffled; beyond, Spark shuffles both. The
+    result is the same either way."""
+    return df.join(F.broadcast(ids) if fits_broadcast(ids) else ids, key, how)
 
 
 def parts(df: DataFrame) -> int:
@@ -87,28 +67,87 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_struct(df: DataFrame, column: str, function, fields: T.StructType) -> DataFrame:
-    """df with the fields that a Python function gives for one column (a list of values to a list
-    of tuples), replacing columns of those names. Only that column goes to Python, so ids and
-    other columns keep their types and nulls. The call is not repeated by later filters."""
+#: Texts that one step of a Python task holds as Python objects: so many rows and bytes at most
+#: (one text, if longer).
+SLICE_ROWS, SLICE_BYTES = 256, 2_000_000
+#: Bytes of results for words that a Python worker remembers.
+WORD_BYTES = 24_000_000
+
 
-    @F.pandas_udf(fields)
-    def call(values: pd.Series) -> pd.DataFrame:
-        rows = function(values.tolist())
-        return pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype=_NUMPY.get(f.dataType.typeName(), object)) for i, f in enumerate(fields)})
+def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in slices, which share its memory, with a bounded size of one column
+    (strings or arrays of integers)."""
+    values = batch.column(column)
+    lengths = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        end = int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE_BYTES, side="right"))
+        end = min(max(end, at + 1), at + SLICE_ROWS, len(ends))
+        yield batch.slice(at, end - at)
+        at = end
 
+
+def with_struct(df: DataFrame, column: str, make: Callable[[], Callable], fields: T.StructType) -> DataFrame:
+    """df with the fields that a Python function gives for one column (a list of values to a list
+    of tuples), replacing columns of those names. make() is called once in each task and returns
+    the function. Other columns pass through as Arrow data and keep their types and nulls; a few
+    hundred rows at a time become Python objects."""
     kept = df.drop(*fields.names)
-    made = kept.withColumn("_made", call.asNondeterministic()(F.col(column)))
-    return made.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col("_made").getField(n).alias(n) for n in fields.names])
+    names, types = [*kept.columns, *fields.names], to_arrow_schema(fields)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for part in text_slices(batch, column):
+                rows = function(part.column(column).to_pylist())
+                made = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
-_NUMPY = {"double": np.float64, "integer": np.int32, "long": np.int64}
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields.fields]))
 
 
-def slices(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
+def map_texts(df: DataFrame, column: str, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas over small slices of the rows, bounded by the size of one column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (part.to_pandas() for batch in batches for part in text_slices(batch, column))
+        for out in function(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=types, preserve_index=False)
+
+    fields = T.StructType.fromDDL(schema)
+    types = to_arrow_schema(fields)
+    return df.mapInArrow(run, fields)
+
+
+class RecentWords:
+    """What learn (sorted words to values) gives for words, remembered within about `limit` bytes.
+
+    Two generations: words asked for lately are in the young one; when that has half of the
+    bytes it becomes the old one, and what was old and unused is forgotten.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list], size: Callable[[str, object], int], limit: int = WORD_BYTES) -> None:
+        self.learn, self.size, self.limit = learn, size, limit
+        self.young, self.old, self.bytes = {}, {}, 0
+
+    def __call__(self, words: set[str]) -> dict:
+        """The values of these words."""
+        found = {w: self.young[w] for w in words & self.young.keys()}
+        added = {w: self.old[w] for w in words & self.old.keys() if w not in found}
+        new = sorted(words - found.keys() - added.keys())
+        added.update(zip(new, self.learn(new), strict=True))
+        self.bytes += sum(self.size(w, v) for w, v in added.items())
+        if self.bytes > self.limit // 2:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        else:
+            self.young.update(added)
+        return found | added
+
+
+def word_bytes(word: str, value: bytes) -> int:
+    """Memory of a remembered word and its bytes."""
+    return 220 + len(word) * (1 if word.isascii() else 4) + len(value)
 
 
 def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_fraction, with_struct
+from .common import hash_fraction, map_texts, with_struct
 
 BUCKETS = 1 << 16
 LETTER = regex.compile(r"\p{L}")
@@ -70,7 +70,7 @@ def document_frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = train.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_texts(train.select("text"), "text", count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS)
     seen = rows[rows["bucket"] >= 0]
     df[seen["bucket"].to_numpy(dtype=np.int64)] = seen["n"]
@@ -181,4 +181,4 @@ def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame
             out.append((model.labels[int(s.argmax())], float(1.0 / p.sum())))
         return out
 
-    return with_struct(docs, "text", predict, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return with_struct(docs, "text", lambda: predict, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import emptied_id, filled_id, matching, mix64, parts, runs, slices, stored, unstore
+from .common import emptied_id, filled_id, map_texts, matching, mix64, parts, runs, stored, unstore
 from .components import connected_components
 
 LEAF = 16
@@ -63,7 +63,7 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
 
 def _profiles(n: int, num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, 500):
+        for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 h = shingle_hashes(text, n)
@@ -262,7 +262,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     result. A null doc_id is kept; it gets the component of the documents that it links to.
     """
     base = docs.select(filled_id("doc_id"), "text")
-    profile = stored(base.mapInPandas(_profiles(n, num, den), "doc_id long, n_shingles int, set_key binary, prefix array<long>, bitmap binary").withColumn("doc_id", emptied_id("doc_id")))
+    profile = stored(map_texts(base, "text", _profiles(n, num, den), "doc_id long, n_shingles int, set_key binary, prefix array<long>, bitmap binary").withColumn("doc_id", emptied_id("doc_id")))
     firsts = [F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "bitmap"))]
     classes = stored(profile.where("set_key is not null").groupBy("set_key").agg(*firsts).where("id is not null").drop("set_key").withColumnRenamed("n_shingles", "n"))
     keyed = stored(profile.select("doc_id", "n_shingles", "set_key"))
@@ -278,7 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     wanted = matching(base.withColumnRenamed("doc_id", "id"), families.select("id"), "id", "left_semi")
     inside = _dealt(families.join(classes.select("id", "n"), "id").withColumnRenamed("root", "g1"), block, num, den)
-    sets = matching(wanted.mapInPandas(_member_sets(n), "id long, n int, members binary"), inside, "id")
+    sets = matching(map_texts(wanted, "text", _member_sets(n), "id long, n int, members binary"), inside, "id")
     links = connected_components(_linked(sets, num, den, True))
 
     least = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
@@ -288,7 +288,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
 def _member_sets(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, 200):
+        for frame in frames:
             rows = []
             for doc, text in zip(frame["id"], frame["text"], strict=True):
                 h = shingle_hashes(text, n)

@@ -21,10 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import emptied_id, filled_id, matching, parts, slices, stored
+from .common import RecentWords, emptied_id, filled_id, map_texts, matching, parts, stored, unstore, word_bytes
 
 END_ID = 1
-CACHED_WORDS = 400_000
 # Characters for which lower-casing and word classes are the same in every library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -33,15 +32,14 @@ PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³
 @functools.lru_cache(maxsize=1)
 def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """An encoder of texts to ids (little-endian unsigned 32-bit) with the word-level tokenizer
-    file at path. Plain texts are split here and each distinct word is encoded once while it is
-    remembered, over all tasks of a Python worker; other texts go to the tokenizer whole. New
-    words are encoded many at a time, as one text: every word's last piece is marked as such."""
+    file at path, one per Python worker. Plain texts are split here and each distinct word is
+    encoded once while it is remembered; other texts go to the tokenizer whole. New words are
+    encoded many at a time, as one text: every word's last piece is marked as such."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    words: dict[str, bytes] = {}
 
     last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
@@ -49,7 +47,8 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def raw(text: str) -> np.ndarray:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(new: list[str]) -> None:
+    def learn(new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             ids = raw(" ".join(some))
@@ -57,16 +56,15 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             if len(ends) != len(some) + 1:
                 raise ValueError("the tokenizer does not mark the ends of words")
             blob = ids.tobytes()
-            words.update((w, blob[4 * a : 4 * b]) for w, (a, b) in zip(some, itertools.pairwise(ends), strict=True))
+            out += [blob[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
+        return out
+
+    words = RecentWords(learn, word_bytes)
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [PRETOKEN.findall(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in special) else None for t in texts]
-        new = list({w for found in split if found for w in found}.difference(words))
-        if len(words) + len(new) > CACHED_WORDS:
-            words.clear()
-            new = list({w for found in split if found for w in found})
-        learn(new)
-        return [raw(t).tobytes() if found is None else b"".join(map(words.__getitem__, found)) for t, found in zip(texts, split, strict=True)]
+        found = words({w for own in split if own for w in own})
+        return [raw(t).tobytes() if own is None else b"".join(map(found.__getitem__, own)) for t, own in zip(texts, split, strict=True)]
 
     return encode
 
@@ -82,7 +80,7 @@ def _pieces(path: str, window: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = token_encoder(path)
-        for frame in slices(frames, 200):
+        for frame in frames:
             rows = []
             for doc, ids in _encoded(frame, encode):
                 n = len(ids) // 4
@@ -185,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
     """
     base = docs.select(filled_id("doc_id"), "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(base.mapInPandas(_pieces(tokenizer_path, window), schema))
+    pieces = stored(map_texts(base, "text", _pieces(tokenizer_path, window), schema))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("k")).collect():
         histogram[row["length"]] = row["k"]
@@ -199,7 +197,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
     placed = stored(_ranked(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(place, f"{schema}, sequence_id long, offset long"))
     whole = placed.where(F.col("offset") + F.col("length") <= window)
     over = placed.where(F.col("offset") + F.col("length") > window)
-    cut = matching(base, over, "doc_id").mapInPandas(_cut(tokenizer_path, window), f"{schema}, sequence_id long, offset long").distinct()
+    cut = map_texts(matching(base, over, "doc_id"), "text", _cut(tokenizer_path, window), f"{schema}, sequence_id long, offset long").distinct()
+    unstore(pieces)
     return whole.unionByName(cut).withColumn("doc_id", emptied_id("doc_id"))
 
 
@@ -210,7 +209,7 @@ def _cut(path: str, window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = token_encoder(path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for frame in slices(frames, 200):
+        for frame in frames:
             rows = []
             for (doc, ids), piece in zip(_encoded(frame, encode), frame.itertuples(), strict=True):
                 own = ids[4 * piece.start : 4 * (piece.start + piece.length)]

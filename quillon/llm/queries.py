@@ -17,7 +17,7 @@ from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .threshold_search import threshold_search
 from .toxicity import score_toxicity, train_toxicity
-from .viterbi import decode_texts, encode_texts
+from .viterbi import encode_texts
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,7 +52,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of pieces, xxhash64 of the ids, and whether decoding them gives the
     text back."""
     model = tokenizer_file("piece_bpe_32k.model")
-    coded = decode_texts(encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    coded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
     ids = F.coalesce("piece_ids", F.array().cast("array<int>"))
     return coded.select("doc_id", F.size(ids).cast("long").alias("n_pieces"), F.xxhash64(ids).alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 

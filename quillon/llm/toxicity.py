@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_fraction, with_struct
+from .common import WORD_BYTES, hash_fraction, with_struct, word_bytes
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
 
 
 PREFIXES = (4, 5, 6, 7)
-CACHED_WORDS = 300_000
 
 
 class ToxicityModel:
@@ -32,16 +31,22 @@ class ToxicityModel:
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
         self._cache: dict[str, float] = {}
+        self._bytes = 0
 
     def word(self, w: str) -> float:
-        """Sum of a word's feature weights; the most recent words' sums are kept."""
+        """Sum of a word's feature weights; sums are kept within WORD_BYTES and only in a task."""
         found = self._cache.get(w)
         if found is None:
-            if len(self._cache) >= CACHED_WORDS:
+            self._bytes += word_bytes(w, b"")
+            if self._bytes > WORD_BYTES:
                 self._cache.clear()
+                self._bytes = word_bytes(w, b"")
             found = self._cache[w] = sum(self.weights.get(f, 0.0) for f in word_features(w))
         return found
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_cache": {}, "_bytes": 0}
+
 
 def word_features(w: str) -> list[str]:
     return [w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)]
@@ -167,4 +172,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = True) -
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     if locate:
         fields.append(T.StructField("toxic_spans", T.ArrayType(span)))
-    return with_struct(docs if locate else docs.drop("toxic_spans"), "text", judge, T.StructType(fields))
+    return with_struct(docs if locate else docs.drop("toxic_spans"), "text", lambda: judge, T.StructType(fields))

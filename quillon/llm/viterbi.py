@@ -1,7 +1,7 @@
 """Encoding to and decoding from a SentencePiece vocabulary by shared-prefix Viterbi.
 
-A text is marked (white space becomes the mark, one mark is put before it) and split into
-marked words. The distinct words of a batch are sorted, which is a depth-first walk of their
+A text is marked (each space, U+0020, becomes the mark, and one mark is put before it; other
+white space stays) and split into marked words. The distinct words of a batch are sorted, which is a depth-first walk of their
 trie: forward scores are kept per letter of the current word, and the next word reuses those of
 the common prefix. The segmentation of highest total piece score wins.
 """
@@ -10,30 +10,38 @@ from __future__ import annotations
 
 import functools
 import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_struct
+from .common import RecentWords, with_struct, word_bytes
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS = 400_000
 BYTE_PENALTY = 10.0
 
 
-class PieceVocabulary:
-    """Pieces and scores of a model file, the byte pieces for what no piece covers, and the
-    pieces' letters backwards as a trie (found by their last letter first)."""
+class PieceTable:
+    """What decoding needs of a model file: its pieces and the byte pieces."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+
+
+class PieceVocabulary(PieceTable):
+    """What encoding needs besides: scores, and the pieces' letters backwards as a trie (found
+    by their last letter first)."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        model, n = self.model, len(self.pieces)
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.scores = {i: float(model.get_score(i)) for i in plain}
         self.byte_score = min(self.scores.values()) - BYTE_PENALTY
@@ -48,13 +56,13 @@ class PieceVocabulary:
 class ViterbiEncoder:
     def __init__(self, path: str) -> None:
         self.vocabulary = PieceVocabulary(path)
-        self.words: dict[str, bytes] = {}
+        self.words = RecentWords(self.add, word_bytes)
 
-    def add(self, words: list[str]) -> None:
+    def add(self, words: list[str]) -> list[bytes]:
         """Encode sorted distinct words; each reuses the scores of the prefix that it shares
         with the one before."""
         ends, missing = self.vocabulary.ends, self.vocabulary.byte_score
-        before, score, back = "", [0.0], [(0, 0)]
+        before, score, back, out = "", [0.0], [(0, 0)], []
         for word in words:
             k, most = 0, min(len(word), len(before))
             while k < most and word[k] == before[k]:
@@ -79,18 +87,14 @@ class ViterbiEncoder:
                 start, piece = back[at]
                 ids += [piece] if piece >= 0 else [self.vocabulary.bytes[b] for b in reversed(word[start].encode("utf-8", "surrogatepass"))]
                 at = start
-            self.words[word] = np.array(ids[::-1], dtype="<u4").tobytes()
+            out.append(np.array(ids[::-1], dtype="<u4").tobytes())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        wanted = {w for found in split for w in found}
-        new = wanted.difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = wanted
-        self.add(sorted(new))
-        return [b"".join(map(self.words.__getitem__, found)) for found in split]
+        found = self.words({w for words in split for w in words})
+        return [b"".join(map(found.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=1)
@@ -99,7 +103,12 @@ def _encoder(path: str) -> ViterbiEncoder:
     return ViterbiEncoder(path)
 
 
-def decode_ids(ids, vocabulary: PieceVocabulary) -> str:
+@functools.lru_cache(maxsize=1)
+def _pieces(path: str) -> PieceTable:
+    return PieceTable(path)
+
+
+def decode_ids(ids, vocabulary: PieceTable) -> str:
     """The text of ids: pieces joined, byte pieces as UTF-8, marks as spaces, the first dropped.
     A text's own marks come back as spaces."""
     out: list[str] = []
@@ -120,27 +129,32 @@ def decode_ids(ids, vocabulary: PieceVocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
-    """Add piece_ids array<int> to docs (text, ...). A null text gives null, an empty one an
-    empty array. Other columns are carried; a column of that name is replaced."""
+def encode_texts(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
+    """Add piece_ids array<int> to docs (text, ...), and with `decoded` the text that the ids
+    give back (decode_texts, in the same pass). A null text gives null, an empty one an empty
+    array. Other columns are carried; columns of those names are replaced. The vocabulary is a
+    BPE model's: its piece scores decide, so pieces may differ from those of its merges."""
 
-    def encode(texts: list) -> list[tuple]:
-        encoder, out = _encoder(model_path), []
-        for at in range(0, len(texts), 200):
-            some = texts[at : at + 200]
-            ids = encoder.encode([t or "" for t in some])
-            out += [(None if t is None else np.frombuffer(x, dtype="<u4").astype(np.int32),) for t, x in zip(some, ids, strict=True)]
-        return out
+    def make():
+        encoder = _encoder(model_path)
+
+        def encode(texts: list) -> list[tuple]:
+            coded = encoder.encode([t or "" for t in texts])
+            ids = [None if t is None else np.frombuffer(x, dtype="<u4").astype(np.int32) for t, x in zip(texts, coded, strict=True)]
+            return [(x, None if x is None else decode_ids(x.tolist(), encoder.vocabulary))[: 1 + decoded] for x in ids]
+
+        return encode
 
-    return with_struct(docs, "text", encode, T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return with_struct(docs, "text", make, T.StructType(fields[: 1 + decoded]))
 
 
 def decode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     """Add decoded (the text) to docs (piece_ids, ...); null ids give null, no ids the empty
     text. Other columns are carried; a column of that name is replaced."""
 
-    def decode(rows: list) -> list[tuple]:
-        vocabulary = _encoder(model_path).vocabulary
-        return [(None if ids is None else decode_ids(list(ids), vocabulary),) for ids in rows]
+    def make():
+        vocabulary = _pieces(model_path)
+        return lambda rows: [(None if ids is None else decode_ids(ids, vocabulary),) for ids in rows]
 
-    return with_struct(docs, "piece_ids", decode, T.StructType([T.StructField("decoded", T.StringType())]))
+    return with_struct(docs, "piece_ids", make, T.StructType([T.StructField("decoded", T.StringType())]))

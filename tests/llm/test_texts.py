@@ -125,13 +125,13 @@ def test_pieces_are_the_best_and_round_trip(spark, awkward, nothing):
         return best[-1][0]
 
     words = sorted({"▁" + w for w in "the then there thermal 漢字漢 don't supercalifragilistic ünïcödé abcabcabc".split()} | {"▁▁▁x", "▁"})
-    encoder.add(words)
-    for w in words:
-        found = np.frombuffer(encoder.words[w], dtype="<u4").tolist()
+    for w, coded in zip(words, encoder.add(words), strict=True):
+        found = np.frombuffer(coded, dtype="<u4").tolist()
         score = sum(vocabulary.scores.get(i, vocabulary.byte_score) for i in found)
         assert score == pytest.approx(brute(w))
     rows = viterbi.decode_texts(viterbi.encode_texts(awkward, model), model).collect()
     assert all(r["text"] == r["decoded"] for r in rows)
+    assert sorted(map(str, viterbi.encode_texts(awkward, model, decoded=True).collect())) == sorted(map(str, rows))
     assert viterbi.encode_texts(nothing, model).count() == 0
 
 
