@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, stored
-from .vectors import clean_vectors, nearest, paired_blocks
+from .common import hash_fraction, stored, unstore
+from .vectors import clean_vectors, nearest, paired_blocks, query_rows_of
 
 WIDTH = 2
 CODES = 16
@@ -130,67 +130,66 @@ def _index(quantizer: Quantizer):
     return run
 
 
-def _probe(quantizer: Quantizer):
+def _probe(quantizer: Quantizer, held: np.ndarray, least: int):
+    """Cells of each query: its best ones, `probes` of them and on until they hold `least` ids."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            x = _padded(np.stack(frame["embedding"].to_numpy()))
-            best = np.argsort(-(x @ quantizer.centroids.T), axis=1, kind="stable")[:, : quantizer.probes]
-            yield pd.DataFrame({"query_id": np.repeat(frame["vec_id"].to_numpy(), best.shape[1]), "query": frame["embedding"].repeat(best.shape[1]).to_numpy(), "cell": best.ravel().astype(np.int32)})
+            x = _padded(np.stack(frame["query"].to_numpy()))
+            best = np.argsort(-(x @ quantizer.centroids.T), axis=1, kind="stable")
+            enough = (np.cumsum(held[best], axis=1) < least).sum(axis=1) + 1
+            n = np.minimum(np.maximum(quantizer.probes, enough), best.shape[1])
+            cells = np.concatenate([own[:m] for own, m in zip(best, n, strict=True)]).astype(np.int32)
+            yield pd.DataFrame({"query_id": np.repeat(frame["query_id"].to_numpy(), n), "query": frame["query"].repeat(n).to_numpy(), "cell": cells})
 
     return run
 
 
-def _copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of rows by equal vectors and then vec_id, without rows beyond a vector's k + 1 least
-    ids (one may be the query's own); where each vector's rows start in it, and their number."""
-    same = np.unique(x + 0.0, axis=0, return_inverse=True)[1].ravel()
-    order = np.lexsort((ids, same))
-    group, own = same[order], ids[order]
-    new = np.r_[True, group[1:] != group[:-1]]
-    place = np.cumsum(new | np.r_[True, own[1:] != own[:-1]])
-    order = order[place - np.maximum.accumulate(np.where(new, place, 0)) <= k]
-    starts = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
-    return order, starts, np.diff(np.r_[starts, len(order)])
-
-
-def _scan(quantizer: Quantizer, k: int, again: int):
-    """Scan one block of a cell for one block of queries; exact scores of the rows of the best
-    `again` different vectors, and of all that tie with the last of them."""
+def _scan(quantizer: Quantizer, again: int):
+    """Scan the codes of one block of a cell for one block of queries: the rows of the best
+    `again` table scores, with all that tie with the last of them."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "near": np.empty(0, np.float32)})]
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy())
+            return out[0]
+        ids, cell = rows["vec_id"].to_numpy(), rows["cell"].iat[0]
         packed = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
-        order, starts, sizes = _copies(ids, x, k)
-        ids, x, packed = ids[order], x[order], packed[order[starts]]
-        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(starts), -1)
-        cell, out = rows["cell"].iat[0], []
-        for lot in np.array_split(np.arange(len(queries)), max(1, len(queries) * len(starts) // 500_000)):
-            q = np.stack(queries["query"].to_numpy()[lot])
-            wide = _padded(q)
-            tables = np.einsum("qmw,mcw->mqc", wide.reshape(len(q), -1, WIDTH), quantizer.codebooks).astype(np.float32)
-            scores = np.repeat((wide @ quantizer.centroids[cell]).astype(np.float32)[:, None], len(starts), axis=1)
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(rows), -1)
+        for lot in np.array_split(np.arange(len(queries)), max(1, len(queries) * len(rows) // 500_000)):
+            wide = _padded(np.stack(queries["query"].to_numpy()[lot]))
+            tables = np.einsum("qmw,mcw->mqc", wide.reshape(len(lot), -1, WIDTH), quantizer.codebooks).astype(np.float32)
+            scores = np.repeat((wide @ quantizer.centroids[cell]).astype(np.float32)[:, None], len(rows), axis=1)
             for j, table in enumerate(tables):
                 scores += table[:, codes[:, j]]
-            for i, own in enumerate(queries["query_id"].to_numpy()[lot]):
-                if len(starts) > again:
-                    good = scores[i] >= np.partition(scores[i], len(starts) - again)[len(starts) - again]
-                    best = np.flatnonzero(np.repeat(good, sizes))
-                else:
-                    best = np.arange(len(ids))
-                best = best[ids[best] != own]
-                exact = np.cumsum(x[best] * q[i], axis=1)[:, -1]
-                top = np.lexsort((ids[best], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best][top], "score": exact[top]}))
-        return pd.concat(out)[names]
+            asked = queries["query_id"].to_numpy()[lot]
+            scores[asked[:, None] == ids] = -np.inf
+            last = np.partition(scores, len(ids) - again, axis=1)[:, len(ids) - again] if len(ids) > again else np.full(len(lot), -np.inf)
+            q, r = np.nonzero((scores >= last[:, None]) & (scores > -np.inf))
+            out.append(pd.DataFrame({"query_id": asked[q], "vec_id": ids[r], "near": scores[q, r]}))
+        return pd.concat(out)
 
     return run
 
 
+def _fitted(good: DataFrame, total: int, max_sample: int, cells: int) -> Quantizer:
+    """The quantiser, fitted in one task on a bounded sample of whole rows."""
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [x for frame in frames for x in frame["embedding"]]
+        q = train_quantizer(np.array(rows, dtype=np.float64), cells)
+        yield pd.DataFrame({"centroids": [q.centroids.tobytes()], "codebooks": [q.codebooks.tobytes()], "parallel": [q.parallel], "probes": [q.probes]})
+
+    # Rows that repeat an id come in or stay out together, so the sample is also limited.
+    sample = hash_fraction(good, "vec_id", max_sample / total, "ann").select("embedding").limit(2 * max_sample)
+    sample = sample if sample.head(1) else good.select("embedding").limit(1)
+    row = sample.repartition(1).mapInPandas(fit, "centroids binary, codebooks binary, parallel double, probes int").first()
+    width = -(-len(good.first()["embedding"]) // WIDTH) * WIDTH
+    return Quantizer(np.frombuffer(row["centroids"]).reshape(-1, width), np.frombuffer(row["codebooks"]).reshape(width // WIDTH, CODES, WIDTH), row["parallel"], row["probes"])
+
+
 def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int = 100, max_sample: int = 20_000, cells: int | None = None) -> DataFrame:
     """The k rows of largest inner product for every row that is_query (a column) selects.
 
@@ -198,18 +197,33 @@ def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int =
     vec_id, score (double precision, original vectors). Candidates are all rows but those of the
     query's own vec_id; vectors that are null, zero, of another dimension than most, or hold null
     or non-finite components take no part. Ties go to the smaller vec_id; rows that repeat a
-    vec_id count each. The quantiser is fitted on a hash sample of about max_sample rows; every
-    row is indexed. There are 64 cells up to four million rows, then sqrt(rows)/32, at most 4096.
+    vec_id count each as candidates, and the least of their vectors asks. All candidates are
+    returned where there are fewer than k. The quantiser is fitted on a hash sample of about
+    max_sample rows (never over twice as many); every row is indexed. There are 64 cells up to
+    four million rows, then sqrt(rows)/32, at most 4096.
+
+    Only codes are scanned: of equal vectors those of the k + 1 least ids, which no other copy can
+    beat. The best `again` by table score (with ties) are scored with the original vectors.
     """
+    again = max(again, 2 * k)
     good = stored(clean_vectors(vectors, drop_zero=True))
     total = good.count()
     if not total:
         return good.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    sample = hash_fraction(good, "vec_id", max_sample / total, "ann").select("embedding").toPandas()["embedding"].tolist() or [good.first()["embedding"]]
-    n_cells = cells or int(min(4096, max(1, min(64, total // 100), total**0.5 / 32)))
-    quantizer = train_quantizer(np.array(sample, dtype=np.float64), n_cells)
-    index = stored(good.mapInPandas(_index(quantizer), "vec_id long, embedding array<double>, cell int, codes binary"))
-    queries = good.where(is_query).mapInPandas(_probe(quantizer), "query_id long, query array<double>, cell int")
-    rows, asked = paired_blocks(index, queries, "cell", 2048, 512)
-    found = rows.cogroup(asked).applyInPandas(_scan(quantizer, k, again), "query_id long, vec_id long, score double")
-    return nearest(found, k, "double")
+    quantizer = _fitted(good, total, max_sample, cells or int(min(4096, max(1, min(64, total // 100), total**0.5 / 32))))
+    copies = Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(7), F.col("embedding"))).orderBy("vec_id")
+    wanted = good.withColumn("place", F.dense_rank().over(copies)).where(F.col("place") <= k + 1).drop("place")
+    index = stored(wanted.mapInPandas(_index(quantizer), "vec_id long, embedding array<double>, cell int, codes binary"))
+    held = np.zeros(len(quantizer.centroids), dtype=np.int64)
+    for row in index.groupBy("cell").agg(F.countDistinct("vec_id").alias("n")).collect():
+        held[row["cell"]] = row["n"]
+    queries = stored(query_rows_of(good, is_query))
+    unstore(good)
+    probes = queries.mapInPandas(_probe(quantizer, held, again + 1), "query_id long, query array<double>, cell int")
+    rows, asked = paired_blocks(index.select("vec_id", "cell", "codes"), probes, "cell", 4096, 512)
+    scanned = rows.cogroup(asked).applyInPandas(_scan(quantizer, again), "query_id long, vec_id long, near float")
+    best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))
+    found = scanned.withColumn("place", best).where(F.col("place") <= again).select("query_id", "vec_id").distinct()
+    product = F.aggregate(F.zip_with("query", "embedding", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    scored = found.join(queries, "query_id").join(index.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", product.alias("score"))
+    return nearest(scored, k, "double")

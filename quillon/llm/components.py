@@ -17,10 +17,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     src and dst may be of any ordered type; rows with a null end are ignored. Alternates the
     large-star and small-star rewrites until the edge set is a set of stars. Each round is
     written to the shared folder, so the lineage stays short; a hub's rows are pre-aggregated
-    to one minimum per task and its join is an inner join that AQE can split.
+    to one minimum per task and its join is an inner join that AQE can split. The result is a
+    table in that folder; what led to it is deleted.
     """
-    both = stored(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()))
-    vertices = both.select(F.col("src").alias("id")).union(both.select(F.col("dst").alias("id")))
+    both = stored(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
     now = stored(both.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
     while True:
@@ -31,11 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    return (
-        vertices.distinct()
-        .join(now.select(F.col("src").alias("id"), F.col("dst").alias("root")), "id", "left")
-        .select("id", F.coalesce("root", "id").alias("root"))
-    )
+    vertices = both.select(F.col("src").alias("id")).union(both.select(F.col("dst").alias("id"))).distinct()
+    named = vertices.join(now.select(F.col("src").alias("id"), F.col("dst").alias("root")), "id", "left")
+    out = stored(named.select("id", F.coalesce("root", "id").alias("root")))
+    for df in (both, now):
+        unstore(df)
+    return out
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

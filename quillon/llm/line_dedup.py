@@ -2,12 +2,11 @@
 
 Every line's character shingles are hashed; HASHES minima per line form its signature. Lines
 whose signatures agree in a band fall into one bucket, and every pair of a bucket is a candidate.
-Two rounds of leaders join most of a family cheaply: first each line meets a few lines of its
-bucket, then the one that by then has most links. Then all pairs of a bucket whose ends are not
-yet one component are compared, block by block; settled lines and leaders remain partners. Pairs
-whose signatures agree too little are dropped, exact Jaccard similarity decides on the others.
-Linked lines are joined by distributed union-find, and of each component, equal lines included,
-the first line of the corpus stays.
+A pair is compared exactly unless its ends are one component by then, or parities of the shingles
+prove that it can't be alike. First each line meets its bucket's densest line, which joins most
+of a family without looking at all of its pairs; then come the pairs that are still open, in
+salted blocks. Linked lines are joined by distributed union-find, and of each component, equal
+lines included, the first line of the corpus stays.
 """
 
 from __future__ import annotations
@@ -17,18 +16,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import matching, stored, unstore
+from .common import fits_broadcast, matching, stored, unstore
 from .components import connected_components, union_all
 
 SHINGLE = 8
-HASHES = 18
-#: Each band joins four minima; the bands overlap evenly (steps 1 and 5 around the circle).
-BANDS = [tuple(sorted({(start + k * step) % HASHES for k in range(4)})) for step, starts in ((1, range(0, HASHES, 4)), (5, range(1, HASHES, 4))) for start in starts]
+HASHES = 13
+#: Bands of four minima, the lines of the projective plane of order 3: any two bands share one
+#: minimum. A pair of similarity 0.8 shares a band with probability 0.976 (0.9: 0.999).
+BANDS = [tuple(sorted((start + step) % HASHES for step in (0, 1, 3, 9))) for start in range(HASHES)]
 NUM, DEN = 8, 10
-#: Least number of equal minima of a pair that is compared exactly: at a similarity of 0.8 fewer
-#: than 9 of 18 agree once in two thousand pairs.
-AGREE = 9
-LEADERS = 4
+#: 64-bit words of a line's parities.
+WORDS = 16
+#: Rounds in which lines meet one line of their bucket, before all open pairs.
+ROUNDS = 1
 #: Lines of a bucket that meet in one task: those outside its largest component by all of them.
 MINOR_ROWS, ALL_ROWS = 1024, 2048
 
@@ -38,158 +38,154 @@ def _masks() -> list[int]:
     return [((k + 1) * 0x9E3779B1 & 0xFFFFFFFF) - (1 << 31) for k in range(HASHES)]
 
 
-def _lines(docs: DataFrame, *more: str) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line of every line that is not blank."""
-    return docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("length(trim(line)) > 0")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("length(trim(line)) > 0")
 
 
-def _keys() -> list[Column]:
-    """Two independent 64-bit hashes of a line."""
-    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")]
+def _coded(docs: DataFrame) -> DataFrame:
+    """id (a 64-bit hash) and code (UTF-16) of every line."""
+    return _lines(docs).select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-16BE").alias("code"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """k1, k2 and the minima m0, m1, ... of every distinct line of docs (doc_id, text).
-
-    Shingles are SHINGLE UTF-16 code units (the whole line if shorter), cut from the encoded
-    line at a fixed cost each. Xor with a mask permutes the hashes, so that each minimum is an
-    independent choice from the shingle set.
-    """
-    coded = _lines(docs).select(*_keys(), F.encode("line", "UTF-16BE").alias("code"))
-    last = F.greatest(F.lit(0), (F.length("code") / 2).cast("int") - SHINGLE)
-    shingles = coded.select("k1", "k2", "code", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    hashed = shingles.select("k1", "k2", F.expr(f"hash(substring(code, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
-    return hashed.groupBy("k1", "k2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks())))
+def _last(code: str | Column) -> Column:
+    """Number of the last shingle of a line in UTF-16."""
+    return F.greatest(F.lit(0), (F.length(code) / 2).cast("int") - SHINGLE)
 
 
-def _buckets(sig: DataFrame) -> DataFrame:
-    """(bucket, band, line) of every band bucket that more than one line falls into."""
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{j}" for j in band)) for b, band in enumerate(BANDS)))
-    rows = sig.select(F.col("k1").alias("line"), F.posexplode(keys).alias("band", "bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return rows.join(shared, "bucket").select("bucket", "band", "line")
+def _shingles(coded: DataFrame) -> DataFrame:
+    """id and a 32-bit hash h of each shingle of encoded lines (id, code): SHINGLE UTF-16 code
+    units (the whole line if shorter), cut at a fixed cost each."""
+    return coded.select("id", "code", F.explode(F.sequence(F.lit(0), _last("code"))).alias("i")).select("id", F.expr(f"hash(substring(code, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
 
 
-def _shingle_set(code: str) -> Column:
-    """Distinct 64-bit shingle hashes of an encoded line."""
-    last = F.greatest(F.lit(0), (F.length(code) / 2).cast("int") - SHINGLE)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col(code), i * 2 + 1, F.lit(2 * SHINGLE)))))
+def signatures(docs: DataFrame) -> DataFrame:
+    """id and the minima m0, m1, ... of every distinct line of docs (doc_id, text). Xor with a
+    mask permutes the hashes, so that each minimum is an independent choice from the shingles."""
+    minima = (F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks()))
+    return _shingles(_coded(docs)).groupBy("id").agg(*minima)
 
 
-def _agreed(a: str, b: str) -> Column:
-    """Number of equal minima of two signatures."""
-    return sum(((F.col(f"{a}.m{j}") == F.col(f"{b}.m{j}")).cast("int") for j in range(HASHES)), F.lit(0))
+def _buckets(sig: DataFrame) -> DataFrame:
+    """(bucket, id) of every band bucket that more than one line falls into; of buckets with the
+    same lines one stays."""
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{j}" for j in band)) for b, band in enumerate(BANDS)))
+    every = sig.select("id", F.explode(keys).alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    rows = stored(every.join(shared, "bucket").select("bucket", "id"))
+    alike = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.expr("bit_xor(id)").alias("x"), F.expr("bit_xor(xxhash64(id))").alias("y"))
+    chosen = alike.groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
+    out = stored(rows.join(chosen, "bucket"))
+    unstore(rows)
+    return out
+
+
+def _members(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with what pairs are judged by: n (the size of the line's set), its parities b0, b1,
+    ... (each bit tells whether an odd number of shingles falls on it), and order: lines that are
+    in larger buckets come later (ties by hash)."""
+    sets = texts.select("id", _shingle_set("code").alias("hashes")).select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    word = (F.expr(f"bit_xor(if((h & {WORDS - 1}) = {j}, shiftleft(1L, int(shiftright(h, 8) & 63)), 0L))").alias(f"b{j}") for j in range(WORDS))
+    maps = sets.groupBy("id").agg(F.max("n").alias("n"), *word)
+    weight = F.least(F.sum("k"), F.lit(1 << 42)) * F.lit(1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    return rows.drop("k").join(maps, "id").join(rows.groupBy("id").agg(weight.alias("order")), "id")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows (id, ...) with the root of the line's component, itself where it has none."""
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether two rows can be alike. Sets of a Jaccard similarity of t or more differ in at most
+    (1 - t) / (1 + t) of their members together. Common members cancel out of the parities, so
+    each bit in which those differ stands for a member that only one of the sets has."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.b{j}").bitwiseXOR(F.col(f"{b}.b{j}"))) for j in range(WORDS)))
+    return differ * (DEN + NUM) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (src, dst), the larger id first, of joined rows a and b."""
+    return met.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst")).distinct()
+
+
+def _counted(named: DataFrame) -> DataFrame:
+    """Of each bucket with lines of several components: n lines, n and root of the largest one."""
+    roots = named.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    return roots.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("n")).where("n > major.n").select("bucket", "n", F.col("major.n").alias("major_n"), F.col("major.root").alias("major"))
+
+
+def _led_pairs(named: DataFrame, first: bool) -> DataFrame:
+    """Pairs of each line with the last line (by order) of its bucket, in later rounds with the
+    last one outside the largest component."""
+    if first:
+        outside = named
+    else:
+        counts = _counted(named)
+        named = named.join(counts.select("bucket", "major"), "bucket")
+        outside = named.where("root <> major")
+    best = outside.groupBy("bucket").agg(F.max("order").alias("order"))
+    leaders = outside.join(best, ["bucket", "order"]).select("bucket", "id", "root", "n", *(f"b{j}" for j in range(WORDS)))
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b")
+    return _pairs(named.alias("a").join(leaders.alias("b"), on))
+
+
+def _open_pairs(named: DataFrame) -> DataFrame:
+    """Every pair of a bucket whose ends are of different components and may be alike. The lines
+    outside a bucket's largest component meet all of its lines, in salted blocks of both, so that
+    no task grows with the bucket."""
+    blocks = _counted(named).select("bucket", "major", F.ceil((F.col("n") - F.col("major_n")) / MINOR_ROWS).cast("int").alias("nl"), F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("nr"))
+    dealt = named.drop("order").join(blocks, "bucket")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = dealt.where("root <> major").withColumn("l", F.pmod(F.xxhash64("id"), F.col("nl")).cast("int")).withColumn("r", spread("nr")).alias("a")
+    every = dealt.withColumn("r", F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")).withColumn("l", spread("nl")).alias("b")
+    once = (F.col("b.root") == F.col("b.major")) | (F.col("a.id") > F.col("b.id"))
+    on = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "l", "r")))
+    return _pairs(minor.join(every, on & (F.col("a.root") != F.col("b.root")) & once & _may_link("a", "b")))
 
 
-def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """pairs (src, dst) with `agreed`, the number of equal minima, where there are enough."""
-    joined = pairs.alias("p").join(signed.alias("a"), F.col("p.src") == F.col("a.line")).join(signed.alias("b"), F.col("p.dst") == F.col("b.line"))
-    return joined.select("p.src", "p.dst", _agreed("a", "b").alias("agreed")).where(F.col("agreed") >= AGREE)
+def _shingle_set(code: str) -> Column:
+    """Distinct 64-bit shingle hashes of an encoded line. The bytes are a lambda's variable: as a
+    column they would be copied for every shingle."""
+    hashes = lambda c: F.transform(F.sequence(F.lit(0), _last(c)), lambda i: F.xxhash64(F.substring(c, i * 2 + 1, F.lit(2 * SHINGLE))))
+    return F.array_distinct(F.element_at(F.transform(F.array(F.col(code)), hashes), 1))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (src, dst) of an exact Jaccard similarity of at least NUM / DEN."""
-    left = texts.select(F.col("line").alias("src"), F.col("code").alias("src_code"))
-    right = texts.select(F.col("line").alias("dst"), F.col("code").alias("dst_code"))
-    joined = pairs.select("src", "dst").distinct().join(left, "src").join(right, "dst")
-    sets = joined.select("src", "dst", _shingle_set("src_code").alias("a"), _shingle_set("dst_code").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return sets.where(common * DEN >= (F.size("a") + F.size("b") - common) * NUM).select("src", "dst")
-
-
-def _with_leaders(rows: DataFrame) -> DataFrame:
-    """Distinct src, dst: every line of a bucket with its leaders, the least line of each residue of
-    a hash; leaders are paired with smaller leaders only."""
-    part = F.pmod(F.hash("line"), F.lit(LEADERS))
-    least = rows.groupBy("bucket").agg(*(F.min(F.when(part == j, F.col("line"))).alias(f"l{j}") for j in range(LEADERS)))
-    leaders = F.array(*(f"l{j}" for j in range(LEADERS)))
-    joined = rows.join(least, "bucket").select(F.col("line").alias("src"), F.array_contains(leaders, F.col("line")).alias("leads"), F.explode(leaders).alias("dst"))
-    return joined.where("dst is not null and src <> dst and (not coalesce(leads, false) or src > dst)").select("src", "dst").distinct()
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (line, ...) with the root of the line's component, itself where it has none."""
-    return rows.join(roots.select(F.col("id").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-
-
-def _with_most_linked(rows: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct src, dst: every line of a bucket with the line of most links, if that is of
-    another component. The original of many edited copies has more links than any copy."""
-    ends = links.select(F.col("src").alias("line")).union(links.select(F.col("dst").alias("line")))
-    named = _rooted(rows, roots).join(ends.groupBy("line").agg(F.count("*").alias("links")), "line", "left")
-    most = named.where("links > 1").groupBy("bucket").agg(F.max(F.struct("links", "line", "root")).alias("most"))
-    met = named.join(most, "bucket").where("root <> most.root")
-    return met.select(F.col("line").alias("src"), F.col("most.line").alias("dst")).distinct()
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns({"src": F.greatest("src", "dst"), "dst": F.least("src", "dst")})
-
-
-def _open_pairs(rows: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
-    """src, dst, agreed: every pair of a bucket whose ends are of different components and whose
-    signatures agree enough, once. The lines outside a bucket's largest component meet all of its
-    lines, in salted blocks of both, so that no task grows with the bucket."""
-    named = stored(_rooted(rows, roots))
-    counts = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("n"))
-    mixed = counts.where("n > 2 and n > major.n").select("bucket", F.col("major.root").alias("major"), F.ceil((F.col("n") - F.col("major.n")) / MINOR_ROWS).cast("int").alias("nl"), F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("nr"))
-    dealt = stored(named.join(mixed, "bucket").join(signed, "line"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    minor = dealt.where("root <> major").withColumn("l", F.pmod(F.xxhash64("line"), F.col("nl")).cast("int")).withColumn("r", spread("nr")).alias("a")
-    every = dealt.withColumn("r", F.pmod(F.xxhash64("line"), F.col("nr")).cast("int")).withColumn("l", spread("nl")).alias("b")
-    same = lambda band: reduce(Column.__and__, (F.col(f"a.m{j}") == F.col(f"b.m{j}") for j in band))
-    earlier = reduce(Column.__or__, ((F.col("a.band") > k) & same(band) for k, band in enumerate(BANDS)))
-    once = (F.col("b.root") == F.col("b.major")) | (F.col("a.line") > F.col("b.line"))
-    on = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "l", "r")))
-    met = minor.join(every, on & (F.col("a.root") != F.col("b.root")) & once & (_agreed("a", "b") >= AGREE) & ~earlier)
-    # Two bands may see one pair from both ends, where their largest components differ.
-    pairs = met.select(F.col("a.line").alias("src"), F.col("b.line").alias("dst"), _agreed("a", "b").alias("agreed"))
-    found = stored(_ordered(pairs).distinct())
-    for df in (named, dealt):
-        unstore(df)
-    return found
-
-
-def _settled(chosen: DataFrame, texts: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """All links (src, dst), those given and those among the chosen pairs (src, dst, agreed), and
-    their components (id, root).
-
-    First one pair per line is compared exactly, its best. Of the others only those whose ends
-    are not one component by then need to be, which spares large families most of the work.
-    """
-    best = chosen.groupBy("src").agg(F.max(F.struct("agreed", "dst")).alias("best")).select("src", "best.dst")
-    first = stored(best)
-    found = [stored(_verified(first, texts))] + ([links] if links else [])
-    roots = stored(connected_components(union_all(found)))
-    named = chosen.select("src", "dst")
+    joined = pairs
     for end in ("src", "dst"):
-        named = named.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    apart = F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")
-    rest = named.where(apart).select("src", "dst").join(first, ["src", "dst"], "left_anti")
-    found.append(stored(_verified(rest, texts)))
-    every = union_all(found)
-    for df in (first, roots):
-        unstore(df)
-    return every, stored(connected_components(every))
+        joined = joined.join(texts.select(F.col("id").alias(end), F.col("code").alias(f"{end}_code")), end)
+    # Each set is made once: exists() names both for the test that uses them twice.
+    both = F.array(F.struct(_shingle_set("src_code").alias("a"), _shingle_set("dst_code").alias("b")))
+    alike = F.exists(both, lambda x: F.size(F.array_intersect(x.a, x.b)) * (DEN + NUM) >= (F.size(x.a) + F.size(x.b)) * NUM)
+    return joined.where(alike).select("src", "dst")
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
-    """Components (id, root) of the lines' k1 hashes under verified links of different lines."""
+    """Components (id, root) of the hashes of lines under verified links of different lines."""
     sig = stored(signatures(docs))
-    rows = stored(_buckets(sig))
-    wanted = stored(rows.select("line").distinct())
-    signed = stored(matching(sig.withColumnRenamed("k1", "line").drop("k2"), wanted, "line", "left_semi"))
+    rows = _buckets(sig)
     unstore(sig)
-    found = matching(_lines(docs).select(F.xxhash64("line").alias("k1"), "line"), wanted.select(F.col("line").alias("k1")), "k1", "left_semi")
-    texts = stored(found.groupBy("k1").agg(F.min("line").alias("line")).select(F.col("k1").alias("line"), F.encode("line", "UTF-16BE").alias("code")))
-    chosen = stored(_likely(_with_leaders(rows), signed))
-    links, roots = _settled(chosen, texts)
-    more = stored(_likely(_with_most_linked(rows, links, roots), signed))
-    links, roots = _settled(more, texts, links)
-    compared = _ordered(chosen.union(more).select("src", "dst"))
-    rest = stored(_open_pairs(rows, roots, signed).join(compared, ["src", "dst"], "left_anti"))
-    roots = _settled(rest, texts, links)[1]
-    for df in (texts, signed, wanted, chosen, more, rest):
+    wanted = stored(rows.select("id").distinct())
+    texts = stored(matching(_coded(docs), wanted, "id", "left_semi").groupBy("id").agg(F.min("code").alias("code")))
+    members = stored(_members(rows, texts))
+    unstore(rows)
+    unstore(wanted)
+    tried, links, roots = [], [], None
+    for k in range(ROUNDS + 1):
+        named = stored(_rooted(members, roots))
+        pairs = _led_pairs(named, k == 0) if k < ROUNDS else _open_pairs(named)
+        for before in tried:
+            pairs = pairs.join(before, ["src", "dst"], "left_anti")
+        tried.append(stored(pairs))
+        links.append(stored(_verified(tried[-1], texts)))
+        for df in (named, roots) if roots else (named,):
+            unstore(df)
+        roots = connected_components(union_all(links))
+    for df in (texts, members, *tried, *links):
         unstore(df)
     return roots
 
@@ -203,29 +199,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     its other columns; text loses its removed lines, and n_lines_removed (replaced if present)
     counts them. Null and empty texts stay as they are; a text may become empty. Rows that
     repeat a doc_id share places: equal places stay or go together. An n_chars column is set to
-    the new length.
+    the new length. An empty table gives an empty result.
     """
     base = docs.select("doc_id", "text")
-    occurrences = stored(_lines(base).select("doc_id", "pos", *_keys()))
-    roots = similar_lines(base).select(F.col("id").alias("k1"), "root")
-    named = matching(occurrences, roots, "k1", "left").select("doc_id", "pos", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2"))
-    named = stored(named)
-    unstore(occurrences)
+    roots = similar_lines(base)
+    places = _lines(base).select("doc_id", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
+    named = stored(matching(places, roots, "id", "left").select("doc_id", "pos", F.coalesce("root", "id").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2")))
+    unstore(roots)
     firsts = named.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").drop("n")
     firsts = stored(firsts)
     gone = matching(named, firsts, ["g1", "g2"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     drops = stored(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    for df in (named, firsts):
+        unstore(df)
     kept = docs.drop("n_lines_removed", "removed")
-    joined = kept.join(F.broadcast(drops) if _fits(drops) else drops, "doc_id", "left")
+    joined = kept.join(F.broadcast(drops) if fits_broadcast(drops) else drops, "doc_id", "left")
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = joined.withColumn("text", text).withColumn("n_lines_removed", F.coalesce(F.size("removed"), F.lit(0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*kept.columns, "n_lines_removed")
-
-
-def _fits(drops: DataFrame) -> bool:
-    """Few enough removed positions to broadcast (some ten MB)."""
-    row = drops.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("k")).first()
-    return row["n"] <= 300_000 and row["k"] <= 2_000_000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,12 @@ def clean_vectors(vectors: DataFrame, drop_zero: bool) -> DataFrame:
     return good.where(F.size("embedding") == F.lit(common["d"])) if common else good
 
 
+def query_rows_of(good: DataFrame, is_query) -> DataFrame:
+    """query_id and query of the rows that is_query selects; of rows that repeat a vec_id the one
+    of the least vector."""
+    return good.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
+
+
 def paired_blocks(candidates: DataFrame, queries: DataFrame, key: str, candidate_rows: int, query_rows: int):
     """Group candidates (key, vec_id, ...) and queries (key, query_id, ...) for cogrouping: within
     each key, hashed blocks of about candidate_rows meet hashed blocks of about query_rows, so
@@ -30,9 +36,7 @@ def paired_blocks(candidates: DataFrame, queries: DataFrame, key: str, candidate
     return left.drop("nb", "nq").groupBy(key, "b", "qb"), right.groupBy(f"{key}_q", "b_q", "qb_q")
 
 
-def nearest(found: DataFrame, k: int, score_type: str) -> DataFrame:
-    """The k best rows per query, ties to the smaller vec_id."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+def nearest(found: DataFrame, k: int, score_type: str, *beyond: str) -> DataFrame:
+    """The k best rows per query, ties to the smaller vec_id (after further columns, if named)."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *map(F.desc, beyond), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast(score_type).alias("score"))
