@@ -4,8 +4,9 @@ A document's set is its distinct word n-grams. Two sets link when their Jaccard
 reaches a rational threshold; links are exact, and components of links are returned.
 
 1. Documents with equal sets form one class (hash of the sorted set); classes carry on.
-2. Prefix tokens: two linked sets share one of their |x| - ceil(t|x|) + 1 smallest n-gram
-   hashes, so the classes that share such an n-gram form the groups in which links can lie.
+2. Prefix tokens: two linked sets share one of their |x| - ceil(t|x|) + 1 first n-grams in any
+   common order, so the classes that share such an n-gram form the groups in which links can
+   lie. Common n-grams come last, so that passages that many texts share make no groups.
    Groups with equal members are kept once.
 3. Within each group a signature tree (nodes: OR-combined bitmaps and size ranges) is
    traversed against itself; node pairs whose largest possible overlap is too small are
@@ -61,18 +62,58 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def _profiles(n: int, num: int, den: int):
+#: n-grams that are ordered last in the prefixes, and how often one must occur among so many of a
+#: task to be a candidate.
+FREQUENT, LEAST, AMONG = 200_000, 4, 2_000_000
+
+
+def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of at most FREQUENT n-grams that occur in most texts, and their weights
+    (log2 of their numbers). All texts are counted; what is rare within every task is left out.
+    This only orders prefixes, and links do not depend on the order."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in frames:
+            held += [shingle_hashes(t, n) for t in frame["text"]]
+            size = sum(map(len, held))
+            if size > AMONG:
+                yield table(held)
+                held = []
+        yield table(held)
+
+    def table(held: list[np.ndarray]) -> pd.DataFrame:
+        found, times = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *held]), return_counts=True)
+        return pd.DataFrame({"token": found[times >= LEAST].view(np.int64), "k": times[times >= LEAST]})
+
+    totals = map_texts(texts, "text", count, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
+    rows = totals.orderBy(F.desc("k"), "token").limit(FREQUENT).toPandas()
+    tokens = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.log2(rows["k"].to_numpy(dtype=np.float64))[order].astype(np.int8)
+
+
+def _rare_first(h: np.ndarray, frequent: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The hashes by rising weight, then hash; all that are not frequent weigh nothing."""
+    if not len(frequent):
+        return h
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    weight = np.where(frequent[at] == h, weights[at], 0)
+    return h[np.argsort(weight, kind="stable")] if weight.any() else h
+
+
+def _profiles(n: int, num: int, den: int, frequent: np.ndarray, weights: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"], strict=True):
                 h = shingle_hashes(text, n)
                 if len(h):
-                    raw = h.tobytes()
-                    rows.append((doc, len(h), xxhash.xxh3_128_digest(raw), h[: _prefix_length(len(h), num, den)].view(np.int64), _bitmap(h).tobytes()))
+                    prefix = _rare_first(h, frequent, weights)[: _prefix_length(len(h), num, den)]
+                    rows.append((doc, key, len(h), xxhash.xxh3_128_digest(h.tobytes()), prefix.view(np.int64), _bitmap(h).tobytes()))
                 else:
-                    rows.append((doc, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "prefix", "bitmap"])
+                    rows.append((doc, key, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_key", "prefix", "bitmap"])
 
     return run
 
@@ -233,23 +274,28 @@ def _dealt(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
     A group of up to `block` members is one task. A larger one is split by size class: key g2
     gets the classes g2 and g2 - 1, whose sizes may link; `low` marks rows of the smaller class,
     whose pairs with each other belong to another key. What is still larger is dealt out as
-    pairs of blocks: p and q number the pair, b the member's own block. Groups of one, keys
-    without a row of their own class, and rows whose neighbours by size are too small or too
-    large to link are dropped.
+    pairs of blocks: p and q number the pair, b the member's own block. The large groups are few
+    (at most members / block) and their sizes are joined by broadcast, so that a large group's
+    rows need not meet. Keys without a row of their own class, and rows whose neighbours by size
+    are too small or too large to link are dropped.
     """
-    classed = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
-    groups = classed.groupBy("g1").agg(F.count("*").alias("size")).where("size > 1")
-    own = F.array(F.struct(F.lit(0).alias("g2"), F.lit(False).alias("low")))
+    large = stored(members.groupBy("g1").agg(F.count("*").alias("size")).where(F.col("size") > block).select("g1"))
+    zero = F.lit(0)
+    small = matching(members, large, "g1", "left_anti").select("g1", zero.alias("g2"), zero.alias("p"), zero.alias("q"), zero.alias("b"), F.lit(False).alias("low"), "id", "n")
+    classed = matching(members, large, "g1").withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
     split = F.array(F.struct(F.col("c").alias("g2"), F.lit(False).alias("low")), F.struct((F.col("c") + 1).alias("g2"), F.lit(True).alias("low")))
-    keyed = classed.join(groups, "g1").withColumn("key", F.explode(F.when(F.col("size") <= block, own).otherwise(split))).select("g1", "key.g2", "key.low", "id", "n")
-    sized = keyed.groupBy("g1", "g2").agg(F.count("*").alias("size"), F.min("low").alias("only_low")).where("size > 1 and not only_low").drop("only_low")
+    keyed = classed.withColumn("key", F.explode(split)).select("g1", "key.g2", "key.low", "id", "n")
+    sized = stored(keyed.groupBy("g1", "g2").agg(F.count("*").alias("size"), F.min("low").alias("only_low")).where("size > 1 and not only_low").drop("only_low"))
     nb = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = keyed.join(sized, ["g1", "g2"]).withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pairs = other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id", "n")
+    dealt = matching(keyed, sized, ["g1", "g2"]).withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    pairs = small.unionByName(other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id", "n"))
     by_size = Window.partitionBy("g1", "g2", "p", "q").orderBy("n", "id")
     near = (F.lead("n").over(by_size) * num <= F.col("n") * den) | (F.col("n") * num <= F.lag("n").over(by_size) * den)
-    return pairs.withColumn("near", near).where("near").drop("near", "n")
+    found = stored(pairs.withColumn("near", near).where("near").drop("near", "n"))
+    for df in (large, sized):
+        unstore(df)
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 400) -> DataFrame:
@@ -259,31 +305,46 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     links, its own included). Null, empty or white-space texts have an empty set and link with
     nothing; equal texts always link (if they have a word); rows that repeat a doc_id are each
     returned, by their own text. Further columns are ignored. An empty table gives an empty
-    result. A null doc_id is kept; it gets the component of the documents that it links to.
+    result. A row of null doc_id is kept, its text links like any other, and it gets the smallest
+    doc_id of its component, null if there is none.
     """
-    base = docs.select(filled_id("doc_id"), "text")
-    profile = stored(map_texts(base, "text", _profiles(n, num, den), "doc_id long, n_shingles int, set_key binary, prefix array<long>, bitmap binary").withColumn("doc_id", emptied_id("doc_id")))
-    firsts = [F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "bitmap"))]
-    classes = stored(profile.where("set_key is not null").groupBy("set_key").agg(*firsts).where("id is not null").drop("set_key").withColumnRenamed("n_shingles", "n"))
-    keyed = stored(profile.select("doc_id", "n_shingles", "set_key"))
+    base = docs.select(filled_id("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    frequent = frequent_ngrams(base.select("text"), n)
+    profile = stored(map_texts(base, "text", _profiles(n, num, den, *frequent), "doc_id long, text_key long, n_shingles int, set_key binary, prefix array<long>, bitmap binary"))
+    # A class is one set; its texts are read again by one of its rows, the source.
+    source = F.min(F.struct("doc_id", "text_key")).alias("source")
+    sets = profile.where("set_key is not null").groupBy("set_key").agg(source, F.min(emptied_id("doc_id")).alias("least"), F.first("n_shingles").alias("n"))
+    classes = stored(sets.select(F.monotonically_increasing_id().alias("id"), "set_key", "least", "n", "source.*"))
+    keyed = stored(profile.select(emptied_id("doc_id"), "n_shingles", "set_key"))
+    sources = classes.select("id", "n", "doc_id", "text_key")
+    marked = stored(matching(profile.select("doc_id", "text_key", "prefix", "bitmap"), sources, ["doc_id", "text_key"]).select("id", "n", "prefix", "bitmap"))
     unstore(profile)
+    if marked.count() != classes.count():  # rows that repeat a source are as one
+        repeated, marked = marked, stored(marked.dropDuplicates(["id"]))
+        unstore(repeated)
 
-    tokens = classes.select(F.explode("prefix").alias("token"), "id", "n").repartition(parts(docs), "token")
+    tokens = marked.select(F.explode("prefix").alias("token"), "id").repartition(parts(docs), "token")
     shared = tokens.groupBy("token").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(7L, id))").alias("h2")).where("k > 1")
     chosen = shared.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    members = stored(tokens.join(chosen, "token").withColumnRenamed("token", "g1"))
-    near = _dealt(members, block, num, den).join(classes.select("id", "n", "bitmap"), "id")
-    families = stored(connected_components(_linked(near, num, den, False)))
+    members = stored(matching(tokens, chosen, "token").withColumnRenamed("token", "g1").join(classes.select("id", "n"), "id"))
+    near = _dealt(members, block, num, den)
     unstore(members)
+    families = connected_components(_linked(near.join(marked.select("id", "n", "bitmap"), "id"), num, den, False))
+    for df in (near, marked):
+        unstore(df)
 
-    wanted = matching(base.withColumnRenamed("doc_id", "id"), families.select("id"), "id", "left_semi")
     inside = _dealt(families.join(classes.select("id", "n"), "id").withColumnRenamed("root", "g1"), block, num, den)
-    sets = matching(map_texts(wanted, "text", _member_sets(n), "id long, n int, members binary"), inside, "id")
-    links = connected_components(_linked(sets, num, den, True))
-
-    least = keyed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    roots = least.join(links, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
-    return keyed.join(roots, "set_key", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    named = stored(sources.drop("n").join(families.select("id"), "id", "left_semi"))
+    wanted = matching(base, named, ["doc_id", "text_key"]).select("id", "text")
+    texts = map_texts(wanted, "text", _member_sets(n), "id long, n int, members binary")
+    links = connected_components(_linked(matching(texts, inside, "id"), num, den, True))
+    for df in (inside, families, named):
+        unstore(df)
+
+    rooted = classes.join(links, "id", "left").select("set_key", "least", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    found = rooted.join(least, "root").select("set_key", "component")
+    return keyed.join(found, "set_key", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def _member_sets(n: int):
