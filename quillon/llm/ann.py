@@ -190,7 +190,7 @@ def _fitted(good: DataFrame, total: int, max_sample: int, cells: int) -> Quantiz
     return Quantizer(np.frombuffer(row["centroids"]).reshape(-1, width), np.frombuffer(row["codebooks"]).reshape(width // WIDTH, CODES, WIDTH), row["parallel"], row["probes"])
 
 
-def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int = 100, max_sample: int = 20_000, cells: int | None = None) -> DataFrame:
+def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int = 200, max_sample: int = 20_000, cells: int | None = None) -> DataFrame:
     """The k rows of largest inner product for every row that is_query (a column) selects.
 
     vectors: vec_id, embedding (further columns ignored). Returns query_id, rank (from 1),

@@ -5,7 +5,7 @@ then user and assistant in turn. Dynamic programming over the automaton finds th
 to make it so: keep a turn, relabel it, merge it into the turn before, or insert an empty turn.
 
 The programme is a product of small min-plus matrices, so a long conversation is cut into
-segments by turn number: each segment's matrix is found on its own, the few matrices of a
+segments: each segment's matrix is found on its own, the few matrices of a
 conversation give the states at the cuts, and then each segment is repaired on its own.
 """
 
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, runs
+from .common import parts, runs, stored
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -129,7 +129,7 @@ def _render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if group["is_last"].iat[0]:
                 at = moves[-1][1]
                 chunks[-1] += "<|end|>\n" if at in LAST else "<|end|>\n<|user|>\n<|end|>\n"
-            lots.append(group[["conv_key", "turn_text", "repair_cost"]].assign(place=np.arange(len(group), dtype=np.int32), action=[m[3] for m in moves], out_role=[ROLES[m[1]] for m in moves], inserted=[ROLES[m[4]] if m[4] >= 0 else None for m in moves], rendered=chunks))
+            lots.append(group[["conv_key", "turn_text", "repair_cost", "place"]].assign(action=[m[3] for m in moves], out_role=[ROLES[m[1]] for m in moves], inserted=[ROLES[m[4]] if m[4] >= 0 else None for m in moves], rendered=chunks))
         out = pd.concat(lots)
         yield out[["conv_key", "turn_text", "place", "action", "out_role", "inserted", "rendered", "repair_cost"]]
 
@@ -149,25 +149,33 @@ def _batches(groups: Iterator[pd.DataFrame], rows: int = 5000) -> Iterator[list[
 def repair_chats(turns: DataFrame, segment_turns: int = 1024) -> DataFrame:
     """Repair and render conversations, turns (conv_id, turn, role, text).
 
-    One row per input row: conv_id, turn, place (its number within the segment; turn, then place
-    order a conversation), action (keep, relabel, merge), out_role, inserted (role
-    of an empty turn put before it, or null), rendered (its part of the conversation's text, to be
+    One row per input row: conv_id, turn, place (which orders a conversation), action (keep,
+    relabel, merge), out_role, inserted (role of an empty turn put before it, or null), rendered (its part of the conversation's text, to be
     joined in order; the last part closes it), repair_cost (of the whole conversation: merge 1,
     relabel 2, insertion 3 each). Turns are ordered by turn (nulls last), role, text. Unknown and
     null roles are relabelled; null texts are empty; rows with a null conv_id form one
     conversation; repeated rows are turns of their own. A conversation must end with a user or
     assistant turn. Further columns are ignored; an empty table gives an empty result.
+
+    Rows are numbered by range partitions, and segments of about segment_turns rows are cut by
+    number: a conversation of any length, equal or null turn numbers included, is many tasks' work.
     """
-    segment = F.coalesce(F.floor(F.col("turn") / F.lit(segment_turns)), F.lit(2**62))
-    keyed = turns.select("conv_id", "turn", "role", "text", segment.alias("segment"), F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")).alias("conv_key"))
-    n, order = parts(turns), [F.col("conv_key"), F.col("segment"), F.asc_nulls_last("turn"), F.col("role"), F.col("text")]
-    dealt = keyed.repartition(n, "conv_key", "segment").sortWithinPartitions(*order)
-    matrices = dealt.select("conv_key", "segment", "role").mapInPandas(_matrices, "conv_key string, segment long, matrix array<long>")
+    keyed = turns.select("turn", "role", "text", F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")).alias("conv_key"))
+    n, order = parts(turns), [F.col("conv_key"), F.asc_nulls_last("turn"), F.col("role"), F.col("text")]
+    ranged = stored(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    keyed = ranged.withColumn("part", part).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before", "at")
+    keyed = keyed.withColumn("segment", F.floor(F.col("place") / segment_turns))
+    order = ["conv_key", "segment", "place"]
+    dealt = keyed.select("conv_key", "segment", "place", "role").repartition(n, "conv_key", "segment").sortWithinPartitions(*order)
+    matrices = dealt.mapInPandas(_matrices, "conv_key string, segment long, matrix array<long>")
     cuts = matrices.repartition(n, "conv_key").sortWithinPartitions("conv_key", "segment").mapInPandas(_cuts, "conv_key string, segment long, entry int, leave int, is_last boolean, is_first boolean, repair_cost long")
     types = dict(turns.dtypes)
-    schema = "conv_key string, turn_text string, place int, action string, out_role string, inserted string, rendered string, repair_cost long"
+    schema = "conv_key string, turn_text string, place long, action string, out_role string, inserted string, rendered string, repair_cost long"
     joined = keyed.join(cuts, ["conv_key", "segment"]).repartition(n, "conv_key", "segment").sortWithinPartitions(*order)
-    sent = joined.select("conv_key", "segment", F.col("turn").cast("string").alias("turn_text"), "role", "text", "entry", "is_last", "leave", "repair_cost")
+    sent = joined.select("conv_key", "segment", "place", F.col("turn").cast("string").alias("turn_text"), "role", "text", "entry", "is_last", "leave", "repair_cost")
     out = sent.mapInPandas(_render, schema)
     conv = F.when(F.col("conv_key") != "n", F.substring("conv_key", 2, 1 << 30)).cast(types["conv_id"])
     return out.select(conv.alias("conv_id"), F.col("turn_text").cast(types["turn"]).alias("turn"), *out.columns[2:])

@@ -24,12 +24,12 @@ def remainder(col: str, modulus: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def hash_fraction(df: DataFrame, key: str, fraction: float, salt: str) -> DataFrame:
+def hash_fraction(df: DataFrame, key: str | list[str], fraction: float, salt: str) -> DataFrame:
     """The rows whose salted key hash falls below the fraction: a repeatable sample."""
     if fraction >= 1:
         return df
     limit = int(fraction * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < F.lit(limit))
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), *([key] if isinstance(key, str) else key)), F.lit(1 << 30)) < F.lit(limit))
 
 
 #: Stands for a null id inside Python batches, where a null would turn ids into floats.

@@ -11,7 +11,7 @@ from .ann import inner_product_search
 from .chat import repair_chats
 from .common import remainder
 from .langid import identify_language, train_language_model
-from .licenses import known_licenses, oracle_sql, scan_licenses
+from .licenses import known_licenses, known_notices, oracle_sql, scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
@@ -74,7 +74,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark))
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark), known_notices(spark))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,8 +135,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max
     n, size = marked.count(), docs.agg(F.avg(F.length("text"))).first()[0]
     if not n or not size:
         return ToxicityModel({}, -20.0)
-    some = hash_fraction(marked, "doc_id", min(1.0, max_docs / n, max_chars / (n * size)), "toxicity")
-    sample = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    # Labels and texts may repeat ids; the limits bound them then too.
+    some = hash_fraction(marked, "doc_id", min(1.0, max_docs / n, max_chars / (n * size)), "toxicity").limit(2 * max_docs)
+    sample = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(some), "doc_id").select("text", "toxic").limit(4 * max_docs)
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"text": [], "toxic": []}, dtype=object), *frames]).sort_values(["text", "toxic"])

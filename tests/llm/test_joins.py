@@ -1,9 +1,11 @@
 """Components, the n-gram join, vector searches, chat repair and the pipeline."""
 
 import itertools
+import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,7 +81,14 @@ def test_ngram_join_equals_brute_force(spark, awkward, nothing):
         assert got == brute(rows, n, num, den)
     assert ngram_jaccard_join(nothing).count() == 0
     odd = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(awkward).collect()}
-    assert odd[None] is None and odd[6] == odd[7] == 5 and odd[9_007_199_254_740_993] == 9_007_199_254_740_993
+    assert odd[None] is None
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, near), (None, near + " more"), (None, near + " more"), (7, near + " other"), (None, "alone in here now")]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["component_id"] or 0) for r in got) == [0, 1, 1, 1, 1]
+    twice = spark.createDataFrame([(5, near), (5, "quite another text than that"), (6, near + " x"), (7, "quite another text than that")], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in ngram_jaccard_join(twice).collect()) == [5, 5, 5, 5]
+    assert odd[6] == odd[7] == 5 and odd[9_007_199_254_740_993] == 9_007_199_254_740_993
 
 
 @settings(max_examples=25, deadline=None)
@@ -145,6 +154,57 @@ def test_threshold_search_is_exact(spark):
     assert threshold_search(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_threshold_search_beyond_64_bits(spark):
+    x = [[1e13, 1e13], [1e13, -1e13], [2e13, 1e13], [1e300, 1e300], [1.7e308, 0.0], [3e-4, 1.0], [1.0, 2.0]]
+    df = spark.createDataFrame([*enumerate(x), (2, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    from fractions import Fraction
+
+    z = [[math.floor(Fraction(v) * 1024) for v in row] for row in x]
+    rows = [*enumerate(z), (2, [5120, 5120])]
+    asked = dict(enumerate(z)) | {2: [5120, 5120]}
+    for size in (1, 100):
+        got = threshold_search(df, F.lit(True), k=10, candidate_rows=size).collect()
+        for q, y in asked.items():
+            scores = sorted((-(a * y[0] + b * y[1]), i) for i, (a, b) in rows if i != q)
+            own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+            assert [r["vec_id"] for r in own] == [i for _, i in scores]
+            assert [r["score"] for r in own] == [min(max(-s, -(2**63 - 1)), 2**63 - 1) for s, _ in scores]
+
+
+def test_outliers_get_their_neighbours(spark):
+    """Five rows far from two clusters have cells of their own; the search goes on to others."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(150, 8)) * 0.01 + 1, rng.normal(size=(145, 8)) * 0.01 - 1, 50 * np.eye(8)[:5]])
+    df = spark.createDataFrame([(i, [float(v) for v in z]) for i, z in enumerate(x)], "vec_id long, embedding array<double>")
+    got = inner_product_search(df, F.col("vec_id") >= 290).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == dict.fromkeys(range(290, 300), 20)
+    few = inner_product_search(df, F.col("vec_id") == 0, k=400).collect()
+    assert len(few) == 299 and len({r["vec_id"] for r in few}) == 299
+
+
+def test_recall_at_the_registered_settings(spark):
+    from quillon.llm.queries import op2_inner_product_ann
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    got = op2_inner_product_ann(spark, folder).toPandas().groupby("query_id")["vec_id"].agg(set)
+    asked, hits = np.flatnonzero(ids % 20 == 0), 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]]))
+    assert hits >= 0.9 * 20 * len(asked), hits / 20 / len(asked)
+
+
+def test_searches_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.9, 0.0]), (3, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for search in (inner_product_search, threshold_search):
+        got = sorted(tuple(r) for r in search(df, F.col("vec_id") < 3, k=3).select("query_id", "rank", "vec_id").collect())
+        assert got == [(1, 1, 2), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 1), (2, 3, 3)]
+
+
 def test_threshold_algorithm_stops_early():
     x = np.zeros((4000, 4))
     x[:20] = 100 - np.arange(20)[:, None]
@@ -162,20 +222,28 @@ def legal(roles):
 
 
 def brute_cost(roles):
-    """Least cost by trying every move at every turn."""
-    best = {chat.START: 0}
-    for role in roles:
-        new = {}
-        for s, c in best.items():
-            for a, b, cost, *_ in chat._moves_of(role):
-                if a == s:
-                    new[b] = min(new.get(b, chat.FAR), c + cost)
-        best = new
-    return min(c + chat.end_cost(s) for s, c in best.items())
+    """Least cost over all legal sequences of turns and all ways to lay the given turns on them in
+    order: a turn of another role costs 2, each further turn on a place 1, an empty place 3."""
+    best = 10**9
+    for system in (0, 1):
+        for m in range(1, 2 * len(roles) + 2):
+            legal = ["system"] * system + [("user", "assistant")[i % 2] for i in range(m)]
+            for places in itertools.combinations_with_replacement(range(len(legal)), len(roles)):
+                own = sum(2 * (role != legal[p]) for role, p in zip(roles, places, strict=True))
+                used = len(set(places))
+                best = min(best, own + (len(roles) - used) + 3 * (len(legal) - used))
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*chat.ROLES, None, "tool"]), min_size=1, max_size=5))
+def test_repairs_cost_the_least_of_all(roles):
+    costs, _ = chat._table(roles, chat.START)
+    assert min(c + chat.end_cost(s) for s, c in enumerate(costs[-1])) == brute_cost(roles)
 
 
 def test_chat_repair(spark):
-    talks = {1: ["user", "assistant"], 2: ["assistant", "user"], 3: ["user", "user", "assistant"], 4: ["system", "assistant"], 5: ["user", "system", "assistant"], 6: [None, "tool"], 7: ["system"], 8: ["user", "assistant"] * 12 + ["user", "user"]}
+    talks = {1: ["user", "assistant"], 2: ["assistant", "user"], 3: ["user", "user", "assistant"], 4: ["system", "assistant"], 5: ["user", "system", "assistant"], 6: [None, "tool"], 7: ["system"], 8: ["user", "assistant", "user", "user", None, "system"]}
     rows = [(c, i, r, f"t{i}" if i != 1 else None) for c, roles in talks.items() for i, r in enumerate(roles)] + [(None, None, "user", "x"), (9, 0, "user", "same"), (9, 0, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(9))
     whole = chat.repair_chats(df).collect()
@@ -230,3 +298,40 @@ def test_inner_product_search_with_a_third_of_equal_vectors(spark):
         s[q] = -np.inf
         hits += len(set(got[got["query_id"] == q]["vec_id"]) & set(np.lexsort((np.arange(3000), -s))[:20]))
     assert hits >= 0.98 * 20 * len(set(asked)), hits / 20 / len(set(asked))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_awkward_documents(spark, awkward, tmp_path, empty):
+    """Nulls, empty, blank and very long texts, repeated rows, an empty table, more columns."""
+    import corpus_pipeline
+
+    folder = str(tmp_path / "in")
+    docs = awkward.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").alias("n_chars"), "n", "score", "root", F.lit("x").alias("_row"))
+    docs = docs.where("false") if empty else docs
+    awkward.select("doc_id", (F.col("doc_id") == 10).cast("int").alias("toxic")).where("false" if empty else "doc_id <> 3").write.parquet(f"{folder}/labels.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, folder)
+        out[name] = made.collect()
+        if name != "packing":
+            assert made.columns == docs.columns
+    if empty:
+        assert not any(out.values())
+        return
+    ids = {k: sorted(str(r["doc_id"]) for r in v) for k, v in out.items()}
+    every = sorted(str(r["doc_id"]) for r in docs.collect())
+    assert [i for i in every if i != "10"] == [i for i in ids["toxicity"] if i != "10"]
+    assert not {"1", "2", "3", "9", "9007199254740993"} & set(ids["language"])
+    assert ids["line_dedup"] == every
+    assert ids["near_duplicates"] == sorted([*(i for i in every if i not in ("6", "7", "11")), "11"])
+    assert set(ids["packing"]) == set(every)
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline
+
+    a, c = " ".join(f"w{i}" for i in range(60)), "a clean text of its own that nobody repeats"
+    rows = [(1, a), (2, a), (2, c), (3, c + " x y z"), (4, a), (4, a), (None, a), (None, "only here and without an id")]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(got, key=str) == sorted([(1, a), (2, c), (3, c + " x y z"), (None, "only here and without an id")], key=str)
