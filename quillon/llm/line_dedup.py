@@ -3,9 +3,9 @@
 Every line's character shingles are hashed; HASHES minima per line form its signature. Lines
 whose signatures agree in a band fall into one bucket, and every pair of a bucket is a candidate.
 A pair is compared exactly unless its ends are one component by then, or parities of the shingles
-prove that it can't be alike. First each line meets its bucket's densest line, which joins most
-of a family without looking at all of its pairs; then come the pairs that are still open, in
-salted blocks. Linked lines are joined by distributed union-find, and of each component, equal
+prove that it can't be alike. First each line meets the line of its bucket that is in most and
+largest buckets, which joins most of a family without looking at all of its pairs; then come the
+pairs that are still open, in salted blocks. Linked lines are joined by distributed union-find, and of each component, equal
 lines included, the first line of the corpus stays.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fits_broadcast, matching, stored, unstore
-from .components import connected_components, union_all
+from .components import connected_components
 
 SHINGLE = 8
 HASHES = 13
@@ -27,8 +27,6 @@ BANDS = [tuple(sorted((start + step) % HASHES for step in (0, 1, 3, 9))) for sta
 NUM, DEN = 8, 10
 #: 64-bit words of a line's parities.
 WORDS = 16
-#: Rounds in which lines meet one line of their bucket, before all open pairs.
-ROUNDS = 1
 #: Lines of a bucket that meet in one task: those outside its largest component by all of them.
 MINOR_ROWS, ALL_ROWS = 1024, 2048
 
@@ -91,13 +89,6 @@ def _members(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.drop("k").join(maps, "id").join(rows.groupBy("id").agg(weight.alias("order")), "id")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """rows (id, ...) with the root of the line's component, itself where it has none."""
-    if roots is None:
-        return rows.withColumn("root", F.col("id"))
-    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
 def _may_link(a: str, b: str) -> Column:
     """Whether two rows can be alike. Sets of a Jaccard similarity of t or more differ in at most
     (1 - t) / (1 + t) of their members together. Common members cancel out of the parities, so
@@ -106,44 +97,47 @@ def _may_link(a: str, b: str) -> Column:
     return differ * (DEN + NUM) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM)
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct (src, dst), the larger id first, of joined rows a and b."""
-    return met.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst")).distinct()
-
-
 def _counted(named: DataFrame) -> DataFrame:
     """Of each bucket with lines of several components: n lines, n and root of the largest one."""
     roots = named.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     return roots.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("n")).where("n > major.n").select("bucket", "n", F.col("major.n").alias("major_n"), F.col("major.root").alias("major"))
 
 
-def _led_pairs(named: DataFrame, first: bool) -> DataFrame:
-    """Pairs of each line with the last line (by order) of its bucket, in later rounds with the
-    last one outside the largest component."""
-    if first:
-        outside = named
-    else:
-        counts = _counted(named)
-        named = named.join(counts.select("bucket", "major"), "bucket")
-        outside = named.where("root <> major")
-    best = outside.groupBy("bucket").agg(F.max("order").alias("order"))
-    leaders = outside.join(best, ["bucket", "order"]).select("bucket", "id", "root", "n", *(f"b{j}" for j in range(WORDS)))
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b")
-    return _pairs(named.alias("a").join(leaders.alias("b"), on))
+def _led_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (src, dst, leader) of each line with the last line (by order) of its bucket."""
+    best = members.groupBy("bucket").agg(F.max("order").alias("order"))
+    leaders = members.join(best, ["bucket", "order"]).select("bucket", "id", "n", *(f"b{j}" for j in range(WORDS)))
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id")) & _may_link("a", "b")
+    met = members.alias("a").join(leaders.alias("b"), on)
+    return met.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst"), F.col("b.id").alias("leader")).distinct()
+
+
+def _labels(led: DataFrame, links: DataFrame) -> DataFrame:
+    """id and root: the least leader that a line is linked with. Lines of one root are of one
+    component, since each is linked with that leader or is it."""
+    other = F.when(F.col("leader") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
+    return led.join(links, ["src", "dst"]).groupBy(other.alias("id")).agg(F.min("leader").alias("root"))
 
 
 def _open_pairs(named: DataFrame) -> DataFrame:
-    """Every pair of a bucket whose ends are of different components and may be alike. The lines
-    outside a bucket's largest component meet all of its lines, in salted blocks of both, so that
-    no task grows with the bucket."""
-    blocks = _counted(named).select("bucket", "major", F.ceil((F.col("n") - F.col("major_n")) / MINOR_ROWS).cast("int").alias("nl"), F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("nr"))
-    dealt = named.drop("order").join(blocks, "bucket")
+    """Every pair of a bucket whose ends are of different components and may be alike, once. The
+    lines outside a bucket's largest component meet all of its lines, in salted blocks of both,
+    so that no task grows with the bucket; a pair of several buckets counts in the least one."""
+    blocks = stored(_counted(named).select("bucket", "major", F.ceil((F.col("n") - F.col("major_n")) / MINOR_ROWS).cast("int").alias("nl"), F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("nr")))
+    mixed = named.drop("order").join(blocks, "bucket")
+    dealt = stored(mixed.join(mixed.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     minor = dealt.where("root <> major").withColumn("l", F.pmod(F.xxhash64("id"), F.col("nl")).cast("int")).withColumn("r", spread("nr")).alias("a")
     every = dealt.withColumn("r", F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")).withColumn("l", spread("nl")).alias("b")
     once = (F.col("b.root") == F.col("b.major")) | (F.col("a.id") > F.col("b.id"))
     on = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "l", "r")))
-    return _pairs(minor.join(every, on & (F.col("a.root") != F.col("b.root")) & once & _may_link("a", "b")))
+    first = F.array_min(F.array_intersect("a.buckets", "b.buckets")) == F.col("a.bucket")
+    met = minor.join(every, on & (F.col("a.root") != F.col("b.root")) & once & _may_link("a", "b") & first)
+    # One end may be outside of the largest component here and the other one there.
+    found = stored(met.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst")).distinct())
+    for df in (blocks, dealt):
+        unstore(df)
+    return found
 
 
 def _shingle_set(code: str) -> Column:
@@ -171,21 +165,21 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     unstore(sig)
     wanted = stored(rows.select("id").distinct())
     texts = stored(matching(_coded(docs), wanted, "id", "left_semi").groupBy("id").agg(F.min("code").alias("code")))
-    members = stored(_members(rows, texts))
-    unstore(rows)
     unstore(wanted)
-    tried, links, roots = [], [], None
-    for k in range(ROUNDS + 1):
-        named = stored(_rooted(members, roots))
-        pairs = _led_pairs(named, k == 0) if k < ROUNDS else _open_pairs(named)
-        for before in tried:
-            pairs = pairs.join(before, ["src", "dst"], "left_anti")
-        tried.append(stored(pairs))
-        links.append(stored(_verified(tried[-1], texts)))
-        for df in (named, roots) if roots else (named,):
-            unstore(df)
-        roots = connected_components(union_all(links))
-    for df in (texts, members, *tried, *links):
+    # Most buckets hold two lines: their pair is compared without further ado.
+    couples = rows.where("k = 2").groupBy("bucket").agg(F.max("id").alias("src"), F.min("id").alias("dst")).select("src", "dst")
+    large = rows.where("k > 2")
+    members = stored(_members(large, matching(texts, large.select("id").distinct(), "id", "left_semi")))
+    led = stored(_led_pairs(members))
+    tried = stored(couples.union(led.select("src", "dst")).distinct())
+    links = stored(_verified(tried, texts))
+    named = stored(members.join(_labels(led, links), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    for df in (rows, members, led):
+        unstore(df)
+    pairs = _open_pairs(named)
+    more = stored(_verified(pairs.join(tried, ["src", "dst"], "left_anti"), texts))
+    roots = connected_components(links.union(more))
+    for df in (named, texts, tried, pairs, links, more):
         unstore(df)
     return roots
 
