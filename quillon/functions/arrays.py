@@ -91,6 +91,26 @@ def center_crop(c, n: int) -> Column:
     return F.when(size <= n, _col(c)).otherwise(F.slice(_col(c), ((size - n) / 2).cast("int") + 1, F.lit(n)))
 
 
+def random_crop(c, n: int, seed: int, *keys) -> Column:
+    """n values from a place drawn by the hash of the keys; the whole array if it is shorter."""
+    from quillon.functions.text import stable_hash
+
+    size = F.size(_col(c))
+    start = F.conv(F.substring(stable_hash(seed, "crop", *keys), 1, 8), 16, 10).cast("long") % F.greatest(size - n + 1, F.lit(1))
+    return F.when(size <= n, _col(c)).otherwise(F.slice(_col(c), start.cast("int") + 1, F.lit(n)))
+
+
+def exact_segment(c, start, n: int) -> Column:
+    """n values from start (0-based); null where the array does not hold all of them."""
+    inside = (_col(start) >= 0) & (_col(start) + n <= F.size(_col(c)))
+    return F.when(inside, F.slice(_col(c), F.when(inside, _col(start) + 1).otherwise(1), F.lit(n)))
+
+
+def shift_right(codes, pad: int) -> Column:
+    """The plain shift: every token moves one place on, pad comes first, the last goes."""
+    return F.concat(F.array(F.lit(pad)), F.slice(_col(codes), F.lit(1), F.greatest(F.size(_col(codes)) - 1, F.lit(0)))).cast("array<int>")
+
+
 def token_slice(c, offset, length) -> Column:
     return F.slice(_col(c), _col(offset) + 1, _col(length))
 

@@ -174,9 +174,23 @@ def safe_path_component(c, prefix: str = "item") -> Column:
     )
 
 
-def slug(c, limit: int = 80) -> Column:
-    """Letters, digits, dot, underscore and hyphen; other runs become one hyphen."""
-    return F.substring(F.regexp_replace(F.regexp_replace(_col(c), r"[^0-9A-Za-z._-]+", "-"), r"^-+|-+$", ""), 1, limit)
+def slug(c, fallback="item", limit: int = 80) -> Column:
+    """Letters, digits, dot, underscore and hyphen; other runs become one underscore. Dots,
+    underscores and hyphens at the ends go; nothing left gives the fallback (a text or column)."""
+    cleaned = F.regexp_replace(F.regexp_replace(_col(c), r"[^0-9A-Za-z._-]+", "_"), r"^[._-]+|[._-]+$", "")
+    other = F.lit(fallback) if isinstance(fallback, str) else fallback
+    return F.substring(F.coalesce(F.nullif(F.substring(cleaned, 1, 80), F.lit("")), other), 1, limit)
+
+
+def numbered_directory(index, name) -> Column:
+    """Four digits of the index and the name's ASCII letters: 0007_Some_Name."""
+    return F.concat(F.lpad(_col(index).cast("string"), 4, "0"), F.lit("_"), F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(nfkd_ascii(_col(name)), r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", ""), F.lit("")), F.lit("artist")))
+
+
+def artist_directory(artist_id, artist_key) -> Column:
+    """A directory by the artist's id, else by a digest of its key."""
+    named = F.concat(F.lit("artist_"), safe_path_component(artist_id, "id"))
+    return F.coalesce(F.when(_col(artist_id) != "", named), F.concat(F.lit("artist_name_"), F.substring(F.sha1(_col(artist_key)), 1, 12)))
 
 
 @F.pandas_udf(T.StringType())
@@ -190,9 +204,13 @@ def _nfc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: What counts as white space between words.
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def canonical_caption(c) -> Column:
-    """White space collapsed, NFC. Only texts beyond ASCII go through Python."""
-    squeezed = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    """White space (Unicode's too) collapsed, NFC. Only texts beyond ASCII go through Python."""
+    squeezed = F.trim(F.regexp_replace(_col(c), f"[{WHITE}]+", " "))
     return F.when(squeezed.rlike(r"[^\x00-\x7f]"), _nfc(F.when(squeezed.rlike(r"[^\x00-\x7f]"), squeezed))).otherwise(squeezed)
 
 
@@ -206,10 +224,28 @@ def milliseconds(seconds, audio, group: int) -> Column:
     return F.coalesce(F.rint(_col(seconds) * 1000).cast("long"), F.nullif(stem, F.lit("")).try_cast("long"))
 
 
-def sample_id(artist, track, start_ms, end_ms, caption) -> Column:
-    """Stable identity of a clip."""
-    number = lambda c: F.lpad(F.coalesce(_col(c), F.lit(0)).cast("string"), 9, "0")
-    return F.concat_ws("__", F.lit("jmdmc"), F.concat(F.lit("a_"), slug(artist)), F.concat(F.lit("t_"), slug(track)), F.concat(F.lit("s_"), number(start_ms)), F.concat(F.lit("e_"), number(end_ms)), F.concat(F.lit("c_"), caption_hash(caption)))
+def track_identifier(track, audio, row) -> Column:
+    """A record's track id; if blank, its audio file's folder without track_; else row_<row>."""
+    folder = F.regexp_replace(F.regexp_extract(_col(audio), r"([^/]+)/+[^/]*$", 1), "^track_", "")
+    return F.coalesce(_filled(track), _filled(folder), F.concat(F.lit("row_"), _col(row).cast("string")))
+
+
+def clip_identifier(clip, audio, row) -> Column:
+    """A record's clip id; if blank, its audio file's name without extension; else row_<row>."""
+    stem = F.regexp_replace(F.regexp_extract(_col(audio), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(_filled(clip), _filled(stem), F.concat(F.lit("row_"), _col(row).cast("string")))
+
+
+def _filled(c) -> Column:
+    """Null for a blank text."""
+    return F.when(F.trim(_col(c)) != "", _col(c))
+
+
+def sample_id(artist, track, start_ms, end_ms, caption, artist_index=None) -> Column:
+    """Stable identity of a clip; unknown times are named so. No artist name left: its index."""
+    number = lambda c: F.when(_col(c).isNull(), F.lit("unknown")).otherwise(F.when(F.length(_col(c).cast("string")) > 9, _col(c).cast("string")).otherwise(F.lpad(_col(c).cast("string"), 9, "0")))
+    other = "artist" if artist_index is None else F.concat(F.lit("artist_"), _col(artist_index).cast("string"))
+    return F.concat_ws("__", F.lit("jmdmc"), F.concat(F.lit("a_"), slug(artist, other, 24)), F.concat(F.lit("t_"), slug(track, "unknown", 32)), F.concat(F.lit("s_"), number(start_ms)), F.concat(F.lit("e_"), number(end_ms)), F.concat(F.lit("c_"), caption_hash(caption)))
 
 
 def direct_family(tag, exact: dict[str, str] | None = None, keywords=None) -> Column:
@@ -242,6 +278,12 @@ def fixed(c, decimals: int = 4, count=None) -> Column:
     return F.when(missing, F.lit("NaN")).otherwise(F.format_string(f"%.{decimals}f", _col(c)))
 
 
+def mean_std(mean, std, count, decimals: int = 4) -> Column:
+    """mean ± deviation; NaN without values."""
+    joined = F.concat_ws(" ± ", fixed(mean, decimals), fixed(std, decimals))
+    return F.when(_col(count).isNull() | (_col(count) == 0) | _col(mean).isNull() | F.isnan(_col(mean)), F.lit("NaN")).otherwise(joined)
+
+
 def stable_hash(seed: int, namespace: str, *keys) -> Column:
     """The order key of deterministic draws: sha256 of seed, namespace and keys."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(namespace), *(_col(k).cast("string") for k in keys)), 256)

@@ -34,11 +34,14 @@ def score_with(model_factory: Callable[[], object], df: DataFrame, vector: str,
     return df.withColumn(name, score(vector))
 
 
-def group_eval(df: DataFrame, key: str, evaluate: Callable[[pd.DataFrame], dict[str, float]]) -> DataFrame:
-    """key, metric, value: a user's evaluation of each group, which must fit into a task."""
+def group_eval(df: DataFrame, key: str, evaluate: Callable[[pd.DataFrame], dict[str, float]], metrics: list[str] | None = None) -> DataFrame:
+    """key, metric, value: a user's evaluation of each group, which must fit into a task. With
+    metrics, an evaluation that gives other names is an error."""
 
     def run(k, rows: pd.DataFrame) -> pd.DataFrame:
         found = evaluate(rows)
+        if metrics is not None and set(found) != set(metrics):
+            raise ValueError(f"evaluation gave {sorted(found)}, not {sorted(metrics)}")
         return pd.DataFrame({key: [k[0]] * len(found), "metric": list(found), "value": [float(x) for x in found.values()]})
 
     return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, metric string, value double")

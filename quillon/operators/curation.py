@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import FAMILIES, direct_family, stable_hash
+from quillon.operators.dataset import dense_index
 from quillon.sources.stored import stored
 
 #: 1/n of a vote in whole units, exact for up to 15 families per track.
@@ -14,10 +17,10 @@ UNITS = 360360
 
 def funnel(catalog: DataFrame, track_id: str, artist: str, allowed: Column, genres: str, position: list) -> DataFrame:
     """catalog with `reason`: accepted, or the first of missing_id, duplicate_id, missing_artist,
-    not_downloadable, missing_genres that holds. A row is a duplicate only of an earlier accepted
-    row (by the position columns)."""
+    not_downloadable, missing_genres that holds (an unknown `allowed` counts as allowed). A row is
+    a duplicate only of an earlier accepted row (by the position columns)."""
     blank = F.col(track_id).isNull()
-    fault = F.when(F.col(artist).isNull(), "missing_artist").when(~F.coalesce(allowed, F.lit(False)), "not_downloadable").when(F.coalesce(F.size(genres), F.lit(0)) < 1, "missing_genres")
+    fault = F.when(F.col(artist).isNull(), "missing_artist").when(~F.coalesce(allowed, F.lit(True)), "not_downloadable").when(F.coalesce(F.size(genres), F.lit(0)) < 1, "missing_genres")
     marked = catalog.withColumn("_fault", fault).withColumn("_at", F.struct(*position))
     first = F.min(F.when(F.col("_fault").isNull(), F.col("_at"))).over(Window.partitionBy(track_id))
     reason = F.when(blank, "missing_id").when(F.col("_at") > first, "duplicate_id").otherwise(F.coalesce("_fault", F.lit("accepted")))
@@ -55,7 +58,8 @@ def _tag_families(tracks: DataFrame, exact, keywords) -> DataFrame:
 
 
 def genre_cooccurrence(tracks: DataFrame, exact=None, keywords=None) -> DataFrame:
-    """Votes (in UNITS) of the known families on a track for each of its unknown tags."""
+    """Votes (in UNITS) of the known families on a track for each of its unknown tags. tracks:
+    track_id, genres; used several times, so a long plan is better stored first."""
     tagged = tracks.select("track_id", F.explode("genres").alias("tag")).join(_tag_families(tracks, exact, keywords), "tag")
     anchors = tagged.where("family is not null").groupBy("track_id").agg(F.collect_set("family").alias("families"))
     open_tags = tagged.where("family is null").select("track_id", "tag").join(anchors, "track_id")
@@ -65,7 +69,9 @@ def genre_cooccurrence(tracks: DataFrame, exact=None, keywords=None) -> DataFram
 
 def infer_taxonomy(tracks: DataFrame, exact=None, keywords=None, min_cooccurrence: int = 5, min_confidence: float = 0.35) -> DataFrame:
     """Every tag: family (null if unresolved), how (direct, inferred, unresolved), confidence, and
-    n_tracks. The inferred family has most votes, ties to the greatest name."""
+    n_tracks. The inferred family has most votes, ties to the greatest name. The tracks' genres
+    are read once and stored."""
+    tracks = stored(tracks.select("track_id", "genres"))
     families = _tag_families(tracks, exact, keywords)
     frequency = tracks.select(F.explode("genres").alias("tag")).groupBy("tag").agg(F.count("*").alias("n_tracks"))
     best = genre_cooccurrence(tracks, exact, keywords).groupBy("tag").agg(F.sum("units").alias("total"), F.max(F.struct("units", "family")).alias("top"))
@@ -143,14 +149,22 @@ def choose_artists_balanced(artists: DataFrame, count: int, seed: int, families:
     family order; within a genre largest catalogues first, ties in seeded hash order."""
     order = F.array_position(F.array(*map(F.lit, families)), F.col("dominant_genre"))
     genre = Window.partitionBy("dominant_genre")
-    turn = F.row_number().over(genre.orderBy(F.desc("n_tracks"), stable_hash(seed, "artists", "artist_key"), "artist_key")) - 1
-    turns = artists.withColumn("turn", turn).withColumn("left", F.count("*").over(genre) - F.col("turn"))
+    sizes = artists.groupBy("dominant_genre").agg(F.count("*").alias("size"))
+    # No genre gives more than `count`: Spark keeps that many of each in every task before they meet.
+    place = F.row_number().over(genre.orderBy(F.desc("n_tracks"), stable_hash(seed, "artists", "artist_key"), "artist_key"))
+    turns = artists.withColumn("place", place).where(F.col("place") <= count).join(F.broadcast(sizes), "dominant_genre")
+    turns = turns.withColumn("turn", F.col("place") - 1).withColumn("left", F.col("size") - F.col("turn"))
     return turns.orderBy("turn", F.desc("left"), order).limit(count).select("artist_key", "dominant_genre", "n_tracks", "turn")
 
 
-def select_representative(scored: DataFrame, songs: int, max_per_album: int = 2) -> DataFrame:
+def select_representative(scored: DataFrame, songs: int, max_per_album: int = 2, strict: bool = True) -> DataFrame:
     """The `songs` best tracks of each artist, albums capped unless too few are left; scored:
-    track_id, artist_key, album_id, signature_score, tag_overlap. Artists with fewer go."""
+    track_id, artist_key, album_id, signature_score, tag_overlap. An artist with fewer is an
+    error, or left out unless strict."""
+    if strict:
+        short = scored.groupBy("artist_key").agg(F.count("*").alias("n")).where(F.col("n") < songs).limit(5).collect()
+        if short:
+            raise ValueError(f"artists with fewer than {songs} tracks: {[r['artist_key'] for r in short]}")
     best = [F.desc("signature_score"), F.desc("tag_overlap"), F.col("track_id")]
     nth = F.row_number().over(Window.partitionBy("artist_key", "album_id").orderBy(*best))
     over = F.col("album_id").isNotNull() & (nth > max_per_album)
@@ -163,8 +177,9 @@ def select_representative(scored: DataFrame, songs: int, max_per_album: int = 2)
 def build_selection(tracks: DataFrame, captions: DataFrame, num_artists: int, songs_per_artist: int, seed: int = 42, candidate_multiplier: float = 3.0, min_seconds: float = 5.0, exact=None, keywords=None, **profile) -> DataFrame:
     """The whole curation: families, profiles, eligible artists, a balanced first choice, their
     usable captions, a balanced final choice, and each artist's representative tracks. The
-    catalogue with families, its eligible part and its captioned part are each used several
-    times and written once."""
+    catalogue, itself and with families, its eligible part and its captioned part are each used
+    several times and written once."""
+    tracks = stored(tracks)
     mapped = stored(apply_taxonomy(tracks, infer_taxonomy(tracks, exact, keywords)))
     profiles, dominant = artist_profiles(mapped, **profile), dominant_genre(mapped)
     scored = signature_scores(mapped, profiles).join(mapped.select("track_id", "album_id", "duration", "coarse_genres"), "track_id").join(dominant, "artist_key")
@@ -200,9 +215,43 @@ def selection_stats(values: DataFrame, column: str) -> DataFrame:
     return values.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.max(c).alias("max"))
 
 
+def selection_counts(selected: DataFrame, profiles: DataFrame, dominant: DataFrame) -> DataFrame:
+    """section, name, n of a selection (artist_key, track_id, dominant_genre, captioned_clips):
+    totals, songs and artists by genre, and the artists' signature tags by namespace."""
+    keys = selected.select("artist_key").distinct()
+    totals = selected.agg(F.count_distinct("artist_key").alias("artists"), F.count("*").alias("songs"), F.coalesce(F.sum("captioned_clips"), F.lit(0)).alias("clips"))
+    parts = [totals.unpivot([], ["artists", "songs", "clips"], "name", "n").select(F.lit("total").alias("section"), "name", "n")]
+    for section, rows, name in (
+        ("songs_by_genre", selected, F.col("dominant_genre")),
+        ("artists_by_genre", dominant.join(keys, "artist_key", "left_semi"), F.col("dominant_genre")),
+        ("signature_tags", profiles.join(keys, "artist_key", "left_semi"), F.split_part("tag", F.lit(":"), F.lit(1))),
+    ):
+        parts.append(rows.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "name", "n"))
+    return reduce(DataFrame.union, parts)
+
+
+def profile_map(profiles: DataFrame) -> DataFrame:
+    """artist_key, tags in rank order, weights and supports by tag."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "tag", "weight", "support")))
+    named = lambda c: F.map_from_entries(F.transform("rows", lambda x: F.struct(x.getField("tag"), x.getField(c))))
+    return profiles.groupBy("artist_key").agg(rows.alias("rows")).select("artist_key", F.col("rows.tag").alias("tags"), named("weight").alias("weights"), named("support").alias("supports"))
+
+
+def funnel_counts(funnelled: DataFrame) -> DataFrame:
+    """reason, n of a funnel's rows."""
+    return funnelled.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def unique_assets(manifest: DataFrame, path: str, position: list) -> DataFrame:
-    """Distinct paths with the rows that name them and the position of the first."""
-    return manifest.groupBy(path).agg(F.min(F.struct(*position)).alias("first"), F.count("*").alias("rows"))
+    """Distinct paths with the rows that name them, the position of the first, and a dense index
+    from 0 in the order of first positions (ties by path)."""
+    found = manifest.groupBy(path).agg(F.min(F.struct(*position)).alias("first"), F.count("*").alias("rows"))
+    return dense_index(found, "first", path)
+
+
+def asset_totals(assets: DataFrame) -> DataFrame:
+    """One row of unique_assets: rows, unique, duplicates."""
+    return assets.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("unique"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicates"))
 
 
 def clip_tasks(songs: DataFrame, captions: DataFrame, downloads: DataFrame) -> DataFrame:
@@ -222,3 +271,18 @@ def completeness(expected: DataFrame, clips: DataFrame) -> DataFrame:
     done = clips.groupBy("track_id").agg(F.count_if(F.col("status") == "ok").alias("done"), F.count_if(F.col("status") != "ok").alias("failed"))
     joined = expected.join(done, "track_id", "left").fillna(0, ["done", "failed"])
     return joined.withColumn("removable", (F.col("done") == F.col("expected")) & (F.col("failed") == 0))
+
+
+def failures(results: DataFrame, *columns: str) -> DataFrame:
+    """The failed rows of downloads or clips (status other than ok), with the named columns and
+    the error."""
+    return results.where("status is null or status <> 'ok'").select(*columns, F.coalesce("error", F.lit("unknown")).alias("error"))
+
+
+def completeness_totals(selected: DataFrame, downloads: DataFrame, clips: DataFrame) -> DataFrame:
+    """One row: artists, songs, expected clips of the selection (artist_key, track_id, expected);
+    downloads and clips (status) that succeeded and failed."""
+    ok = F.col("status") == "ok"
+    both = [df.agg(F.count_if(ok).alias(f"successful_{n}"), F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"failed_{n}")) for n, df in (("downloads", downloads), ("clips", clips))]
+    own = selected.agg(F.count_distinct("artist_key").alias("selected_artists"), F.count_distinct("track_id").alias("selected_songs"), F.coalesce(F.sum("expected"), F.lit(0)).alias("expected_clips"))
+    return own.join(F.broadcast(both[0])).join(F.broadcast(both[1]))

@@ -9,10 +9,13 @@ from quillon.functions.text import stable_hash
 
 
 def filter_records(records: DataFrame, artists: list[str] | None, genres: list[str] | None, field: str) -> DataFrame:
+    """Records of the allowed artists and genres (None: all). Nothing left is an error."""
     if artists is not None:
         records = records.where(F.col("artist_key").isin(artists))
     if genres is not None:
         records = records.where(F.arrays_overlap(F.col(field), F.array(*map(F.lit, genres))))
+    if records.isEmpty():
+        raise ValueError("no record passes the allow lists")
     return records
 
 
@@ -87,7 +90,15 @@ def split_by_track(records: DataFrame, val: float, test: float, seed: int) -> Da
         from_val = too_many & ~from_test & (F.col("v") > 0)
         ranked = ranked.select("artist_key", "track_id", "n", F.when(from_val, F.col("v") - 1).otherwise(F.col("v")).alias("v"), F.when(from_test, F.col("t") - 1).otherwise(F.col("t")).alias("t"), "r")
     split = F.when(F.col("r") <= F.col("v"), "val").when(F.col("r") <= F.col("v") + F.col("t"), "test").otherwise("train")
-    return ranked.select("artist_key", "track_id", split.alias("split"))
+    out = ranked.select("artist_key", "track_id", split.alias("split"))
+    if out.where("split = 'train'").isEmpty():
+        raise ValueError("the training split is empty")
+    return out
+
+
+def split_counts(split: DataFrame, label: str = "artist_key") -> DataFrame:
+    """split, n rows, labels: distinct labels of each split."""
+    return split.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
 
 
 def balanced_draws(records: DataFrame, n: int, seed: int) -> DataFrame:

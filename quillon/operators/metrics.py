@@ -56,10 +56,12 @@ def other_accuracy(clips: DataFrame, label: str, ignored: list[int]) -> DataFram
     return clips.where(~F.col(label).isin(ignored)).agg(F.avg((F.col("predicted") == F.col(label)).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def forgetting_gap(reference: DataFrame, forgotten: DataFrame, key: str, logits: str, target: str) -> DataFrame:
-    """Mean loss of the target's probability over paired rows."""
-    pairs = reference.select(key, F.col(target).alias("t"), a.softmax_at(logits, F.col(target)).alias("p")).join(forgotten.select(key, F.col(logits).alias("l")), key)
-    return pairs.agg(F.avg(F.col("p") - a.softmax_at("l", F.col("t"))).alias("gap"), F.count("*").alias("n"))
+def forgetting_gap(reference: DataFrame, forgotten: DataFrame, key: str, scores: str, target: str, probabilities: bool = False) -> DataFrame:
+    """Mean loss of the target's probability over paired rows; scores are logits, or
+    probabilities."""
+    at = (lambda c, t: F.get(c, t)) if probabilities else a.softmax_at
+    pairs = reference.select(key, F.col(target).alias("t"), at(scores, F.col(target)).alias("p")).join(forgotten.select(key, F.col(scores).alias("l")), key)
+    return pairs.agg(F.avg(F.col("p") - at("l", F.col("t"))).alias("gap"), F.count("*").alias("n"))
 
 
 def topk_accuracy(df: DataFrame, logits: str, label: str, k: int = 5) -> DataFrame:
@@ -83,6 +85,19 @@ def token_confidence(tokens: DataFrame, clip: str, loss: str, valid: Column) ->
     return tokens.groupBy(clip).agg(F.coalesce(F.avg(c), F.lit(float("nan"))).alias("confidence"), F.coalesce(F.sum(c), F.lit(0.0)).alias("total"), F.count(c).alias("n"))
 
 
+def valid_tokens(label: str, pad: int | None = None, ignore: int = -100, in_time: str | None = None) -> Column:
+    """Whether a token counts: its label is neither ignored nor padding, and its time is masked in."""
+    ok = F.col(label) != ignore
+    ok = ok if pad is None else ok & (F.col(label) != pad)
+    return F.coalesce(ok if in_time is None else ok & F.col(in_time).cast("boolean"), F.lit(False))
+
+
+def logit_confidence(tokens: DataFrame, clip: str, logits: str, label: str, valid: Column) -> DataFrame:
+    """token_confidence from logits: per clip the mean probability of the labels of valid tokens."""
+    loss = F.when(valid, -F.ln(a.softmax_at(logits, F.col(label))))
+    return token_confidence(tokens.withColumn("_loss", loss), clip, "_loss", valid)
+
+
 def micro_confidence(per_clip: DataFrame) -> DataFrame:
     return per_clip.agg((F.sum("total") / F.greatest(F.sum("n"), F.lit(1))).alias("confidence"), F.sum("n").alias("n"))
 
@@ -133,6 +148,16 @@ def token_losses(tokens: DataFrame, sample: str, codebook: str, loss: str, valid
     return out.withColumn("perplexity", F.least(F.exp("loss"), F.lit(1e12)))
 
 
+def batch_metrics(tokens: DataFrame, batch: str, codebook: str, logits: str, label: str, valid: Column) -> DataFrame:
+    """Per batch: loss (mean over codebooks of the mean valid cross entropy; 0 without a valid
+    token), perplexity (at most 1e12) and the accuracy of the largest logit over valid tokens."""
+    at = F.when(valid, F.col(label))
+    rows = tokens.select(batch, codebook, F.when(valid, -F.ln(a.softmax_at(logits, at))).alias("loss"), F.when(valid, (a.argmax(logits) == at).cast("int")).alias("hit"))
+    books = rows.groupBy(batch, codebook).agg(F.avg("loss").alias("book_loss"), F.sum("hit").alias("hits"), F.count("hit").alias("n"))
+    out = books.groupBy(batch).agg(F.coalesce(F.avg("book_loss"), F.lit(0.0)).alias("loss"), (F.coalesce(F.sum("hits"), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("token_accuracy"))
+    return out.withColumn("perplexity", F.least(F.exp("loss"), F.lit(1e12)))
+
+
 def margin_hinges(log: DataFrame, margin: float, budget: float, eps: float = 1e-8) -> DataFrame:
     """Means of the margin losses over a paired log: pos, neg, def, correct, wrong, ctrl, ref, energy."""
     relu = lambda x: F.avg(F.greatest(x, F.lit(0.0)))
@@ -148,10 +173,22 @@ def margin_hinges(log: DataFrame, margin: float, budget: float, eps: float = 1e-
 
 
 def run_totals(assets: DataFrame, codebooks: int) -> DataFrame:
-    ok = F.col("status") == "ok"
+    """One row over unique assets: status (ok, failed, or null where not processed), length, and
+    rows, the manifest rows that name the asset (1 if there is no such column). A run is complete
+    when every asset was processed."""
+    ok, done = F.coalesce(F.col("status") == "ok", F.lit(False)), F.col("status").isNotNull()
+    rows = F.coalesce(F.sum("rows" if "rows" in assets.columns else F.lit(1)), F.lit(0))
     steps = F.coalesce(F.sum(F.when(ok, F.col("length"))), F.lit(0))
     return assets.agg(
-        F.count("*").alias("processed"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), steps.alias("token_steps"), (steps * codebooks).alias("token_ids"), F.when(F.count_if(~ok) == 0, "complete").otherwise("partial").alias("status")
+        rows.alias("manifest_rows"),
+        F.count("*").alias("unique"),
+        (rows - F.count("*")).alias("duplicates"),
+        F.count_if(done).alias("processed"),
+        F.count_if(ok).alias("ok"),
+        F.count_if(done & ~ok).alias("failed"),
+        steps.alias("token_steps"),
+        (steps * codebooks).alias("token_ids"),
+        F.when(F.count_if(~done) == 0, "complete").otherwise("partial").alias("status"),
     )
 
 
@@ -164,7 +201,7 @@ def centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def similarity_rows(df: DataFrame, key: str, text: str, before: str, after: str, reference: str) -> DataFrame:
     """Text, paired, reference and centroid cosines before and after, with their differences."""
-    joined = df.join(F.broadcast(centroids(df, key, reference)), key)
+    joined = df.join(centroids(df, key, reference), key)
     pairs = {"text": text, "reference": reference, "centroid": "centroid"}
     cols = {"paired": a.cosine(before, after)}
     for name, other in pairs.items():
@@ -178,12 +215,21 @@ def mean_pool(frames: DataFrame, clip: str, vector: str, valid: Column) -> DataF
     return frames.where(valid).select(clip, F.posexplode(vector).alias("i", "x")).groupBy(clip, "i").agg(F.avg("x").alias("x"))
 
 
+#: Entities whose vectors may be broadcast.
+FEW = 2048
+
+
 def pairwise_similarity(entities: DataFrame, key: str, vector: str, centred: bool = False, eps: float = 1e-8) -> DataFrame:
-    """left, right, similarity of all pairs of few entities (the smaller copy is broadcast; see
-    blocked_similarity for many). With centred, the mean over entities is taken off first."""
+    """left, right, similarity of all pairs of at most FEW entities, one copy of which is broadcast;
+    more are compared by blocked_similarity, whose keys are texts. With centred, the mean over
+    entities is taken off first."""
     if centred:
         mean = entities.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).select(F.col("v.m").alias("mean"))
         entities = entities.join(F.broadcast(mean)).select(key, F.zip_with(vector, "mean", lambda x, m: x - m).alias(vector))
+    if entities.limit(FEW + 1).count() > FEW:
+        kind = dict(entities.dtypes)[key]
+        far = blocked_similarity(entities, key, vector, FEW)
+        return far.select(F.col("left").cast(kind).alias("left"), F.col("right").cast(kind).alias("right"), "similarity")
     unit = entities.select(key, F.transform(vector, lambda x: x / F.greatest(a.norm(vector), F.lit(eps))).alias("u"))
     right = unit.select(F.col(key).alias("right"), F.col("u").alias("w"))
     return unit.select(F.col(key).alias("left"), "u").join(F.broadcast(right)).select("left", "right", a.dot("u", "w").alias("similarity"))
@@ -213,15 +259,23 @@ def moving_average(stored: DataFrame, new: DataFrame, momentum: float) -> DataFr
     return both.select("left", "right", F.coalesce(F.col("similarity") * momentum + F.col("s") * (1 - momentum), "s", "similarity").alias("similarity"))
 
 
+def genre_affinity(weights: DataFrame) -> DataFrame:
+    """left, right, similarity: product of the entities' genre weights (entity, genre, weight),
+    joined by genre; entities without a common genre have no row."""
+    right = weights.select("genre", F.col("entity").alias("right"), F.col("weight").alias("w"))
+    return weights.join(right, "genre").groupBy(F.col("entity").alias("left"), "right").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
+
+
 def peer_weights(similarity: DataFrame, temperature: float, mode: str = "similarity", masked: DataFrame | None = None) -> DataFrame:
     """left, right, weight: softmax of similarity / temperature over peers without the entity
-    itself, or uniform; masked peers go and the rest is renormalised, uniform if nothing is left."""
+    itself, in proportion to it (affinity: similarity is genre_affinity of all pairs), or uniform;
+    masked peers go and the rest is renormalised, uniform if nothing is left."""
     peers = similarity.where("left <> right")
-    raw = F.exp(F.col("similarity") / temperature) if mode == "similarity" else F.lit(1.0)
+    raw = {"similarity": F.exp(F.col("similarity") / temperature), "affinity": F.col("similarity"), "uniform": F.lit(1.0)}[mode]
     row = Window.partitionBy("left")
     w = peers.withColumn("w", raw)
     if masked is not None:
-        hidden = F.broadcast(masked.select(F.col("entity").alias("right"), F.lit(True).alias("hidden")))
+        hidden = masked.select(F.col("entity").alias("right"), F.lit(True).alias("hidden"))
         w = w.join(hidden, "right", "left").withColumn("w", F.when(F.col("hidden"), 0.0).otherwise(F.col("w")))
     total = F.sum("w").over(row)
     return w.select("left", "right", F.when(total > 0, F.col("w") / total).otherwise(1.0 / F.count("*").over(row)).alias("weight"))

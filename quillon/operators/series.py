@@ -37,6 +37,17 @@ def dominant_period(dense: DataFrame, key: str, slot: str, low: int, high: int)
     return dense.select(key).distinct().join(best.select(key, F.when(F.col("n") >= 3, -F.col("b.l")).alias("period")), key, "left").fillna(0, ["period"])
 
 
+def period_rate(periods: DataFrame, key: str, slots_per_minute: float) -> DataFrame:
+    """key, rate: repetitions a minute of each period; 0 without one."""
+    return periods.select(key, F.when(F.col("period") > 0, slots_per_minute / F.col("period")).otherwise(0.0).alias("rate"))
+
+
+def rate_error(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: the mean absolute difference of paired rates, and the number of pairs."""
+    j = left.join(right.select(key, F.col("rate").alias("other")), key)
+    return j.agg(F.avg(F.abs(F.col("rate") - F.col("other"))).alias("error"), F.count("*").alias("n"))
+
+
 def profile(series: DataFrame, key: str, frame: str, bin_: str, value: str, bins: int = 12) -> DataFrame:
     """key, bin, weight: per-frame L2-normalised bins averaged over frames."""
     sums = series.groupBy(key, frame, F.pmod(F.col(bin_), F.lit(bins)).alias("bin")).agg(F.sum(value).alias("v"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .dataset import dense_index
 from .metrics import finite
 from .ranking import holm_adjust
 
@@ -79,31 +83,103 @@ def mean_differences(differences: DataFrame) -> DataFrame:
     return differences.groupBy("metric", "p", "q").agg(F.avg("d").alias("mean_difference"), F.count("*").alias("n"))
 
 
+#: Artists of one array of differences, and resamples of one task's block.
+CHUNK, BLOCK = 1024, 64
+KEYS = ["metric", "p", "q"]
+
+
+def _chunked(differences: DataFrame) -> DataFrame:
+    """metric, p, q, n, chunk, d: the differences in the order of the artists, in arrays of at most
+    CHUNK. Artists are numbered by range partitions."""
+    artists = dense_index(differences.select("metric", "artist_key").distinct(), "metric", "artist_key", name="at")
+    first = artists.groupBy("metric").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    at = artists.join(first, "metric").select("metric", "artist_key", "n", (F.col("at") - F.col("first")).alias("at"))
+    placed = differences.join(at, ["metric", "artist_key"]).withColumn("chunk", F.floor(F.col("at") / CHUNK).cast("int"))
+    rows = placed.groupBy(*KEYS, "n", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "d"))).alias("a"))
+    return rows.select(*KEYS, F.col("n").cast("int").alias("n"), "chunk", F.col("a.d").alias("d"))
+
+
+def _digits(seed: int, r: int, first: int, count: int, width: int) -> np.ndarray:
+    """Numbers first, first + 1, ... of resample r: hexadecimal digits, width at a time, of the
+    md5 of seed:r:k, where the k-th digest gives 32 / width of them."""
+    per = 32 // width
+    blocks = range(first // per, (first + count - 1) // per + 1)
+    raw = b"".join(hashlib.md5(f"{seed}:{r}:{k}".encode()).digest() for k in blocks)
+    out = np.frombuffer(raw, dtype=">u4") if width == 8 else np.stack([(x := np.frombuffer(raw, dtype=np.uint8)) >> 4, x & 15], axis=1).ravel()
+    return out[first % per :][:count].astype(np.int64)
+
+
+def _signs(seed: int, exact: bool):
+    """Sums of signed differences of one block of resamples and one chunk of artists, for all
+    metrics and pairs at once: their signs are the same."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        block, chunk, n, runs = (int(rows[c].iat[0]) for c in ("block", "chunk", "n", "runs"))
+        d = np.stack(rows["d"].to_numpy()).astype(np.float64)
+        r = np.arange(block * BLOCK, min((block + 1) * BLOCK, runs))
+        up = (r[:, None] >> np.arange(d.shape[1])) & 1 > 0 if exact else np.stack([_digits(seed, int(x), chunk * CHUNK, d.shape[1], 1) >= 8 for x in r])
+        sums = d @ np.where(up, 1.0, -1.0).T
+        out = rows[[*KEYS, "n"]].loc[rows.index.repeat(len(r))]
+        return out.assign(r=np.tile(r, len(rows)), s=sums.ravel())
+
+    return run
+
+
 def permutation_p(differences: DataFrame, resamples: int = 10_000, exact_max: int = 16, seed: int = 0) -> DataFrame:
     """metric, p, q, p_value: two-sided sign flips of the mean. Up to exact_max artists all sign
-    vectors, else `resamples` vectors from md5 bits and the add-one rule. The differences of one
-    pair are one array; resample ids are exploded and dealt out."""
-    pairs = differences.groupBy("metric", "p", "q").agg(F.array_sort(F.collect_list(F.struct("artist_key", "d"))).alias("a")).select("metric", "p", "q", F.col("a.d").alias("d"), F.size("a").alias("n"))
-    exact = F.col("n") <= exact_max
-    runs = F.when(exact, F.pow(F.lit(2), F.col("n")).cast("int")).otherwise(F.lit(resamples))
-    dealt = pairs.withColumn("r", F.explode(F.sequence(F.lit(0), runs - 1)))
-    bit = lambda i: F.when(F.col("n") <= exact_max, F.col("r").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0).otherwise(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), i.cast("string"))), 1, 1) >= "8")
-    signed = F.zip_with("d", F.sequence(F.lit(0), F.col("n") - 1), lambda x, i: F.when(bit(i), x).otherwise(-x))
-    null = F.abs(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    seen = F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    hit = (null >= seen - 2.220446049250313e-16 * F.greatest(F.lit(1.0), seen) * 16).cast("long")
-    counted = dealt.select("metric", "p", "q", "n", hit.alias("hit")).groupBy("metric", "p", "q", "n").agg(F.sum("hit").alias("k"), F.count("*").alias("m"))
-    return counted.select("metric", "p", "q", F.when(exact, F.col("k") / F.col("m")).otherwise((F.col("k") + 1) / (F.col("m") + 1)).alias("p_value"))
+    vectors, else `resamples` vectors from the digits of md5 digests and the add-one rule. Blocks
+    of resamples are dealt out, each with chunks of the differences."""
+    chunks = _chunked(differences)
+    size = f"{', '.join(f'{k} {dict(differences.dtypes)[k]}' for k in KEYS)}, n int, r long, s double"
+    found = []
+    for exact, mine in ((True, F.col("n") <= exact_max), (False, F.col("n") > exact_max)):
+        runs = F.pow(F.lit(2), F.col("n")).cast("int") if exact else F.lit(resamples)
+        dealt = chunks.where(mine).withColumn("runs", runs).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("runs") - 1) / BLOCK).cast("int"))))
+        found.append(dealt.groupBy("n", "block", "chunk").applyInPandas(_signs(seed, exact), size))
+    sums = found[0].union(found[1]).groupBy(*KEYS, "n", "r").agg(F.sum("s").alias("s"))
+    seen = mean_differences(differences).select(*KEYS, F.abs("mean_difference").alias("seen"))
+    null = F.abs(F.col("s") / F.col("n"))
+    hit = (null >= F.col("seen") - 2.220446049250313e-16 * F.greatest(F.lit(1.0), F.col("seen")) * 16).cast("long")
+    counted = sums.join(seen, KEYS).groupBy(*KEYS, "n").agg(F.sum(hit).alias("k"), F.count("*").alias("m"))
+    return counted.select(*KEYS, F.when(F.col("n") <= exact_max, F.col("k") / F.col("m")).otherwise((F.col("k") + 1) / (F.col("m") + 1)).alias("p_value"))
+
+
+def _drawn(seed: int):
+    """How often each resample of a block draws each artist, chunk by chunk."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, block, runs in (x for f in frames for x in zip(f["n"], f["block"], f["runs"], strict=True)):
+            r = range(block * BLOCK, min((block + 1) * BLOCK, runs))
+            counts = np.stack([np.bincount(_digits(seed, x, 0, n, 8) % n, minlength=n) for x in r]).astype(np.int32)
+            at = range(0, n, CHUNK)
+            yield pd.DataFrame({"n": n, "block": block, "chunk": [a // CHUNK for a in at], "times": [counts[:, a : a + CHUNK].tobytes() for a in at]})
+
+    return run
+
+
+def _resampled(key: tuple, rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the drawn differences of one chunk for one block of resamples."""
+    if not len(rows) or not len(drawn):
+        return pd.DataFrame({"metric": [], "p": [], "q": [], "n": [], "r": [], "s": []})
+    d = np.stack(rows["d"].to_numpy()).astype(np.float64)
+    times = np.frombuffer(drawn["times"].iat[0], dtype=np.int32).reshape(-1, d.shape[1])
+    r = int(key[1]) * BLOCK + np.arange(len(times))
+    return rows[[*KEYS, "n"]].loc[rows.index.repeat(len(r))].assign(r=np.tile(r, len(rows)), s=(d @ times.T).ravel())
 
 
 def bootstrap_ci(differences: DataFrame, resamples: int = 2_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """metric, p, q, low, high: percentile interval of the mean over md5-drawn resamples."""
-    pairs = differences.groupBy("metric", "p", "q").agg(F.array_sort(F.collect_list(F.struct("artist_key", "d"))).alias("a")).select("metric", "p", "q", F.col("a.d").alias("d"), F.size("a").alias("n"))
-    dealt = pairs.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    pick = lambda i: F.get("d", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("n") - 1), pick), F.lit(0.0), lambda s, x: s + x) / F.col("n")
+    """metric, p, q, low, high: percentile interval of the mean over resamples drawn by md5
+    digests; the draws of a resample are the same for all metrics and pairs of as many artists."""
+    chunks = _chunked(differences)
+    block = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // BLOCK)))
+    plan = chunks.select("n").distinct().withColumn("block", block).withColumn("runs", F.lit(resamples)).repartition("n", "block")
+    drawn = plan.mapInPandas(_drawn(seed), "n int, block int, chunk int, times binary")
+    keys = ["n", "block", "chunk"]
+    size = f"{', '.join(f'{k} {dict(differences.dtypes)[k]}' for k in KEYS)}, n int, r long, s double"
+    sums = chunks.withColumn("block", block).groupBy(*keys).cogroup(drawn.groupBy(*keys)).applyInPandas(_resampled, size)
+    means = sums.groupBy(*KEYS, "n", "r").agg((F.sum("s") / F.col("n")).alias("m"))
     tail = (1 - confidence) / 2
-    return dealt.select("metric", "p", "q", mean.alias("m")).groupBy("metric", "p", "q").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return means.groupBy(*KEYS).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:

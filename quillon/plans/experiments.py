@@ -35,11 +35,20 @@ def balanced_cohort(records: DataFrame, num_artists: int, clips: int, seed: int)
     return kept.withColumn("artist_clip_index", rank).where(F.col("artist_clip_index") < clips)
 
 
-def _others(target: Column, count: Column, concepts: int, seed: int, namespace: str, row: Column) -> Column:
-    """`count` distinct ids other than target: the first of the vocabulary in hash order."""
-    pool = F.filter(F.sequence(F.lit(0), F.lit(concepts - 1)), lambda i: i != target)
-    keyed = F.array_sort(F.transform(pool, lambda i: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(namespace), row.cast("string"), i.cast("string")), 256).alias("h"), i.alias("i"))))
-    return F.transform(F.slice(keyed, F.lit(1), count), lambda s: s.getField("i"))
+#: Draws for each id that is wanted. Should they hold too few different ones, the ids that follow
+#: the target fill up.
+TRIES = 12
+
+
+def _others(target: Column, count: Column, concepts: int, seed: int, namespace: str, row: Column, most: int = 5) -> Column:
+    """`count` (at most `most`) distinct ids other than target: hashed numbers below concepts - 1,
+    from the target's successor on, the first of each kept. The work does not grow with the
+    vocabulary."""
+    digest = lambda k: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(namespace), row.cast("string"), F.lit(str(k))), 256)
+    draws = [F.conv(F.substring(digest(k), 1 + 8 * i, 8), 16, 10).cast("long") % (concepts - 1) for k in range(-(-most * TRIES // 8)) for i in range(8)]
+    rest = [F.lit(i).cast("long") for i in range(min(most, concepts - 1))]
+    offsets = F.array_distinct(F.array(*draws, *rest))
+    return F.transform(F.slice(offsets, F.lit(1), count), lambda o: ((target + 1 + o) % concepts).cast("int"))
 
 
 def control_scenarios(rows: DataFrame, concepts: int, seed: int, least: int = 2, most: int = 5) -> DataFrame:
@@ -54,9 +63,9 @@ def control_scenarios(rows: DataFrame, concepts: int, seed: int, least: int = 2,
         F.array().cast("array<int>"),
         one,
         one,
-        F.concat(one, _others(t, size("multi_target", concepts) - 1, concepts, seed, "multi_target", row)),
+        F.concat(one, _others(t, size("multi_target", concepts) - 1, concepts, seed, "multi_target", row, most)),
         _others(t, F.lit(1), concepts, seed, "single_other", row),
-        _others(t, size("multi_other", concepts - 1), concepts, seed, "multi_other", row),
+        _others(t, size("multi_other", concepts - 1), concepts, seed, "multi_other", row, most),
     ]
     plan = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(name).alias("scenario"), F.lit(sign).alias("direction"), F.array_sort(ids.cast("array<int>")).alias("ids")) for i, ((name, sign), ids) in enumerate(zip(SCENARIOS, sets, strict=True))))
     out = rows.select("row_id", "target", F.explode(plan).alias("s")).select("row_id", "target", "s.*")
@@ -69,7 +78,9 @@ def scenario_manifest(clips: DataFrame, plan: DataFrame, artists: DataFrame) ->
     keyed = plan.select("row_id", "scenario", F.posexplode_outer("ids").alias("k", "id")).join(artists, "id", "left")
     keys = keyed.groupBy("row_id", "scenario").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "artist_key"))), lambda s: s.getField("artist_key")).alias("keys"))
     joined = clips.join(plan, "row_id").join(keys, ["row_id", "scenario"])
-    return joined.withColumn("audio_path", F.concat_ws("/", F.lit("audio"), "scenario", F.concat("sample_id", F.lit(".wav"))))
+    path = lambda part: F.concat_ws("/", F.lit("audio"), part, F.concat("sample_id", F.lit(".wav")))
+    label = F.initcap(F.replace("scenario", F.lit("_"), F.lit(" ")))
+    return joined.withColumns({"scenario_label": label, "index_array": F.concat("scenario", F.lit("_artist_indices")), "audio_path": path("scenario"), "reference_path": path(F.lit("reference"))})
 
 
 def generation_jobs(records: DataFrame, groups: int, seed: int) -> DataFrame:
@@ -95,6 +106,16 @@ def pending(jobs: DataFrame, done: DataFrame, required: list[str], group: str =
     return jobs.join(complete.select(group), group, "left_anti")
 
 
+def completed(manifest: DataFrame, done: DataFrame, required: list[str], group: str = "group_id") -> DataFrame:
+    """The manifest rewritten: its rows of complete groups only (see pending)."""
+    return manifest.join(pending(manifest.select(group).distinct(), done, required, group), group, "left_anti")
+
+
+def joint_totals(sets: DataFrame) -> DataFrame:
+    """One row of scheduled_sets: rows, joint_rate, mean sizes of both sets."""
+    return sets.agg(F.count("*").alias("rows"), F.avg(F.col("joint").cast("int")).alias("joint_rate"), F.avg(F.size("suppress")).alias("mean_suppress"), F.avg(F.size("preserve")).alias("mean_preserve"))
+
+
 def scheduled_sets(rows: DataFrame, concepts: int, epoch: int, batch: int, seed: int, p: float = 0.5) -> DataFrame:
     """row_id, target, joint, suppress (holds the target), preserve (does not): a row is joint with
     probability p, then of 2 to 5 ids."""
@@ -179,7 +200,7 @@ def remap_labels(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     unknown = rows.join(vocabulary, "artist_key", "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"keys outside the vocabulary: {[r['artist_key'] for r in unknown]}")
-    return rows.withColumnRenamed("artist_index", "control_artist_index").join(F.broadcast(vocabulary.select("artist_key", F.col("index").alias("artist_index"))), "artist_key")
+    return rows.withColumnRenamed("artist_index", "control_artist_index").join(vocabulary.select("artist_key", F.col("index").alias("artist_index")), "artist_key")
 
 
 def missing_types(rows: DataFrame, requested: list[str], column: str = "sample_type") -> DataFrame:
@@ -199,10 +220,27 @@ def cache_valid(cached: DataFrame, current: DataFrame, key: str, parts: list[str
     return current.alias("cur").join(cached.alias("old"), key, "left").select(key, ok.alias("valid"))
 
 
+def require_valid(checked: DataFrame, cached: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
+    """Keys (of cache_valid) that are to be computed: those without a cached row, and with
+    overwrite those with an invalid one, which is an error otherwise."""
+    stale = checked.where("not coalesce(valid, false)")
+    if overwrite:
+        return stale.select(key)
+    bad = stale.join(cached, key, "left_semi").limit(5).collect()
+    if bad:
+        raise ValueError(f"cached rows of other or no provenance: {[r[key] for r in bad]}")
+    return stale.select(key)
+
+
+def action_counts(actions: DataFrame) -> DataFrame:
+    return actions.groupBy("action").agg(F.count("*").alias("n"))
+
+
 def reuse_or_recompute(items: DataFrame, cache: DataFrame) -> DataFrame:
     """sample_id, action: reused if the (variant, sha) rows of an item equal those cached and every
     variant has a value. items: sample_id, variant, sha; cache: the same and value."""
     prints = lambda df: df.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("variant", "sha"))).alias("prints"), F.bool_and(F.col("value").isNotNull()).alias("full"))
+    # Values of variants that the item no longer has, or lacks, make other key sets.
     old = prints(cache).select("sample_id", F.col("prints").alias("old"), F.col("full").alias("old_full"))
     new = prints(items.withColumn("value", F.lit(0)))
     same = (F.col("prints") == F.col("old")) & F.col("old_full")

@@ -59,7 +59,7 @@ def c1(spark, d):
     cat = li.select(
         F.when(q != 7, F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("id"),
         F.when(q != 8, F.col("l_suppkey")).alias("artist"),
-        (~((F.col("l_returnflag") == "N") & (q > 45))).alias("ok"),
+        F.when((F.col("l_returnflag") == "N") & (q > 45), False).when(q > 10, True).alias("ok"),
         F.when(q == 9, F.array().cast("array<string>")).otherwise(F.array("l_returnflag")).alias("genres"),
         "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice",
     )
@@ -85,10 +85,16 @@ def c4(spark, d):
     return c.usable_captions(c.dedup_captions(captions(spark, d)), tracks(spark, d), 5.0, 2)
 
 
-@query("c5_unique_assets", "SELECT sha256(text) AS asset, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1")
+@query("c5_unique_assets", "SELECT sha256(text) AS asset, min(doc_id) AS first, count(*) AS n, row_number() OVER (ORDER BY min(doc_id), sha256(text)) - 1 AS index FROM documents GROUP BY 1")
 def c5(spark, d):
     docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("asset"), "doc_id")
-    return c.unique_assets(docs, "asset", ["doc_id"]).select("asset", F.col("first.doc_id").alias("first"), F.col("rows").alias("n"))
+    return c.unique_assets(docs, "asset", ["doc_id"]).select("asset", F.col("first.doc_id").alias("first"), F.col("rows").alias("n"), "index")
+
+
+@query("c5_asset_totals", "SELECT count(*) AS rows, count(DISTINCT text) AS unique, count(*) - count(DISTINCT text) AS duplicates FROM documents")
+def c5t(spark, d):
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("asset"), "doc_id")
+    return c.asset_totals(c.unique_assets(docs, "asset", ["doc_id"]))
 
 
 @query("c6_filter_records", f"WITH {V_TRACK} SELECT track_id, artist_key FROM v_track WHERE artist_key IN ('id:1', 'id:3', 'id:5') AND list_has_any(genres, ['red', 'gear'])")
@@ -98,9 +104,9 @@ def c6(spark, d):
     return filter_records(tracks(spark, d), ["id:1", "id:3", "id:5"], ["red", "gear"], "genres").select("track_id", "artist_key")
 
 
-@query("d1_captions_for_candidates", "WITH " + V_CAPTION + " SELECT track_id, count(*) AS n FROM v_caption WHERE track_id IN (SELECT s_suppkey || '-' || p_partkey FROM supplier, part WHERE s_suppkey < 5 AND p_partkey % 3 = 0) GROUP BY 1")
+@query("d1_captions_for_candidates", "WITH " + V_CAPTION + " SELECT track_id, count(*) AS n FROM v_caption WHERE track_id IN (SELECT l_suppkey || '-' || p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 20) GROUP BY 1")
 def d1(spark, d):
-    wanted = tracks(spark, d).where(F.col("artist_key").isin([f"id:{i}" for i in range(5)]) & (F.split_part("track_id", F.lit("-"), F.lit(2)).cast("long") % 3 == 0))
+    wanted = tracks(spark, d).where("duration >= 20")
     return captions(spark, d).join(wanted.select("track_id"), "track_id", "left_semi").groupBy("track_id").agg(F.count("*").alias("n"))
 
 
@@ -166,6 +172,38 @@ def e9(spark, d):
     return c.selection_stats(table(spark, d, "orders"), "o_totalprice").withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 6))
 
 
+@query("e9_selection_counts", f"""{BASE}, {MAPPED}, {DOMINANT}, {PROFILE.format(src='v_track', glob=50)}, sel AS (SELECT artist_key, track_id, dominant_genre FROM mapped JOIN dominant USING (artist_key) WHERE duration >= 25)
+SELECT 'total' AS section, 'artists' AS name, count(DISTINCT artist_key) AS n FROM sel UNION ALL SELECT 'total', 'songs', count(*) FROM sel UNION ALL SELECT 'total', 'clips', 2 * count(*) FROM sel
+UNION ALL SELECT 'songs_by_genre', dominant_genre, count(*) FROM sel GROUP BY 2 UNION ALL SELECT 'artists_by_genre', dominant_genre, count(*) FROM dominant WHERE artist_key IN (SELECT artist_key FROM sel) GROUP BY 2
+UNION ALL SELECT 'signature_tags', split_part(tag, ':', 1), count(*) FROM profile WHERE artist_key IN (SELECT artist_key FROM sel) GROUP BY 2""")
+def e9c(spark, d):
+    m = mapped(spark, d)
+    dom = c.dominant_genre(m)
+    sel = m.where("duration >= 25").join(dom, "artist_key").withColumn("captioned_clips", F.lit(2))
+    return c.selection_counts(sel, c.artist_profiles(tracks(spark, d)), dom)
+
+
+@query("e9_profile_map", f"WITH {V_TRACK}, {PROFILE.format(src='v_track', glob=50)} SELECT artist_key, string_agg(tag, '|' ORDER BY rank) AS tags, string_agg(round(weight * 1000)::INT::VARCHAR, '|' ORDER BY rank) AS weights, string_agg(round(support * 1000)::INT::VARCHAR, '|' ORDER BY rank) AS supports FROM profile GROUP BY 1")
+def e9p(spark, d):
+    m = c.profile_map(c.artist_profiles(tracks(spark, d)))
+    text = lambda n: F.array_join(F.transform("tags", lambda x: F.round(F.element_at(n, x) * 1000).cast("int").cast("string")), "|").alias(n)
+    return m.select("artist_key", F.array_join("tags", "|").alias("tags"), text("weights"), text("supports"))
+
+
+@query("e13_failures", "SELECT l_orderkey AS track_id, l_linenumber, CASE WHEN l_quantity > 10 THEN 'q' || l_quantity::BIGINT ELSE 'unknown' END AS error FROM lineitem WHERE l_linestatus <> 'F'")
+def e13f(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track_id"), "l_linenumber", F.when(F.col("l_linestatus") == "F", "ok").otherwise("bad").alias("status"), F.when(F.col("l_quantity") > 10, F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string"))).alias("error"))
+    return c.failures(li, "track_id", "l_linenumber")
+
+
+@query("e13_run_totals", "SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS selected_artists, (SELECT count(*) FROM orders) AS selected_songs, (SELECT sum(o_orderkey % 4)::BIGINT FROM orders) AS expected_clips, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS successful_downloads, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS failed_downloads, count(*) FILTER (WHERE l_linestatus = 'F') AS successful_clips, count(*) FILTER (WHERE l_linestatus <> 'F') AS failed_clips FROM lineitem")
+def e13t(spark, d):
+    o = table(spark, d, "orders")
+    selected = o.select(F.col("o_custkey").alias("artist_key"), F.col("o_orderkey").alias("track_id"), (F.col("o_orderkey") % 4).alias("expected"))
+    status = lambda df, col: df.select(F.when(F.col(col) == "F", "ok").otherwise("bad").alias("status"))
+    return c.completeness_totals(selected, status(o, "o_orderstatus"), status(table(spark, d, "lineitem"), "l_linestatus"))
+
+
 @query("e13_completeness", """
 SELECT o_orderkey AS track_id, expected, count(*) FILTER (WHERE l_linestatus = 'F') AS done, count(*) FILTER (WHERE l_linestatus <> 'F') AS failed, count(*) FILTER (WHERE l_linestatus = 'F') = expected AND count(*) FILTER (WHERE l_linestatus <> 'F') = 0 AS removable
 FROM (SELECT o_orderkey, o_orderkey % 4 AS expected FROM orders) LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""")
@@ -192,7 +230,7 @@ REPRESENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_key
 def f2(spark, d):
     t = tracks(spark, d)
     scored = c.signature_scores(t, c.artist_profiles(t)).join(t.select("track_id", "album_id"), "track_id")
-    return c.select_representative(scored, 12).select("artist_key", "track_id", F.col("rank").cast("long").alias("rank"))
+    return c.select_representative(scored, 12, strict=False).select("artist_key", "track_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("f3_build_selection", f"""{BASE}, {MAPPED}, {DOMINANT}, {PROFILE.format(src='mapped', glob=50)}, {SCORE.format(src='mapped')}, {V_CAPTION},

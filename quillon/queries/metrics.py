@@ -159,9 +159,47 @@ def e31(spark, d):
     return r.best_k_models(table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("score")), "score", 12)
 
 
-@query("e32_run_totals", "SELECT count(*) AS processed, count(*) FILTER (WHERE l_linestatus = 'F') AS ok, count(*) FILTER (WHERE l_linestatus <> 'F') AS failed, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS token_steps, 4 * sum(CASE WHEN l_linestatus = 'F' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS token_ids, 'partial' AS status FROM lineitem")
+@query("e32_run_totals", "SELECT (count(*) + sum(l_linenumber))::BIGINT AS manifest_rows, count(*) AS \"unique\", sum(l_linenumber)::BIGINT AS duplicates, count(*) FILTER (WHERE l_returnflag <> 'R') AS processed, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS ok, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'F') AS failed, sum(CASE WHEN l_returnflag <> 'R' AND l_linestatus = 'F' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS token_steps, 4 * sum(CASE WHEN l_returnflag <> 'R' AND l_linestatus = 'F' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS token_ids, CASE WHEN bool_or(l_returnflag = 'R') THEN 'partial' ELSE 'complete' END AS status FROM lineitem")
 def e32(spark, d):
-    return m.run_totals(table(spark, d, "lineitem").select(F.when(F.col("l_linestatus") == "F", "ok").otherwise("error").alias("status"), F.col("l_quantity").cast("long").alias("length")), 4)
+    status = F.when(F.col("l_returnflag") == "R", None).when(F.col("l_linestatus") == "F", "ok").otherwise("error")
+    return m.run_totals(table(spark, d, "lineitem").select(status.alias("status"), F.col("l_quantity").cast("long").alias("length"), (F.col("l_linenumber") + 1).cast("long").alias("rows")), 4)
+
+
+@query("e32_split_counts", f"""WITH {V_TRACK}, n AS (SELECT artist_key, track_id, count(*) OVER (PARTITION BY artist_key) AS n, row_number() OVER (PARTITION BY artist_key ORDER BY sha256('3:split:' || artist_key || ':' || track_id), track_id) AS r FROM v_track), z AS (SELECT *, greatest(round_even(n * 0.05, 0), CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS v FROM n)
+SELECT CASE WHEN r <= v THEN 'val' WHEN r <= 2 * v THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT artist_key) AS labels FROM z GROUP BY 1""")
+def e32s(spark, d):
+    return ds.split_counts(ds.split_by_track(tracks(spark, d), 0.05, 0.05, 3))
+
+
+TOKENS = f"tk AS (SELECT vec_id % 20 AS clip, vec_id % 4 AS codebook, vec_id, CASE WHEN vec_id % 11 = 0 THEN -100 ELSE label END AS y, label, vec_id % 13 <> 0 AS t, l FROM e), tv AS (SELECT *, y <> -100 AND y <> 3 AND t AS ok, ln({P}) AS lp, list_position(l, list_max(l)) - 1 = label AS hit FROM tk)"
+
+
+def tokens(spark, d):
+    v, k = vectors(spark, d), F.col("vec_id")
+    return v.select((k % 20).alias("clip"), (k % 4).alias("codebook"), F.when(k % 11 == 0, -100).otherwise(F.col("label")).alias("y"), (k % 13 != 0).alias("t"), "l")
+
+
+@query("e25_logit_confidence", f"WITH {E}, {TOKENS} SELECT clip, round(avg(exp(lp)) FILTER (WHERE ok), 6) AS confidence, count(*) FILTER (WHERE ok) AS n FROM tv GROUP BY 1")
+def e25l(spark, d):
+    return m.logit_confidence(tokens(spark, d), "clip", "l", "y", m.valid_tokens("y", 3, in_time="t")).select("clip", *r6("confidence"), "n")
+
+
+@query("e29_batch_metrics", f"WITH {E}, {TOKENS} SELECT clip, round(avg(b), 6) AS loss, round(sum(h) / sum(n), 6) AS token_accuracy, round(least(exp(avg(b)), 1e12), 5) AS perplexity FROM (SELECT clip, codebook, avg(-lp) AS b, sum(hit::INT) AS h, count(*) AS n FROM tv WHERE ok GROUP BY 1, 2) GROUP BY 1")
+def e29b(spark, d):
+    b = m.batch_metrics(tokens(spark, d), "clip", "codebook", "l", "y", m.valid_tokens("y", 3, in_time="t"))
+    return b.select("clip", *r6("loss", "token_accuracy"), F.round("perplexity", 5).alias("perplexity"))
+
+
+@query("e20_probability_gap", f"WITH {E} SELECT round(avg(abs(l[label + 1]) - abs(g[label + 1])), 6) AS gap, count(*) AS n FROM e")
+def e20p(spark, d):
+    v = vectors(spark, d)
+    size = lambda c: F.transform(c, lambda x: F.abs(x))
+    return m.forgetting_gap(v.withColumn("l", size("l")), v.select("vec_id", size("g").alias("l")), "vec_id", "l", "label", probabilities=True).withColumn("gap", F.round("gap", 6))
+
+
+@query("e27_axis_range", f"WITH {V_METRIC}, x AS (SELECT min(value / 1000) AS lo, max(value / 1000) AS hi FROM v_metric) SELECT round(greatest(0, (lo + hi) / 2 - greatest(hi - lo, 0.02) * 0.62), 6) AS low, round(least(1, (lo + hi) / 2 + greatest(hi - lo, 0.02) * 0.62), 6) AS high FROM x")
+def e27a(spark, d):
+    return m.axis_range(metrics(spark, d).withColumn("x", F.col("value") / 1000), "x").select(*r6("low", "high"))
 
 
 DELTA = "x AS (SELECT artist_key, avg(value) FILTER (WHERE scenario = 'purchase') AS v, avg(value) FILTER (WHERE scenario = 'view') AS b FROM v_metric GROUP BY 1)"
@@ -184,12 +222,20 @@ def f5(spark, d):
     return ranked.select("artist_key", *r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("f6_candidate_clips", f"WITH {V_METRIC}, s AS (SELECT sample_id, row_number() OVER (ORDER BY value DESC, sample_id) AS rank FROM v_metric WHERE artist_key = 3 AND sample_id % 2 = 0) SELECT sample_id, rank AS secondary_rank FROM v_metric LEFT JOIN s USING (sample_id) WHERE artist_key = 3")
+@query("f5_filtered_candidates", f"WITH {V_METRIC}, {DELTA} SELECT artist_key, round(v - b, 6) AS score, row_number() OVER (ORDER BY round(v - b, 9), artist_key) AS rank FROM x WHERE v - b IS NOT NULL AND artist_key IN (SELECT artist_key FROM v_metric WHERE contains(scenario || '-' || (sample_id % 97), 'ase-13')) QUALIFY rank <= 20")
+def f5c(spark, d):
+    v = metrics(spark, d)
+    clips = v.select("artist_key", F.concat_ws("-", F.upper("scenario"), (F.col("sample_id") % 97).cast("string")).alias("text"))
+    ranked = r.rank_candidates(r.delta_vs_baseline(v, "purchase", "view"), "delta", 20, largest_first=False, clips=clips, caption=" ase-13 ")
+    return ranked.select("artist_key", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("f6_candidate_clips", f"WITH {V_METRIC}, s AS (SELECT sample_id, row_number() OVER (PARTITION BY artist_key ORDER BY value DESC, sample_id) AS rank FROM v_metric WHERE scenario <> 'view') SELECT sample_id, rank AS secondary_rank FROM v_metric LEFT JOIN s USING (sample_id)")
 def f6(spark, d):
     from pyspark.sql import Window
 
-    clips = metrics(spark, d).where("artist_key = 3")
-    second = clips.where("sample_id % 2 = 0").select("sample_id", F.row_number().over(Window.partitionBy("artist_key").orderBy(F.desc("value"), "sample_id")).cast("long").alias("rank"), F.lit("x").alias("evidence"))
+    clips = metrics(spark, d)
+    second = clips.where("scenario <> 'view'").select("sample_id", F.row_number().over(Window.partitionBy("artist_key").orderBy(F.desc("value"), "sample_id")).cast("long").alias("rank"), F.lit("x").alias("evidence"))
     return r.candidate_clips(clips, second).select("sample_id", "secondary_rank")
 
 
@@ -211,15 +257,18 @@ def f10(spark, d):
     return h.select("scenario", "artist_key", F.when(~F.isnan("p_holm"), F.round("p_holm", 6)).alias("p_holm"))
 
 
-@query("f11_display_order", """WITH items AS (SELECT p_partkey::VARCHAR AS id, p_partkey AS index, p_partkey AS pos FROM part),
-c AS (SELECT o_orderkey AS entry, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey * 7 % 60)::VARCHAR END AS id, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey * 3 % 60 END AS index, o_orderkey % 5 <> 0 AS shown FROM orders WHERE o_orderkey < 40),
-m AS (SELECT i.pos, arg_min(c.shown, c.entry) AS shown, min(c.entry) AS entry FROM items i JOIN c ON i.id = c.id OR (c.id IS NULL AND i.index = c.index) GROUP BY 1)
-SELECT pos, entry, coalesce(shown, true) AS visible FROM items LEFT JOIN m USING (pos)""")
+@query("f11_display_order", """WITH items AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'single' ELSE 'multiple' END AS grp, p_partkey::VARCHAR AS id, p_partkey AS index, p_partkey AS pos FROM part),
+c AS (SELECT CASE WHEN o_orderkey % 4 < 2 THEN 'single' ELSE 'multiple' END AS grp, o_orderkey AS entry, CASE WHEN o_orderkey % 3 = 0 THEN 'gone' || o_orderkey WHEN o_orderkey % 3 = 1 THEN o_custkey::VARCHAR END AS id, o_custkey * 2 % 1000 AS index, o_orderkey % 5 <> 0 AS shown FROM orders),
+a AS (SELECT c.*, i.pos FROM c LEFT JOIN items i ON i.grp = c.grp AND i.id = c.id),
+b AS (SELECT grp, entry, shown, pos FROM a WHERE pos IS NOT NULL UNION ALL SELECT a.grp, a.entry, a.shown, i.pos FROM a JOIN items i ON i.grp = a.grp AND i.index = a.index WHERE a.pos IS NULL),
+m AS (SELECT grp, pos, arg_min(shown, entry) AS shown, min(entry) AS entry FROM b GROUP BY 1, 2)
+SELECT grp AS "group", pos, entry, coalesce(shown, true) AS visible FROM items LEFT JOIN m USING (grp, pos)""")
 def f11(spark, d):
-    items = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("index"), F.col("p_partkey").alias("pos"))
-    k = F.col("o_orderkey")
-    config = table(spark, d, "orders").where(k < 40).select(k.alias("entry"), F.when(k % 2 == 0, (k * 7 % 60).cast("string")).alias("id"), F.when(k % 2 == 1, k * 3 % 60).alias("index"), (k % 5 != 0).alias("show"))
-    return r.display_order(items, config).select("pos", "entry", "visible")
+    p, k = F.col("p_partkey"), F.col("o_orderkey")
+    items = table(spark, d, "part").select(F.when(p % 2 == 0, "single").otherwise("multiple").alias("group"), p.cast("string").alias("id"), p.alias("index"), p.alias("pos"))
+    known = F.when(k % 3 == 0, F.concat(F.lit("gone"), k.cast("string"))).when(k % 3 == 1, F.col("o_custkey").cast("string"))
+    config = table(spark, d, "orders").select(F.when(k % 4 < 2, "single").otherwise("multiple").alias("group"), k.alias("entry"), known.alias("id"), (F.col("o_custkey") * 2 % 1000).alias("index"), (k % 5 != 0).alias("show"))
+    return r.display_order(items, config).select("group", "pos", "entry", "visible")
 
 
 @query("f12_demo_bundle", "SELECT p_partkey AS sample_id, p_type AS \"group\", unnest(['a_path', 'b_path']) AS asset, unnest([p_name, p_brand]) AS path FROM part WHERE p_size < 10")
@@ -229,6 +278,22 @@ def f12(spark, d):
     return r.demo_bundle(sel, p.select(F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("a_path"), F.col("p_brand").alias("b_path")), ["a_path", "b_path"])
 
 
+@query("f12_bundle_manifest", "SELECT p_type AS \"group\", p_partkey AS sample_id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS ordinal, 'a_path=' || p_name || ',b_path=' || p_brand AS assets, count(*) OVER (PARTITION BY p_type) AS items FROM part WHERE p_size < 10")
+def f12m(spark, d):
+    items, counts = r.bundle_manifest(f12(spark, d))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("assets")), lambda x: F.concat_ws("=", x.key, x.value)), ",")
+    return items.join(counts.drop("assets"), "group").select("group", "sample_id", F.col("ordinal").cast("long").alias("ordinal"), text.alias("assets"), "items")
+
+
+@query("f13_matched_table", f"WITH {V_METRIC}, c AS (SELECT sample_id % 500 AS clip, scenario, min(sample_id) AS s FROM v_metric GROUP BY 1, 2) SELECT clip, 'caption ' || clip AS caption, " + ", ".join(f"max(s) FILTER (WHERE scenario = '{k}') AS {k}, max('artist' || s % 3 || ', artist' || s % 5) FILTER (WHERE scenario = '{k}') AS {k}_artists" for k in KINDS) + " FROM c GROUP BY 1")
+def f13t(spark, d):
+    cells = metrics(spark, d).groupBy((F.col("sample_id") % 500).alias("clip"), "scenario").agg(F.min("sample_id").alias("value"))
+    cells = cells.withColumn("ids", F.array(F.col("value") % 3, F.col("value") % 5))
+    clips = cells.select("clip", F.concat(F.lit("caption "), F.col("clip").cast("string")).alias("caption")).distinct()
+    artists = spark.range(5).select("id", F.concat(F.lit("artist"), F.col("id").cast("string")).alias("name"))
+    return r.matched_table(cells, clips, artists, KINDS, "clip")
+
+
 @query("f13_matched_row", f"WITH {V_METRIC} SELECT artist_key, " + ", ".join(f"arg_min(value, sample_id) FILTER (WHERE scenario = '{k}') AS {k}" for k in KINDS) + " FROM v_metric GROUP BY 1")
 def f13(spark, d):
     return r.matched_row(metrics(spark, d), "artist_key", KINDS)
@@ -305,6 +370,12 @@ def i7(spark, d):
     return m.peer_weights(s, 0.2, masked=hidden).select("left", "right", *r6("weight"))
 
 
+@query("i7_genre_affinity", f"WITH {V_METRIC}, w AS (SELECT artist_key AS e, scenario AS g, count(*) AS w FROM v_metric GROUP BY 1, 2), s AS (SELECT a.e AS l, b.e AS r, sum(a.w * b.w) AS x FROM w a JOIN w b USING (g) WHERE a.e <> b.e GROUP BY 1, 2) SELECT l AS \"left\", r AS \"right\", round(x / sum(x) OVER (PARTITION BY l), 6) AS weight FROM s")
+def i7g(spark, d):
+    w = metrics(spark, d).groupBy(F.col("artist_key").alias("entity"), F.col("scenario").alias("genre")).agg(F.count("*").alias("weight"))
+    return m.peer_weights(m.genre_affinity(w), 1.0, "affinity").select("left", "right", *r6("weight"))
+
+
 @query("i8_mean_pool", f"WITH {E} SELECT label AS clip, i - 1 AS i, round(avg(l[i]), 6) AS x FROM (SELECT label, l, unnest(range(1, 11)) AS i FROM e WHERE vec_id % 3 <> 0) GROUP BY 1, 2")
 def i8(spark, d):
     v = vectors(spark, d).withColumnRenamed("label", "clip")
@@ -317,6 +388,12 @@ def i9(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(a.pad_trim(w, 6, "<pad>"), "|").alias("padded"), F.size(F.filter(a.valid_mask(w, 6), lambda x: x)).cast("long").alias("valid"), F.array_join(a.center_crop(w, 4), "|").alias("middle"))
 
 
+@query("i9_crops", "SELECT doc_id, array_to_string(CASE WHEN n <= 4 THEN w ELSE w[r + 1 : r + 4] END, '|') AS random, CASE WHEN n >= 6 THEN array_to_string(w[4:6], '|') END AS segment FROM (SELECT *, ('0x' || left(sha256('5:crop:' || doc_id), 8))::BIGINT % greatest(n - 3, 1) AS r FROM (SELECT doc_id, string_split(text, ' ') AS w, len(string_split(text, ' ')) AS n FROM documents))")
+def i9c(spark, d):
+    w = F.split("text", " ")
+    return table(spark, d, "documents").select("doc_id", F.array_join(a.random_crop(w, 4, 5, "doc_id"), "|").alias("random"), F.array_join(a.exact_segment(w, F.lit(3), 3), "|").alias("segment"))
+
+
 @query("i10_token_slice", f"WITH {E} SELECT vec_id, round(list_sum(v[(vec_id % 50)::INT + 1 : (vec_id % 50)::INT + 9]), 6) AS total FROM e")
 def i10(spark, d):
     return vectors(spark, d).select("vec_id", F.round(a.total(a.token_slice("v", (F.col("vec_id") % 50).cast("int"), F.lit(9))), 6).alias("total"))
@@ -329,6 +406,12 @@ def i11(spark, d):
     return laid.select("vec_id", F.array_join(F.col("laid").cast("array<string>"), "|").alias("row"), F.array_join(a.undelay_row("laid", "q", 5).cast("array<string>"), "|", "null").alias("back"))
 
 
+@query("i11_plain_shift", "SELECT vec_id, '9|' || array_to_string(list_transform(range(4), lambda t: (vec_id + t) % 7), '|') AS row FROM embeddings")
+def i11s(spark, d):
+    codes = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda t: ((F.col("vec_id") + t) % 7).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(a.shift_right(codes, 9).cast("array<string>"), "|").alias("row"))
+
+
 @query("i12_multihot", "SELECT vec_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN i IN (label, (vec_id % 10)) THEN CASE WHEN label = vec_id % 10 THEN '1' ELSE '0.5' END ELSE '0' END), '|') AS weights FROM embeddings")
 def i12(spark, d):
     w = a.multihot(F.array("label", (F.col("vec_id") % 10).cast("int")), 10)
@@ -353,9 +436,9 @@ def i14(spark, d):
     return vectors(spark, d).select("vec_id", F.size(F.concat("l", "g")).cast("long").alias("n"), F.round(F.get(F.concat("l", "g"), F.lit(14)), 6).alias("x"))
 
 
-@query("i15_peak_normalize", f"WITH {E} SELECT vec_id, round(list_sum(list_transform(l, lambda z: z / greatest(0.1, list_max(l)))), 6) AS total FROM e")
+@query("i15_peak_normalize", f"WITH {E} SELECT vec_id, round(list_sum(list_transform(v, lambda z: z / greatest(0.1, list_max(v)))), 6) AS total FROM e")
 def i15(spark, d):
-    return vectors(spark, d).select("vec_id", F.round(a.total(a.peak_normalize("l")), 6).alias("total"))
+    return vectors(spark, d).select("vec_id", F.round(a.total(a.peak_normalize("v")), 6).alias("total"))
 
 
 @query("c8_assert_ranges", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_length, count(*) FILTER (WHERE list_max(embedding) >= 0.4) AS too_high FROM embeddings")
@@ -371,18 +454,18 @@ def c9(spark, d):
     return wide.where(a.all_finite(F.array(*KINDS))).select("artist_key", F.lit(5).cast("long").alias("cells"))
 
 
-@query("c10_missing_types", "SELECT unnest(['refund', 'share']) AS sample_type")
+@query("c10_missing_types", "SELECT s AS sample_type FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'refund', 'share']) AS s) WHERE s NOT IN (SELECT event_type FROM events)")
 def c10(spark, d):
     from quillon.plans.experiments import missing_types
 
     return missing_types(metrics(spark, d).select(F.col("scenario").alias("sample_type")), [*KINDS, "refund", "share"])
 
 
-@query("u1_score_with", f"WITH {E} SELECT vec_id, round(list_sum(l), 5) AS total FROM e")
+@query("u1_score_with", f"WITH {E} SELECT vec_id, round(list_sum(v), 5) AS total FROM e")
 def u1(spark, d):
-    return u.score_with(lambda: (lambda x: {"scores": x.sum(axis=1, keepdims=True)}), vectors(spark, d), "l").select("vec_id", F.round(F.get("scores", F.lit(0)), 5).alias("total"))
+    return u.score_with(lambda: (lambda x: {"scores": x.sum(axis=1, keepdims=True)}), vectors(spark, d), "v").select("vec_id", F.round(F.get("scores", F.lit(0)), 5).alias("total"))
 
 
 @query("u2_group_eval", f"WITH {V_METRIC} SELECT scenario, 'median' AS metric, round(median(value), 6) AS value FROM v_metric GROUP BY 1")
 def u2(spark, d):
-    return u.group_eval(metrics(spark, d), "scenario", lambda g: {"median": float(np.median(g["value"]))}).withColumn("value", F.round("value", 6))
+    return u.group_eval(metrics(spark, d), "scenario", lambda g: {"median": float(np.median(g["value"]))}, ["median"]).withColumn("value", F.round("value", 6))

@@ -61,11 +61,20 @@ def plan_rows(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("target"))
 
 
-def _oth(ns, count, row="vec_id", seed=4):
-    return f"list_transform(list_sort(list_transform(list_filter(range(10), lambda i: i <> label), lambda i: {{'h': sha256(concat_ws(':', '{seed}', '{ns}', {row}::VARCHAR, i::VARCHAR)), 'i': i}}))[1:{count}], lambda y: y.i)"
+def _draws(ns, row="vec_id", seed=4):
+    """Hashed offsets from a target's successor on, 8 of each digest."""
+    return f"list_concat(list_transform(range(64), lambda j: ('0x' || substr(sha256('{seed}:{ns}:' || {row} || ':' || (j // 8)), (1 + 8 * (j % 8))::BIGINT, 8))::BIGINT % 9), [0, 1, 2, 3, 4])"
 
 
-@query("g5_control_scenarios", f"""WITH q AS (SELECT vec_id, label, {_oth('multi_target', "(1 + " + HN.format("'4:multi_target:' || vec_id") + " % 4)")} AS mt, {_oth('single_other', '1')} AS so, {_oth('multi_other', "(2 + " + HN.format("'4:multi_other:' || vec_id") + " % 4)")} AS mo FROM embeddings),
+def _oth(draws, count):
+    return f"list_transform(list_filter({draws}, lambda o, n: list_position({draws}, o) = n)[1:{count}], lambda o: (label + 1 + o) % 10)"
+
+
+SETS = f"""q0 AS (SELECT vec_id, label, {_draws('multi_target')} AS mt, {_draws('single_other')} AS so, {_draws('multi_other')} AS mo FROM embeddings),
+q AS (SELECT vec_id, label, {_oth('mt', "(1 + " + HN.format("'4:multi_target:' || vec_id") + " % 4)")} AS mt, {_oth('so', '1')} AS so, {_oth('mo', "(2 + " + HN.format("'4:multi_other:' || vec_id") + " % 4)")} AS mo FROM q0)"""
+
+
+@query("g5_control_scenarios", f"""WITH {SETS},
 u AS (SELECT vec_id, unnest([{{'p': 0, 's': 'no_control', 'i': []::BIGINT[]}}, {{'p': 1, 's': 'enhance_target', 'i': [label::BIGINT]}}, {{'p': 2, 's': 'suppress_single_target', 'i': [label::BIGINT]}}, {{'p': 3, 's': 'suppress_multiple_target', 'i': list_sort(list_append(mt, label))}}, {{'p': 4, 's': 'suppress_single_others', 'i': so}}, {{'p': 5, 's': 'suppress_multiple_others', 'i': list_sort(mo)}}]) AS z FROM q)
 SELECT vec_id AS row_id, z.p AS position, z.s AS scenario, array_to_string(z.i, ',') AS ids, CASE WHEN len(z.i) > 0 THEN round(1.0 / len(z.i), 6) END::DOUBLE AS weight FROM u""")
 def g5(spark, d):
@@ -73,13 +82,15 @@ def g5(spark, d):
     return p.select("row_id", "position", "scenario", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round("weight", 6).alias("weight"))
 
 
-@query("d5_scenario_manifest", "SELECT vec_id AS row_id, 's' || vec_id AS sample_id, s AS scenario, CASE WHEN s = 'no_control' THEN '' ELSE 'artist' || label END AS keys, 'audio/' || s || '/s' || vec_id || '.wav' AS audio_path FROM embeddings, (SELECT unnest(['no_control', 'enhance_target', 'suppress_single_target']) AS s)")
+@query("d5_scenario_manifest", f"""WITH {SETS},
+u AS (SELECT vec_id, unnest([{{'s': 'no_control', 'l': 'No Control', 'i': []::BIGINT[]}}, {{'s': 'enhance_target', 'l': 'Enhance Target', 'i': [label::BIGINT]}}, {{'s': 'suppress_single_target', 'l': 'Suppress Single Target', 'i': [label::BIGINT]}}, {{'s': 'suppress_multiple_target', 'l': 'Suppress Multiple Target', 'i': list_sort(list_append(mt, label))}}, {{'s': 'suppress_single_others', 'l': 'Suppress Single Others', 'i': so}}, {{'s': 'suppress_multiple_others', 'l': 'Suppress Multiple Others', 'i': list_sort(mo)}}]) AS z FROM q)
+SELECT vec_id AS row_id, 's' || vec_id AS sample_id, z.s AS scenario, z.l AS scenario_label, z.s || '_artist_indices' AS index_array, array_to_string(list_transform(z.i, lambda i: 'artist' || i), ',') AS keys, 'audio/' || z.s || '/s' || vec_id || '.wav' AS audio_path, 'audio/reference/s' || vec_id || '.wav' AS reference_path FROM u""")
 def d5(spark, d):
     rows = plan_rows(spark, d)
-    plan = x.control_scenarios(rows, 10, 4).where("position < 3")
+    plan = x.control_scenarios(rows, 10, 4)
     artists = spark.range(10).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("artist"), F.col("id").cast("string")).alias("artist_key"))
     clips = rows.select("row_id", F.concat(F.lit("s"), F.col("row_id").cast("string")).alias("sample_id"))
-    return x.scenario_manifest(clips, plan, artists).select("row_id", "sample_id", "scenario", F.array_join("keys", ",").alias("keys"), "audio_path")
+    return x.scenario_manifest(clips, plan, artists).select("row_id", "sample_id", "scenario", "scenario_label", "index_array", F.array_join("keys", ",").alias("keys"), "audio_path", "reference_path")
 
 
 @query("d6_remap_labels", "SELECT s_suppkey, (s_suppkey % 10)::INT AS control_artist_index, (9 - s_suppkey % 10)::INT AS artist_index FROM supplier")
@@ -96,6 +107,12 @@ def d7(spark, d):
     return x.pending(v.select(F.col("artist_key").alias("group_id")).distinct(), done, KINDS)
 
 
+@query("d7_completed_manifest", f"WITH {V_METRIC} SELECT sample_id FROM v_metric WHERE artist_key IN (SELECT artist_key FROM v_metric GROUP BY 1 HAVING bool_and(value > 0.5) AND count(DISTINCT scenario) = 5)")
+def d7c(spark, d):
+    v = metrics(spark, d).select("sample_id", F.col("artist_key").alias("group_id"), F.col("scenario").alias("sample_type"), (F.col("value") > 0.5).alias("exists"))
+    return x.completed(v, v, KINDS).select("sample_id")
+
+
 @query("d9_different_entity_pair", """WITH c AS (SELECT vec_id AS cpos, label FROM embeddings), s AS (SELECT vec_id AS pos, label FROM embeddings WHERE vec_id % 5 = 0),
 r AS (SELECT s.pos, c.cpos, row_number() OVER (PARTITION BY s.pos ORDER BY c.cpos) - 1 AS k, count(*) OVER (PARTITION BY s.pos) AS m FROM s JOIN c ON s.label <> c.label) SELECT pos, cpos AS match FROM r WHERE k = pos % m""")
 def d9(spark, d):
@@ -121,8 +138,18 @@ def g7(spark, d):
 ROW = "('1:2:' || vec_id)"
 
 
-@query("g8_scheduled_sets", f"""WITH q AS (SELECT vec_id, label, {HN.format(f"'11:joint:' || {ROW}")} < 2147483648 AS joint, {HN.format(f"'11:size:' || {ROW}")} % 4 + 2 AS k FROM embeddings)
-SELECT vec_id AS row_id, joint, CASE WHEN joint THEN array_to_string(list_sort(list_append({_oth('suppress', '(k - 1)', ROW, 11)}, label)), ',') ELSE label::VARCHAR END AS suppress, array_to_string(list_sort({_oth('preserve', '(CASE WHEN joint THEN k ELSE 1 END)', ROW, 11)}), ',') AS preserve FROM q""")
+SCHEDULED = f"""WITH q AS (SELECT vec_id, label, {HN.format(f"'11:joint:' || {ROW}")} < 2147483648 AS joint, {HN.format(f"'11:size:' || {ROW}")} % 4 + 2 AS k, {_draws('suppress', ROW, 11)} AS ds, {_draws('preserve', ROW, 11)} AS dp FROM embeddings),
+w AS (SELECT vec_id, joint, CASE WHEN joint THEN list_sort(list_append({_oth('ds', '(k - 1)')}, label)) ELSE [label::BIGINT] END AS s, list_sort({_oth('dp', '(CASE WHEN joint THEN k ELSE 1 END)')}) AS p FROM q)
+"""
+
+
+@query("g8_joint_totals", SCHEDULED + "SELECT count(*) AS rows, round(avg(joint::INT), 6) AS joint_rate, round(avg(len(s)), 6) AS mean_suppress, round(avg(len(p)), 6) AS mean_preserve FROM w")
+def g8t(spark, d):
+    t = x.joint_totals(x.scheduled_sets(plan_rows(spark, d), 10, 1, 2, 11))
+    return t.select("rows", *(F.round(c, 6).alias(c) for c in ("joint_rate", "mean_suppress", "mean_preserve")))
+
+
+@query("g8_scheduled_sets", SCHEDULED + "SELECT vec_id AS row_id, joint, array_to_string(s, ',') AS suppress, array_to_string(p, ',') AS preserve FROM w")
 def g8(spark, d):
     p = x.scheduled_sets(plan_rows(spark, d), 10, 1, 2, 11)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
@@ -169,6 +196,18 @@ def k2(spark, d):
     return x.reuse_or_recompute(items, cache).join(docs.select(F.col("doc_id").alias("sample_id"), "source"), "sample_id").select("source", F.col("sample_id").alias("doc_id"), "action")
 
 
+@query("k2_action_counts", "SELECT CASE WHEN doc_id % 6 IN (0, 3) THEN 'recomputed' ELSE 'reused' END AS action, count(*) AS n FROM documents GROUP BY 1")
+def k2c(spark, d):
+    return x.action_counts(k2(spark, d))
+
+
+@query("k1_to_compute", "SELECT c_custkey FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_custkey % 5 <> 0)")
+def k1c(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("generation"))
+    old = c.where("c_custkey % 2 = 0").withColumn("generation", F.when(F.col("c_custkey") % 5 == 0, "stale").otherwise(F.col("generation")))
+    return x.require_valid(x.cache_valid(old, c, "c_custkey", ["generation"]), old, "c_custkey", overwrite=True)
+
+
 @query("k3_generation_identity", "SELECT p_partkey, sha256('brand=' || p_brand || chr(10) || 'name=' || p_name || chr(10) || 'type=' || p_type) AS identity FROM part")
 def k3(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
@@ -224,28 +263,53 @@ def h5(spark, d):
     return h.mean_differences(h.paired_differences(matrix(spark, d))).withColumn("mean_difference", F.round("mean_difference", 6))
 
 
+@query("i5_frechet_parts", """WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS l, list_transform(embedding[11:20], lambda x: x::DOUBLE) AS g FROM embeddings), k AS (SELECT unnest(range(1, 11)) AS i), c AS (SELECT label, i, avg(l[i]) - avg(g[i]) AS dm, var_samp(l[i]) + var_samp(g[i]) AS tr FROM e, k GROUP BY 1, 2)
+SELECT label::VARCHAR AS g, round(sum(dm * dm), 6) AS mean_gap, round(sum(tr), 6) AS traces FROM c GROUP BY 1""")
+def i5p(spark, d):
+    from quillon.operators import metrics as m
+
+    from .metrics import vectors
+
+    v = vectors(spark, d)
+    a, b = m.group_statistics(v, "label", "l").toDF("g", "n", "m1", "c1"), m.group_statistics(v, "label", "g").toDF("g", "n2", "m2", "c2")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda t, y: t + y)
+    trace = lambda c: add(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get(c, i * 11)))
+    return a.join(b, "g").select("g", F.round(add(F.zip_with("m1", "m2", lambda y, z: (y - z) * (y - z))), 6).alias("mean_gap"), F.round(trace("c1") + trace("c2"), 6).alias("traces"))
+
+
 @query("h6_omnibus_p_values")
 def h6(spark, d):
     return h.omnibus(matrix(spark, d))
 
 
-@query("h7_permutation_p", f"""WITH {V_METRIC}, {M}, {DIFF}, n0 AS (SELECT p, q, count(*) AS n, abs(avg(d)) AS o FROM dd GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY a) - 1 AS i FROM dd), r AS (SELECT i AS r FROM range(1024) t(i)),
-s AS (SELECT p, q, r, abs(avg(CASE WHEN (CASE WHEN n <= 10 THEN (r >> i) & 1 = 1 ELSE left(md5('0:' || r || ':' || i), 1) >= '8' END) THEN d ELSE -d END)) AS v, any_value(o) AS o, any_value(n) AS n FROM k JOIN n0 USING (p, q), r WHERE n > 10 OR r < (1::BIGINT << n) GROUP BY 1, 2, 3)
-SELECT 'value' AS metric, p, q, round(CASE WHEN any_value(n) <= 10 THEN avg((v >= o - 2.220446049250313e-16 * greatest(1, o) * 16)::INT) ELSE (sum((v >= o - 2.220446049250313e-16 * greatest(1, o) * 16)::INT) + 1) / (count(*) + 1) END, 6) AS p_value FROM s GROUP BY 2, 3""")
+#: Signs and draws come from the digits of md5 digests, 32 signs or 4 draws of each.
+EDGE = "2.220446049250313e-16 * greatest(1, o) * 16"
+
+
+def flips_sql(where: str, most: int) -> str:
+    return f"""WITH {V_METRIC}, {M.replace('FROM v_metric', f'FROM v_metric WHERE {where}')}, {DIFF}, n0 AS (SELECT p, q, count(*) AS n, abs(avg(d)) AS o FROM dd GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY a) - 1 AS i FROM dd), r AS (SELECT i AS r FROM range({1 << most}) t(i)),
+g AS (SELECT r, b, md5('0:' || r || ':' || b) AS h FROM r, (SELECT DISTINCT i // 32 AS b FROM k) WHERE r < 10000),
+s AS (SELECT p, q, k.r, abs(avg(CASE WHEN (CASE WHEN n <= {most} THEN (k.r >> i) & 1 = 1 ELSE substr(h, i % 32 + 1, 1) >= '8' END) THEN d ELSE -d END)) AS v, any_value(o) AS o, any_value(n) AS n FROM (SELECT * FROM k JOIN n0 USING (p, q), r WHERE r < CASE WHEN n <= {most} THEN 1::BIGINT << n ELSE 10000 END) k LEFT JOIN g ON g.r = k.r AND g.b = k.i // 32 GROUP BY 1, 2, 3)
+SELECT 'value' AS metric, p, q, round(CASE WHEN any_value(n) <= {most} THEN avg((v >= o - {EDGE})::INT) ELSE (sum((v >= o - {EDGE})::INT) + 1) / (count(*) + 1) END, 6) AS p_value FROM s GROUP BY 2, 3"""
+
+
+@query("h7_permutation_p", flips_sql("true", 16))
 def h7(spark, d):
-    return h.permutation_p(h.paired_differences(matrix(spark, d)), 1024, 10).withColumn("p_value", F.round("p_value", 6))
+    return h.permutation_p(h.paired_differences(matrix(spark, d))).withColumn("p_value", F.round("p_value", 6))
 
 
-@query("h8_bootstrap_ci", f"""WITH {V_METRIC}, {M}, {DIFF}, k AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY p, q) AS n FROM dd), j AS (SELECT p, q, r, {HN.format("'x'").replace("sha256('x')", "md5('0:' || r || ':' || k.i)")} % n AS i FROM k, (SELECT i AS r FROM range(200) t(i))),
+@query("h8_bootstrap_ci", f"""WITH {V_METRIC}, {M}, {DIFF}, k AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY p, q) AS n FROM dd), g AS (SELECT r, b, md5('0:' || r || ':' || b) AS h FROM range(2000) t(r), (SELECT DISTINCT i // 4 AS b FROM k)),
+j AS (SELECT p, q, g.r, ('0x' || substr(h, (k.i % 4 * 8 + 1)::BIGINT, 8))::BIGINT % n AS i FROM k JOIN g ON g.b = k.i // 4),
 e AS (SELECT p, q, r, avg(d) AS v FROM j JOIN k USING (p, q, i) GROUP BY 1, 2, 3) SELECT 'value' AS metric, p, q, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.975), 5) AS high FROM e GROUP BY 2, 3""")
 def h8(spark, d):
-    ci = h.bootstrap_ci(h.paired_differences(matrix(spark, d)), 200)
+    ci = h.bootstrap_ci(h.paired_differences(matrix(spark, d)))
     return ci.select("metric", "p", "q", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 @query("h9_scenario_statistics")
 def h9(spark, d):
-    return h.scenario_statistics(metrics(spark, d).withColumn("metric", F.concat(F.lit("m"), (F.col("sample_id") % 2).cast("string"))), KINDS, resamples=1000, bootstraps=200)[1]
+    """The pairwise table; the omnibus one is h6_omnibus_p_values."""
+    return h.scenario_statistics(metrics(spark, d).withColumn("metric", F.concat(F.lit("m"), (F.col("sample_id") % 2).cast("string"))), KINDS)[1]
 
 
 # Series
@@ -276,6 +340,13 @@ def j2(spark, d):
     return s.dominant_period(hourly(spark, d), "event_type", "slot", 2, 48)
 
 
+@query("j2_period_rate", f"""WITH {HOURS}, d AS (SELECT event_type, slot, greatest(0, value - lag(value) OVER (PARTITION BY event_type ORDER BY slot)) AS d FROM g), u AS (SELECT event_type, slot, (d - avg(d) OVER (PARTITION BY event_type)) / greatest(stddev_samp(d) OVER (PARTITION BY event_type), 1e-8) AS x FROM d WHERE slot > 0),
+sc AS (SELECT a.event_type, b.slot - a.slot AS lag, round(avg(a.x * b.x), 9) AS sc FROM u a JOIN u b ON a.event_type = b.event_type AND b.slot - a.slot BETWEEN 2 AND 48 GROUP BY 1, 2), p AS (SELECT event_type, arg_max(lag, (sc, -lag)) AS period FROM sc GROUP BY 1) SELECT round(avg(abs(60.0 / period - 60.0 / length(event_type))), 6) AS error, count(*) AS n FROM p""")
+def j2r(spark, d):
+    p = s.dominant_period(hourly(spark, d), "event_type", "slot", 2, 48)
+    return s.rate_error(s.period_rate(p, "event_type", 60.0), s.period_rate(p.withColumn("period", F.length("event_type")), "event_type", 60.0), "event_type").withColumn("error", F.round("error", 6))
+
+
 PROF = "p0 AS (SELECT event_type, (user_id % 7) AS frame, (event_id % 12) AS bin, sum(value) AS v FROM events GROUP BY 1, 2, 3), p1 AS (SELECT event_type, frame, bin, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY event_type, frame)), 1e-8) AS u FROM p0), pr AS (SELECT event_type, bin, sum(u) / (SELECT count(DISTINCT frame) FROM p0 f WHERE f.event_type = p1.event_type) AS weight FROM p1 GROUP BY 1, 2)"
 
 

@@ -78,26 +78,30 @@ def b6(spark, d):
 
 @query("b7_safe_names", r"""
 WITH c AS (SELECT page_id, url, regexp_replace(regexp_replace(url || repeat('x', (page_id % 3)::INT * 30), '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g') AS s, url || repeat('x', (page_id % 3)::INT * 30) AS v FROM pages)
-SELECT page_id, CASE WHEN s = '' THEN 'item_' || left(sha1(v), 12) WHEN length(s) > 96 THEN left(s, 80) || '_' || left(sha1(v), 10) ELSE s END AS name, left(regexp_replace(regexp_replace(url, '[^0-9A-Za-z._-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM c""")
+SELECT page_id, CASE WHEN s = '' THEN 'item_' || left(sha1(v), 12) WHEN length(s) > 96 THEN left(s, 80) || '_' || left(sha1(v), 10) ELSE s END AS name, CASE WHEN page_id % 5 = 0 THEN 'page_' || page_id ELSE left(regexp_replace(regexp_replace(url, '[^0-9A-Za-z._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 80) END AS slug FROM c""")
 def b7(spark, d):
     long = F.concat("url", F.expr("repeat('x', cast(page_id % 3 as int) * 30)"))
-    return table(spark, d, "pages").select("page_id", t.safe_path_component(long).alias("name"), t.slug("url").alias("slug"))
+    return table(spark, d, "pages").select("page_id", t.safe_path_component(long).alias("name"), t.slug(F.when(F.col("page_id") % 5 == 0, "..-_").otherwise(F.col("url")), F.concat(F.lit("page_"), F.col("page_id").cast("string"))).alias("slug"))
 
 
 @query("b8_record_identifiers", r"""
-SELECT doc_id, left(sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))), 16) AS caption_hash, round_even(n_chars / 16.0 * 1000, 0)::BIGINT AS start_ms FROM documents WHERE NOT regexp_matches(text, '[\x0b\x0c\x85\xa0]')""")
+SELECT doc_id, left(sha256(trim(regexp_replace(nfc_normalize(text), '[' || '\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}' || ']+', ' ', 'g'))), 16) AS caption_hash, round_even(n_chars / 16.0 * 1000, 0)::BIGINT AS start_ms,
+CASE doc_id % 3 WHEN 0 THEN 't' || doc_id WHEN 1 THEN source ELSE 'row_' || doc_id END AS track_id, CASE doc_id % 3 WHEN 0 THEN 'c' || doc_id WHEN 1 THEN 'clip.' || doc_id ELSE 'row_' || doc_id END AS clip_id FROM documents""")
 def b8(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("[\\x0b\\x0c\\x85\\xa0]"))
-    return docs.select("doc_id", t.caption_hash(t.canonical_caption("text")).alias("caption_hash"), t.milliseconds(F.col("n_chars") / 16.0, F.lit("x"), 1).alias("start_ms"))
+    k, own = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    audio = F.when(k == 1, F.concat(F.lit("a/track_"), F.col("source"), F.lit("/clip."), own, F.lit(".flac"))).otherwise("")
+    named = lambda x: F.when(k == 0, F.concat(F.lit(x), own)).otherwise(" ")
+    return table(spark, d, "documents").select("doc_id", t.caption_hash(t.canonical_caption("text")).alias("caption_hash"), t.milliseconds(F.col("n_chars") / 16.0, F.lit("x"), 1).alias("start_ms"), t.track_identifier(named("t"), audio, "doc_id").alias("track_id"), t.clip_identifier(named("c"), audio, "doc_id").alias("clip_id"))
 
 
 @query("b9_sample_id", r"""
-SELECT sample_id, count(*) AS n FROM (SELECT 'jmdmc__a_' || l_suppkey || '__t_' || l_partkey || '__s_' || lpad(((l_linenumber - 1) * 30000)::VARCHAR, 9, '0') || '__e_' || lpad(((l_linenumber - 1) * 30000 + l_quantity * 1000)::BIGINT::VARCHAR, 9, '0') || '__c_' || left(sha256(l_returnflag), 16) AS sample_id FROM lineitem) GROUP BY 1 HAVING count(*) > 1""")
+SELECT sample_id, count(*) AS n FROM (SELECT 'jmdmc__a_artist_' || l_suppkey || '__t_' || left('p_' || l_partkey || repeat('x', 40), 32) || '__s_' || lpad(((l_linenumber - 1) * 30000)::VARCHAR, 9, '0') || '__e_' || lpad(((l_linenumber - 1) * 30000 + l_quantity * 1000)::BIGINT::VARCHAR, 9, '0') || '__c_' || left(sha256(l_returnflag), 16) AS sample_id FROM lineitem) GROUP BY 1 HAVING count(*) > 1""")
 def b9(spark, d):
     li = table(spark, d, "lineitem")
     start = (F.col("l_linenumber") - 1) * 30000
     end = (start + F.col("l_quantity") * 1000).cast("long")
-    key = t.sample_id(F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), start, end, F.col("l_returnflag"))
+    track = F.concat(F.lit("p!"), F.col("l_partkey").cast("string"), F.lit("x" * 40))
+    key = t.sample_id(F.lit("--"), track, start, end, F.col("l_returnflag"), "l_suppkey")
     return li.select(key.alias("sample_id")).groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -113,19 +117,28 @@ def b11(spark, d):
     return table(spark, d, "part").select("p_partkey", t.resolve_group(F.concat(F.lit(" _"), "p_type"), F.regexp_replace("p_brand", "#", "-"), {"economy": "low", "promo": "low", "large": "high", "brand 1": "first"}).alias("grp"))
 
 
-@query("b12_resolve_entity", "SELECT s.s_suppkey, count(x.s_suppkey) AS matches, min(x.s_suppkey) AS entity FROM supplier s LEFT JOIN supplier x ON lower(x.s_name) = lower(s.s_name) GROUP BY 1")
+@query("b12_resolve_entity", """
+WITH e AS (SELECT s_suppkey, 'k' || s_suppkey AS key, s_suppkey * 2 AS index, CASE WHEN s_suppkey % 7 = 0 THEN 'same' ELSE s_name END AS name FROM supplier),
+r AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey::VARCHAR WHEN 1 THEN 'k' || s_suppkey WHEN 2 THEN ' ' || upper(CASE WHEN s_suppkey % 7 = 0 THEN 'same' ELSE s_name END) ELSE 'nobody' END AS value FROM supplier),
+m AS (SELECT r.s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'key' ELSE 'name' END AS how, (SELECT count(*) FROM e WHERE CASE r.s_suppkey % 4 WHEN 0 THEN e.index = r.s_suppkey WHEN 1 THEN e.key = r.value ELSE lower(e.name) = lower(trim(r.value)) END) AS matches,
+  (SELECT min(e.s_suppkey) FROM e WHERE CASE r.s_suppkey % 4 WHEN 0 THEN e.index = r.s_suppkey WHEN 1 THEN e.key = r.value ELSE lower(e.name) = lower(trim(r.value)) END) AS entity FROM r)
+SELECT s_suppkey, CASE WHEN matches > 0 THEN how END AS how, matches, entity FROM m""")
 def b12(spark, d):
     from quillon.operators.ranking import resolve_entity
 
-    s = table(spark, d, "supplier")
-    wanted = s.select(F.col("s_suppkey").alias("request"), F.upper("s_name").alias("value"))
-    return resolve_entity(wanted, s.select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))).select(F.col("request").alias("s_suppkey"), "matches", "entity")
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    name = F.when(k % 7 == 0, "same").otherwise(F.col("s_name"))
+    own = k.cast("string")
+    value = F.when(k % 4 == 0, own).when(k % 4 == 1, F.concat(F.lit("k"), own)).when(k % 4 == 2, F.concat(F.lit(" "), F.upper(name))).otherwise("nobody")
+    entities = s.select(k.alias("entity"), F.concat(F.lit("k"), own).alias("key"), (k * 2).alias("index"), name.alias("name"))
+    return resolve_entity(s.select(k.alias("request"), value.alias("value")), entities).withColumnRenamed("request", "s_suppkey")
 
 
-@query("b13_fixed_numbers", "SELECT o_orderstatus, printf('%.4f', avg(o_orderkey % 1024)) AS mean_text, count(*) AS n FROM orders GROUP BY 1")
+@query("b13_fixed_numbers", "SELECT o_orderstatus, printf('%.4f', avg(o_orderkey % 1024)) AS mean_text, printf('%.4f ± %.4f', avg(o_orderkey % 1024), stddev_pop(o_orderkey % 1024)) AS both_text, count(*) AS n FROM orders GROUP BY 1")
 def b13(spark, d):
-    g = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.avg(F.col("o_orderkey") % 1024).alias("m"), F.count("*").alias("n"))
-    return g.select("o_orderstatus", t.fixed("m", 4, "n").alias("mean_text"), "n")
+    k = F.col("o_orderkey") % 1024
+    g = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.avg(k).alias("m"), F.stddev_pop(k).alias("s"), F.count("*").alias("n"))
+    return g.select("o_orderstatus", t.fixed("m", 4, "n").alias("mean_text"), t.mean_std("m", "s", "n").alias("both_text"), "n")
 
 
 @query("b14_stable_hash_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('7:part:' || p_brand || ':' || p_partkey), p_partkey) AS rank FROM part")
@@ -136,16 +149,16 @@ def b14(spark, d):
     return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("b15_display_table", "SELECT vec_id, label, array_to_string(embedding[1:2]::DECIMAL(12,6)[], ',') IS NOT NULL AS has_payload FROM embeddings")
+@query("b15_display_table", "SELECT vec_id, label, CASE WHEN len(embedding) > 0 THEN 'words/' || vec_id END AS words, 'words' AS column, json_array(label::VARCHAR, vec_id::VARCHAR)::VARCHAR AS json FROM embeddings")
 def b15(spark, d):
-    from quillon.operators.ranking import display_columns
+    from quillon.operators.ranking import display_payloads
 
-    e = table(spark, d, "embeddings")
-    scalar, payload = display_columns(e)
-    return e.select(*scalar, F.col(payload[0]).isNotNull().alias("has_payload"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.array(F.col("label").cast("string"), F.col("vec_id").cast("string")).alias("words"))
+    shown, side = display_payloads(e, "vec_id")
+    return shown.join(side, F.split_part("words", F.lit("/"), F.lit(2)) == F.col("payload_key")).select("vec_id", "label", "words", "column", "json")
 
 
-@query("b16_path_inside_root", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN false WHEN page_id % 3 = 1 THEN true ELSE false END AS inside FROM pages")
+@query("b16_path_inside_root", "SELECT page_id, CASE WHEN starts_with(p, '/') OR regexp_matches(p, '^[A-Za-z]:') THEN false ELSE p <> '' AND NOT list_contains(string_split(p, '/'), '..') END AS inside FROM (SELECT page_id, (CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN 'a/' ELSE 'a/../' END) || regexp_replace(url, '^[a-z]+://[^/]*/', '') AS p FROM pages)")
 def b16(spark, d):
     path = F.concat(F.when(F.col("page_id") % 3 == 0, "/").when(F.col("page_id") % 3 == 1, "a/").otherwise("a/../"), F.regexp_replace("url", "^[a-z]+://[^/]*/", ""))
     return table(spark, d, "pages").select("page_id", t.path_inside_root(path).alias("inside"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import is_mp3
 from quillon.operators.curation import artist_summary
-from quillon.plans.views import V_TRACK, captions, table, tracks
+from quillon.plans.views import V_TRACK, captions, metrics, table, tracks
 from quillon.sources import readers as r
 from quillon.sources.stored import fresh_path
+from quillon.streaming.streams import drained, stream_catalog, stream_metric_means
 
 from .registry import query
 
@@ -48,6 +49,49 @@ def a6(spark, d):
     return spark.read.parquet(f"{path}/artists").select("artist_key", "songs", "clips")
 
 
+@query("a6_stats_and_config", f"WITH {V_TRACK} SELECT count(*) AS songs, 42 AS seed FROM v_track")
+def a6s(spark, d):
+    path, songs = fresh_path(spark), tracks(spark, d)
+    own = captions(spark, d)
+    summary = artist_summary(songs.withColumns({"clips": F.lit(1), "signature_score": F.col("duration")}))
+    r.write_selection(songs, own, summary, path, {"seed": 42}, {"songs": songs.count()})
+    read = lambda n, s: spark.read.option("multiLine", True).schema(s).json(f"{path}/{n}")
+    return read("selection_stats", "songs long").join(F.broadcast(read("config", "seed int")))
+
+
+@query("a5_union_rows", "SELECT n_nationkey AS id, n_name AS name, NULL::VARCHAR AS comment FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
+def a5u(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return r.union_rows(nations, table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("comment")))
+
+
+@query("a4_known_metrics", """SELECT event_id, CASE event_type WHEN 'click' THEN 'fad_to_reference' WHEN 'view' THEN 'target_artist_rank' ELSE 'events:' || event_type || '_count' END AS metric_id, CASE event_type WHEN 'click' THEN 'FAD to reference' WHEN 'view' THEN 'Target artist rank' ELSE upper(event_type[1]) || event_type[2:] || ' Count' END AS label, CASE WHEN event_type IN ('click', 'view') THEN 'minimize' END AS direction FROM events""")
+def a4k(spark, d):
+    kind = F.col("event_type")
+    column = F.when(kind == "click", "fad").when(kind == "view", "target_artist_rank").otherwise(F.concat(kind, F.lit("_count")))
+    long = table(spark, d, "events").select("event_id", F.concat(F.lit("events:"), column).alias("metric"))
+    return r.describe_metrics(long).select("event_id", "metric_id", "label", "direction")
+
+
+@query("s1_stream_catalog", "SELECT p_partkey::VARCHAR AS track_id, 'id:' || p_size AS artist_key, lower(p_type) AS genres FROM part WHERE p_partkey % 10 <> 3")
+def s1(spark, d):
+    """The given parts as dated catalogue files, read as a stream until all is seen."""
+    tags = F.struct(F.struct(F.array("p_type").alias("genres")).alias("tags"))
+    row = F.to_json(F.struct(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("string").alias("artist_id"), F.when(F.col("p_partkey") % 10 != 3, F.col("p_name")).alias("audiodownload"), tags.alias("musicinfo")))
+    path = fresh_path(spark)
+    table(spark, d, "part").select(row.alias("value")).write.text(path)
+    found = stream_catalog(spark, path, glob="*.txt").select("track_id", "artist_key", F.array_join("genres", "|").alias("genres"))
+    return drained(found, fresh_path(spark))
+
+
+@query("s2_stream_metric_means", "SELECT event_type AS scenario, user_id AS artist_key, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def s2(spark, d):
+    path = fresh_path(spark)
+    metrics(spark, d).write.parquet(path)
+    means = stream_metric_means(spark, path, "sample_id long, scenario string, artist_key long, value double")
+    return drained(means, fresh_path(spark), "complete").select("scenario", "artist_key", "n", F.round("mean", 6).alias("mean"))
+
+
 @query("a7_read_results", "SELECT r_name AS section, n_name AS \"row\", 'key' AS metric, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey::DOUBLE END AS value, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey || '.000' ELSE '—' END AS shown FROM nation JOIN region ON n_regionkey = r_regionkey")
 def a7(spark, d):
     path = fresh_path(spark)

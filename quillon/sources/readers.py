@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,21 @@ def read_catalog(spark: SparkSession, folder: str, glob: str = DATED) -> DataFra
     """Rows of the files named YYYY-MM-DD.jsonl (or as glob says); a malformed line has its text in _corrupt, blank
     lines are skipped; genre, instrument and vartag lists from musicinfo or music_info."""
     raw = _json_lines(spark, folder, CATALOG, glob)
+    if not raw.inputFiles():
+        raise FileNotFoundError(f"no catalogue file {glob} in {folder}")
     info = F.coalesce("musicinfo", "music_info")
     return raw.select("*", *(info.getField("tags").getField(n).alias(n) for n in ("genres", "instruments", "vartags")), F.col("_metadata.file_name").alias("file_name")).drop("musicinfo", "music_info")
 
 
+def catalog_tracks(catalog: DataFrame) -> DataFrame:
+    """Rows of read_catalog as tracks: cleaned texts, artist_key, genres and style_tags."""
+    from quillon.functions.text import artist_key, clean_text, normalize_genres, style_tags
+
+    tidy = catalog.withColumns({c: clean_text(c) for c in ("id", "name", "artist_id", "artist_name", "album_id", "album_name")})
+    out = tidy.withColumns({"genres": normalize_genres("genres"), "style_tags": style_tags("genres", "instruments", "vartags")})
+    return out.withColumn("artist_key", artist_key("artist_id", "artist_name")).withColumnRenamed("id", "track_id").withColumnRenamed("name", "title")
+
+
 def read_captions(spark: SparkSession, path: str, candidates: DataFrame | None = None) -> DataFrame:
     """Caption lines (malformed ones in _corrupt), of the candidate track_ids only if given."""
     raw = _json_lines(spark, path, CAPTIONS).select(F.col("id").alias("track_id"), "start_time", "end_time", F.col("caption").alias("text"), "_corrupt")
@@ -55,26 +67,50 @@ def require_none(df: DataFrame, rules: dict[str, Column], empty_ok: bool = False
     return df
 
 
+MANIFEST = (
+    "audio string, text string, track_id string, artist_key string, artist_id string, artist_name string, title string, genres array<string>, coarse_genres array<string>, signature_tags array<string>, coarse_genre string, signature_score double, "
+    "start_time double, end_time double, duration double, token_shard string, token_offset long, token_length long, token_codebooks int, token_codebook_size int, token_dtype string"
+)
+
+
 def read_token_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSON lines manifest; required fields, positive lengths, offsets from 0 and an entity key
     in every row, else an error."""
-    df = spark.read.json(path)
+    df = spark.read.schema(MANIFEST).json(path)
     needed = ["audio", "text", "token_shard", "token_offset", "token_length"]
-    missing = [c for c in needed if c not in df.columns]
-    entity = [c for c in ("artist_key", "artist_id", "artist_name") if c in df.columns]
-    if missing or not entity:
-        raise ValueError(f"manifest lacks {missing or 'an entity key'}")
+    entity = ["artist_key", "artist_id", "artist_name"]
     null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
     return require_none(df, {"missing": null, "length": F.col("token_length") <= 0, "offset": F.col("token_offset") < 0, "entity": F.coalesce(*entity).isNull()})
 
 
 ENTITY_KEYS = ("sample_id", "sample_index", "artist_key")
-KNOWN_METRICS = {"value": ("Value", "maximize")}
+#: Known metrics with their labels, entity levels and directions.
+KNOWN_METRICS = {
+    "passt_kl_to_reference": ("PaSST KL(reference || generated)", "clip", "kl_reference_to_generated", "minimize"),
+    "fad_to_reference": ("FAD to reference", "artist", "fad", "minimize"),
+    "target_attribution_hit": ("Target artist top-1 hit", "clip", "target_attribution_hit", "maximize"),
+    "target_artist_confidence": ("Target artist confidence", "clip", "target_artist_confidence", "maximize"),
+    "target_artist_rank": ("Target artist rank", "clip", "target_artist_rank", "minimize"),
+    "target_attribution_rate": ("Target artist attribution rate", "artist", "target_attribution_rate", "maximize"),
+    "mean_target_artist_confidence": ("Mean target artist confidence", "artist", "mean_target_artist_confidence", "maximize"),
+    "mean_target_artist_rank": ("Mean target artist rank", "artist", "mean_target_artist_rank", "minimize"),
+}
+#: Numeric columns that are no metrics.
+NOT_METRICS = ("scenario", "scenario_label", "sample_index", "sample_id", "checkpoint_id", "artist_key", "artist_index", "artist_clip_index", "track_id", "clip_id", "start_ms", "end_ms", "caption_sha256_16", "predicted_artist_index", "predicted_artist_key", "num_clips", "num_reference_windows", "num_generated_windows")
+
+
+def describe_metrics(long: DataFrame) -> DataFrame:
+    """long (metric as stem:column, ...) with metric_id, label and direction: those of a known
+    metric of that column, else metric itself, the column's name and null."""
+    column = F.substring_index("metric", ":", -1)
+    known = F.create_map(*(F.lit(x) for k, (label, _, c, way) in KNOWN_METRICS.items() for x in (c, f"{k}\t{label}\t{way}")))
+    parts = F.split(F.element_at(known, column), "\t")
+    return long.withColumns({"metric_id": F.coalesce(F.get(parts, F.lit(0)), "metric"), "label": F.coalesce(F.get(parts, F.lit(1)), F.initcap(F.replace(column, F.lit("_"), F.lit(" ")))), "direction": F.get(parts, F.lit(2))})
 
 
 def metric_columns(df: DataFrame, keys: list[str]) -> list[str]:
     """Columns whose values all read as numbers, at least one not empty: one aggregate."""
-    names = [c for c in df.columns if c not in keys and c != "scenario"]
+    names = [c for c in df.columns if c not in keys and c not in NOT_METRICS]
     filled = lambda c: F.trim(F.col(c)) != ""
     checks = [F.struct(F.count_if(filled(c)).alias("n"), F.count_if(filled(c) & F.col(c).try_cast("double").isNull()).alias("bad")).alias(c) for c in names]
     row = df.agg(*checks).first()
@@ -88,19 +124,24 @@ def unpivot_metrics(df: DataFrame, columns: list[str], stem: str, keys: tuple[st
 
 
 def read_metric_table(spark: SparkSession, path: str, stem: str) -> DataFrame:
-    """A long-form CSV with a scenario column: entity_level, entity, scenario, metric, value."""
+    """A long-form CSV with a scenario column: entity_level, entity, scenario, metric, value, and
+    what is known of the metric (describe_metrics)."""
     df = spark.read.csv(path, header=True)
     entity = next((k for k in ENTITY_KEYS if k in df.columns), None)
     if "scenario" not in df.columns or entity is None:
         raise ValueError("a metric table needs a scenario and an entity column")
     found = metric_columns(df, list(ENTITY_KEYS))
-    return unpivot_metrics(df, found, stem, ("scenario", entity)).withColumnRenamed(entity, "entity").withColumn("entity_level", F.lit(entity))
+    return describe_metrics(unpivot_metrics(df, found, stem, ("scenario", entity)).withColumnRenamed(entity, "entity").withColumn("entity_level", F.lit(entity)))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A published-results document as rows: section, row, label, metric, value, shown (fixed
-    decimals, an em dash for null). Repeated or blank row ids are an error."""
-    schema = "sections array<struct<id:string,rows array<struct<id:string,label:string,values:map<string,double>>>>>".replace("rows array", "rows:array")
+    decimals, an em dash for null). Repeated or blank ids of rows, and of metrics where the
+    document's groups name them (metric_groups: id, metrics of id and label), are an error."""
+    schema = "metric_groups array<struct<id:string,label:string,metrics:array<struct<id:string,label:string>>>>, sections array<struct<id:string,rows:array<struct<id:string,label:string,values:map<string,double>>>>>"
+    metrics = metric_groups(spark, path)
+    if not metrics.groupBy("metric").agg(F.count("*").alias("n")).where("n > 1 or metric is null or trim(metric) = ''").isEmpty():
+        raise ValueError("metrics need distinct ids")
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("sections").alias("s")).select(F.col("s.id").alias("section"), F.explode("s.rows").alias("r"))
     bad = rows.groupBy("section", F.col("r.id").alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null or trim(id) = ''")
     if not bad.isEmpty():
@@ -109,6 +150,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return long.select("section", "row", "label", F.col("e.key").alias("metric"), F.col("e.value").alias("value"), F.coalesce(F.format_string("%.3f", "e.value"), F.lit("—")).alias("shown")).withColumn("shown", F.when(F.col("value").isNull(), "—").otherwise(F.col("shown")))
 
 
+def metric_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The metric groups of a results document: group, group_label, metric, label."""
+    schema = "metric_groups array<struct<id:string,label:string,metrics:array<struct<id:string,label:string>>>>"
+    groups = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("metric_groups").alias("g"))
+    return groups.select(F.col("g.id").alias("group"), F.col("g.label").alias("group_label"), F.explode("g.metrics").alias("m")).select("group", "group_label", F.col("m.id").alias("metric"), F.col("m.label").alias("label"))
+
+
 def content_digest(c) -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
@@ -136,8 +184,22 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     _filled(df).orderBy(*order).write.mode("overwrite").csv(path, header=True)
 
 
-def write_selection(selected: DataFrame, captions: DataFrame, artists: DataFrame, folder: str) -> None:
-    """The selection's three tables: songs, captions (song x caption), artists."""
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One small document (a configuration, statistics), pretty-printed by key."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def union_rows(*tables: DataFrame) -> DataFrame:
+    """Rows of several tables under the union of their columns (what one lacks is null)."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def write_selection(selected: DataFrame, captions: DataFrame, artists: DataFrame, folder: str, config: dict | None = None, stats: dict | None = None) -> None:
+    """The selection's outputs: songs, captions (song x caption), artists; config and stats."""
+    for name, value in (("config", config), ("selection_stats", stats)):
+        if value is not None:
+            write_json(selected.sparkSession, value, f"{folder}/{name}")
     for name, df in (("songs", selected), ("captions", selected.join(captions, "track_id")), ("artists", artists)):
         _filled(df).write.mode("overwrite").parquet(f"{folder}/{name}")
 

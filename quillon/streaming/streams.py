@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.readers import CATALOG
-
-
-def stream_catalog(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """Accepted catalogue rows, the first arrival of each id. Unlike the batch funnel, which keeps
-    the first by file order, arrival decides; the ids seen are state that grows with them."""
-    raw = spark.readStream.schema(CATALOG).option("maxFilesPerTrigger", files_per_trigger).json(folder)
-    genres = F.coalesce(F.col("musicinfo.tags.genres"), F.col("music_info.tags.genres"))
-    ok = F.col("id").isNotNull() & F.coalesce("artist_id", "artist_name").isNotNull() & F.col("audiodownload").isNotNull() & F.coalesce("audiodownload_allowed", F.lit(True)) & (F.size(genres) > 0)
-    return raw.where(ok).select(F.col("id").alias("track_id"), "artist_id", "artist_name", genres.alias("genres")).dropDuplicates(["track_id"])
+from quillon.functions.text import artist_key, clean_text, normalize_genres
+from quillon.sources.readers import CATALOG, DATED
+
+
+def stream_catalog(spark: SparkSession, folder: str, files_per_trigger: int = 1, glob: str = DATED, watermark: str | None = None) -> DataFrame:
+    """Accepted catalogue rows of files named YYYY-MM-DD.jsonl (or as glob says), the first arrival
+    of each id. Ids, artists and genres are cleaned as in the batch reader. Unlike the batch
+    funnel, which keeps the first by file order, arrival decides; the ids seen are state that
+    grows with them, unless a watermark on the files' time (such as "7 days") bounds it: then an
+    id may return after that time."""
+    reader = spark.readStream.schema(CATALOG).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob)
+    raw = reader.json(folder).withColumn("seen_at", F.col("_metadata.file_modification_time"))
+    genres = normalize_genres(F.coalesce(F.col("musicinfo.tags.genres"), F.col("music_info.tags.genres")))
+    tidy = raw.select(clean_text("id").alias("track_id"), clean_text("artist_id").alias("artist_id"), clean_text("artist_name").alias("artist_name"), genres.alias("genres"), clean_text("audiodownload").alias("url"), "audiodownload_allowed", "seen_at")
+    ok = F.col("track_id").isNotNull() & F.coalesce("artist_id", "artist_name").isNotNull() & F.col("url").isNotNull() & F.coalesce("audiodownload_allowed", F.lit(True)) & (F.size("genres") > 0)
+    kept = tidy.where(ok).withColumn("artist_key", artist_key("artist_id", "artist_name")).select("track_id", "artist_id", "artist_name", "artist_key", "genres", "seen_at")
+    if watermark is None:
+        return kept.dropDuplicates(["track_id"]).drop("seen_at")
+    return kept.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["track_id"]).drop("seen_at")
 
 
 def stream_metric_means(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -23,6 +32,19 @@ def stream_metric_means(spark: SparkSession, folder: str, schema: str, files_per
     return rows.groupBy("scenario", "artist_key").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
 
 
+def drained(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Process what is there into a table in the folder and return it. In complete mode each batch
+    replaces the table."""
+    out = f"{folder}/table"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    (q.foreachBatch(put)).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is there and return the memory sink's table (for tests and small results)."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
