@@ -45,7 +45,7 @@ def emptied_id(col: str) -> Column:
 
 
 #: Bytes that a broadcast may take in each executor.
-BROADCAST_BYTES = 48_000_000
+BROADCAST_BYTES = 16_000_000
 
 
 def fits_broadcast(df: DataFrame) -> bool:

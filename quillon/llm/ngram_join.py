@@ -64,7 +64,7 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
 
 #: n-grams that are ordered last in the prefixes, and how often one must occur among so many of a
 #: task to be a candidate.
-FREQUENT, LEAST, AMONG = 200_000, 4, 2_000_000
+FREQUENT, LEAST, AMONG = 50_000, 4, 2_000_000
 
 
 def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
