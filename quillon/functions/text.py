@@ -184,7 +184,7 @@ def slug(c, fallback="item", limit: int = 80) -> Column:
 
 def numbered_directory(index, name) -> Column:
     """Four digits of the index and the name's ASCII letters: 0007_Some_Name."""
-    return F.concat(F.lpad(_col(index).cast("string"), 4, "0"), F.lit("_"), F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(nfkd_ascii(_col(name)), r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", ""), F.lit("")), F.lit("artist")))
+    return F.concat(F.format_string("%04d", _col(index)), F.lit("_"), F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(nfkd_ascii(_col(name)), r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", ""), F.lit("")), F.lit("artist")))
 
 
 def artist_directory(artist_id, artist_key) -> Column:

@@ -148,8 +148,9 @@ def test_streams_equal_batch(spark, tmp_path):
     src = tmp_path / "cat"
     src.mkdir()
     row = '{{"id":"{}","artist_id":"7","audiodownload":"u","musicinfo":{{"tags":{{"genres":["Rock"]}}}}}}\n'
-    (src / "1.jsonl").write_text(row.format(1) + row.format(2) + row.format(1))
-    (src / "2.jsonl").write_text(row.format(2) + row.format(3))
+    (src / "2024-01-01.jsonl").write_text(row.format(1) + row.format(" 2 ") + row.format(1))
+    (src / "2024-01-02.jsonl").write_text(row.format(2) + row.format(3))
+    (src / "captions.jsonl").write_text(row.format(4))
     got = streams.run_available(streams.stream_catalog(spark, str(src)), "catalog_rows", str(tmp_path / "c1"))
     assert sorted(z["track_id"] for z in got.collect()) == ["1", "2", "3"]
     values = spark.createDataFrame([("a", i % 3, float(i)) for i in range(30)], "scenario string, artist_key int, value double")
@@ -198,3 +199,70 @@ def test_anova_centres_without_a_window(spark):
     ss, artists = 9 * (y.mean(axis=0) ** 2).sum(), 3 * (y.mean(axis=1) ** 2).sum()
     assert np.isclose(found.first()["f_statistic"], (ss / 2) / (((y**2).sum() - ss - artists) / 16))
     assert "Window" not in _plan(found)
+
+
+def test_names_of_records(spark):
+    from quillon.functions import text as t
+
+    df = spark.createDataFrame([(3, "Été & Co.", "a b", ""), (12345, "___", " ", "x/track_77/clip_000001500_000002500.flac")], "i int, name string, id string, audio string")
+    got = df.select(t.numbered_directory("i", "name"), t.artist_directory(F.trim("id"), "name"), t.slug("name", "none"), t.track_identifier("id", "audio", "i"), t.clip_identifier("id", "audio", "i"), t.milliseconds(F.lit(None).cast("double"), "audio", 1)).collect()
+    assert tuple(got[0]) == ("0003_Ete_Co", "artist_a b", "t_Co", "a b", "a b", None)
+    assert tuple(got[1]) == ("12345_artist", got[1][1], "none", "77", "clip_000001500_000002500", 1500)
+    assert got[1][1].startswith("artist_name_") and len(got[1][1]) == 24
+
+
+def test_what_is_missing_or_ambiguous_is_an_error(spark, tmp_path):
+    from quillon.functions.udf import group_eval
+    from quillon.operators import curation, dataset, ranking
+
+    people = spark.createDataFrame([(1, "Ann"), (2, "ann"), (3, "Bo")], "entity int, name string")
+    asked = spark.createDataFrame([("BO",), ("Ann",), ("Cy",)], "value string").withColumn("request", F.col("value"))
+    assert {r["request"]: (r["how"], r["matches"]) for r in ranking.resolve_entity(asked, people).collect()} == {"BO": ("name", 1), "Ann": ("name", 2), "Cy": (None, 0)}
+    scored = spark.createDataFrame([("t", "k", None, 1.0, 1)], "track_id string, artist_key string, album_id string, signature_score double, tag_overlap int")
+    profiles = spark.createDataFrame([("k", "pop", 3)], "artist_key string, dominant_genre string, clips int")
+    clips = spark.createDataFrame([(1, "a.wav")], "sample_id int, path string")
+    cached = spark.createDataFrame([(1, "old")], "id int, sha string")
+    checked = x.cache_valid(cached, spark.createDataFrame([(1, "new"), (2, "new")], "id int, sha string"), "id", ["sha"])
+    metrics = '{"metric_groups":[{"id":"g","metrics":[{"id":"kl"},{"id":"kl"}]}],"sections":[]}'
+    (tmp_path / "twice.json").write_text(metrics)
+    for fails in (
+        lambda: ranking.resolve_entity(asked, people, strict=True),
+        lambda: curation.select_representative(scored, 2),
+        lambda: dataset.filter_records(scored, ["nobody"], None, "genres"),
+        lambda: ranking.demo_bundle(spark.createDataFrame([(9, "g")], "sample_id int, group string"), clips, ["path"]),
+        lambda: ranking.choose_evaluation_artists(profiles, 1, 1, 0),
+        lambda: ranking.choose_evaluation_artists(profiles, 1, 0, 0, targets=["nobody"]),
+        lambda: ranking.choose_evaluation_artists(profiles, 1, 0, 0, targets=["k"], controls=["k"]),
+        lambda: x.require_valid(checked, cached, "id"),
+        lambda: readers.read_results(spark, str(tmp_path / "twice.json")),
+    ):
+        with pytest.raises(ValueError):
+            fails()
+    assert [r["id"] for r in x.require_valid(checked, cached, "id", overwrite=True).orderBy("id").collect()] == [1, 2]
+    assert ranking.choose_evaluation_artists(profiles, 1, 0, 0, targets=["k"]).collect() == [("k", "target", 0)]
+    with pytest.raises(Exception, match="evaluation gave"):
+        group_eval(people, "name", lambda g: {"n": 1}, ["m"]).collect()
+    with pytest.raises(FileNotFoundError):
+        readers.read_catalog(spark, str(tmp_path))
+
+
+def test_bootstrap_draws_are_those_of_the_digests(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [("m", s, k, float(v)) for k in range(40) for s, v in (("a", rng.normal()), ("b", rng.normal() + 0.3))]
+    d = h.paired_differences(h.metric_matrix(spark.createDataFrame(rows, "metric string, scenario string, artist_key int, value double"), ["a", "b"]))
+    y = np.array([r["d"] for r in d.orderBy("artist_key").collect()])
+    picks = [[int(hashlib.md5(f"0:{r}:{i // 4}".encode()).hexdigest()[i % 4 * 8 : i % 4 * 8 + 8], 16) % 40 for i in range(40)] for r in range(150)]
+    means = [y[p].mean() for p in picks]
+    got = h.bootstrap_ci(d, 150).first()
+    assert (got["low"], got["high"]) == (pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+    assert h.bootstrap_ci(d, 150).rdd.getNumPartitions() >= 1 and h.permutation_p(d, 130).count() == 1
+
+
+def test_agreement_of_templates(spark):
+    from quillon.operators.series import agreement
+
+    left = spark.createDataFrame([(1, 5), (2, 6)], "k int, template int")
+    right = spark.createDataFrame([(1, 5), (2, 7)], "k int, template int")
+    assert tuple(agreement(left, right, ["k"]).first()) == (0.5, 2)
