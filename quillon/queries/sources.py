@@ -23,11 +23,22 @@ def a1(spark, d):
     return r.read_catalog(spark, path, "*.txt").select(F.coalesce("id", F.lit("")).alias("id"), F.col("_corrupt").isNotNull().alias("corrupt"), F.coalesce(F.array_join("genres", " "), F.lit("")).alias("genres"))
 
 
-@query("a2_read_captions", "SELECT l_suppkey || '-' || l_partkey AS track_id, count(*) AS n, sum(l_quantity) AS seconds FROM lineitem WHERE l_suppkey % 4 = 1 GROUP BY 1")
+@query("a1_catalog_tracks", "SELECT p_partkey::VARCHAR AS track_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'id:' || p_size ELSE 'name:' || lower(p_brand) END AS artist_key, lower(p_type) AS genres, 'genre:' || lower(p_type) || '|instrument:' || lower(p_brand) AS style_tags FROM part")
+def a1t(spark, d):
+    tags = F.struct(F.struct(F.array("p_type", F.concat(F.lit(" "), F.upper("p_type"))).alias("genres"), F.array("p_brand").alias("instruments")).alias("tags"))
+    own = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(" ")
+    row = F.struct(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), own.alias("artist_id"), F.col("p_brand").alias("artist_name"), tags.alias("musicinfo"))
+    path = fresh_path(spark)
+    table(spark, d, "part").select(F.to_json(row).alias("value")).write.text(path)
+    t = r.catalog_tracks(r.read_catalog(spark, path, "*.txt"))
+    return t.select("track_id", "title", "artist_key", F.array_join("genres", "|").alias("genres"), F.array_join("style_tags", "|").alias("style_tags"))
+
+
+@query("a2_read_captions", "SELECT l_suppkey || '-' || l_partkey AS track_id, count(*) AS n, sum(l_quantity) AS seconds FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 20 GROUP BY 1")
 def a2(spark, d):
     path = fresh_path(spark)
     captions(spark, d).select(F.col("track_id").alias("id"), F.col("text").alias("caption"), "start_time", "end_time").write.json(path)
-    wanted = tracks(spark, d).where(F.split_part("track_id", F.lit("-"), F.lit(1)).cast("long") % 4 == 1)
+    wanted = tracks(spark, d).where("duration >= 20")
     return r.read_captions(spark, path, wanted).groupBy("track_id").agg(F.count("*").alias("n"), F.sum(F.col("end_time") - F.col("start_time")).alias("seconds"))
 
 
