@@ -64,7 +64,7 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
 
 #: n-grams that are ordered last in the prefixes, and how often one must occur among so many of a
 #: task to be a candidate.
-FREQUENT, LEAST, AMONG = 50_000, 4, 2_000_000
+FREQUENT, LEAST, AMONG = 50_000, 4, 1_000_000
 
 
 def frequent_ngrams(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def _possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, num: int, den: i
     keep = den * x[2][i] >= num * y[1][j]
     keep &= den * y[2][j] >= num * x[1][i]
     at = np.flatnonzero(keep)
-    for cut in np.array_split(at, max(1, len(at) * x[0].shape[1] // 4_000_000)):
+    for cut in np.array_split(at, max(1, len(at) * x[0].shape[1] // 1_000_000)):
         a, b = i[cut], j[cut]
         most = np.bitwise_count(x[0][a] & y[0][b]).sum(axis=1).astype(np.int64) + np.minimum(x[3][a], y[3][b])
         most = np.minimum(most, np.minimum(x[2][a], y[2][b]))
