@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillon.sources.stored import stored, unstore
+from quillon.sources.stored import fresh_path, stored, unstore
 
-__all__ = ["stored", "unstore"]
+__all__ = ["fresh_path", "stored", "unstore"]
 
 
 def remainder(col: str, modulus: int) -> Column:

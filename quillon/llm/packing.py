@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import RecentWords, emptied_id, filled_id, map_texts, matching, parts, stored, unstore, word_bytes
 
 END_ID = 1
+#: Bytes of token ids of words that a Python worker remembers.
+TOKEN_BYTES = 80_000_000
 # Characters for which lower-casing and word classes are the same in every library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -59,7 +61,7 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             out += [blob[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
         return out
 
-    words = RecentWords(learn, word_bytes)
+    words = RecentWords(learn, word_bytes, TOKEN_BYTES)
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [PRETOKEN.findall(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in special) else None for t in texts]

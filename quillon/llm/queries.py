@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from .ann import inner_product_search
 from .chat import repair_chats
-from .common import remainder
+from .common import fresh_path, remainder
 from .langid import identify_language, train_language_model
 from .licenses import known_licenses, known_notices, oracle_sql, scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .records import token_files
 from .threshold_search import threshold_search
 from .toxicity import score_toxicity, train_toxicity
 from .viterbi import encode_texts
@@ -48,6 +49,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=2048)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), fresh_path(spark), end_id=2)
+    return read.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of pieces, xxhash64 of the ids, and whether decoding them gives the
     text back."""
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_license_scan": oracle_sql()}
