@@ -15,6 +15,7 @@ from .licenses import known_licenses, known_notices, oracle_sql, scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .periodic import periodic_runs, planted
 from .records import token_files
 from .threshold_search import threshold_search
 from .toxicity import score_toxicity, train_toxicity
@@ -49,6 +50,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=2048)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs(docs, shortest=6, exponent=4).drop("text")
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    length = (-longest["less"]).alias("length")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"),
+        length,
+        longest["period"].alias("period"),
+        F.floor(1000 * -longest["less"] / longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), fresh_path(spark), end_id=2)
     return read.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
@@ -98,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_token_files": op13_token_files,
 }
 
