@@ -17,6 +17,7 @@ from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .periodic import periodic_runs, planted
 from .records import token_files
+from .spelling import document_words, variant_groups
 from .threshold_search import threshold_search
 from .toxicity import score_toxicity, train_toxicity
 from .viterbi import encode_texts
@@ -50,6 +51,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=2048)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(document_words(_table(spark, sf_dir, "documents"), shortest=6, occurrences=5, misspelt=199), times=5)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
     found = periodic_runs(docs, shortest=6, exponent=4).drop("text")
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_files": op13_token_files,
 }
