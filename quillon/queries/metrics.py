@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillon.functions import accumulators as acc
 from quillon.functions import arrays as a
 from quillon.functions import udf as u
 from quillon.operators import dataset as ds
@@ -469,3 +470,20 @@ def u1(spark, d):
 @query("u2_group_eval", f"WITH {V_METRIC} SELECT scenario, 'median' AS metric, round(median(value), 6) AS value FROM v_metric GROUP BY 1")
 def u2(spark, d):
     return u.group_eval(metrics(spark, d), "scenario", lambda g: {"median": float(np.median(g["value"]))}, ["median"]).withColumn("value", F.round("value", 6))
+
+
+@query("u3_accumulated_metrics", f"""WITH {E}, h AS (SELECT label, list_position(l, list_max(l)) - 1 = label AS hit, {P} - exp(g[label + 1] - {LSE.format('g')}) AS lost FROM e)
+SELECT round(avg(hit::INT), 9) AS rate, round(avg(hit::INT) FILTER (WHERE label NOT IN (1, 4)), 9) AS accuracy, count(*) FILTER (WHERE label NOT IN (1, 4))::DOUBLE AS others, round(avg(lost), 6) AS gap, count(*)::DOUBLE AS n FROM h""")
+def u3(spark, d):
+    """E18 to E20 as user metrics."""
+    v = vectors(spark, d)
+    rate = acc.accumulate(v.select("l", "label"), acc.TargetRate("l", "label")).select(F.round("rate", 9).alias("rate"))
+    other = acc.accumulate(v.select("l", "label"), acc.OtherAccuracy("l", "label", [1, 4])).select(F.round("accuracy", 9).alias("accuracy"), F.col("n").alias("others"))
+    gap = acc.accumulate(v.select("l", "g", "label"), acc.ForgettingGap("l", "g", "label")).select(F.round("gap", 6).alias("gap"), "n")
+    return rate.join(F.broadcast(other)).join(F.broadcast(gap))
+
+
+@query("u3_cat_state", f"WITH {V_METRIC} SELECT artist_key, round(median(value), 6) AS median, round(min(value), 6) AS low, round(max(value), 6) AS high FROM v_metric GROUP BY 1")
+def u3c(spark, d):
+    spread = acc.accumulate(metrics(spark, d).select("artist_key", "value"), acc.Spread("value"), "artist_key")
+    return spread.select("artist_key", *r6("median", "low", "high"))
