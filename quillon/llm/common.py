@@ -150,6 +150,26 @@ def word_bytes(word: str, value: bytes) -> int:
     return 220 + len(word) * (1 if word.isascii() else 4) + len(value)
 
 
+class WordMemory(dict):
+    """What learn gives for a word, remembered within about `limit` bytes: two generations, as in
+    RecentWords, filled word by word."""
+
+    def __init__(self, learn: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.learn, self.limit, self.old, self.bytes = learn, limit, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = self.learn(word)
+        self.bytes += word_bytes(word, value)
+        if self.bytes > self.limit // 2:
+            self.old, self.bytes = self.copy(), 0
+            self.clear()
+        self[word] = value
+        return value
+
+
 def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows with equal keys, joined across Arrow batches. The input must be
     partitioned and sorted by the keys; one run at a time is held."""

@@ -21,52 +21,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RecentWords, emptied_id, filled_id, map_texts, matching, parts, stored, unstore, word_bytes
+from .common import WordMemory, emptied_id, filled_id, map_texts, matching, parts, stored, unstore
 
 END_ID = 1
 #: Bytes of token ids of words that a Python worker remembers.
-TOKEN_BYTES = 80_000_000
+TOKEN_BYTES = 96_000_000
 # Characters for which lower-casing and word classes are the same in every library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable Latin-1 for itself,
+    the other bytes from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0x100)} - {0xAD}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @functools.lru_cache(maxsize=1)
 def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """An encoder of texts to ids (little-endian unsigned 32-bit) with the word-level tokenizer
-    file at path, one per Python worker. Plain texts are split here and each distinct word is
-    encoded once while it is remembered; other texts go to the tokenizer whole. New words are
-    encoded many at a time, as one text: every word's last piece is marked as such."""
+    file at path, one per Python worker. Plain texts are split here, and each distinct word is
+    merged by the file's model once while it is remembered; other texts go to the tokenizer whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    merged, letters = tokenizer.model.tokenize, _byte_letters()
+    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
-    last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-    last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-
-    def raw(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def raw(text: str) -> bytes:
+        return b"".join(packed[i] for i in tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def learn(new: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = raw(" ".join(some))
-            ends = [0, *(np.flatnonzero(last[ids]) + 1).tolist()]
-            if len(ends) != len(some) + 1:
-                raise ValueError("the tokenizer does not mark the ends of words")
-            blob = ids.tobytes()
-            out += [blob[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
-        return out
+    def learn(word: str) -> bytes:
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+        return b"".join([packed[piece.id] for piece in merged(written)])
 
-    words = RecentWords(learn, word_bytes, TOKEN_BYTES)
+    ids = WordMemory(learn, TOKEN_BYTES).__getitem__
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [PRETOKEN.findall(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in special) else None for t in texts]
-        found = words({w for own in split if own for w in own})
-        return [raw(t).tobytes() if own is None else b"".join(map(found.__getitem__, own)) for t, own in zip(texts, split, strict=True)]
+        plain = [PLAIN.fullmatch(t) and not any(s in t for s in special) for t in texts]
+        return [b"".join(map(ids, PRETOKEN.findall(t.lower()))) if p else raw(t) for t, p in zip(texts, plain, strict=True)]
 
     return encode
 

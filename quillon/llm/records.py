@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import mix64, parts, stored, text_slices, unstore
+from .common import mix64, parts, text_slices
+from .packing import token_encoder
 
 FORMAT = "quillon_records"
 MANIFEST = "manifest.json"
@@ -35,6 +36,8 @@ MANIFEST = "manifest.json"
 CASTAGNOLI, MASK = 0x82F63B78, 0xA282EAD8
 BLOCK = 64  # bytes that one step of the checksum takes
 HEADER = np.dtype([("key", "<i8"), ("width", "<u2"), ("empty", "<u2")])
+ROWS = "key long, ids binary, width int"
+LAST_KEY = (1 << 63) - 1
 SHARD_BYTES = 64_000_000
 READ_BYTES = 8_000_000
 SHUFFLED_ROWS = 1024  # records that a shuffled read holds
@@ -315,20 +318,51 @@ class RecordFiles(DataSource):
         return RecordReader(self.options["path"], self._ids(), None if seed is None else int(seed))
 
 
-def write_records(rows: DataFrame, path: str) -> None:
-    """Write rows (key long, ids binary, width int: bytes of an id) in ascending order of key,
-    null keys last, rows of one key by their ids. What path held before is replaced once all is
-    written. An empty table gives a manifest without shards. path: as Spark and pyarrow.fs know
-    it (file, hdfs, s3, gs)."""
+def _shards(df: DataFrame, key: Column, size: Column) -> tuple[int, list[int]]:
+    """How many shards df's rows get, and the keys (null ones as the greatest) at which they part:
+    a key that many rows share stands there several times."""
+    n = max(parts(df), -(-df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()[0] // SHARD_BYTES))
+    cuts = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(F.coalesce(key.cast("long"), F.lit(LAST_KEY)), cuts, 100 * n)).first()[0] if cuts else []
+    return n, list(found or [])
+
+
+class Dealer:
+    """The shard of each key. Rows of a key at which several shards part go to these in turn."""
+
+    def __init__(self, cuts: list[int]) -> None:
+        self.cuts, self.turn = np.array(cuts, dtype=np.int64), 0
+
+    def __call__(self, key: pa.Array) -> pa.Array:
+        keys = key.fill_null(LAST_KEY).to_numpy()
+        low, high = (np.searchsorted(self.cuts, keys, side=s) for s in ("left", "right"))
+        turn = self.turn + np.arange(len(keys))
+        self.turn += len(keys)
+        return pa.array((low + turn % (high - low + 1)).astype(np.int32))
+
+
+def _write_dealt(rows: DataFrame, n: int, path: str) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(RecordFiles)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
-    dealt = rows.select("key", "ids", F.col("width").cast("int").alias("width"), F.xxhash64("ids").alias("hash"), F.spark_partition_id().alias("part"))
-    order = [F.col("key").asc_nulls_last(), "hash", "part"]
-    ordered = dealt.repartitionByRange(max(parts(rows), -(-size // SHARD_BYTES)), *order).sortWithinPartitions(F.col("key").asc_nulls_last(), "hash", "ids")
+    ordered = rows.repartitionById(n, "shard").sortWithinPartitions(F.col("key").asc_nulls_last(), F.xxhash64("ids"), "ids")
     ordered.select("key", "ids", "width").write.format(FORMAT).mode("append").save(path)
 
 
+def write_records(rows: DataFrame, path: str) -> None:
+    """Write rows (key long, ids binary, width int: bytes of an id) in ascending order of key,
+    null keys last. What path held before is replaced once all is written. An empty table gives a
+    manifest without shards. path: as Spark and pyarrow.fs know it (file, hdfs, s3, gs)."""
+    n, cuts = _shards(rows, F.col("key"), F.octet_length("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Dealer(cuts)
+        for batch in batches:
+            yield batch.append_column("shard", deal(batch["key"]))
+
+    plain = rows.select(F.col("key").cast("long").alias("key"), "ids", F.col("width").cast("int").alias("width"))
+    _write_dealt(plain.mapInArrow(run, f"{ROWS}, shard int"), n, path)
+
+
 def read_records(spark: SparkSession, path: str, ids: bool = True, seed: int | None = None) -> DataFrame:
     """The records of a folder: position (from 0), key, start (ids of all records before), n_ids,
     ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and ids. Lengths, checksums
@@ -339,32 +373,33 @@ def read_records(spark: SparkSession, path: str, ids: bool = True, seed: int | N
     return (reader if seed is None else reader.option("seed", seed)).load(path)
 
 
-def encode_records(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def encode_records(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: list[int] | None = None) -> DataFrame:
     """docs (doc_id, text) as rows for write_records, ids of the word-level tokenizer and end_id
-    after each text (a null text: end_id only), two bytes an id where the vocabulary allows."""
-    from .packing import token_encoder
+    after each text (a null text: end_id only), two bytes an id where they allow. With cuts the
+    rows have their shard, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_encoder(tokenizer_path)
+        encode, deal = token_encoder(tokenizer_path), Dealer(cuts or [])
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for rows in text_slices(batch, "text"):
                 ids = [np.frombuffer(b + end, dtype="<u4") for b in encode([t or "" for t in rows["text"].to_pylist()])]
                 width = [2 if v.max() < 1 << 16 else 4 for v in ids]
                 values = [v.astype(f"<u{w}").tobytes() for v, w in zip(ids, width, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows["key"], pa.array(values, pa.binary()), pa.array(width, pa.int32())], names=["key", "ids", "width"])
+                columns = [rows["key"], pa.array(values, pa.binary()), pa.array(width, pa.int32()), deal(rows["key"])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "width", "shard"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, "key long, ids binary, width int")
+    return docs.select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, f"{ROWS}, shard int")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> DataFrame:
     """Write docs (doc_id, text) as records of token ids into path and read them back.
 
-    Every row is one record, repeated rows and null doc_ids (last) too; a null or empty text is
-    end_id alone; further columns are ignored. Returns read_records without the ids. The encoded
-    rows are stored before they are sorted, so no text is encoded twice and none is shuffled.
+    Every row is one record, repeated rows and null doc_ids (last) too, rows of one doc_id in no
+    stated order; a null or empty text is end_id alone; further columns are ignored. Returns
+    read_records without the ids. Shards part at quantiles of doc_id, so ids are dealt out as
+    they are made: no text is encoded twice, and none is shuffled.
     """
-    coded = stored(encode_records(docs, tokenizer_path, end_id))
-    write_records(coded, path)
-    unstore(coded)
+    n, cuts = _shards(docs, F.col("doc_id"), F.octet_length("text") / 2)
+    _write_dealt(encode_records(docs, tokenizer_path, end_id, cuts), n, path)
     return read_records(docs.sparkSession, path, ids=False)

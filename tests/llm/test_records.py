@@ -77,7 +77,7 @@ def test_awkward_rows(spark, awkward, nothing, tmp_path):
     rows = token_files(awkward, path, f"file://{tmp_path}/a").orderBy("position").collect()
     wanted = sorted(((r["doc_id"], tokens(r["text"])) for r in awkward.collect()), key=lambda x: (x[0] is None, x[0] or 0))
     assert [r["key"] for r in rows] == [k for k, _ in wanted]
-    assert [(r["n_ids"], r["ids_crc32"]) for r in rows] == [(len(v), zlib.crc32(np.array(v, dtype="<u4"))) for _, v in wanted]
+    assert [(r["key"], r["n_ids"], r["ids_crc32"]) for r in rows] == [(k, len(v), zlib.crc32(np.array(v, dtype="<u4"))) for k, v in wanted]
     assert [r["start"] for r in rows] == [sum(len(v) for _, v in wanted[:i]) for i in range(len(wanted))]
     for seed in (None, 3):
         again = read_records(spark, f"file://{tmp_path}/a", seed=seed).orderBy("start").collect()
@@ -92,7 +92,7 @@ def test_one_key_for_most_rows_has_no_single_shard(spark, tmp_path):
     same = spark.range(4000, numPartitions=8).select(F.lit(7).cast("long").alias("key"), F.encode(F.when(F.col("id") < 3000, "same").otherwise(F.col("id").cast("string")), "utf-8").alias("ids"), F.lit(1).alias("width"))
     write_records(same, f"{tmp_path}/a")
     shards = json.loads(Path(f"{tmp_path}/a/manifest.json").read_text())
-    assert sum(s[1] for s in shards) == 4000 and max(s[1] for s in shards) < 2600
+    assert sum(s[1] for s in shards) == 4000 and max(s[1] for s in shards) < 1500
     assert read_records(spark, f"{tmp_path}/a", ids=False).groupBy("ids_crc32").count().where("count > 1").first()["count"] == 3000
 
 
