@@ -243,10 +243,16 @@ def planted(text: Column, doc_id: Column) -> Column:
     the words from some place on repeat a few of them. A null id plants nothing."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        rest = F.flatten(F.array_repeat(F.slice(words, a + 1, p), times))
+        return F.when(n > 0, F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), rest), F.lit(1), n), " "))
+
+    # The words are bound by a lambda, so that they are split once for each text.
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    n = F.size(words).cast("long")
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    index = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
-    repeated = F.array_join(F.transform(index, lambda i: F.get(words, i.cast("int"))), " ")
-    return F.when((h % 10 == 0) & (n > 0), repeated).otherwise(text)
+    found = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    return F.when(h % 10 == 0, F.coalesce(found, text)).otherwise(text)
