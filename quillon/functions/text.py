@@ -125,9 +125,25 @@ def clean_float(c) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def casefold(c) -> Column:
+    """Lower case for comparison: beyond lower(), sharp s becomes ss and a final sigma a sigma."""
+    return F.translate(F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
+def labels(v) -> Column:
+    """The labels that a VARIANT holds, as an array of strings: a text is one label, an array's
+    values are one each (null stays null, an object is its JSON text), all else has none."""
+    v = _col(v)
+    one = lambda x: F.when(~F.is_variant_null(x), F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    kind = F.schema_of_variant(v)
+    several = F.transform(F.try_variant_get(v, "$", "array<variant>"), one)
+    return F.when(kind.startswith("ARRAY"), several).when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.array().cast("array<string>"))
+
+
 def normalize_genres(c) -> Column:
-    """Trimmed, lower-cased, distinct, sorted labels of an array (null: empty)."""
-    cleaned = F.transform(F.coalesce(_col(c), F.array().cast("array<string>")), lambda x: F.lower(clean_text(x)))
+    """Trimmed, casefolded, distinct, sorted labels of an array (null: empty); of a scalar or an
+    array in a VARIANT: normalize_genres(labels(v))."""
+    cleaned = F.transform(F.coalesce(_col(c), F.array().cast("array<string>")), lambda x: casefold(clean_text(x)))
     return F.array_sort(F.array_distinct(F.filter(cleaned, lambda x: x.isNotNull())))
 
 
@@ -142,8 +158,8 @@ def style_tags(genres, instruments, vartags) -> Column:
 
 
 def artist_key(artist_id, name) -> Column:
-    """id:<id>, else name:<lower-cased name>, else null."""
-    return F.coalesce(F.concat(F.lit("id:"), clean_text(artist_id)), F.concat(F.lit("name:"), F.lower(clean_text(name))))
+    """id:<id>, else name:<casefolded name>, else null."""
+    return F.coalesce(F.concat(F.lit("id:"), clean_text(artist_id)), F.concat(F.lit("name:"), casefold(clean_text(name))))
 
 
 def record_artist_key(*columns) -> Column:
@@ -157,7 +173,8 @@ def track_key(artist, track_id, audio) -> Column:
 
 
 def record_genres(values, fallback=None) -> Column:
-    """Trimmed, distinct, sorted labels of an array, else of one fallback label."""
+    """Trimmed, distinct, sorted labels of an array, else of one fallback label; of a scalar or an
+    array in a VARIANT: record_genres(labels(v))."""
     own = F.filter(F.transform(_col(values), clean_text), lambda x: x.isNotNull())
     one = F.filter(F.array(clean_text(fallback)), lambda x: x.isNotNull()) if fallback is not None else F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.when(F.size(own) > 0, own).otherwise(one)))

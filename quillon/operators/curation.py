@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import FAMILIES, direct_family, stable_hash
+from quillon.operators.counters import Counters, watched
 from quillon.operators.dataset import dense_index
 from quillon.sources.stored import stored
 
@@ -15,20 +16,26 @@ from quillon.sources.stored import stored
 UNITS = 360360
 
 
-def funnel(catalog: DataFrame, track_id: str, artist: str, allowed: Column, genres: str, position: list) -> DataFrame:
+REASONS = ("accepted", "missing_id", "duplicate_id", "missing_artist", "not_downloadable", "missing_genres")
+
+
+def funnel(catalog: DataFrame, track_id: str, artist: str, allowed: Column, genres: str, position: list, counters: Counters | None = None) -> DataFrame:
     """catalog with `reason`: accepted, or the first of missing_id, duplicate_id, missing_artist,
     not_downloadable, missing_genres that holds (an unknown `allowed` counts as allowed). A row is
-    a duplicate only of an earlier accepted row (by the position columns)."""
+    a duplicate only of an earlier accepted row (by the position columns). Rows without an id are
+    dealt out by their position. counters: section funnel, rows of each reason."""
     blank = F.col(track_id).isNull()
     fault = F.when(F.col(artist).isNull(), "missing_artist").when(~F.coalesce(allowed, F.lit(True)), "not_downloadable").when(F.coalesce(F.size(genres), F.lit(0)) < 1, "missing_genres")
     marked = catalog.withColumn("_fault", fault).withColumn("_at", F.struct(*position))
-    first = F.min(F.when(F.col("_fault").isNull(), F.col("_at"))).over(Window.partitionBy(track_id))
+    first = F.min(F.when(F.col("_fault").isNull(), F.col("_at"))).over(Window.partitionBy(track_id, F.when(blank, F.xxhash64("_at"))))
     reason = F.when(blank, "missing_id").when(F.col("_at") > first, "duplicate_id").otherwise(F.coalesce("_fault", F.lit("accepted")))
-    return marked.withColumn("reason", reason).drop("_fault", "_at")
+    return watched(counters, marked.withColumn("reason", reason).drop("_fault", "_at"), "funnel", **{r: F.count_if(F.col("reason") == r) for r in REASONS})
 
 
-def dedup_captions(captions: DataFrame) -> DataFrame:
-    return captions.dropDuplicates(["track_id", "start_time", "end_time", "text"])
+def dedup_captions(captions: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """counters: sections captions_read and captions_kept, rows before and after."""
+    kept = watched(counters, captions, "captions_read", rows=F.count("*")).dropDuplicates(["track_id", "start_time", "end_time", "text"])
+    return watched(counters, kept, "captions_kept", rows=F.count("*"))
 
 
 def valid_captions(captions: DataFrame, min_seconds: float = 5.0) -> DataFrame:
@@ -67,10 +74,11 @@ def genre_cooccurrence(tracks: DataFrame, exact=None, keywords=None) -> DataFram
     return votes.groupBy("tag", "family").agg(F.sum("units").alias("units"))
 
 
-def infer_taxonomy(tracks: DataFrame, exact=None, keywords=None, min_cooccurrence: int = 5, min_confidence: float = 0.35) -> DataFrame:
+def infer_taxonomy(tracks: DataFrame, exact=None, keywords=None, min_cooccurrence: int = 5, min_confidence: float = 0.35, counters: Counters | None = None) -> DataFrame:
     """Every tag: family (null if unresolved), how (direct, inferred, unresolved), confidence, and
     n_tracks. The inferred family has most votes, ties to the greatest name. The tracks' genres
-    are read once and stored."""
+    are read once and stored. counters: section taxonomy, tags of each route and tags with tracks
+    in all."""
     tracks = stored(tracks.select("track_id", "genres"))
     families = _tag_families(tracks, exact, keywords)
     frequency = tracks.select(F.explode("genres").alias("tag")).groupBy("tag").agg(F.count("*").alias("n_tracks"))
@@ -79,14 +87,19 @@ def infer_taxonomy(tracks: DataFrame, exact=None, keywords=None, min_cooccurrenc
     guess = good.select("tag", F.col("top.family").alias("guess"), (F.col("top.units") / F.col("total")).alias("confidence"))
     joined = frequency.join(families, "tag").join(guess, "tag", "left")
     how = F.when(F.col("family").isNotNull(), "direct").when(F.col("guess").isNotNull(), "inferred").otherwise("unresolved")
-    return joined.select("tag", F.coalesce("family", "guess").alias("family"), how.alias("how"), F.when(F.col("family").isNull(), F.col("confidence")).alias("confidence"), "n_tracks")
+    found = joined.select("tag", F.coalesce("family", "guess").alias("family"), how.alias("how"), F.when(F.col("family").isNull(), F.col("confidence")).alias("confidence"), "n_tracks")
+    return watched(counters, found, "taxonomy", tags=F.count("*"), **{r: F.count_if(F.col("how") == r) for r in ("direct", "inferred", "unresolved")})
 
 
-def apply_taxonomy(tracks: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """tracks with coarse_genres (sorted distinct families); tracks without any are dropped."""
+def apply_taxonomy(tracks: DataFrame, taxonomy: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """tracks with coarse_genres (sorted distinct families); tracks without any are dropped.
+    counters: section coarse_genres, with tracks and tracks_dropped_without_coarse_genre."""
     known = taxonomy.where("family is not null").select("tag", "family")
     coarse = tracks.select("track_id", F.explode("genres").alias("tag")).join(known, "tag").groupBy("track_id").agg(F.array_sort(F.collect_set("family")).alias("coarse_genres"))
-    return tracks.join(coarse, "track_id")
+    if counters is None:
+        return tracks.join(coarse, "track_id")
+    lost = F.col("coarse_genres").isNull()
+    return counters.watch(tracks.join(coarse, "track_id", "left"), "coarse_genres", tracks=F.count("*"), tracks_dropped_without_coarse_genre=F.count_if(lost)).where(~lost)
 
 
 def dominant_genre(tracks: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
@@ -237,11 +250,6 @@ def profile_map(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("artist_key").agg(rows.alias("rows")).select("artist_key", F.col("rows.tag").alias("tags"), named("weight").alias("weights"), named("support").alias("supports"))
 
 
-def funnel_counts(funnelled: DataFrame) -> DataFrame:
-    """reason, n of a funnel's rows."""
-    return funnelled.groupBy("reason").agg(F.count("*").alias("n"))
-
-
 def unique_assets(manifest: DataFrame, path: str, position: list) -> DataFrame:
     """Distinct paths with the rows that name them, the position of the first, and a dense index
     from 0 in the order of first positions (ties by path)."""
@@ -259,11 +267,16 @@ def clip_tasks(songs: DataFrame, captions: DataFrame, downloads: DataFrame) -> D
     return songs.join(captions, "track_id").join(downloads.where("status = 'ok'").select("track_id"), "track_id", "left_semi")
 
 
-def attach_tokens(manifest: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+def attach_tokens(manifest: DataFrame, assets: DataFrame, key: str, counters: Counters | None = None, length: str = "token_length") -> DataFrame:
     """manifest left-joined with assets (key, status, token columns): route is unprocessed, failed
-    or enriched."""
+    or enriched. counters: section tokens, rows of each route and token_steps, the length of the
+    enriched ones."""
     joined = manifest.join(assets, key, "left")
-    return joined.withColumn("route", F.when(F.col("status").isNull(), "unprocessed").when(F.col("status") != "ok", "failed").otherwise("enriched"))
+    routed = joined.withColumn("route", F.when(F.col("status").isNull(), "unprocessed").when(F.col("status") != "ok", "failed").otherwise("enriched"))
+    if counters is None:
+        return routed
+    counts = {r: F.count_if(F.col("route") == r) for r in ("unprocessed", "failed", "enriched")}
+    return counters.watch(routed, "tokens", **counts, token_steps=F.sum(F.when(F.col("route") == "enriched", F.col(length))))
 
 
 def completeness(expected: DataFrame, clips: DataFrame) -> DataFrame:

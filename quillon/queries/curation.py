@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import curation as c
+from quillon.operators.counters import Counters
 from quillon.plans.views import STAND_IN_EXACT, STAND_IN_KEYWORDS, V_CAPTION, V_FAMILY, V_TRACK, captions, table, tracks
+from quillon.sources.stored import stored
 
 from .registry import query
 
@@ -190,6 +192,23 @@ def e9p(spark, d):
     return m.select("artist_key", F.array_join("tags", "|").alias("tags"), text("weights"), text("supports"))
 
 
+@query("e9_curation_counters", f"""{BASE}, {MAPPED}, {V_CAPTION}, routed AS (SELECT l.doc_id IS NULL AS none, coalesce(l.quality = 1, false) AS ok, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT 'taxonomy' AS section, unnest(['tags', 'direct', 'inferred', 'unresolved']) AS name, unnest([count(*), count(*) FILTER (WHERE how = 'direct'), count(*) FILTER (WHERE how = 'inferred'), count(*) FILTER (WHERE how = 'unresolved')]) AS n FROM taxonomy
+UNION ALL SELECT 'coarse_genres', unnest(['tracks', 'tracks_dropped_without_coarse_genre']), unnest([(SELECT count(*) FROM v_track), (SELECT count(*) FROM v_track) - (SELECT count(*) FROM mapped)])
+UNION ALL SELECT 'captions_read', 'rows', count(*) FROM v_caption UNION ALL SELECT 'captions_kept', 'rows', count(*) FROM (SELECT DISTINCT * FROM v_caption)
+UNION ALL SELECT 'tokens', unnest(['unprocessed', 'failed', 'enriched', 'token_steps']), unnest([count(*) FILTER (WHERE none), count(*) FILTER (WHERE NOT none AND NOT ok), count(*) FILTER (WHERE ok), sum(n_chars) FILTER (WHERE ok)::BIGINT]) FROM routed""")
+def e9k(spark, d):
+    """What the steps of a curation count while their results are written."""
+    counters = Counters()
+    t, exact, words = stand_in(spark, d)
+    taxonomy = stored(c.infer_taxonomy(t, exact, words, counters=counters))
+    stored(c.apply_taxonomy(t, taxonomy, counters))
+    stored(c.dedup_captions(captions(spark, d), counters))
+    assets = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("error").alias("status"))
+    stored(c.attach_tokens(table(spark, d, "documents").select("doc_id", "n_chars"), assets, "doc_id", counters, "n_chars"))
+    return counters.table(spark)
+
+
 @query("e13_failures", "SELECT l_orderkey AS track_id, l_linenumber, CASE WHEN l_quantity > 10 THEN 'q' || l_quantity::BIGINT ELSE 'unknown' END AS error FROM lineitem WHERE l_linestatus <> 'F'")
 def e13f(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track_id"), "l_linenumber", F.when(F.col("l_linestatus") == "F", "ok").otherwise("bad").alias("status"), F.when(F.col("l_quantity") > 10, F.concat(F.lit("q"), F.col("l_quantity").cast("long").cast("string"))).alias("error"))

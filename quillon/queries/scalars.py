@@ -52,6 +52,16 @@ def b2(spark, d):
     return table(spark, d, "part").select("p_partkey", joined(t.normalize_genres(F.split(F.concat_ws(" ", "p_name", F.upper("p_name")), " "))).alias("genres"))
 
 
+@query("b2_scalar_or_array", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) WHEN p_partkey % 4 = 1 THEN '' ELSE array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '|') END AS genres,
+CASE WHEN p_partkey % 4 = 0 THEN p_type WHEN p_partkey % 4 = 1 THEN p_brand ELSE array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '|') END AS record FROM part""")
+def b2s(spark, d):
+    """A label field that holds a text, a number or an array."""
+    k = F.col("p_partkey") % 4
+    value = F.when(k == 0, F.to_json(F.struct(F.col("p_type").alias("v")))).when(k == 1, '{"v": 5}').otherwise(F.to_json(F.struct(F.split("p_name", " ").alias("v"))))
+    found = t.labels(F.try_variant_get(F.parse_json(value), "$.v", "variant"))
+    return table(spark, d, "part").select("p_partkey", joined(t.normalize_genres(found)).alias("genres"), joined(t.record_genres(found, "p_brand")).alias("record"))
+
+
 @query("b3_style_tags", "SELECT p_partkey, " + JOINED.format("list_sort(list_concat(list_transform(list_distinct(string_split(p_name, ' ')), lambda x: 'genre:' || x), ['instrument:' || lower(p_type)], ['vartag:' || lower(p_brand)]))") + " AS tags FROM part")
 def b3(spark, d):
     tags = t.style_tags(F.split("p_name", " "), F.array("p_type"), F.array("p_brand"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions.text import is_mp3
-from quillon.operators.curation import artist_summary
+from quillon.operators.counters import Counters
+from quillon.operators.curation import artist_summary, funnel
 from quillon.plans.views import V_TRACK, captions, metrics, table, tracks
 from quillon.sources import readers as r
-from quillon.sources.stored import fresh_path
-from quillon.streaming.streams import drained, stream_catalog, stream_metric_means
+from quillon.sources.stored import fresh_path, stored
+from quillon.streaming.streams import drained, stream_catalog, stream_funnel, stream_metric_means
 
 from .registry import query
 
@@ -34,6 +35,27 @@ def a1t(spark, d):
     return t.select("track_id", "title", "artist_key", F.array_join("genres", "|").alias("genres"), F.array_join("style_tags", "|").alias("style_tags"))
 
 
+@query("a1_scan_counters", """WITH r AS (SELECT p_partkey AS k, 1 AS pass FROM part UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size % 5 = 0),
+f AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'not_downloadable' WHEN k % 13 = 0 THEN 'missing_genres' END AS fault FROM r),
+m AS (SELECT CASE WHEN k % 11 = 0 THEN 'missing_id' WHEN pass = 2 AND fault IS NULL THEN 'duplicate_id' ELSE coalesce(fault, 'accepted') END AS reason FROM f WHERE k % 10 <> 3)
+SELECT 'metadata' AS section, 'metadata_rows' AS name, count(*) AS n FROM r UNION ALL SELECT 'metadata', 'metadata_parse_errors', count(*) FILTER (WHERE k % 10 = 3) FROM r
+UNION ALL SELECT 'funnel', name, count(reason) FROM (SELECT unnest(['accepted', 'missing_id', 'duplicate_id', 'missing_artist', 'not_downloadable', 'missing_genres']) AS name) LEFT JOIN m ON reason = name GROUP BY 2""")
+def a1c(spark, d):
+    """Lines with single labels, wrong types, faults and repeats: what the scan and the funnel
+    count while their result is written."""
+    k = F.col("p_partkey")
+    genres = F.when(k % 13 == 0, "5").when(k % 3 == 0, F.concat(F.lit('"'), "p_type", F.lit('"'))).otherwise(F.concat(F.lit('["'), "p_type", F.lit('", null, 7]')))
+    allowed = F.when(k % 7 == 0, "false").when(k % 7 == 1, '"false"').otherwise("null")
+    line = F.format_string('{"id": "%s", "artist_id": %s, "audiodownload": "x", "audiodownload_allowed": %s, "releasedate": "%s", "musicinfo": {"tags": {"genres": %s}}}', F.when(k % 11 == 0, " ").otherwise(k.cast("string")), k.cast("string"), allowed, F.col("pass"), genres)
+    parts = table(spark, d, "part")
+    both = parts.withColumn("pass", F.lit("1")).unionByName(parts.where("p_size % 5 = 0").withColumn("pass", F.lit("2")))
+    path, counters = fresh_path(spark), Counters()
+    both.select(F.when(k % 10 == 3, "{not json").otherwise(line).alias("value")).write.text(path)
+    rows = r.catalog_tracks(r.read_catalog(spark, path, "*.txt", counters)).where("_corrupt is null")
+    stored(funnel(rows, "track_id", "artist_key", F.col("audiodownload_allowed"), "genres", ["releasedate"], counters))
+    return counters.table(spark)
+
+
 @query("a2_read_captions", "SELECT l_suppkey || '-' || l_partkey AS track_id, count(*) AS n, sum(l_quantity) AS seconds FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 20 GROUP BY 1")
 def a2(spark, d):
     path = fresh_path(spark)
@@ -95,6 +117,24 @@ def s1(spark, d):
     return drained(found, fresh_path(spark))
 
 
+@query("s1_stream_funnel", """WITH r AS (SELECT p_partkey AS k, 1 AS pass FROM part UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size % 5 = 0),
+f AS (SELECT *, CASE WHEN k % 7 = 0 AND pass = 1 THEN 'not_downloadable' WHEN k % 13 = 0 THEN 'missing_genres' END AS fault FROM r)
+SELECT k::VARCHAR AS track_id, pass, coalesce(CASE WHEN pass = 2 AND k % 7 <> 0 AND k % 13 <> 0 THEN 'duplicate_id' END, fault, 'accepted') AS reason FROM f""")
+def s1f(spark, d):
+    """Parts as files of two days, the later day first, then one of a far later day, which ends
+    the wait: the batch funnel's reasons."""
+    k, root = F.col("p_partkey"), fresh_path(spark)
+    genres = F.when(k % 13 == 0, "[]").otherwise(F.concat(F.lit('"'), "p_type", F.lit('"')))
+    part = table(spark, d, "part")
+    days = {"2024-01-02": part.where("p_size % 5 = 0").withColumn("url", F.lit("u")), "2024-01-01": part.withColumn("url", F.when(k % 7 != 0, "u").otherwise(" ")), "2024-03-01": part.limit(1).withColumns({"url": F.lit("u"), "p_partkey": F.lit(-1)})}
+    for day, rows in days.items():
+        line = F.format_string('{"id": "%s", "artist_id": 1, "audiodownload": "%s", "musicinfo": {"tags": {"genres": %s}}}', F.col("p_partkey").cast("string"), "url", genres)
+        rows.select(line.alias("value")).write.text(f"{root}/{day}")
+    found = drained(stream_funnel(spark, root, "30 days", files_per_trigger=4, glob="*.txt"), fresh_path(spark))
+    day = F.regexp_extract("position", "2024-01-0([12])", 1)
+    return found.select("track_id", day.cast("int").alias("pass"), "reason")
+
+
 @query("s2_stream_metric_means", "SELECT event_type AS scenario, user_id AS artist_key, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def s2(spark, d):
     path = fresh_path(spark)

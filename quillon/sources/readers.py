@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.text import artist_key, clean_text, is_mp3, labels, normalize_genres, style_tags
+from quillon.operators.counters import Counters, watched
+from quillon.sources import files
+
 _STR = T.StringType()
-_TAGS = T.StructType([T.StructField("tags", T.StructType([T.StructField(n, T.ArrayType(_STR)) for n in ("genres", "instruments", "vartags")]))])
+TAGS = ("genres", "instruments", "vartags")
 CATALOG = T.StructType(
     [T.StructField(n, _STR) for n in ("id", "name", "artist_id", "artist_name", "album_id", "album_name", "duration", "releasedate", "audiodownload")]
-    + [T.StructField("audiodownload_allowed", T.BooleanType()), T.StructField("musicinfo", _TAGS), T.StructField("music_info", _TAGS), T.StructField("_corrupt", _STR)]
+    + [T.StructField(n, T.VariantType()) for n in ("audiodownload_allowed", "musicinfo", "music_info")]
+    + [T.StructField("_corrupt", _STR)]
 )
 CAPTIONS = T.StructType([T.StructField("id", _STR), T.StructField("caption", _STR), T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType()), T.StructField("_corrupt", _STR)])
 DATED = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].jsonl"
@@ -24,35 +30,50 @@ def _json_lines(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
 
 
-def read_catalog(spark: SparkSession, folder: str, glob: str = DATED) -> DataFrame:
-    """Rows of the files named YYYY-MM-DD.jsonl (or as glob says); a malformed line has its text in _corrupt, blank
-    lines are skipped; genre, instrument and vartag lists from musicinfo or music_info."""
+def file_position(line: Column) -> Column:
+    """Where a row stands in the files read, as a text in their order: path, part of the file,
+    then line, a number that grows from row to row of a part."""
+    meta = F.col("_metadata")
+    return F.concat_ws("|", meta.getField("file_path"), *(F.lpad(n.cast("string"), 20, "0") for n in (meta.getField("file_block_start"), line)))
+
+
+def catalog_values(raw: DataFrame) -> DataFrame:
+    """Rows of CATALOG with genres, instruments and vartags as arrays (a single text is one
+    label) from musicinfo or music_info, and audiodownload_allowed as a boolean: false only where
+    it is the value false."""
+    tags = F.coalesce(*(F.try_variant_get(c, "$.tags", "variant") for c in ("musicinfo", "music_info")))
+    allowed = ~((F.schema_of_variant("audiodownload_allowed") == "BOOLEAN") & ~F.try_variant_get("audiodownload_allowed", "$", "boolean"))
+    found = raw.withColumns({n: labels(F.try_variant_get(tags, f"$.{n}", "variant")) for n in TAGS})
+    return found.withColumn("audiodownload_allowed", F.coalesce(allowed, F.lit(True))).drop("musicinfo", "music_info")
+
+
+def read_catalog(spark: SparkSession, folder: str, glob: str = DATED, counters: Counters | None = None) -> DataFrame:
+    """Rows of the files named YYYY-MM-DD.jsonl (or as glob says) with catalog_values
+    and their position in file order; a malformed line has its text in _corrupt, blank lines are
+    skipped. counters: section metadata, with
+    metadata_rows and metadata_parse_errors."""
     raw = _json_lines(spark, folder, CATALOG, glob)
     if not raw.inputFiles():
         raise FileNotFoundError(f"no catalogue file {glob} in {folder}")
-    info = F.coalesce("musicinfo", "music_info")
-    return raw.select("*", *(info.getField("tags").getField(n).alias(n) for n in ("genres", "instruments", "vartags")), F.col("_metadata.file_name").alias("file_name")).drop("musicinfo", "music_info")
+    found = catalog_values(raw.withColumns({"file_name": F.col("_metadata.file_name"), "position": file_position(F.monotonically_increasing_id())}))
+    return watched(counters, found, "metadata", metadata_rows=F.count("*"), metadata_parse_errors=F.count_if(F.col("_corrupt").isNotNull()))
 
 
 def catalog_tracks(catalog: DataFrame) -> DataFrame:
     """Rows of read_catalog as tracks: cleaned texts, artist_key, genres and style_tags."""
-    from quillon.functions.text import artist_key, clean_text, normalize_genres, style_tags
-
     tidy = catalog.withColumns({c: clean_text(c) for c in ("id", "name", "artist_id", "artist_name", "album_id", "album_name")})
     out = tidy.withColumns({"genres": normalize_genres("genres"), "style_tags": style_tags("genres", "instruments", "vartags")})
     return out.withColumn("artist_key", artist_key("artist_id", "artist_name")).withColumnRenamed("id", "track_id").withColumnRenamed("name", "title")
 
 
-def read_captions(spark: SparkSession, path: str, candidates: DataFrame | None = None) -> DataFrame:
-    """Caption lines (malformed ones in _corrupt), of the candidate track_ids only if given."""
+def read_captions(spark: SparkSession, path: str, candidates: DataFrame | None = None, counters: Counters | None = None) -> DataFrame:
+    """Caption lines (malformed ones in _corrupt), of the candidate track_ids only if given.
+    counters: section captions, with caption_rows and caption_parse_errors of all lines."""
     raw = _json_lines(spark, path, CAPTIONS).select(F.col("id").alias("track_id"), "start_time", "end_time", F.col("caption").alias("text"), "_corrupt")
+    raw = watched(counters, raw, "captions", caption_rows=F.count("*"), caption_parse_errors=F.count_if(F.col("_corrupt").isNotNull()))
     return raw if candidates is None else raw.join(candidates.select("track_id"), "track_id", "left_semi")
 
 
-def parse_errors(df: DataFrame) -> DataFrame:
-    return df.select("_corrupt").agg(F.count_if(F.col("_corrupt").isNotNull()).alias("parse_errors"))
-
-
 def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row: n_rows and the number of rows that break each rule."""
     return df.agg(F.count("*").alias("n_rows"), *(F.count_if(rule).alias(name) for name, rule in rules.items()))
@@ -68,15 +89,16 @@ def require_none(df: DataFrame, rules: dict[str, Column], empty_ok: bool = False
 
 
 MANIFEST = (
-    "audio string, text string, track_id string, artist_key string, artist_id string, artist_name string, title string, genres array<string>, coarse_genres array<string>, signature_tags array<string>, coarse_genre string, signature_score double, "
+    "audio string, text string, track_id string, artist_key string, artist_id string, artist_name string, title string, genres variant, coarse_genres variant, signature_tags variant, coarse_genre string, signature_score double, "
     "start_time double, end_time double, duration double, token_shard string, token_offset long, token_length long, token_codebooks int, token_codebook_size int, token_dtype string"
 )
 
 
 def read_token_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON lines manifest; required fields, positive lengths, offsets from 0 and an entity key
-    in every row, else an error."""
+    """A JSON lines manifest, its labels (a text or an array) as arrays; required fields, positive
+    lengths, offsets from 0 and an entity key in every row, else an error."""
     df = spark.read.schema(MANIFEST).json(path)
+    df = df.withColumns({c: F.when(F.col(c).isNotNull(), labels(c)) for c in ("genres", "coarse_genres", "signature_tags")})
     needed = ["audio", "text", "token_shard", "token_offset", "token_length"]
     entity = ["artist_key", "artist_id", "artist_name"]
     null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
@@ -161,33 +183,39 @@ def content_digest(c) -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
-def collection_digest(files: DataFrame, group: str, name: str) -> DataFrame:
+def collection_digest(assets: DataFrame, group: str, name: str) -> DataFrame:
     """Digest of each group's ordered (name, size, sha) rows. A group's files meet in one value."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(name), F.col("size"), F.col("sha"))))
     text = F.transform(rows, lambda x: F.concat_ws(":", x.getField(name).cast("string"), x.getField("size").cast("string"), x.getField("sha")))
-    return files.groupBy(group).agg(F.count("*").alias("n_files"), F.sha2(F.array_join(text, "\n"), 256).alias("digest"))
+    return assets.groupBy(group).agg(F.count("*").alias("n_files"), F.sha2(F.array_join(text, "\n"), 256).alias("digest"))
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     """Binary files with size, digest and whether they begin like an MP3."""
-    from quillon.functions.text import is_mp3
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size"), content_digest("content").alias("sha"), is_mp3("content").alias("is_mp3"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.col("length").alias("size"), content_digest("content").alias("sha"), is_mp3("content").alias("is_mp3"))
 
 
 def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
-    _filled(df).orderBy(*order).write.mode("overwrite").json(path, ignoreNullFields=False)
+    """df in order of the columns named, in place of what path holds, once all is written; an empty
+    df is an error and changes nothing."""
+    _replace_sorted(df, path, order, lambda rows, to: rows.write.json(to, ignoreNullFields=False))
 
 
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
-    _filled(df).orderBy(*order).write.mode("overwrite").csv(path, header=True)
+    """As write_jsonl, with a header."""
+    _replace_sorted(df, path, order, lambda rows, to: rows.write.csv(to, header=True))
+
+
+def _replace_sorted(df: DataFrame, path: str, order: tuple[str, ...], put: Callable[[DataFrame, str], None]) -> None:
+    files.replace(df.sparkSession, path, lambda to: files.write_filled(df.orderBy(*order), lambda rows: put(rows, to)))
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """One small document (a configuration, statistics), pretty-printed by key."""
     text = json.dumps(value, ensure_ascii=False, indent=2, default=str)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    document = spark.createDataFrame([(text,)], "value string").coalesce(1)
+    files.replace(spark, path, document.write.text)
 
 
 def union_rows(*tables: DataFrame) -> DataFrame:
@@ -196,15 +224,15 @@ def union_rows(*tables: DataFrame) -> DataFrame:
 
 
 def write_selection(selected: DataFrame, captions: DataFrame, artists: DataFrame, folder: str, config: dict | None = None, stats: dict | None = None) -> None:
-    """The selection's outputs: songs, captions (song x caption), artists; config and stats."""
-    for name, value in (("config", config), ("selection_stats", stats)):
-        if value is not None:
-            write_json(selected.sparkSession, value, f"{folder}/{name}")
-    for name, df in (("songs", selected), ("captions", selected.join(captions, "track_id")), ("artists", artists)):
-        _filled(df).write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
-def _filled(df: DataFrame) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError("refusing to write an empty table")
-    return df
+    """The selection's outputs: songs, captions (song x caption), artists; config and stats. They
+    replace the folder together; an empty table is an error and changes nothing."""
+    spark = selected.sparkSession
+
+    def write(to: str) -> None:
+        for name, value in (("config", config), ("selection_stats", stats)):
+            if value is not None:
+                write_json(spark, value, f"{to}/{name}")
+        for name, df in (("songs", selected), ("captions", selected.join(captions, "track_id")), ("artists", artists)):
+            files.write_filled(df, lambda rows, name=name: rows.write.parquet(f"{to}/{name}"))
+
+    files.replace(spark, folder, write)
