@@ -10,7 +10,6 @@ rounded down; what remains is packed greedily, one piece after the other, cut at
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 import zlib
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemory, emptied_id, filled_id, map_texts, matching, parts, stored, unstore
+from .common import WordMemory, emptied_id, filled_id, map_texts, parts, stored, unstore
 
 END_ID = 1
 #: Bytes of token ids of words that a Python worker remembers.
@@ -73,8 +72,12 @@ def _encoded(frame: pd.DataFrame, encode) -> Iterator[tuple]:
         yield doc, ids + end
 
 
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
 def _pieces(path: str, window: int):
-    """Whole windows and the remainder of each document, with checksums."""
+    """Whole windows and the remainder of each document, with checksums; the ids of remainders,
+    which may be cut, two bytes each where they allow."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = token_encoder(path)
@@ -82,12 +85,23 @@ def _pieces(path: str, window: int):
             rows = []
             for doc, ids in _encoded(frame, encode):
                 n = len(ids) // 4
-                rows += [(doc, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                for at in range(0, n, window):
+                    own = ids[4 * at : 4 * (at + window)]
+                    rows.append((doc, at, len(own) // 4, zlib.crc32(own), n, None if len(own) == 4 * window else _narrow(own)))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return run
 
 
+def _narrow(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, dtype="<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else ids
+
+
+def _wide(ids: bytes, n: int) -> bytes:
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+
+
 def combinations(histogram: np.ndarray, common: int = 96) -> list[tuple[int, ...]]:
     """Length tuples that fill the window exactly: the window itself, pairs, and triples with
     two of the most common lengths. Index of histogram: length; its last entry is the window."""
@@ -164,7 +178,7 @@ class Plan:
 def _ranked(pieces: DataFrame) -> DataFrame:
     """Number the pieces of each length from 0: within salted groups first, then shifted by the
     counts of the groups before, so that a length shared by many pieces has no single task."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts(pieces))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts(pieces))))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("k"))
     before = F.sum("k").over(Window.partitionBy("length").orderBy("salt")) - F.col("k")
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
@@ -177,11 +191,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null
     or empty text has the end token only; every row of docs is packed, repeated ones too. Only
     the last sequence may be shorter than the window. Further columns are ignored; an empty
-    table gives no piece. Rows that share doc_id and text are interchangeable.
+    table gives no piece. Each text is encoded once: remainders keep their ids until they are
+    placed, and the few that cross a window's end are cut there.
     """
-    base = docs.select(filled_id("doc_id"), "text")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(map_texts(base, "text", _pieces(tokenizer_path, window), schema))
+    pieces = stored(map_texts(docs.select(filled_id("doc_id"), "text"), "text", _pieces(tokenizer_path, window), f"{PIECE}, ids binary"))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for row in pieces.groupBy("length").agg(F.count("*").alias("k")).collect():
         histogram[row["length"]] = row["k"]
@@ -190,32 +203,22 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048) -> DataFrame:
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sequence, offset = plan.place(frame["length"].to_numpy(), frame["rank"].to_numpy())
-            yield frame.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            placed = frame.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            over = offset + frame["length"].to_numpy() > window
+            yield placed[~over].drop(columns="ids")
+            yield _cut(placed[over], window)
 
-    placed = stored(_ranked(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(place, f"{schema}, sequence_id long, offset long"))
-    whole = placed.where(F.col("offset") + F.col("length") <= window)
-    over = placed.where(F.col("offset") + F.col("length") > window)
-    cut = map_texts(matching(base, over, "doc_id"), "text", _cut(tokenizer_path, window), f"{schema}, sequence_id long, offset long").distinct()
+    ranked = _ranked(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "rank")
+    placed = stored(ranked.mapInPandas(place, f"{PIECE}, sequence_id long, offset long"))
     unstore(pieces)
-    return whole.unionByName(cut).withColumn("doc_id", emptied_id("doc_id"))
-
+    return placed.withColumn("doc_id", emptied_id("doc_id"))
 
-def _cut(path: str, window: int):
-    """Cut pieces at the window's end. The text is encoded again for the parts' checksums; of
-    rows that repeat a doc_id only those whose ids are the piece's count."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = token_encoder(path)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for frame in frames:
-            rows = []
-            for (doc, ids), piece in zip(_encoded(frame, encode), frame.itertuples(), strict=True):
-                own = ids[4 * piece.start : 4 * (piece.start + piece.length)]
-                if zlib.crc32(own) != piece.ids_crc32 or len(ids) // 4 != piece.doc_tokens:
-                    continue
-                first = window - piece.offset
-                rows.append((doc, piece.start, first, zlib.crc32(own[: 4 * first]), piece.doc_tokens, piece.sequence_id, piece.offset))
-                rows.append((doc, piece.start + first, piece.length - first, zlib.crc32(own[4 * first :]), piece.doc_tokens, piece.sequence_id + 1, 0))
-            yield pd.DataFrame(rows, columns=names)
-
-    return run
+def _cut(over: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Both parts of pieces that reach beyond the window's end, each with its checksum."""
+    rows = []
+    for piece in over.itertuples():
+        ids, first = _wide(piece.ids, piece.length), window - piece.offset
+        rows.append((piece.doc_id, piece.start, first, zlib.crc32(ids[: 4 * first]), piece.doc_tokens, piece.sequence_id, piece.offset))
+        rows.append((piece.doc_id, piece.start + first, piece.length - first, zlib.crc32(ids[4 * first :]), piece.doc_tokens, piece.sequence_id + 1, 0))
+    return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

@@ -167,6 +167,28 @@ def test_packing_round_trip(spark, awkward, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_many_rows_of_one_id(spark):
+    """Repeated rows and null ids: every row is packed, cut pieces have their own checksums, and
+    no join multiplies rows."""
+    from tokenizers import Tokenizer
+
+    path, text = tokenizer_file("word_bpe_49k.json"), "one two, three " * 180
+    other = [" ".join(f"word{i} x{j}" for j in range(150)) for i in range(200)]
+    rows = [(7, text)] * 200 + [(None, t) for t in other]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    ids = {t: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for t in {text, *other}}
+    assert sum(r["length"] for r in out) == sum(len(ids[t]) for _, t in rows)
+    assert sum(r["length"] for r in out if r["doc_id"] == 7) == 200 * len(ids[text])
+    crcs = {(s, n, zlib.crc32(np.array(ids[text][s : s + n], dtype="<u4"))) for r in out if r["doc_id"] == 7 for s, n in [(r["start"], r["length"])]}
+    assert {(r["start"], r["length"], r["ids_crc32"]) for r in out if r["doc_id"] == 7} == crcs
+    spans = {}
+    for r in out:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in spans.values():
+        assert sorted(own)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False))
+    assert sorted(sum(n for _, n in own) for own in spans.values())[1] == 2048
+
+
 def test_least_squares_fills_windows():
     histogram = np.zeros(101, dtype=np.int64)
     histogram[[30, 70, 20, 50, 100]] = [40, 25, 10, 12, 3]
