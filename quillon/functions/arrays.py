@@ -134,9 +134,13 @@ def multihot(ids, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.array_contains(chosen, i), 1.0 / F.size(chosen)).otherwise(0.0))
 
 
-def equal_weights(ids) -> Column:
-    """Distinct sorted ids with equal weights."""
+def equal_weights(ids, size: int | None = None) -> Column:
+    """Distinct sorted ids with equal weights; with a size, an id outside 0 to size - 1 (or null)
+    is an error."""
     chosen = F.array_sort(F.array_distinct(_col(ids)))
+    if size is not None:
+        wrong = F.exists(chosen, lambda i: i.isNull() | (i < 0) | (i >= size))
+        chosen = F.when(~wrong, chosen).otherwise(F.raise_error(F.concat(F.lit(f"ids outside 0 to {size - 1}: "), F.to_json(chosen))))
     return F.transform(chosen, lambda i: F.struct(i.alias("id"), (F.lit(1.0) / F.size(chosen)).alias("weight")))
 
 

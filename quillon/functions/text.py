@@ -157,9 +157,10 @@ def style_tags(genres, instruments, vartags) -> Column:
     return F.array_sort(F.array_union(both, namespaced_tags("vartag", vartags)))
 
 
-def artist_key(artist_id, name) -> Column:
-    """id:<id>, else name:<casefolded name>, else null."""
-    return F.coalesce(F.concat(F.lit("id:"), clean_text(artist_id)), F.concat(F.lit("name:"), casefold(clean_text(name))))
+def artist_key(artist_id, name, strict: bool = False) -> Column:
+    """id:<id>, else name:<casefolded name>, else null, or an error if strict."""
+    none = [F.raise_error(F.lit("a row without an artist id or name"))] if strict else []
+    return F.coalesce(F.concat(F.lit("id:"), clean_text(artist_id)), F.concat(F.lit("name:"), casefold(clean_text(name))), *none)
 
 
 def record_artist_key(*columns) -> Column:
@@ -280,11 +281,13 @@ def direct_family(tag, exact: dict[str, str] | None = None, keywords=None) -> Co
     return F.coalesce(found, by_word)
 
 
-def resolve_group(title, note, groups: dict[str, str]) -> Column:
-    """The group that title or note names (lower case; _ and - as spaces; runs collapsed)."""
+def resolve_group(title, note, groups: dict[str, str], strict: bool = False) -> Column:
+    """The group that title or note names (lower case; _ and - as spaces; runs collapsed); else
+    null, or an error if strict."""
     table = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv))
     squeeze = lambda c: F.trim(F.regexp_replace(F.lower(_col(c)), r"[\s_-]+", " "))
-    return F.coalesce(F.element_at(table, squeeze(title)), F.element_at(table, squeeze(note)))
+    none = [F.raise_error(F.concat_ws(" ", F.lit("unknown group:"), _col(title), _col(note)))] if strict else []
+    return F.coalesce(F.element_at(table, squeeze(title)), F.element_at(table, squeeze(note)), *none)
 
 
 def fixed(c, decimals: int = 4, count=None) -> Column:
@@ -317,9 +320,3 @@ def is_mp3(content, least_bytes: int = 4096) -> Column:
     head = F.hex(F.substring(_col(content), 1, 3))
     sync = (F.substring(head, 1, 2) == "FF") & F.substring(head, 3, 1).isin("E", "F")
     return ((head == "494433") | sync) & (F.length(_col(content)) >= least_bytes)
-
-
-def payload_digest(*columns) -> Column:
-    """Canonical digest of configuration values, name by name in sorted order."""
-    named = sorted(columns)
-    return F.sha2(F.concat_ws("\n", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in named)), 256)

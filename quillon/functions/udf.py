@@ -38,7 +38,7 @@ def group_eval(df: DataFrame, key: str, evaluate: Callable[[pd.DataFrame], dict[
     """key, metric, value: a user's evaluation of each group, which must fit into a task. With
     metrics, an evaluation that gives other names is an error."""
 
-    def run(k, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = evaluate(rows)
         if metrics is not None and set(found) != set(metrics):
             raise ValueError(f"evaluation gave {sorted(found)}, not {sorted(metrics)}")

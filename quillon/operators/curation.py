@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import FAMILIES, direct_family, stable_hash
+from quillon.operators.checks import checked
 from quillon.operators.counters import Counters, watched
 from quillon.operators.dataset import dense_index
+from quillon.operators.quantiles import exact_quantiles
 from quillon.sources.stored import stored
 
 #: 1/n of a vote in whole units, exact for up to 15 families per track.
@@ -174,17 +176,16 @@ def select_representative(scored: DataFrame, songs: int, max_per_album: int = 2,
     """The `songs` best tracks of each artist, albums capped unless too few are left; scored:
     track_id, artist_key, album_id, signature_score, tag_overlap. An artist with fewer is an
     error, or left out unless strict."""
-    if strict:
-        short = scored.groupBy("artist_key").agg(F.count("*").alias("n")).where(F.col("n") < songs).limit(5).collect()
-        if short:
-            raise ValueError(f"artists with fewer than {songs} tracks: {[r['artist_key'] for r in short]}")
     best = [F.desc("signature_score"), F.desc("tag_overlap"), F.col("track_id")]
     nth = F.row_number().over(Window.partitionBy("artist_key", "album_id").orderBy(*best))
     over = F.col("album_id").isNotNull() & (nth > max_per_album)
     artist = Window.partitionBy("artist_key")
     ranked = scored.withColumn("over", over).withColumn("n", F.count("*").over(artist))
     ranked = ranked.withColumn("rank", F.row_number().over(artist.orderBy("over", *best)))
-    return ranked.where((F.col("rank") <= songs) & (F.col("n") >= songs)).drop("over", "n")
+    enough = F.col("n") >= songs
+    if strict:
+        ranked = checked(ranked, enough, F.concat(F.lit(f"fewer than {songs} tracks: "), F.col("artist_key")))
+    return ranked.where((F.col("rank") <= songs) & enough).drop("over", "n")
 
 
 def build_selection(tracks: DataFrame, captions: DataFrame, num_artists: int, songs_per_artist: int, seed: int = 42, candidate_multiplier: float = 3.0, min_seconds: float = 5.0, exact=None, keywords=None, **profile) -> DataFrame:
@@ -224,8 +225,10 @@ def artist_summary(selected: DataFrame) -> DataFrame:
 
 
 def selection_stats(values: DataFrame, column: str) -> DataFrame:
+    """One row: n, min, mean, median and max of a column; the median by rank, so no task holds it."""
     c = F.col(column)
-    return values.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.max(c).alias("max"))
+    middle = exact_quantiles(values, column, [0.5]).select(F.col("value").alias("median"))
+    return values.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max")).join(F.broadcast(middle)).select("n", "min", "mean", "median", "max")
 
 
 def selection_counts(selected: DataFrame, profiles: DataFrame, dominant: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stable_hash
+from quillon.operators.checks import filled, without
+from quillon.sources.stored import stored
 
 
 def filter_records(records: DataFrame, artists: list[str] | None, genres: list[str] | None, field: str) -> DataFrame:
@@ -33,17 +35,19 @@ def artist_genre_matrix(records: DataFrame) -> DataFrame:
 
 
 def label_vocabulary(records: DataFrame, column: str) -> DataFrame:
-    """label, index: sorted distinct labels from 0. Range-partitioned ranks: no task sees all."""
+    """label, index: sorted distinct labels from 0; none is an error. Range-partitioned ranks: no
+    task sees all."""
     labels = records.select(F.col(column).alias("label")).where("label is not null").distinct()
-    return dense_index(labels, "label")
+    return filled(dense_index(labels, "label"), f"no {column} to number")
 
 
 def dense_index(rows: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Rows numbered from 0 in the order of unique columns: range partitions are ranked alone and
-    shifted by the sizes of those before (one small count per partition)."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.select("*", F.spark_partition_id().alias("_p")).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = marked.groupBy("_p").agg(F.count("*").alias("_n"))
+    shifted by the sizes of those before (one small count per partition). The ranges are stored:
+    cut a second time, they could part elsewhere."""
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    marked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
     return marked.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b") - 1).drop("_p", "_r", "_b")
 
@@ -84,16 +88,15 @@ def split_by_track(records: DataFrame, val: float, test: float, seed: int) -> Da
     n = F.count("*").over(artist)
     size = lambda f: F.when(n <= 1, 0).otherwise(F.greatest(F.rint(n * F.lit(f)).cast("int"), F.when(n >= 3, 1 if f > 0 else 0).otherwise(0)))
     ranked = tracks.select("*", n.alias("n"), size(val).alias("v"), size(test).alias("t"), F.row_number().over(artist.orderBy(stable_hash(seed, "split", "artist_key", "track_id"), "track_id")).alias("r"))
-    for _ in range(2):
-        too_many = F.col("v") + F.col("t") >= F.col("n")
-        from_test = too_many & (F.col("t") >= F.col("v")) & (F.col("t") > 0)
-        from_val = too_many & ~from_test & (F.col("v") > 0)
-        ranked = ranked.select("artist_key", "track_id", "n", F.when(from_val, F.col("v") - 1).otherwise(F.col("v")).alias("v"), F.when(from_test, F.col("t") - 1).otherwise(F.col("t")).alias("t"), "r")
-    split = F.when(F.col("r") <= F.col("v"), "val").when(F.col("r") <= F.col("v") + F.col("t"), "test").otherwise("train")
-    out = ranked.select("artist_key", "track_id", split.alias("split"))
-    if out.where("split = 'train'").isEmpty():
-        raise ValueError("the training split is empty")
-    return out
+    # While train has none the larger size gives, test where they are equal: what is left of both,
+    # and of val, is known at once. Every artist keeps a train track, so only no track has none.
+    both = F.least(F.col("v") + F.col("t"), F.greatest(F.col("n") - 1, F.lit(0)))
+    lowered = ranked.select("artist_key", "track_id", "r", "v", "t", both.cast("int").alias("both"))
+    val = F.least(F.col("v"), F.greatest(F.ceil(F.col("both") / 2), F.col("both") - F.col("t"))).cast("int")
+    sized = lowered.select("artist_key", "track_id", "r", "both", val.alias("val"))
+    split = F.when(F.col("r") <= F.col("val"), "val").when(F.col("r") <= F.col("both"), "test").otherwise("train")
+    none = records.agg(F.count("*").alias("n")).where("n = 0")
+    return without(sized.select("artist_key", "track_id", split.alias("split")), none, F.lit("the training split is empty"))
 
 
 def split_counts(split: DataFrame, label: str = "artist_key") -> DataFrame:

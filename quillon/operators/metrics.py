@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import arrays as a
+from quillon.operators.checks import checked
 
 
 def finite(c) -> Column:
@@ -17,9 +18,13 @@ def finite(c) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def aggregate_by_artist(values: DataFrame, keys: tuple[str, ...] = ("scenario", "artist_key")) -> DataFrame:
-    """Mean per scenario and artist; NaN is not skipped."""
-    return values.groupBy(*keys).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+def aggregate_by_artist(values: DataFrame, keys: tuple[str, ...] = ("scenario", "artist_key"), clips: int | None = None) -> DataFrame:
+    """Mean per scenario and artist; NaN is not skipped. With the number of clips of an artist,
+    any other number of rows than that or one (a value of the artist itself) is an error."""
+    means = values.groupBy(*keys).agg(F.avg("value").alias("value"), F.count("value").alias("n"), F.count("*").alias("_rows"))
+    if clips is not None:
+        means = checked(means, F.col("_rows").isin(1, clips), F.concat_ws(" ", F.lit(f"neither 1 nor {clips} values for"), *(F.col(k).cast("string") for k in keys)))
+    return means.drop("_rows")
 
 
 def summarize(values: DataFrame, *keys: str) -> DataFrame:
@@ -303,7 +308,7 @@ def covariance_sums(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def group_statistics(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     """g, n, mean array, covariance (row-major, n - 1; zeros for one row) from covariance_sums."""
 
-    def finish(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, n = rows.sort_values("i")["x"].to_numpy(), int(rows["n"].iat[0])
         d = int((np.sqrt(8 * len(x) + 9) - 3) / 2)
         mean, full = x[:d] / n, np.zeros((d, d))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import checked
+
 
 def resolve_entity(requests: DataFrame, entities: DataFrame, strict: bool = False) -> DataFrame:
     """Requests (request, value) resolved against entities (entity, name and, where there are
@@ -21,11 +23,7 @@ def resolve_entity(requests: DataFrame, entities: DataFrame, strict: bool = Fals
     first = lambda prefix: F.coalesce(*(F.col(f"{prefix}_{how}") for how in used))
     how = F.coalesce(*(F.when(F.col(f"_n_{h}").isNotNull(), F.lit(h)) for h in used))
     out = out.select("request", how.alias("how"), F.coalesce(first("_n"), F.lit(0)).alias("matches"), first("_e").alias("entity"))
-    if strict:
-        bad = out.where("matches <> 1").limit(5).collect()
-        if bad:
-            raise ValueError(f"unknown or ambiguous: {[r['request'] for r in bad]}")
-    return out
+    return checked(out, F.col("matches") == 1, F.concat(F.lit("unknown or ambiguous: "), F.coalesce(F.col("request").cast("string"), F.lit("null")))) if strict else out
 
 
 def display_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -154,10 +152,9 @@ def display_order(items: DataFrame, config: DataFrame, include_unlisted: bool =
 def demo_bundle(selections: DataFrame, clips: DataFrame, paths: list[str]) -> DataFrame:
     """Selected clips, one row per asset: sample_id, group, asset, path. A selection that no clip
     has is an error."""
-    unknown = selections.join(clips, "sample_id", "left_anti").limit(5).collect()
-    if unknown:
-        raise ValueError(f"selections without a clip: {[r['sample_id'] for r in unknown]}")
-    return selections.join(clips, "sample_id").unpivot(["sample_id", "group"], paths, "asset", "path").where("path is not null and path <> ''")
+    joined = selections.join(clips.withColumn("_there", F.lit(True)), "sample_id", "left")
+    found = checked(joined, F.col("_there"), F.concat(F.lit("selection without a clip: "), F.coalesce(F.col("sample_id").cast("string"), F.lit("null")))).drop("_there")
+    return found.unpivot(["sample_id", "group"], paths, "asset", "path").where("path is not null and path <> ''")
 
 
 def bundle_manifest(bundle: DataFrame) -> tuple[DataFrame, DataFrame]:

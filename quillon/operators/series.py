@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def envelope(series: DataFrame, key: str, order: list, value: str, points: int = 180, scale: float = 1.0) -> DataFrame:
@@ -24,15 +27,46 @@ def resample_grid(series: DataFrame, key: str, slot: str, value: str, slots: int
     return grid.join(sums, [key, slot], "left").fillna(0.0, ["value"])
 
 
+#: Slots of a chunk, at least, in which autocorrelations are summed.
+CHUNK = 4096
+
+
+def autocorrelation(samples: DataFrame, key: str, slot: str, value: str, low: int, high: int) -> DataFrame:
+    """key, lag, total, pairs: sums of products of a key's values `lag` slots apart, from low to
+    high (0 or more), and how many such pairs there are. Slots are distinct whole numbers; gaps
+    count as absent.
+
+    Fast Fourier transforms over chunks of CHUNK (or high, if more) slots, each with the `high`
+    slots after it: a value goes to two chunks at most, and a chunk gives one row per lag.
+    """
+    size = max(CHUNK, high)
+    block = F.floor(F.col(slot) / size)
+    both = F.array_compact(F.array(block, F.when(F.pmod(F.col(slot), F.lit(size)) < high, block - 1)))
+    rows = samples.where(F.col(value).isNotNull()).select(key, F.col(slot).cast("long").alias("slot"), F.col(value).cast("double").alias("x"), F.explode(both).alias("block"))
+
+    def chunk(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["slot"].to_numpy() - of[1] * size
+        n = int(at.max()) + 1
+        signal = np.zeros((2, n))  # values, and where there are any
+        signal[:, at] = np.stack([rows["x"].to_numpy(), np.ones(len(rows))])
+        width = 1 << (n + size).bit_length()
+        head, whole = np.fft.rfft(signal[:, :size], width), np.fft.rfft(signal, width)
+        sums = np.fft.irfft(head.conj() * whole, width)[:, low : high + 1]
+        return pd.DataFrame({key: [of[0]] * (high - low + 1), "lag": np.arange(low, high + 1), "total": sums[0], "pairs": np.rint(sums[1]).astype(np.int64)})
+
+    sums = rows.groupBy(key, "block").applyInPandas(chunk, T.StructType([samples.schema[key], *T.StructType.fromDDL("lag int, total double, pairs long").fields]))
+    return sums.groupBy(key, "lag").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+
+
 def dominant_period(dense: DataFrame, key: str, slot: str, low: int, high: int) -> DataFrame:
     """key, period: the lag from low to high of largest autocorrelation of the positive
     differences, mean taken off and divided by the sample deviation (first lag on ties to 9
-    places); 0 for fewer than 3 differences. dense: key, slot, value."""
-    w = Window.partitionBy(key)
-    rise = dense.withColumn("d", F.greatest(F.lit(0.0), F.col("value") - F.lag("value").over(w.orderBy(slot)))).where("d is not null and " + slot + " > 0")
-    unit = rise.select(key, slot, ((F.col("d") - F.avg("d").over(w)) / F.greatest(F.stddev_samp("d").over(w), F.lit(1e-8))).alias("x"), F.count("*").over(w).alias("n"))
-    shifted = unit.select(key, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), F.col(slot), F.col("x").alias("y"), "n").withColumn(slot, F.col(slot) + F.col("lag"))
-    scores = unit.select(key, slot, "x").join(shifted, [key, slot]).groupBy(key, "lag").agg(F.round(F.avg(F.col("x") * F.col("y")), 9).alias("score"), F.max("n").alias("n"))
+    places); 0 for fewer than 3 differences. dense: key, slot (from 0), value."""
+    before = dense.select(key, (F.col(slot) + 1).alias(slot), F.col("value").alias("before"))
+    rise = dense.join(before, [key, slot]).where(F.col(slot) > 0).select(key, slot, F.greatest(F.lit(0.0), F.col("value") - F.col("before")).alias("d"))
+    sizes = rise.groupBy(key).agg(F.avg("d").alias("mean"), F.greatest(F.stddev_samp("d"), F.lit(1e-8)).alias("deviation"), F.count("d").alias("n"))
+    unit = rise.join(sizes, key).select(key, slot, ((F.col("d") - F.col("mean")) / F.col("deviation")).alias("x"))
+    scores = autocorrelation(unit, key, slot, "x", low, high).where("pairs > 0").select(key, "lag", F.round(F.col("total") / F.col("pairs"), 9).alias("score")).join(sizes.select(key, "n"), key)
     best = scores.where("lag < n").groupBy(key).agg(F.max(F.struct("score", (-F.col("lag")).alias("l"))).alias("b"), F.max("n").alias("n"))
     return dense.select(key).distinct().join(best.select(key, F.when(F.col("n") >= 3, -F.col("b.l")).alias("period")), key, "left").fillna(0, ["period"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .checks import without
 from .dataset import dense_index
 from .metrics import finite
 from .ranking import holm_adjust
@@ -19,11 +20,16 @@ from .ranking import holm_adjust
 
 def metric_matrix(values: DataFrame, scenarios: list[str]) -> DataFrame:
     """metric, artist_key, pos, value: artist means, artists with a cell missing or not finite
-    dropped. values: metric, scenario, artist_key, value. Long form; pos numbers the scenarios."""
+    dropped. values: metric, scenario, artist_key, value. Long form; pos numbers the scenarios. A
+    scenario that a metric lacks altogether is an error."""
     order = F.array_position(F.array(*map(F.lit, scenarios)), F.col("scenario")).cast("int") - 1
     means = values.where(F.col("scenario").isin(scenarios)).groupBy("metric", "artist_key", order.alias("pos")).agg(F.avg("value").alias("value"))
+    known = values.groupBy("metric").agg(F.collect_set(F.when(F.col("scenario").isin(scenarios), F.col("scenario"))).alias("found"))
+    lacking = known.select("metric", F.array_except(F.array(*map(F.lit, scenarios)), "found").alias("missing")).where(F.size("missing") > 0)
     whole = means.where(finite("value")).groupBy("metric", "artist_key").agg(F.count("*").alias("cells")).where(F.col("cells") == len(scenarios))
-    return means.join(whole.select("metric", "artist_key"), ["metric", "artist_key"])
+    matrix = means.join(whole.select("metric", "artist_key"), ["metric", "artist_key"])
+    fault = F.concat(F.lit("no values of "), F.coalesce("metric", F.lit("null")), F.lit(" for "), F.array_join("missing", ", "))
+    return without(matrix, lacking, fault)
 
 
 def rm_anova(matrix: DataFrame) -> DataFrame:

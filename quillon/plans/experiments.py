@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stable_hash
+from quillon.operators.checks import checked
 from quillon.operators.dataset import dense_index
+from quillon.operators.digests import row_text, tree_digest
 
 #: The scenarios in order, with their direction.
 SCENARIOS = (
@@ -197,10 +199,8 @@ def clip_cohort_rows(cohort: DataFrame, records: DataFrame) -> DataFrame:
 def remap_labels(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """artist_index becomes another vocabulary's index of the same key; the old one is kept as
     control_artist_index. Unknown keys are an error."""
-    unknown = rows.join(vocabulary, "artist_key", "left_anti").limit(5).collect()
-    if unknown:
-        raise ValueError(f"keys outside the vocabulary: {[r['artist_key'] for r in unknown]}")
-    return rows.withColumnRenamed("artist_index", "control_artist_index").join(vocabulary.select("artist_key", F.col("index").alias("artist_index")), "artist_key")
+    joined = rows.withColumnRenamed("artist_index", "control_artist_index").join(vocabulary.select("artist_key", F.col("index").alias("artist_index")), "artist_key", "left")
+    return checked(joined, F.col("artist_index").isNotNull(), F.concat(F.lit("key outside the vocabulary: "), F.coalesce("artist_key", F.lit("null"))))
 
 
 def missing_types(rows: DataFrame, requested: list[str], column: str = "sample_type") -> DataFrame:
@@ -253,6 +253,16 @@ def generation_identity(config: DataFrame, group: str) -> DataFrame:
     return config.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("identity"))
 
 
+def cohort_digest(cohort: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """One row, n and digest: of a cohort's rows (their named columns) in order."""
+    return tree_digest(cohort.withColumn("_all", F.lit(0)), "_all", order, row_text(*columns)).drop("_all")
+
+
+def plan_digest(plan: DataFrame, by: str = "scenario", order: tuple[str, ...] = ("row_id", "position"), columns: tuple[str, ...] = ("row_id", "position", "scenario", "ids", "weight")) -> DataFrame:
+    """by, n, digest: of each scenario's rows of a control plan in order."""
+    return tree_digest(plan, by, list(order), row_text(*columns))
+
+
 def config_mismatches(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keys whose values differ, or that one side lacks. Both: key, value."""
     j = old.select("key", F.col("value").alias("old_value")).join(new.select("key", F.col("value").alias("new_value")), "key", "full")

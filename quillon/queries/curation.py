@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import curation as c
 from quillon.operators.counters import Counters
+from quillon.operators.quantiles import exact_quantiles
 from quillon.plans.views import STAND_IN_EXACT, STAND_IN_KEYWORDS, V_CAPTION, V_FAMILY, V_TRACK, captions, table, tracks
 from quillon.sources.stored import stored
 
@@ -174,6 +175,11 @@ def e9(spark, d):
     return c.selection_stats(table(spark, d, "orders"), "o_totalprice").withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 6))
 
 
+@query("e9_exact_quantiles", "SELECT unnest([0.0, 0.1, 0.5, 0.975, 1.0])::DOUBLE AS fraction, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.975, 1.0])), 6) AS value FROM lineitem")
+def e9q(spark, d):
+    return exact_quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.0, 0.1, 0.5, 0.975, 1.0]).withColumn("value", F.round("value", 6))
+
+
 @query("e9_selection_counts", f"""{BASE}, {MAPPED}, {DOMINANT}, {PROFILE.format(src='v_track', glob=50)}, sel AS (SELECT artist_key, track_id, dominant_genre FROM mapped JOIN dominant USING (artist_key) WHERE duration >= 25)
 SELECT 'total' AS section, 'artists' AS name, count(DISTINCT artist_key) AS n FROM sel UNION ALL SELECT 'total', 'songs', count(*) FROM sel UNION ALL SELECT 'total', 'clips', 2 * count(*) FROM sel
 UNION ALL SELECT 'songs_by_genre', dominant_genre, count(*) FROM sel GROUP BY 2 UNION ALL SELECT 'artists_by_genre', dominant_genre, count(*) FROM dominant WHERE artist_key IN (SELECT artist_key FROM sel) GROUP BY 2

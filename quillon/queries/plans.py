@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import dataset as ds
 from quillon.operators import series as s
 from quillon.operators import stats as h
+from quillon.operators.digests import tree_sql
 from quillon.plans import experiments as x
 from quillon.plans.views import V_METRIC, V_TRACK, metrics, table, tracks
 
@@ -214,6 +215,18 @@ def k3(spark, d):
     return x.generation_identity(p.unpivot("p_partkey", ["type", "name", "brand"], "key", "value"), "p_partkey")
 
 
+@query("k3_cohort_digest", tree_sql("(SELECT 0 AS one, l_orderkey, l_linenumber, 'l_linenumber=' || l_linenumber || chr(10) || 'l_orderkey=' || l_orderkey || chr(10) || 'l_partkey=' || l_partkey || chr(10) || 'l_returnflag=' || l_returnflag AS row FROM lineitem)", "one", "l_orderkey, l_linenumber", "row").replace("g AS one, ", ""))
+def k3c(spark, d):
+    return x.cohort_digest(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+
+
+@query("k3_plan_digest", tree_sql("(SELECT z.s AS scenario, vec_id, 'ids=' || array_to_string(z.i, ',') || chr(10) || 'row_id=' || vec_id AS row FROM (SELECT vec_id, unnest([{'s': 'no_control', 'i': []::BIGINT[]}, {'s': 'enhance_target', 'i': [label::BIGINT]}, {'s': 'suppress_single_target', 'i': [label::BIGINT]}, {'s': 'suppress_multiple_target', 'i': list_sort(list_append(mt, label))}, {'s': 'suppress_single_others', 'i': so}, {'s': 'suppress_multiple_others', 'i': list_sort(mo)}]) AS z FROM q))", "scenario", "vec_id", "row").join([f"WITH {SETS} ", ""]))
+def k3p(spark, d):
+    p = x.control_scenarios(plan_rows(spark, d), 10, 4)
+    named = p.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+    return x.plan_digest(named, order=("row_id",), columns=("row_id", "ids"))
+
+
 @query("k4_config_mismatches", "SELECT c_name AS key, CASE WHEN c_custkey % 10 <> 1 THEN c_mktsegment END AS old_value, CASE WHEN c_custkey % 10 = 2 THEN 'new' WHEN c_custkey % 10 <> 3 THEN c_mktsegment END AS new_value FROM customer WHERE c_custkey % 10 IN (1, 2, 3)")
 def k4(spark, d):
     c = table(spark, d, "customer")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as t
+from quillon.operators.checks import unique
+from quillon.operators.digests import row_text, tree_digest, tree_sql
 from quillon.plans.views import table
 from quillon.sources.readers import collection_digest, content_digest, metric_columns, unpivot_metrics, violation_counts
 
@@ -40,6 +42,12 @@ def a8(spark, d):
     return collection_digest(files, "source", "doc_id")
 
 
+@query("a8_tree_digests", tree_sql("(SELECT source, doc_id, 'doc_id=' || doc_id || chr(10) || 'sha=' || sha256(text) || chr(10) || 'size=' || length(text) AS row FROM documents)", "source", "doc_id", "row"))
+def a8t(spark, d):
+    files = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size"), content_digest("text").alias("sha"))
+    return tree_digest(files, "source", ["doc_id"], row_text("doc_id", "size", "sha"))
+
+
 @query("b1_clean_values", """
 SELECT doc_id, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') IS NULL AS blank, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n, TRY_CAST(regexp_extract(text, '[0-9]+') AS DOUBLE) AS number FROM documents""")
 def b1(spark, d):
@@ -115,6 +123,18 @@ def b9(spark, d):
     return li.select(key.alias("sample_id")).groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query("b9_unique_sample_ids", r"""
+SELECT l_orderkey, l_linenumber, 'jmdmc__a_artist_' || l_suppkey || '__t_' || left('p_' || l_partkey || repeat('x', 40), 32) || '__s_' || lpad(((l_linenumber - 1) * 30000)::VARCHAR, 9, '0') || '__e_' || lpad(((l_linenumber - 1) * 30000 + l_quantity * 1000)::BIGINT::VARCHAR, 9, '0') || '__c_' || left(sha256(l_orderkey || '/' || l_linenumber), 16) AS sample_id FROM lineitem""")
+def b9u(spark, d):
+    """The ids themselves, under the guard against collisions."""
+    li = table(spark, d, "lineitem")
+    start = (F.col("l_linenumber") - 1) * 30000
+    end = (start + F.col("l_quantity") * 1000).cast("long")
+    track = F.concat(F.lit("p!"), F.col("l_partkey").cast("string"), F.lit("x" * 40))
+    caption = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return unique(li.select("l_orderkey", "l_linenumber", t.sample_id(F.lit("--"), track, start, end, caption, "l_suppkey").alias("sample_id")), "sample_id", "sample ids collide")
+
+
 @query("b10_direct_family", """
 SELECT tag, CASE WHEN tag IN ('red', 'small') THEN 'pop' WHEN contains(tag, 'ol') THEN 'metal' WHEN contains(tag, 'r') THEN 'jazz' END AS family FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS tag FROM part)""")
 def b10(spark, d):

@@ -8,6 +8,7 @@ from quillon.functions.text import is_mp3
 from quillon.operators.counters import Counters
 from quillon.operators.curation import artist_summary, funnel
 from quillon.plans.views import V_TRACK, captions, metrics, table, tracks
+from quillon.sources import files
 from quillon.sources import readers as r
 from quillon.sources.stored import fresh_path, stored
 from quillon.streaming.streams import drained, stream_catalog, stream_funnel, stream_metric_means
@@ -106,6 +107,30 @@ def a4k(spark, d):
     return r.describe_metrics(long).select("event_id", "metric_id", "label", "direction")
 
 
+@query("a4_metric_folder", """WITH v AS (SELECT 'clips:quantity' AS metric, l_returnflag AS scenario, l_orderkey::VARCHAR AS entity, 'sample_id' AS entity_level, l_quantity AS value FROM lineitem
+UNION ALL SELECT 'clips:tax', l_returnflag, l_orderkey::VARCHAR, 'sample_id', l_tax FROM lineitem WHERE l_linenumber % 2 = 0
+UNION ALL SELECT 'artists:fad', o_orderstatus, o_custkey::VARCHAR, 'artist_key', o_totalprice FROM orders UNION ALL SELECT 'more:fad', c_mktsegment, c_custkey::VARCHAR, 'artist_key', c_acctbal FROM customer)
+SELECT metric, scenario, entity_level, count(*) AS n, count(DISTINCT entity) AS entities, round(sum(value), 2) AS total, CASE WHEN metric = 'clips:quantity' OR metric = 'clips:tax' THEN NULL ELSE 'minimize' END AS direction FROM v GROUP BY 1, 2, 3""")
+def a4f(spark, d):
+    """Three tables of two headers and one that is no metric table, as files of one folder."""
+    li, o, c = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
+    own = {
+        "clips": li.select(F.col("l_returnflag").alias("scenario"), F.col("l_orderkey").alias("sample_id"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).alias("tax"), F.col("l_comment" if "l_comment" in li.columns else "l_linestatus").alias("note")),
+        "artists": o.select(F.col("o_orderstatus").alias("scenario"), F.col("o_custkey").alias("artist_key"), F.col("o_totalprice").alias("fad")),
+        "more": c.select(F.col("c_mktsegment").alias("scenario"), F.col("c_custkey").alias("artist_key"), F.col("c_acctbal").alias("fad")),
+        "other": c.select("c_custkey"),
+    }
+    root = fresh_path(spark)
+    for name, rows in own.items():
+        path = fresh_path(spark)
+        rows.coalesce(1).write.csv(path, header=True)
+        part = next(n for n in files.names(spark, path) if n.endswith(".csv"))
+        files.make_parent(spark, f"{root}/{name}.csv")
+        files.rename(spark, f"{path}/{part}", f"{root}/{name}.csv")
+    t = r.read_metric_tables(spark, root)
+    return t.groupBy("metric", "scenario", "entity_level", "direction").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query("s1_stream_catalog", "SELECT p_partkey::VARCHAR AS track_id, 'id:' || p_size AS artist_key, lower(p_type) AS genres FROM part WHERE p_partkey % 10 <> 3")
 def s1(spark, d):
     """The given parts as dated catalogue files, read as a stream until all is seen."""

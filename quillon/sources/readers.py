@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Callable
 from functools import reduce
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.text import artist_key, clean_text, is_mp3, labels, normalize_genres, style_tags
+from quillon.operators.checks import checked
 from quillon.operators.counters import Counters, watched
 from quillon.sources import files
 
@@ -130,12 +132,15 @@ def describe_metrics(long: DataFrame) -> DataFrame:
     return long.withColumns({"metric_id": F.coalesce(F.get(parts, F.lit(0)), "metric"), "label": F.coalesce(F.get(parts, F.lit(1)), F.initcap(F.replace(column, F.lit("_"), F.lit(" ")))), "direction": F.get(parts, F.lit(2))})
 
 
+def _number_checks(names: list[str]) -> list[Column]:
+    filled = lambda c: F.trim(F.col(c)) != ""
+    return [F.struct(F.count_if(filled(c)).alias("n"), F.count_if(filled(c) & F.col(c).try_cast("double").isNull()).alias("bad")).alias(c) for c in names]
+
+
 def metric_columns(df: DataFrame, keys: list[str]) -> list[str]:
     """Columns whose values all read as numbers, at least one not empty: one aggregate."""
     names = [c for c in df.columns if c not in keys and c not in NOT_METRICS]
-    filled = lambda c: F.trim(F.col(c)) != ""
-    checks = [F.struct(F.count_if(filled(c)).alias("n"), F.count_if(filled(c) & F.col(c).try_cast("double").isNull()).alias("bad")).alias(c) for c in names]
-    row = df.agg(*checks).first()
+    row = df.agg(*_number_checks(names)).first()
     return [c for c in names if row[c]["n"] > 0 and row[c]["bad"] == 0]
 
 
@@ -156,6 +161,39 @@ def read_metric_table(spark: SparkSession, path: str, stem: str) -> DataFrame:
     return describe_metrics(unpivot_metrics(df, found, stem, ("scenario", entity)).withColumnRenamed(entity, "entity").withColumn("entity_level", F.lit(entity)))
 
 
+def read_metric_tables(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """read_metric_table of all files of a folder that have a scenario and an entity column, each
+    under its name as stem; other files are left out, and a folder without such a file is an error.
+
+    Files of one header are read together, whatever other headers there are. Two passes over the
+    files before the result's: their first lines, and which columns are numbers in which file.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).text(folder).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        groups.setdefault(tuple(next(csv.reader([row["header"].removeprefix("\ufeff")]), [])), []).append(row["file_path"])
+    found = []
+    stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("_stem")
+    for header, paths in sorted(groups.items()):
+        entity = next((k for k in ENTITY_KEYS if k in header), None)
+        if "scenario" not in header or entity is None:
+            continue
+        df = spark.read.schema(T.StructType([T.StructField(c, _STR) for c in header])).option("header", True).option("enforceSchema", True).csv(sorted(paths)).select("*", stem)
+        names = [c for c in header if c not in (*ENTITY_KEYS, *NOT_METRICS)]
+        if not names:
+            continue
+        rows = df.groupBy("_stem").agg(*_number_checks(names)).collect()
+        metrics = [f"{r['_stem']}:{c}" for r in rows for c in names if r[c]["n"] and not r[c]["bad"]]
+        typed = df.select("_stem", "scenario", F.col(entity).alias("entity"), *[F.col(c).try_cast("double").alias(c) for c in names])
+        long = typed.unpivot(["_stem", "scenario", "entity"], names, "column", "value").where("value is not null")
+        kept = long.select("scenario", "entity", F.concat_ws(":", "_stem", "column").alias("metric"), "value").where(F.col("metric").isin(metrics))
+        found.append(kept.withColumn("entity_level", F.lit(entity)))
+    if not found:
+        raise ValueError(f"no metric table {glob} in {folder}")
+    return describe_metrics(reduce(DataFrame.unionByName, found))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A published-results document as rows: section, row, label, metric, value, shown (fixed
     decimals, an em dash for null). Repeated or blank ids of rows, and of metrics where the
@@ -184,7 +222,8 @@ def content_digest(c) -> Column:
 
 
 def collection_digest(assets: DataFrame, group: str, name: str) -> DataFrame:
-    """Digest of each group's ordered (name, size, sha) rows. A group's files meet in one value."""
+    """Digest of each group's ordered (name, size, sha) rows. A group's files meet in one value;
+    digests.tree_digest has no such limit."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(name), F.col("size"), F.col("sha"))))
     text = F.transform(rows, lambda x: F.concat_ws(":", x.getField(name).cast("string"), x.getField("size").cast("string"), x.getField("sha")))
     return assets.groupBy(group).agg(F.count("*").alias("n_files"), F.sha2(F.array_join(text, "\n"), 256).alias("digest"))
@@ -196,6 +235,12 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"), content_digest("content").alias("sha"), is_mp3("content").alias("is_mp3"))
 
 
+def present(assets: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """The assets that expected names (a name each); one that is not there is an error."""
+    joined = expected.select(name).join(assets.withColumn("_there", F.lit(True)), name, "left")
+    return checked(joined, F.col("_there"), F.concat(F.lit("missing file: "), F.coalesce(F.col(name).cast("string"), F.lit("null")))).drop("_there")
+
+
 def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
     """df in order of the columns named, in place of what path holds, once all is written; an empty
     df is an error and changes nothing."""

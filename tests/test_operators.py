@@ -226,10 +226,7 @@ def test_what_is_missing_or_ambiguous_is_an_error(spark, tmp_path):
     metrics = '{"metric_groups":[{"id":"g","metrics":[{"id":"kl"},{"id":"kl"}]}],"sections":[]}'
     (tmp_path / "twice.json").write_text(metrics)
     for fails in (
-        lambda: ranking.resolve_entity(asked, people, strict=True),
-        lambda: curation.select_representative(scored, 2),
         lambda: dataset.filter_records(scored, ["nobody"], None, "genres"),
-        lambda: ranking.demo_bundle(spark.createDataFrame([(9, "g")], "sample_id int, group string"), clips, ["path"]),
         lambda: ranking.choose_evaluation_artists(profiles, 1, 1, 0),
         lambda: ranking.choose_evaluation_artists(profiles, 1, 0, 0, targets=["nobody"]),
         lambda: ranking.choose_evaluation_artists(profiles, 1, 0, 0, targets=["k"], controls=["k"]),
@@ -238,6 +235,10 @@ def test_what_is_missing_or_ambiguous_is_an_error(spark, tmp_path):
     ):
         with pytest.raises(ValueError):
             fails()
+    with pytest.raises(Exception, match="unknown or ambiguous: (Ann|Cy)"):
+        ranking.resolve_entity(asked, people, strict=True).collect()
+    with pytest.raises(Exception, match="selection without a clip: 9"):
+        ranking.demo_bundle(spark.createDataFrame([(9, "g")], "sample_id int, group string"), clips, ["path"]).collect()
     assert [r["id"] for r in x.require_valid(checked, cached, "id", overwrite=True).orderBy("id").collect()] == [1, 2]
     assert ranking.choose_evaluation_artists(profiles, 1, 0, 0, targets=["k"]).collect() == [("k", "target", 0)]
     with pytest.raises(Exception, match="evaluation gave"):
