@@ -8,13 +8,18 @@ reaches a rational threshold; links are exact, and components of links are retur
    common order, so the classes that share such an n-gram form the groups in which links can
    lie. Common n-grams come last, so that passages that many texts share make no groups.
    Groups with equal members are kept once.
-3. Within each group a signature tree (nodes: OR-combined bitmaps and size ranges) is
+3. Every class is compared with its groups' first members, bitmap by bitmap; what may link is
+   joined. A group whose members are all joined so needs no more.
+4. Within each other group a signature tree (nodes: OR-combined bitmaps and size ranges) is
    traversed against itself; node pairs whose largest possible overlap is too small are
    pruned. What survives joins classes into families, supersets of the true components.
-4. Within each family the trees are traversed again, with the sets at the leaves: exact
+5. Within each family the same again with the sets themselves: first every member with the
+   first one, then, for what is still open, the trees with the sets at the leaves: exact
    Jaccard decides. Only links between not yet joined classes are emitted.
 
-Groups and families beyond `block` members are dealt out as pairs of blocks.
+Groups and families beyond `block` members are dealt out as pairs of blocks; those members that
+the first comparison made one component have blocks of their own, which meet all other blocks
+but not each other.
 """
 
 from __future__ import annotations
@@ -186,10 +191,11 @@ def dual_traversal(tree: SignatureTree, left: np.ndarray, right: np.ndarray, num
 
 
 class _Union:
-    """Union-find over the few hundred rows of one task's block pair."""
+    """Union-find over the few hundred rows of one task's block pair, from what is joined already."""
 
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
+    def __init__(self, roots: np.ndarray) -> None:
+        _, first, number = np.unique(roots, return_index=True, return_inverse=True)
+        self.root = first[number]
 
     def same(self, a, b):
         return self.root[a] == self.root[b]
@@ -238,7 +244,7 @@ def _links(group: pd.DataFrame, num: int, den: int, exact: bool) -> list[tuple]:
     p, q, block, low = group["p"].iat[0], group["q"].iat[0], group["b"].to_numpy(), group["low"].to_numpy()
     maps = [np.frombuffer(m, dtype=np.uint64) for m in group["bitmap"]]
     sets = [np.frombuffer(m, dtype=np.uint64) for m in group["members"]] if exact else None
-    widths, union, out = np.array([len(m) for m in maps]), _Union(len(ids)), []
+    widths, union, out = np.array([len(m) for m in maps]), _Union(group["root"].to_numpy()), []
     for width in np.unique(widths):
         at = np.flatnonzero((widths == width) | (widths == 2 * width))
         if len(at) < 2:
@@ -269,35 +275,83 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _dealt(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """Say which tasks compare the members (g1, id, n) of each group g1.
+    """Say which tasks compare the members (g1, id, n, root) of each group g1; those of one root
+    are joined already, and a group of one root needs no task.
 
     A group of up to `block` members is one task. A larger one is split by size class: key g2
     gets the classes g2 and g2 - 1, whose sizes may link; `low` marks rows of the smaller class,
     whose pairs with each other belong to another key. What is still larger is dealt out as
-    pairs of blocks: p and q number the pair, b the member's own block. The large groups are few
+    pairs of blocks: p and q number the pair, b the member's own block. Rows of a key's most
+    frequent root have blocks of their own, which do not meet each other: a group of n rows of
+    which m are not of that root is sent about n * m / block times. The large groups are few
     (at most members / block) and their sizes are joined by broadcast, so that a large group's
     rows need not meet. Keys without a row of their own class, and rows whose neighbours by size
     are too small or too large to link are dropped.
     """
-    large = stored(members.groupBy("g1").agg(F.count("*").alias("size")).where(F.col("size") > block).select("g1"))
+    groups = stored(members.groupBy("g1").agg(F.count("*").alias("size"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("g1", "size"))
+    large, open_ones = groups.where(F.col("size") > block).select("g1"), groups.where(F.col("size") <= block).select("g1")
     zero = F.lit(0)
-    small = matching(members, large, "g1", "left_anti").select("g1", zero.alias("g2"), zero.alias("p"), zero.alias("q"), zero.alias("b"), F.lit(False).alias("low"), "id", "n")
+    small = matching(members, open_ones, "g1").select("g1", zero.alias("g2"), zero.alias("p"), zero.alias("q"), zero.alias("b"), F.lit(False).alias("low"), "id", "n", "root")
     classed = matching(members, large, "g1").withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
     split = F.array(F.struct(F.col("c").alias("g2"), F.lit(False).alias("low")), F.struct((F.col("c") + 1).alias("g2"), F.lit(True).alias("low")))
-    keyed = classed.withColumn("key", F.explode(split)).select("g1", "key.g2", "key.low", "id", "n")
-    sized = stored(keyed.groupBy("g1", "g2").agg(F.count("*").alias("size"), F.min("low").alias("only_low")).where("size > 1 and not only_low").drop("only_low"))
-    nb = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = matching(keyed, sized, ["g1", "g2"]).withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("nb") - 1)))
-    pairs = small.unionByName(other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id", "n"))
+    keyed = classed.withColumn("key", F.explode(split)).select("g1", "key.g2", "key.low", "id", "n", "root")
+    rooted = keyed.groupBy("g1", "g2", "root").agg(F.count("*").alias("k"), F.min("low").alias("only_low"))
+    sized = rooted.groupBy("g1", "g2").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("top"), F.min("only_low").alias("only_low"))
+    sized = stored(sized.where("size > top.k and not only_low").select("g1", "g2", F.col("top.root").alias("major"), F.ceil(F.col("top.k") / block).cast("int").alias("own"), F.ceil((F.col("size") - F.col("top.k")) / block).cast("int").alias("rest")))
+    hashed, joined = F.xxhash64("id"), F.col("root") == F.col("major")
+    dealt = matching(keyed, sized, ["g1", "g2"]).withColumn("b", F.when(joined, F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("rest"))).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.when(joined, F.col("own")).otherwise(zero), F.col("own") + F.col("rest") - 1)))
+    pairs = small.unionByName(other.select("g1", "g2", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "low", "id", "n", "root"))
     by_size = Window.partitionBy("g1", "g2", "p", "q").orderBy("n", "id")
     near = (F.lead("n").over(by_size) * num <= F.col("n") * den) | (F.col("n") * num <= F.lag("n").over(by_size) * den)
     found = stored(pairs.withColumn("near", near).where("near").drop("near", "n"))
-    for df in (large, sized):
+    for df in (groups, sized):
         unstore(df)
     return found
 
 
+def _firsts(members: DataFrame) -> DataFrame:
+    """Pairs (id, first) of each member and the first one of its group, each once."""
+    first = members.groupBy("g1").agg(F.min("id").alias("first"))
+    return matching(members.select("g1", "id"), first, "g1").where("id != first").select("id", "first").distinct()
+
+
+def _paired(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs with these columns of both: of the id, and of the first one, with a 0 appended."""
+    firsts = rows.select(F.col("id").alias("first"), *(F.col(c).alias(f"{c}0") for c in columns))
+    return pairs.join(rows.select("id", *columns), "id").join(firsts, "first")
+
+
+def _first_links(num: int, den: int, exact: bool):
+    """Of the pairs: those that may link by their bitmaps, or that do by their sets."""
+
+    def by_bitmap(frame: pd.DataFrame) -> np.ndarray:
+        keep = np.zeros(len(frame), dtype=bool)
+        maps = [[np.frombuffer(m, dtype=np.uint64) for m in frame[c]] for c in ("bitmap", "bitmap0")]
+        widths = np.array([[len(m) for m in side] for side in maps]).reshape(2, -1)
+        sizes = frame[["n", "n0"]].to_numpy(dtype=np.int64).T
+        for width in np.unique(widths.min(axis=0)):
+            # A link needs sizes within a doubling, and so widths within one.
+            at = np.flatnonzero((widths.min(axis=0) == width) & (widths.max(axis=0) <= 2 * width))
+            if len(at):
+                x, y = ((np.stack([side[i] if len(side[i]) == width else _folded(side[i]) for i in at]), n[at]) for side, n in zip(maps, sizes, strict=True))
+                x, y = ((m, n, n, n - np.bitwise_count(m).sum(axis=1)) for m, n in (x, y))
+                own = np.arange(len(at))
+                keep[at] = _possible(x, own, y, own, num, den)
+        return keep
+
+    def by_set(frame: pd.DataFrame) -> np.ndarray:
+        common = np.array([_overlap(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(frame["members"], frame["members0"], strict=True)], dtype=np.int64)
+        return den * common >= num * (frame["n"].to_numpy(dtype=np.int64) + frame["n0"].to_numpy(dtype=np.int64) - common)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = frame[["id", "first"]][(by_set if exact else by_bitmap)(frame)]
+            yield found.set_axis(["src", "dst"], axis=1)
+
+    return run
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block: int = 400) -> DataFrame:
     """Exact components of word n-gram Jaccard similarity >= num/den over docs (doc_id, text).
 
@@ -327,18 +381,27 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     shared = tokens.groupBy("token").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(7L, id))").alias("h2")).where("k > 1")
     chosen = shared.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token")
     members = stored(matching(tokens, chosen, "token").withColumnRenamed("token", "g1").join(classes.select("id", "n"), "id"))
-    near = _dealt(members, block, num, den)
-    unstore(members)
-    families = connected_components(_linked(near.join(marked.select("id", "n", "bitmap"), "id"), num, den, False))
-    for df in (near, marked):
+    signed = marked.select("id", "n", "bitmap")
+    first = stored(map_pairs(_paired(_firsts(members), signed, ["n", "bitmap"]), num, den, False))
+    joined = connected_components(first)
+    near = _dealt(_rooted(members, joined), block, num, den)
+    for df in (members, joined):
+        unstore(df)
+    families = connected_components(first.union(_linked(near.join(signed, "id"), num, den, False)))
+    for df in (first, near, marked):
         unstore(df)
 
-    inside = _dealt(families.join(classes.select("id", "n"), "id").withColumnRenamed("root", "g1"), block, num, den)
     named = stored(sources.drop("n").join(families.select("id"), "id", "left_semi"))
     wanted = matching(base, named, ["doc_id", "text_key"]).select("id", "text")
-    texts = map_texts(wanted, "text", _member_sets(n), "id long, n int, members binary")
-    links = connected_components(_linked(matching(texts, inside, "id"), num, den, True))
-    for df in (inside, families, named):
+    texts = stored(map_texts(wanted, "text", _member_sets(n), "id long, n int, members binary"))
+    if texts.count() != named.count():
+        repeated, texts = texts, stored(texts.dropDuplicates(["id"]))
+        unstore(repeated)
+    inside = families.join(texts.select("id", "n"), "id").withColumnRenamed("root", "g1")
+    first = stored(map_pairs(_paired(_firsts(inside), texts, ["n", "members"]), num, den, True))
+    near = _dealt(_rooted(inside, first.toDF("id", "root")), block, num, den)
+    links = connected_components(first.union(_linked(near.join(texts, "id"), num, den, True)))
+    for df in (first, near, texts, families, named):
         unstore(df)
 
     rooted = classes.join(links, "id", "left").select("set_key", "least", F.coalesce("root", "id").alias("root"))
@@ -347,6 +410,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     return keyed.join(found, "set_key", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def map_pairs(pairs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    return pairs.mapInPandas(_first_links(num, den, exact), "src long, dst long")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with root: what roots (id, root) have for a member, else itself."""
+    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def _member_sets(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
