@@ -36,9 +36,9 @@ def _masks() -> list[int]:
     return [((k + 1) * 0x9E3779B1 & 0xFFFFFFFF) - (1 << 31) for k in range(HASHES)]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line of every line that is not blank."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("length(trim(line)) > 0")
+def _lines(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, further columns, pos and line of every line that is not blank."""
+    return docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("length(trim(line)) > 0")
 
 
 def _coded(docs: DataFrame) -> DataFrame:
@@ -188,26 +188,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """Remove from docs (doc_id, text, ...) every line that an earlier line makes superfluous.
 
     Lines are alike if equal, or linked by a Jaccard similarity of 0.8 or more of their sets of
-    8-character shingles; of each component of alike lines the first stays (least doc_id, then
-    position). Blank lines always stay and are compared with nothing. Every row is returned with
-    its other columns; text loses its removed lines, and n_lines_removed (replaced if present)
-    counts them. Null and empty texts stay as they are; a text may become empty. Rows that
-    repeat a doc_id share places: equal places stay or go together. An n_chars column is set to
-    the new length. An empty table gives an empty result.
+    8-character shingles; of each component of alike lines the first stays (least doc_id, nulls
+    last, then a hash of the text, then position). Blank lines always stay and are compared with
+    nothing. Every row is returned with its other columns; text loses its removed lines, and
+    n_lines_removed (replaced if present) counts them. Null and empty texts stay as they are; a
+    text may become empty. Rows that repeat a doc_id (null ones too) with other texts are each
+    judged by their own lines; of rows that repeat both, the equal places stay or go together. An
+    n_chars column is set to the new length. An empty table gives an empty result.
     """
     base = docs.select("doc_id", "text")
     roots = similar_lines(base)
-    places = _lines(base).select("doc_id", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
-    named = stored(matching(places, roots, "id", "left").select("doc_id", "pos", F.coalesce("root", "id").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2")))
+    row = F.xxhash64("doc_id", "text").alias("row")
+    places = _lines(base.select("doc_id", "text", row), "row").select("doc_id", "row", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), F.col("line")).alias("k2"))
+    named = stored(matching(places, roots, "id", "left").select("doc_id", "row", "pos", F.coalesce("root", "id").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2")))
     unstore(roots)
-    firsts = named.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").drop("n")
-    firsts = stored(firsts)
-    gone = matching(named, firsts, ["g1", "g2"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    drops = stored(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
+    firsts = stored(named.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
+    gone = matching(named, firsts, ["g1", "g2"]).where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+    drops = stored(gone.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("pos")).alias("removed")))
     for df in (named, firsts):
         unstore(df)
-    kept = docs.drop("n_lines_removed", "removed")
-    joined = kept.join(F.broadcast(drops) if fits_broadcast(drops) else drops, "doc_id", "left")
+    kept = docs.drop("n_lines_removed", "removed", "_row")
+    joined = kept.withColumn("_row", row).join(F.broadcast(drops) if fits_broadcast(drops) else drops, "_row", "left")
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = joined.withColumn("text", text).withColumn("n_lines_removed", F.coalesce(F.size("removed"), F.lit(0)))

@@ -311,6 +311,13 @@ def test_lines_equal_brute_force(spark, awkward, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    rows = [(None, "same\nother a"), (None, "lone b\nsame"), (5, "same\nother c"), (6, "same"), (7, "x first\ny second"), (7, "same\nz third"), (7, "same\nz third")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"] or 99, r["text"], r["n_lines_removed"]) for r in out), key=str)
+    assert got == sorted([(99, "other a", 1), (99, "lone b", 1), (5, "same\nother c", 0), (6, "", 1), (7, "x first\ny second", 0), (7, "z third", 1), (7, "z third", 1)], key=str)
+
+
 def test_lines_compare_settled_lines_too(spark):
     """An original and copies with one edit each, far apart: the copies are alike it, not each other."""
     rng = np.random.default_rng(4)
