@@ -32,10 +32,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def dedup_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of alike lines the first of the corpus stays; every document stays, also those of null or
-    empty text and those whose every line occurs earlier (their text becomes empty). Rows that
-    repeat a doc_id share places: the equal places of both stay or go together. Rows of null
-    doc_id keep all their lines, and the lines of others that are alike are kept beside them."""
+    """Of alike lines the first of the corpus stays, rows of null doc_id last; every document
+    stays, also those of null or empty text and those whose every line occurs earlier (their text
+    becomes empty). Rows that repeat a doc_id, or have none, are each judged by their own lines;
+    of rows that repeat doc_id and text the equal places stay or go together."""
     return dedup_lines(docs).select(*docs.columns)
 
 
