@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_fraction, map_texts, with_struct
+from .common import hash_fraction, map_texts, stored, unstore, with_struct
 
 BUCKETS = 1 << 16
 LETTER = regex.compile(r"\p{L}")
@@ -124,13 +124,13 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train_language_model(train: DataFrame, max_docs: int = 6000, max_chars: int = 40_000_000, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, max_labels: int = 500) -> LanguageModel | None:
+def train_language_model(train: DataFrame, max_docs: int = 6000, max_chars: int = 40_000_000, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> LanguageModel | None:
     """Fit on train (doc_id, text, lang). Document frequencies cover every row with a letter.
 
     The classifier itself is fitted on a hash sample of about max_docs rows and max_chars
-    characters (whole texts; never over twice as many rows), four fifths for FTRL and one fifth
-    for the temperature, for the max_labels languages of most rows. None if no row has a text with
-    a letter and a language.
+    characters (whole texts; never over twice as many rows, those of least hash), four fifths for
+    FTRL and one fifth for the temperature; it knows every language of that sample. None if no row
+    has a text with a letter and a language.
     """
     usable = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     total, df = document_frequencies(usable)
@@ -138,8 +138,9 @@ def train_language_model(train: DataFrame, max_docs: int = 6000, max_chars: int
         return None
     idf = np.where(df > 0, np.log((1.0 + total) / (1.0 + df)) + 1.0, 0.0)
     sizes = usable.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
-    labels = tuple(sorted(r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()))
-    sample = hash_fraction(usable, ["doc_id", "text"], min(1.0, max_docs / sizes["n"], max_chars / max(1, sizes["c"])), "langid").where(F.col("lang").isin(*labels)).select("text", "lang").limit(2 * max_docs)
+    some = hash_fraction(usable, ["doc_id", "text"], min(1.0, max_docs / sizes["n"], max_chars / max(1, sizes["c"])), "langid")
+    sample = stored(some.orderBy(F.xxhash64(F.lit("langid"), "doc_id", "text"), "lang").limit(2 * max_docs).select("text", "lang"))
+    labels = tuple(sorted(r["lang"] for r in sample.select("lang").distinct().collect()))
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"text": [], "lang": []}, dtype=object), *frames]).sort_values(["text", "lang"], ignore_index=True)
@@ -157,6 +158,7 @@ def train_language_model(train: DataFrame, max_docs: int = 6000, max_chars: int
         yield pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "w": [w[at].astype(np.float32).tobytes()], "b": [b.tobytes()], "t": [t]})
 
     fitted = sample.repartition(1).mapInPandas(fit, "at binary, w binary, b binary, t double").collect()
+    unstore(sample)
     if not fitted:
         return None
     w = np.zeros((BUCKETS, len(labels)), dtype=np.float32)
