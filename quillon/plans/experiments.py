@@ -47,9 +47,13 @@ def _others(target: Column, count: Column, concepts: int, seed: int, namespace:
     from the target's successor on, the first of each kept. The work does not grow with the
     vocabulary."""
     digest = lambda k: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(namespace), row.cast("string"), F.lit(str(k))), 256)
-    draws = [F.conv(F.substring(digest(k), 1 + 8 * i, 8), 16, 10).cast("long") % (concepts - 1) for k in range(-(-most * TRIES // 8)) for i in range(8)]
-    rest = [F.lit(i).cast("long") for i in range(min(most, concepts - 1))]
-    offsets = F.array_distinct(F.array(*draws, *rest))
+    eight = lambda d: F.array(*(F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("long") % (concepts - 1) for i in range(8)))
+    # Lambdas bind a digest and the first draws, so that each is made once; mostly the first digest
+    # has different numbers enough, and the others are not made.
+    drawn = lambda k: F.flatten(F.transform(F.array(digest(k)), eight))
+    rest = F.array(*(F.lit(i).cast("long") for i in range(min(most, concepts - 1))))
+    more = lambda first: F.array_distinct(F.concat(first, *(drawn(k) for k in range(1, -(-most * TRIES // 8))), rest))
+    offsets = F.element_at(F.transform(F.array(F.array_distinct(drawn(0))), lambda first: F.when(F.size(first) >= count, first).otherwise(more(first))), 1)
     return F.transform(F.slice(offsets, F.lit(1), count), lambda o: ((target + 1 + o) % concepts).cast("int"))
 
 
