@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, stored, unstore
+from .common import hash_fraction, matching, stored, unstore
 from .vectors import clean_vectors, nearest, paired_blocks, query_rows_of
 
 WIDTH = 2
@@ -190,6 +190,20 @@ def _fitted(good: DataFrame, total: int, max_sample: int, cells: int) -> Quantiz
     return Quantizer(np.frombuffer(row["centroids"]).reshape(-1, width), np.frombuffer(row["codebooks"]).reshape(width // WIDTH, CODES, WIDTH), row["parallel"], row["probes"])
 
 
+def _without_copies(good: DataFrame, k: int) -> DataFrame:
+    """The rows of good (vec_id, embedding) but those of vectors that k smaller ids have, too.
+    Hashes and ids are shuffled; vectors only where more than a broadcast's bytes of hashes stand
+    for more than k rows each."""
+    alike = ["h1", "h2"]
+    hashed = good.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), F.col("embedding"))})
+    narrow = hashed.select("vec_id", *alike)
+    many = stored(narrow.groupBy(*alike).agg(F.count("*").alias("n")).where(F.col("n") > k).drop("n"))
+    place = F.dense_rank().over(Window.partitionBy(*alike).orderBy("vec_id"))
+    least = stored(matching(narrow, many, alike).withColumn("place", place).where(F.col("place") <= k).select("vec_id", *alike).distinct())
+    few = matching(hashed, many, alike, "left_anti")
+    return few.unionByName(matching(hashed, least, ["vec_id", *alike], "left_semi")).select("vec_id", "embedding")
+
+
 def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int = 200, max_sample: int = 20_000, cells: int | None = None) -> DataFrame:
     """The k rows of largest inner product for every row that is_query (a column) selects.
 
@@ -211,9 +225,7 @@ def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int =
     if not total:
         return good.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     quantizer = _fitted(good, total, max_sample, cells or int(min(4096, max(1, min(64, total // 100), total**0.5 / 32))))
-    copies = Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(7), F.col("embedding"))).orderBy("vec_id")
-    wanted = good.withColumn("place", F.dense_rank().over(copies)).where(F.col("place") <= k + 1).drop("place")
-    index = stored(wanted.mapInPandas(_index(quantizer), "vec_id long, embedding array<double>, cell int, codes binary"))
+    index = stored(_without_copies(good, k + 1).mapInPandas(_index(quantizer), "vec_id long, embedding array<double>, cell int, codes binary"))
     held = np.zeros(len(quantizer.centroids), dtype=np.int64)
     for row in index.groupBy("cell").agg(F.countDistinct("vec_id").alias("n")).collect():
         held[row["cell"]] = row["n"]
