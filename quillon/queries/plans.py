@@ -290,6 +290,20 @@ def i5p(spark, d):
     return a.join(b, "g").select("g", F.round(add(F.zip_with("m1", "m2", lambda y, z: (y - z) * (y - z))), 6).alias("mean_gap"), F.round(trace("c1") + trace("c2"), 6).alias("traces"))
 
 
+#: With five scenarios both tails are closed forms: F of 4 and an even number of degrees of
+#: freedom, chi-square of 4.
+TAILS = f"""WITH {V_METRIC}, {M}, c AS (SELECT a, p, x - avg(x) OVER () AS x FROM m), t AS (SELECT sum(x * x) AS tot, count(DISTINCT a) AS n FROM c), sc AS (SELECT sum(n * mu * mu) AS v FROM (SELECT avg(x) AS mu, count(*) AS n FROM c GROUP BY p)), ss AS (SELECT sum(n * mu * mu) AS v FROM (SELECT avg(x) AS mu, count(*) AS n FROM c GROUP BY a)),
+f AS (SELECT (sc.v / 4) / ((tot - sc.v - ss.v) / ((n - 1) * 4)) AS f, ((n - 1) * 4)::DOUBLE AS df2 FROM t, sc, ss), fx AS (SELECT df2 / 2 AS b, df2 / (df2 + 4 * f) AS x FROM f),
+r0 AS (SELECT a, p, rank() OVER (PARTITION BY a ORDER BY x) AS r, count(*) OVER (PARTITION BY a, x) AS t FROM m), s AS (SELECT p, sum(r + (t - 1) / 2) AS s FROM r0 GROUP BY 1), g AS (SELECT count(DISTINCT a) AS n, sum(t * t - 1) AS tie FROM r0),
+h AS (SELECT (12.0 / (n * 5 * 6) * (SELECT sum(s * s) FROM s) - 3.0 * n * 6) / (1 - tie / (n * 5 * 24)) AS chi2 FROM g)
+SELECT 'value' AS metric, round(pow(x, b) * (1 + b * (1 - x)), 8) AS p_value, round(exp(-chi2 / 2) * (1 + chi2 / 2), 8) AS friedman_p FROM fx, h"""
+
+
+@query("h6_closed_form_tails", TAILS)
+def h6t(spark, d):
+    return h.omnibus(matrix(spark, d)).select("metric", F.round("p_value", 8).alias("p_value"), F.round("friedman_p", 8).alias("friedman_p"))
+
+
 @query("h6_omnibus_p_values")
 def h6(spark, d):
     return h.omnibus(matrix(spark, d))
@@ -311,14 +325,34 @@ def h7(spark, d):
     return h.permutation_p(h.paired_differences(matrix(spark, d))).withColumn("p_value", F.round("p_value", 6))
 
 
-@query("h8_bootstrap_ci", f"""WITH {V_METRIC}, {M}, {DIFF}, k AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY p, q) AS n FROM dd), g AS (SELECT r, b, md5('0:' || r || ':' || b) AS h FROM range(2000) t(r), (SELECT DISTINCT i // 4 AS b FROM k)),
+def interval_sql(where: str) -> str:
+    return f"""WITH {V_METRIC}, {M.replace('FROM v_metric', f'FROM v_metric WHERE {where}')}, {DIFF}, k AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY p, q) AS n FROM dd), g AS (SELECT r, b, md5('0:' || r || ':' || b) AS h FROM range(2000) t(r), (SELECT DISTINCT i // 4 AS b FROM k)),
 j AS (SELECT p, q, g.r, ('0x' || substr(h, (k.i % 4 * 8 + 1)::BIGINT, 8))::BIGINT % n AS i FROM k JOIN g ON g.b = k.i // 4),
-e AS (SELECT p, q, r, avg(d) AS v FROM j JOIN k USING (p, q, i) GROUP BY 1, 2, 3) SELECT 'value' AS metric, p, q, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.975), 5) AS high FROM e GROUP BY 2, 3""")
+e AS (SELECT p, q, r, avg(d) AS v FROM j JOIN k USING (p, q, i) GROUP BY 1, 2, 3) SELECT 'value' AS metric, p, q, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.975), 5) AS high FROM e GROUP BY 2, 3"""
+
+
+@query("h8_bootstrap_ci", interval_sql("true"))
 def h8(spark, d):
     ci = h.bootstrap_ci(h.paired_differences(matrix(spark, d)))
     return ci.select("metric", "p", "q", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
+def pairwise_sql(k: int) -> str:
+    """H5, H7 and H8 of the samples of one parity, not rounded but for the interval."""
+    own = f"sample_id % 2 = {k}"
+    mean = f"WITH {V_METRIC}, {M.replace('FROM v_metric', f'FROM v_metric WHERE {own}')}, {DIFF} SELECT p, q, avg(d) AS mean_difference FROM dd GROUP BY 1, 2"
+    flips = flips_sql(own, 16).replace("round(CASE", "(CASE").replace("END, 6) AS p_value", "END) AS p_value")
+    return f"SELECT 'm{k}' AS metric, p, q, mean_difference, p_value, low, high FROM ({mean}) JOIN ({flips}) USING (p, q) JOIN ({interval_sql(own)}) USING (p, q)"
+
+
+@query("h9_pairwise_table", f"""WITH a AS ({pairwise_sql(0)} UNION ALL {pairwise_sql(1)}), o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p_value) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM a)
+SELECT metric, p, q, round(mean_difference, 6) AS mean_difference, round(p_value, 6) AS p_value, round(least(1.0, max((n - i) * p_value) OVER (PARTITION BY metric ORDER BY i)), 6) AS p_holm, low, high FROM o""")
+def h9p(spark, d):
+    """The pairwise report without the column that hangs on the corrected omnibus test."""
+    pair = h9(spark, d)
+    return pair.select("metric", "p", "q", *(F.round(c, 6).alias(c) for c in ("mean_difference", "p_value", "p_holm")), *(F.round(c, 5).alias(c) for c in ("low", "high")))
+
+
 @query("h9_scenario_statistics")
 def h9(spark, d):
     """The pairwise table; the omnibus one is h6_omnibus_p_values."""
