@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +54,3 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _state(edges: DataFrame) -> tuple:
     row: list[Column] = [F.count("*").alias("n"), F.expr("bit_xor(xxhash64(src, dst))").alias("h")]
     return tuple(edges.agg(*row).first())
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
