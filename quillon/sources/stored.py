@@ -29,11 +29,14 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there.
 
     Lost executors then reread files instead of recomputing (and perhaps reordering) what
-    led to them.
+    led to them. The files last until unstore() or, at the latest, the end of the driver.
     """
     spark = df.sparkSession
     path = fresh_path(spark)
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(fs.makeQualified(folder))
     return spark.read.schema(df.schema).parquet(path)
 
 

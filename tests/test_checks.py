@@ -137,3 +137,14 @@ def test_metric_folder(spark, tmp_path):
     }
     with pytest.raises(ValueError, match="no metric table"):
         readers.read_metric_tables(spark, str(tmp_path), "other.csv")
+
+
+def test_stored_tables_go_with_the_driver(spark):
+    from quillon.sources.stored import stored, unstore
+
+    table = stored(spark.range(3))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0].rsplit("/", 1)[0])
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert table.count() == 3 and fs.cancelDeleteOnExit(folder)
+    unstore(table)
+    assert not fs.exists(folder)
