@@ -8,18 +8,17 @@ reaches a rational threshold; links are exact, and components of links are retur
    common order, so the classes that share such an n-gram form the groups in which links can
    lie. Common n-grams come last, so that passages that many texts share make no groups.
    Groups with equal members are kept once.
-3. Every class is compared with its groups' first members, bitmap by bitmap; what may link is
-   joined. A group whose members are all joined so needs no more.
-4. Within each other group a signature tree (nodes: OR-combined bitmaps and size ranges) is
+3. In groups beyond `block` members every class is compared with the group's first member,
+   bitmap by bitmap; what may link is joined.
+4. Within each group a signature tree (nodes: OR-combined bitmaps and size ranges) is
    traversed against itself; node pairs whose largest possible overlap is too small are
    pruned. What survives joins classes into families, supersets of the true components.
-5. Within each family the same again with the sets themselves: first every member with the
-   first one, then, for what is still open, the trees with the sets at the leaves: exact
-   Jaccard decides. Only links between not yet joined classes are emitted.
+5. Within each family the same again with the sets themselves at the leaves: exact Jaccard
+   decides. Only links between not yet joined classes are emitted.
 
 Groups and families beyond `block` members are dealt out as pairs of blocks; those members that
-the first comparison made one component have blocks of their own, which meet all other blocks
-but not each other.
+the comparison with the first one made one component have blocks of their own, which meet all
+other blocks but not each other.
 """
 
 from __future__ import annotations
@@ -274,29 +273,32 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _dealt(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """Say which tasks compare the members (g1, id, n, root) of each group g1; those of one root
-    are joined already, and a group of one root needs no task.
+def _large(members: DataFrame, block: int) -> DataFrame:
+    """The groups g1 of more than `block` members: few, at most members / block."""
+    return stored(members.groupBy("g1").agg(F.count("*").alias("size")).where(F.col("size") > block).select("g1"))
+
+
+def _dealt(members: DataFrame, large: DataFrame, roots: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """Say which tasks compare the members (g1, id, n) of each group g1. Members of the large
+    groups that have one of the roots (id, root) are joined already.
 
     A group of up to `block` members is one task. A larger one is split by size class: key g2
     gets the classes g2 and g2 - 1, whose sizes may link; `low` marks rows of the smaller class,
     whose pairs with each other belong to another key. What is still larger is dealt out as
     pairs of blocks: p and q number the pair, b the member's own block. Rows of a key's most
     frequent root have blocks of their own, which do not meet each other: a group of n rows of
-    which m are not of that root is sent about n * m / block times. The large groups are few
-    (at most members / block) and their sizes are joined by broadcast, so that a large group's
-    rows need not meet. Keys without a row of their own class, and rows whose neighbours by size
+    which m are not of that root is sent about n * m / block times, and not at all if m is 0. The
+    large groups are few and are joined by broadcast, so that a large group's rows need not meet. Keys without a row of their own class, and rows whose neighbours by size
     are too small or too large to link are dropped.
     """
-    groups = stored(members.groupBy("g1").agg(F.count("*").alias("size"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("g1", "size"))
-    large, open_ones = groups.where(F.col("size") > block).select("g1"), groups.where(F.col("size") <= block).select("g1")
     zero = F.lit(0)
-    small = matching(members, open_ones, "g1").select("g1", zero.alias("g2"), zero.alias("p"), zero.alias("q"), zero.alias("b"), F.lit(False).alias("low"), "id", "n", "root")
-    classed = matching(members, large, "g1").withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
+    small = matching(members, large, "g1", "left_anti").select("g1", zero.alias("g2"), zero.alias("p"), zero.alias("q"), zero.alias("b"), F.lit(False).alias("low"), "id", "n", F.col("id").alias("root"))
+    rooted = matching(members, large, "g1").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classed = rooted.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))) + F.lit(1e-9)).cast("int"))
     split = F.array(F.struct(F.col("c").alias("g2"), F.lit(False).alias("low")), F.struct((F.col("c") + 1).alias("g2"), F.lit(True).alias("low")))
     keyed = classed.withColumn("key", F.explode(split)).select("g1", "key.g2", "key.low", "id", "n", "root")
-    rooted = keyed.groupBy("g1", "g2", "root").agg(F.count("*").alias("k"), F.min("low").alias("only_low"))
-    sized = rooted.groupBy("g1", "g2").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("top"), F.min("only_low").alias("only_low"))
+    counted = keyed.groupBy("g1", "g2", "root").agg(F.count("*").alias("k"), F.min("low").alias("only_low"))
+    sized = counted.groupBy("g1", "g2").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("top"), F.min("only_low").alias("only_low"))
     sized = stored(sized.where("size > top.k and not only_low").select("g1", "g2", F.col("top.root").alias("major"), F.ceil(F.col("top.k") / block).cast("int").alias("own"), F.ceil((F.col("size") - F.col("top.k")) / block).cast("int").alias("rest")))
     hashed, joined = F.xxhash64("id"), F.col("root") == F.col("major")
     dealt = matching(keyed, sized, ["g1", "g2"]).withColumn("b", F.when(joined, F.pmod(hashed, F.col("own"))).otherwise(F.col("own") + F.pmod(hashed, F.col("rest"))).cast("int"))
@@ -305,8 +307,7 @@ def _dealt(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
     by_size = Window.partitionBy("g1", "g2", "p", "q").orderBy("n", "id")
     near = (F.lead("n").over(by_size) * num <= F.col("n") * den) | (F.col("n") * num <= F.lag("n").over(by_size) * den)
     found = stored(pairs.withColumn("near", near).where("near").drop("near", "n"))
-    for df in (groups, sized):
-        unstore(df)
+    unstore(sized)
     return found
 
 
@@ -382,10 +383,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     chosen = shared.groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token")
     members = stored(matching(tokens, chosen, "token").withColumnRenamed("token", "g1").join(classes.select("id", "n"), "id"))
     signed = marked.select("id", "n", "bitmap")
-    first = stored(map_pairs(_paired(_firsts(members), signed, ["n", "bitmap"]), num, den, False))
+    large = _large(members, block)
+    first = stored(map_pairs(_paired(_firsts(matching(members, large, "g1")), signed, ["n", "bitmap"]), num, den, False))
     joined = connected_components(first)
-    near = _dealt(_rooted(members, joined), block, num, den)
-    for df in (members, joined):
+    near = _dealt(members, large, joined, block, num, den)
+    for df in (members, large, joined):
         unstore(df)
     families = connected_components(first.union(_linked(near.join(signed, "id"), num, den, False)))
     for df in (first, near, marked):
@@ -398,10 +400,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         repeated, texts = texts, stored(texts.dropDuplicates(["id"]))
         unstore(repeated)
     inside = families.join(texts.select("id", "n"), "id").withColumnRenamed("root", "g1")
-    first = stored(map_pairs(_paired(_firsts(inside), texts, ["n", "members"]), num, den, True))
-    near = _dealt(_rooted(inside, first.toDF("id", "root")), block, num, den)
+    large = _large(inside, block)
+    first = stored(map_pairs(_paired(_firsts(matching(inside, large, "g1")), texts, ["n", "members"]), num, den, True))
+    near = _dealt(inside, large, first.toDF("id", "root"), block, num, den)
     links = connected_components(first.union(_linked(near.join(texts, "id"), num, den, True)))
-    for df in (first, near, texts, families, named):
+    for df in (large, first, near, texts, families, named):
         unstore(df)
 
     rooted = classes.join(links, "id", "left").select("set_key", "least", F.coalesce("root", "id").alias("root"))
@@ -414,11 +417,6 @@ def map_pairs(pairs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     return pairs.mapInPandas(_first_links(num, den, exact), "src long, dst long")
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with root: what roots (id, root) have for a member, else itself."""
-    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
 def _member_sets(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
