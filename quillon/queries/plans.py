@@ -114,12 +114,12 @@ def d7c(spark, d):
     return x.completed(v, v, KINDS).select("sample_id")
 
 
-@query("d9_different_entity_pair", """WITH c AS (SELECT vec_id AS cpos, label FROM embeddings), s AS (SELECT vec_id AS pos, label FROM embeddings WHERE vec_id % 5 = 0),
+@query("d9_different_entity_pair", """WITH c AS (SELECT vec_id AS cpos, label FROM embeddings), s AS (SELECT vec_id AS pos, label FROM embeddings),
 r AS (SELECT s.pos, c.cpos, row_number() OVER (PARTITION BY s.pos ORDER BY c.cpos) - 1 AS k, count(*) OVER (PARTITION BY s.pos) AS m FROM s JOIN c ON s.label <> c.label) SELECT pos, cpos AS match FROM r WHERE k = pos % m""")
 def d9(spark, d):
     e = table(spark, d, "embeddings")
     cand = e.select(F.col("vec_id").alias("cpos"), F.col("label").alias("artist_key"), F.col("vec_id").alias("clip_id"))
-    return x.different_entity_pair(e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("pos"), F.col("label").alias("artist_key")), cand).select("pos", "match")
+    return x.different_entity_pair(e.select(F.col("vec_id").alias("pos"), F.col("label").alias("artist_key")), cand).select("pos", "match")
 
 
 @query("d11_clip_cohort_rows", f"WITH {V_METRIC} SELECT sample_id AS clip_id, artist_key, row_number() OVER (PARTITION BY artist_key ORDER BY sample_id) - 1 AS artist_clip_index FROM v_metric WHERE sample_id % 2 = 0")

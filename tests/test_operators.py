@@ -213,7 +213,7 @@ def test_names_of_records(spark):
 
 def test_what_is_missing_or_ambiguous_is_an_error(spark, tmp_path):
     from quillon.functions.udf import group_eval
-    from quillon.operators import curation, dataset, ranking
+    from quillon.operators import dataset, ranking
 
     people = spark.createDataFrame([(1, "Ann"), (2, "ann"), (3, "Bo")], "entity int, name string")
     asked = spark.createDataFrame([("BO",), ("Ann",), ("Cy",)], "value string").withColumn("request", F.col("value"))
