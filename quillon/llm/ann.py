@@ -3,14 +3,14 @@
 Vectors are assigned to coarse cells; the residual is product-quantised with 16 codewords per
 pair of dimensions (four bits). Codewords and codes minimise an anisotropic loss, in which the
 error parallel to the vector weighs more than the rest, since that is what changes large inner
-products. A query scans the codes of its best cells by table look-up; the best of these are
-scored again with the original vectors.
+products. A query scans the codes of its best cells by table look-up; the best of these, and all
+that the tables' errors leave in doubt, are scored again with the original vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -147,33 +147,100 @@ def _probe(quantizer: Quantizer, held: np.ndarray, least: int):
     return run
 
 
-def _scan(quantizer: Quantizer, again: int):
-    """Scan the codes of one block of a cell for one block of queries: the rows of the best
-    `again` table scores, with all that tie with the last of them."""
+def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the columns i of x with the columns j of y, added up in order of the
+    components: equal vectors get equal scores in every block."""
+    total = np.zeros(len(i))
+    for a, b in zip(x, y, strict=True):
+        total += a[i] * b[j]
+    return total
+
+
+def _scan(quantizer: Quantizer, again: int, k: int):
+    """The k best of one block of a cell for each query of a block. Its codes are scanned; the
+    best `again` by table score are scored with the original vectors, and so is every other row
+    whose table score comes so near to the k-th of these that its error may hide a better one.
+    The error of a query's table scores has a mean square over the block that is a quadratic form
+    of the query; three times its root (by a row's own error more), at most the product of the
+    norms, is allowed for."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "near": np.empty(0, np.float32)})]
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})]
         if not len(rows) or not len(queries):
             return out[0]
         ids, cell = rows["vec_id"].to_numpy(), rows["cell"].iat[0]
         packed = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
-        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(rows), -1)
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(rows), -1)[:, : len(quantizer.codebooks)]
+        x = _padded(np.stack(rows["embedding"].to_numpy()))
+        error = x - quantizer.centroids[cell] - quantizer.codebooks[np.arange(codes.shape[1]), codes].reshape(len(rows), -1)
+        spread, length = error.T @ error / len(rows), np.linalg.norm(error, axis=1)
+        # Table scores are single precision.
+        more = np.maximum(1.0, length / max(np.sqrt((length * length).mean()), 1e-300))
+        rounding = 1e-5 * np.linalg.norm(x, axis=1).max()
+        best = min(again, len(rows))
         for lot in np.array_split(np.arange(len(queries)), max(1, len(queries) * len(rows) // 500_000)):
             wide = _padded(np.stack(queries["query"].to_numpy()[lot]))
             tables = np.einsum("qmw,mcw->mqc", wide.reshape(len(lot), -1, WIDTH), quantizer.codebooks).astype(np.float32)
-            scores = np.repeat((wide @ quantizer.centroids[cell]).astype(np.float32)[:, None], len(rows), axis=1)
+            near = np.repeat((wide @ quantizer.centroids[cell]).astype(np.float32)[:, None], len(rows), axis=1)
             for j, table in enumerate(tables):
-                scores += table[:, codes[:, j]]
+                near += table[:, codes[:, j]]
             asked = queries["query_id"].to_numpy()[lot]
-            scores[asked[:, None] == ids] = -np.inf
-            last = np.partition(scores, len(ids) - again, axis=1)[:, len(ids) - again] if len(ids) > again else np.full(len(lot), -np.inf)
-            q, r = np.nonzero((scores >= last[:, None]) & (scores > -np.inf))
-            out.append(pd.DataFrame({"query_id": asked[q], "vec_id": ids[r], "near": scores[q, r]}))
+            near[asked[:, None] == ids] = -np.inf
+            first = np.argpartition(near, len(ids) - best, axis=1)[:, len(ids) - best :]
+            q = np.repeat(np.arange(len(lot)), best)
+            scores = np.where(np.isneginf(near[q, first.ravel()]), -np.inf, _products(wide.T, x.T, q, first.ravel())).reshape(len(lot), best)
+            last = np.partition(scores, best - k, axis=1)[:, best - k] if best >= k else np.full(len(lot), -np.inf)
+            norm = np.linalg.norm(wide, axis=1)
+            doubt = 3.0 * np.sqrt(np.maximum(((wide @ spread) * wide).sum(axis=1), 0.0))
+            allowed = np.minimum(doubt[:, None] * more, norm[:, None] * length) + (rounding * norm)[:, None]
+            open_ = (near + allowed >= last[:, None]) & ~np.isneginf(near)
+            open_[np.arange(len(lot))[:, None], first] = False
+            q2, r2 = np.nonzero(open_)
+            q1, r1, s1 = q, first.ravel(), scores.ravel()
+            taken = s1 > -np.inf
+            qs, rs = np.concatenate([q1[taken], q2]), np.concatenate([r1[taken], r2])
+            found = np.concatenate([s1[taken], _products(wide.T, x.T, q2, r2)])
+            order = np.lexsort((ids[rs], -found, qs))
+            qs, rs, found = qs[order], rs[order], found[order]
+            keep = np.arange(len(qs)) - np.searchsorted(qs, qs) < k
+            out.append(pd.DataFrame({"query_id": asked[qs[keep]], "vec_id": ids[rs[keep]], "score": found[keep]}))
         return pd.concat(out)
 
     return run
 
 
+def _covering(quantizer: Quantizer, index: DataFrame, queries: DataFrame, k: int, coverage: float, tried: int) -> Quantizer:
+    """The quantiser with as many cells to probe as hold `coverage` of the true neighbours, among
+    all rows of the index, of `tried` queries: a hash sample of those that are asked."""
+    some = queries.orderBy(F.xxhash64(F.lit("ann"), "query_id"), "query_id").limit(tried).collect()
+    ids, wide = np.array([r["query_id"] for r in some]), np.array([r["query"] for r in some])
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, cell = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int32)
+        for frame in frames:
+            for part in np.array_split(np.arange(len(frame)), max(1, len(frame) // 2000)):
+                if len(part):
+                    rows = frame.iloc[part]
+                    own = wide @ np.stack(rows["embedding"].to_numpy()).T
+                    own[ids[:, None] == rows["vec_id"].to_numpy()] = -np.inf
+                    score, cell = np.hstack([score, own]), np.hstack([cell, np.broadcast_to(rows["cell"].to_numpy(), own.shape)])
+                    if score.shape[1] > k:
+                        top = np.argpartition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k :]
+                        score, cell = np.take_along_axis(score, top, axis=1), np.take_along_axis(cell, top, axis=1)
+        flat = score.ravel()
+        yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "cell": cell.ravel(), "score": flat})[flat > -np.inf]
+
+    found = index.select("vec_id", "embedding", "cell").mapInPandas(best, "query_id long, cell int, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    true = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "cell").toPandas()
+    if not len(true):
+        return quantizer
+    place = np.argsort(np.argsort(-(_padded(wide) @ quantizer.centroids.T), axis=1, kind="stable"), axis=1)
+    at = {q: i for i, q in enumerate(ids)}
+    needed = np.sort(place[true["query_id"].map(at).to_numpy(), true["cell"].to_numpy()])
+    return replace(quantizer, probes=int(needed[min(len(needed) - 1, int(coverage * len(needed)))]) + 1)
+
+
 def _fitted(good: DataFrame, total: int, max_sample: int, cells: int) -> Quantizer:
     """The quantiser, fitted in one task on a bounded sample of whole rows."""
 
@@ -216,8 +283,10 @@ def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int =
     max_sample rows (never over twice as many); every row is indexed. There are 64 cells up to
     four million rows, then sqrt(rows)/32, at most 4096.
 
-    Only codes are scanned: of equal vectors those of the k + 1 least ids, which no other copy can
-    beat. The best `again` by table score (with ties) are scored with the original vectors.
+    So many cells are probed as hold 99 % of the true neighbours of 256 of the queries, which are
+    compared with all rows for that. Of equal vectors those of the k + 1 least ids are scanned,
+    which no other copy can beat. In each block of a cell the best `again` by table score are
+    scored with the original vectors, and all rows that the tables' errors leave in doubt.
     """
     again = max(again, 2 * k)
     good = stored(clean_vectors(vectors, drop_zero=True))
@@ -231,11 +300,8 @@ def inner_product_search(vectors: DataFrame, is_query, k: int = 20, again: int =
         held[row["cell"]] = row["n"]
     queries = stored(query_rows_of(good, is_query))
     unstore(good)
+    quantizer = _covering(quantizer, index, queries, k, 0.99, 256)
     probes = queries.mapInPandas(_probe(quantizer, held, again + 1), "query_id long, query array<double>, cell int")
-    rows, asked = paired_blocks(index.select("vec_id", "cell", "codes"), probes, "cell", 4096, 512)
-    scanned = rows.cogroup(asked).applyInPandas(_scan(quantizer, again), "query_id long, vec_id long, near float")
-    best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))
-    found = scanned.withColumn("place", best).where(F.col("place") <= again).select("query_id", "vec_id").distinct()
-    product = F.aggregate(F.zip_with("query", "embedding", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-    scored = found.join(queries, "query_id").join(index.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", product.alias("score"))
-    return nearest(scored, k, "double")
+    rows, asked = paired_blocks(index, probes, "cell", 4096, 4096)
+    scanned = rows.cogroup(asked).applyInPandas(_scan(quantizer, again, k), "query_id long, vec_id long, score double")
+    return nearest(scanned, k, "double")

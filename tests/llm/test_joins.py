@@ -300,6 +300,22 @@ def test_inner_product_search_with_a_third_of_equal_vectors(spark):
     assert hits >= 0.98 * 20 * len(set(asked)), hits / 20 / len(set(asked))
 
 
+def test_inner_product_search_where_codes_tell_too_little(spark):
+    """Groups of 750 rows whose differences are below the codebook's steps."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(8, 32)), 750, axis=0) + 0.05 * rng.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "vec_id long, embedding array<double>")
+    got = inner_product_search(df, F.col("vec_id") % 150 == 0, k=20, cells=2).toPandas()
+    hits = 0
+    for q in range(0, 6000, 150):
+        s = np.cumsum(x * x[q], axis=1)[:, -1]
+        s[q] = -np.inf
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert (own["score"].to_numpy() == s[own["vec_id"]]).all()
+        hits += len(set(own["vec_id"]) & set(np.lexsort((np.arange(6000), -s))[:20]))
+    assert hits >= 0.98 * 20 * 40, hits / 20 / 40
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_stages_take_awkward_documents(spark, awkward, tmp_path, empty):
     """Nulls, empty, blank and very long texts, repeated rows, an empty table, more columns."""
