@@ -44,6 +44,14 @@ def emptied_id(col: str) -> Column:
     return F.nullif(F.col(col), F.lit(NO_ID)).alias(col)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as set it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Bytes that a broadcast may take in each executor.
 BROADCAST_BYTES = 16_000_000
 

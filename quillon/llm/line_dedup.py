@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, matching, stored, unstore
+from .common import fits_broadcast, free_name, matching, stored, unstore
 from .components import connected_components
 
 SHINGLE = 8
@@ -205,14 +205,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
     firsts = stored(named.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     gone = matching(named, firsts, ["g1", "g2"]).where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
-    drops = stored(gone.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    at, removed = free_name(docs, "_row"), free_name(docs, "_removed")
+    drops = stored(gone.groupBy(F.col("row").alias(at)).agg(F.sort_array(F.collect_set("pos")).alias(removed)))
     for df in (named, firsts):
         unstore(df)
-    kept = docs.drop("n_lines_removed", "removed", "_row")
-    joined = kept.withColumn("_row", row).join(F.broadcast(drops) if fits_broadcast(drops) else drops, "_row", "left")
-    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("text", text).withColumn("n_lines_removed", F.coalesce(F.size("removed"), F.lit(0)))
+    kept = docs.drop("n_lines_removed")
+    joined = kept.withColumn(at, row).join(F.broadcast(drops) if fits_broadcast(drops) else drops, at, "left")
+    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(removed, i))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    out = joined.withColumn("text", text).withColumn("n_lines_removed", F.coalesce(F.size(removed), F.lit(0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*kept.columns, "n_lines_removed")
