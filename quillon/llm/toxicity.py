@@ -7,6 +7,7 @@ labels alone train them, and the sentences that carry a document's score can be
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,42 +76,67 @@ def document_score(text: str | None, model: ToxicityModel) -> float:
     return float(-np.expm1(-(total + clean * np.logaddexp(0.0, model.bias))))
 
 
-def _screen(split: list[list[set[str]]], y: np.ndarray, min_docs: int, lift: float) -> list[str]:
-    """Features in at least min_docs documents whose odds of a toxic label are lift times the
-    overall ones; unlike a share, odds can reach that at every base rate."""
-    seen: dict[str, list[int]] = {}
-    for doc, label in zip(split, y, strict=True):
-        words = set().union(*doc)
-        for f in words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in PREFIXES)):
-            n = seen.get(f)
-            if n is None:
-                n = seen[f] = [0, 0]
-            n[0] += 1
-            n[1] += int(label)
-    toxic, clean = int(y.sum()), len(y) - int(y.sum())
-    return sorted(f for f, (n, k) in seen.items() if n >= min_docs and k * clean >= lift * (n - k) * toxic)
+def _numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, and as numbers: the distinct words of each sentence, one sentence after
+    the other, the sentence that each of these is in, and the text of each sentence. A word is held
+    once, its occurrences take eight bytes."""
+    number: dict[str, int] = {}
+    flat, sentence_of, text_of = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in SENTENCE.findall(text.lower()):
+            found = sorted({number.setdefault(w, len(number)) for w in WORD.findall(s)})
+            flat.extend(found)
+            sentence_of.extend([len(text_of)] * len(found))
+            text_of.append(d)
+    return list(number), *(np.frombuffer(x, dtype=np.int32) if x else np.zeros(0, dtype=np.int32) for x in (flat, sentence_of, text_of))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorts keys in place; the distinct ones."""
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _screen(words: list[str], word: np.ndarray, text: np.ndarray, y: np.ndarray, min_docs: int, lift: float) -> list[str]:
+    """Features in at least min_docs texts whose odds of a toxic label are lift times the overall
+    ones; unlike a share, odds can reach that at every base rate. flat and text: numbers of words
+    and the texts that they are in."""
+    toxic, clean, names = int(y.sum()), len(y) - int(y.sum()), []
+    for k in (None, *PREFIXES):
+        place: dict[str, int] = {}
+        of = np.array([-1 if k and len(w) < k else place.setdefault(w[:k] + "*" if k else w, len(place)) for w in words], dtype=np.int64)
+        long_enough = of[word] >= 0
+        pairs = _distinct(of[word[long_enough]] * len(y) + text[long_enough])
+        n = np.bincount(pairs // len(y), minlength=len(place))
+        hit = np.bincount(pairs // len(y), y[pairs % len(y)], len(place)).astype(np.int64)
+        chosen = (n >= min_docs) & (hit * clean >= lift * (n - hit) * toxic)
+        names += [f for f, good in zip(place, chosen, strict=True) if good]
+    return sorted(names)
 
 
 def _fit(texts: list[str], y: np.ndarray, min_docs: int, lift: float, steps: int, rate: float, l1: float) -> tuple[dict[str, float], float]:
     """Maximum likelihood of the noisy-or by AdaGrad over all documents, with weights of at
     least 0 (no word makes a sentence less toxic) and an L1 penalty."""
-    split = [[set(WORD.findall(s)) for s in SENTENCE.findall(t.lower())] for t in texts]
-    names = _screen(split, y, min_docs, lift)
+    words, flat, sentence_of, text_of = _numbered(texts)
+    pairs = text_of[sentence_of].astype(np.int64)
+    pairs *= max(1, len(words))
+    pairs += flat
+    pairs = _distinct(pairs)
+    names = _screen(words, pairs % max(1, len(words)), pairs // max(1, len(words)), y, min_docs, lift)
+    del pairs
     place = {f: i for i, f in enumerate(names)}
-    words = {w for doc in split for s in doc for w in s}
-    known = {w: at for w in words if (at := [place[f] for f in word_features(w) if f in place])}
-    doc_of, row, col, clean = [], [], [], np.zeros(len(texts))
-    for d, doc in enumerate(split):
-        for s in doc:
-            at = [i for w in s & known.keys() for i in known[w]]
-            if not at:
-                clean[d] += 1
-                continue
-            col += at
-            row += [len(doc_of)] * len(at)
-            doc_of.append(d)
+    known = [[place[f] for f in word_features(w) if f in place] for w in words]
+    n_known = np.array([len(at) for at in known], dtype=np.int64)
+    start = np.cumsum(n_known) - n_known
+    listed = np.array([i for at in known for i in at], dtype=np.int64)
+    kept = n_known[flat] > 0 if len(flat) else np.zeros(0, dtype=bool)
+    times = n_known[flat[kept]]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    col = listed[np.repeat(start[flat[kept]], times) + step]
+    marked, row = np.unique(np.repeat(sentence_of[kept], times), return_inverse=True)
+    doc_of = text_of[marked].astype(np.int64)
+    clean = (np.bincount(text_of, minlength=len(texts)) - np.bincount(doc_of, minlength=len(texts))).astype(np.float64)
     # Sentences without a known feature are alike: their number per document is enough.
-    doc_of, row, col = np.array(doc_of, dtype=np.int64), np.array(row, dtype=np.int64), np.array(col, dtype=np.int64)
     w, b, gw, gb = np.zeros(len(names)), -5.0, np.full(len(names), 1e-8), 1e-8
     for _ in range(steps):
         s = b + np.bincount(row, w[col], len(doc_of))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -111,6 +112,18 @@ def test_noisy_or_equals_the_plain_product_and_its_fit_is_a_maximum():
         assert all(loss(w | {k: max(0.0, v + step)}, b) > best - 1e-6 for k, v in w.items())
 
 
+def test_fit_holds_a_word_once():
+    """A few bytes an occurrence, not an object each."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(3000)])
+    texts = [". ".join(" ".join(rng.choice(words, 10)) for _ in range(20)) for _ in range(1000)]
+    tracemalloc.start()
+    toxicity._fit(texts, (np.arange(1000) % 7 == 0).astype(np.int64), 5, 3.0, 1, 0.3, 1e-5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * 200_000, peak
+
+
 def test_temperature_lowers_cross_entropy():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 400)
