@@ -3,9 +3,10 @@
 Every line's character shingles are hashed; HASHES minima per line form its signature. Lines
 whose signatures agree in a band fall into one bucket, and every pair of a bucket is a candidate.
 A pair is compared exactly unless its ends are one component by then, or parities of the shingles
-prove that it can't be alike. First each line meets the line of its bucket that is in most and
-largest buckets, which joins most of a family without looking at all of its pairs; then come the
-pairs that are still open, in salted blocks. Linked lines are joined by distributed union-find, and of each component, equal
+prove that it can't be alike. First each line meets that line of its buckets that is in most and
+largest buckets, then those of its other buckets that this has not joined, which joins most of a
+family without looking at all of its pairs; then come the pairs that are still open, in salted
+blocks. Linked lines are joined by distributed union-find, and of each component, equal
 lines included, the first line of the corpus stays.
 """
 
@@ -104,19 +105,31 @@ def _counted(named: DataFrame) -> DataFrame:
 
 
 def _led_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (src, dst, leader) of each line with the last line (by order) of its bucket."""
+    """Pairs (id, leader, order) of each line with the last line (by order) of its bucket."""
     best = members.groupBy("bucket").agg(F.max("order").alias("order"))
-    leaders = members.join(best, ["bucket", "order"]).select("bucket", "id", "n", *(f"b{j}" for j in range(WORDS)))
+    leaders = members.join(best, ["bucket", "order"]).select("bucket", "id", "n", "order", *(f"b{j}" for j in range(WORDS)))
     on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") != F.col("b.id")) & _may_link("a", "b")
     met = members.alias("a").join(leaders.alias("b"), on)
-    return met.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst"), F.col("b.id").alias("leader")).distinct()
+    return met.select(F.col("a.id").alias("id"), F.col("b.id").alias("leader"), F.col("b.order").alias("order")).distinct()
 
 
-def _labels(led: DataFrame, links: DataFrame) -> DataFrame:
-    """id and root: the least leader that a line is linked with. Lines of one root are of one
-    component, since each is linked with that leader or is it."""
-    other = F.when(F.col("leader") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
-    return led.join(links, ["src", "dst"]).groupBy(other.alias("id")).agg(F.min("leader").alias("root"))
+def _ends(led: DataFrame) -> DataFrame:
+    return led.select(F.greatest("id", "leader").alias("src"), F.least("id", "leader").alias("dst"))
+
+
+def _led_by(led: DataFrame, links: DataFrame) -> DataFrame:
+    """id and root: the last leader (by order) of led that a line is linked with. Lines of one
+    root are of one component, since each is linked with that leader or is it."""
+    both = led.withColumns({"src": F.greatest("id", "leader"), "dst": F.least("id", "leader")})
+    best = both.join(links, ["src", "dst"]).groupBy("id").agg(F.max(F.struct("order", "leader")).alias("best"))
+    return best.select("id", F.col("best.leader").alias("root"))
+
+
+def _other_roots(led: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of led whose ends have different roots (a line without one is its own)."""
+    own = led.join(roots.withColumnRenamed("root", "r1"), "id", "left")
+    both = own.join(roots.select(F.col("id").alias("leader"), F.col("root").alias("r2")), "leader", "left")
+    return both.where(F.coalesce("r1", "id") != F.coalesce("r2", "leader")).select("id", "leader", "order")
 
 
 def _open_pairs(named: DataFrame) -> DataFrame:
@@ -171,17 +184,27 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     large = rows.where("k > 2")
     members = stored(_members(large, matching(texts, large.select("id").distinct(), "id", "left_semi")))
     led = stored(_led_pairs(members))
-    tried = stored(couples.union(led.select("src", "dst")).distinct())
-    links = stored(_verified(tried, texts))
-    named = stored(members.join(_labels(led, links), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    for df in (rows, members, led):
+    # First each line meets its last leader only: in a family that is the same line for most.
+    best = led.groupBy("id").agg(F.max(F.struct("order", "leader")).alias("best"))
+    first = best.select("id", F.col("best.leader").alias("leader"), F.col("best.order").alias("order"))
+    met = stored(couples.union(_ends(first)).distinct())
+    joined = stored(_verified(met, texts))
+    roots = stored(_led_by(first, joined))
+    rest = stored(_other_roots(led, roots).join(first.select("id", "leader"), ["id", "leader"], "left_anti"))
+    again = stored(_ends(rest).distinct().join(met, ["src", "dst"], "left_anti"))
+    added = stored(_verified(again, texts))
+    late = _led_by(rest, added).withColumnRenamed("root", "late")
+    labels = roots.join(late, "id", "full").select("id", F.coalesce("root", "late").alias("root"))
+    tried, links = met.union(again), joined.union(added)
+    named = stored(members.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    for df in (rows, members, led, roots, rest):
         unstore(df)
     pairs = _open_pairs(named)
     more = stored(_verified(pairs.join(tried, ["src", "dst"], "left_anti"), texts))
-    roots = connected_components(links.union(more))
-    for df in (named, texts, tried, pairs, links, more):
+    found = connected_components(links.union(more))
+    for df in (named, texts, met, again, joined, added, pairs, more):
         unstore(df)
-    return roots
+    return found
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
