@@ -28,6 +28,10 @@ BANDS = [tuple(sorted((start + step) % HASHES for step in (0, 1, 3, 9))) for sta
 NUM, DEN = 8, 10
 #: 64-bit words of a line's parities.
 WORDS = 16
+#: Shingles that one row holds on the way to the minima.
+STEP = 16
+#: Members of a set that one row holds on the way to its parities.
+TOGETHER = 4
 #: Lines of a bucket that meet in one task: those outside its largest component by all of them.
 MINOR_ROWS, ALL_ROWS = 1024, 2048
 
@@ -42,9 +46,13 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("length(trim(line)) > 0")
 
 
+def _code() -> Column:
+    return F.encode("line", "UTF-16BE")
+
+
 def _coded(docs: DataFrame) -> DataFrame:
     """id (a 64-bit hash) and code (UTF-16) of every line."""
-    return _lines(docs).select(F.xxhash64("line").alias("id"), F.encode("line", "UTF-16BE").alias("code"))
+    return _lines(docs).select(F.xxhash64("line").alias("id"), _code().alias("code"))
 
 
 def _last(code: str | Column) -> Column:
@@ -52,40 +60,47 @@ def _last(code: str | Column) -> Column:
     return F.greatest(F.lit(0), (F.length(code) / 2).cast("int") - SHINGLE)
 
 
-def _shingles(coded: DataFrame) -> DataFrame:
-    """id and a 32-bit hash h of each shingle of encoded lines (id, code): SHINGLE UTF-16 code
-    units (the whole line if shorter), cut at a fixed cost each."""
-    return coded.select("id", "code", F.explode(F.sequence(F.lit(0), _last("code"))).alias("i")).select("id", F.expr(f"hash(substring(code, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """id and the minima m0, m1, ... of every distinct line of docs (doc_id, text). Xor with a
-    mask permutes the hashes, so that each minimum is an independent choice from the shingles."""
-    minima = (F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_masks()))
-    return _shingles(_coded(docs)).groupBy("id").agg(*minima)
-
-
-def _buckets(sig: DataFrame) -> DataFrame:
-    """(bucket, id) of every band bucket that more than one line falls into; of buckets with the
-    same lines one stays."""
+    """id and the minima m0, m1, ... of every distinct line of docs (doc_id, text). A shingle is
+    SHINGLE UTF-16 code units (the whole line if shorter), cut at a fixed cost, with a 32-bit hash.
+    Xor with a mask permutes the hashes, so that each minimum is an independent choice from the
+    shingles. A row takes STEP shingles at once (the last one again where there are fewer), so
+    that a line is looked up less often."""
+    starts = _coded(docs).withColumn("last", _last("code")).select("id", "code", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("i"))
+    hashes = starts.select("id", *(F.expr(f"hash(substring(code, 2 * if(i + {k} < last, i + {k}, last) + 1, {2 * SHINGLE}))").alias(f"h{k}") for k in range(STEP)))
+    minima = (F.min(F.least(*(F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k in range(STEP)))).alias(f"m{j}") for j, m in enumerate(_masks()))
+    return hashes.groupBy("id").agg(*minima)
+
+
+def _buckets(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src, dst) of the band buckets of two lines, and (bucket, id, k) of those of k > 2
+    lines; of buckets with the same lines one stays. A bucket of two is told by its least and
+    largest id, so only the bands of larger ones are made again with their lines."""
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{j}" for j in band)) for b, band in enumerate(BANDS)))
     every = sig.select("id", F.explode(keys).alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    rows = stored(every.join(shared, "bucket").select("bucket", "id"))
+    shared = stored(every.groupBy("bucket").agg(F.count("*").alias("k"), F.max("id").alias("src"), F.min("id").alias("dst")).where("k > 1"))
+    couples = stored(shared.where("k = 2").select("src", "dst").distinct())
+    rows = stored(matching(every, shared.where("k > 2").select("bucket"), "bucket"))
     alike = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.expr("bit_xor(id)").alias("x"), F.expr("bit_xor(xxhash64(id))").alias("y"))
     chosen = alike.groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
     out = stored(rows.join(chosen, "bucket"))
-    unstore(rows)
-    return out
+    for df in (shared, rows):
+        unstore(df)
+    return couples, out
 
 
 def _members(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """rows with what pairs are judged by: n (the size of the line's set), its parities b0, b1,
     ... (each bit tells whether an odd number of shingles falls on it), and order: lines that are
     in larger buckets come later (ties by hash)."""
-    sets = texts.select("id", _shingle_set("code").alias("hashes")).select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    word = (F.expr(f"bit_xor(if((h & {WORDS - 1}) = {j}, shiftleft(1L, int(shiftright(h, 8) & 63)), 0L))").alias(f"b{j}") for j in range(WORDS))
-    maps = sets.groupBy("id").agg(F.max("n").alias("n"), *word)
+    sets = texts.select("id", _shingle_set("code").alias("hashes")).select("id", "hashes", F.size("hashes").alias("n"))
+    some = sets.select("id", "n", "hashes", F.explode(F.expr(f"sequence(0, n - 1, {TOGETHER})")).alias("i"))
+    each = range(TOGETHER)
+    bits = some.select("id", "n", *(F.expr(f"get(hashes, i + {k})").alias(f"h{k}") for k in each)).select(
+        "id", "n", *(F.expr(f"h{k} & {WORDS - 1}").alias(f"w{k}") for k in each), *(F.expr(f"shiftleft(1L, int(shiftright(h{k}, 8) & 63))").alias(f"x{k}") for k in each)
+    )
+    word = (F.expr(f"bit_xor({' ^ '.join(f'if(w{k} = {j}, x{k}, 0L)' for k in each)})").alias(f"b{j}") for j in range(WORDS))
+    maps = bits.groupBy("id").agg(F.max("n").alias("n"), *word)
     weight = F.least(F.sum("k"), F.lit(1 << 42)) * F.lit(1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     return rows.drop("k").join(maps, "id").join(rows.groupBy("id").agg(weight.alias("order")), "id")
 
@@ -155,8 +170,9 @@ def _open_pairs(named: DataFrame) -> DataFrame:
 
 def _shingle_set(code: str) -> Column:
     """Distinct 64-bit shingle hashes of an encoded line. The bytes are a lambda's variable: as a
-    column they would be copied for every shingle."""
-    hashes = lambda c: F.transform(F.sequence(F.lit(0), _last(c)), lambda i: F.xxhash64(F.substring(c, i * 2 + 1, F.lit(2 * SHINGLE))))
+    column they would be copied for every shingle. The sequence is that of the bytes, since sums
+    in a lambda cost as much as the hash."""
+    hashes = lambda c: F.transform(F.sequence(F.lit(1), 2 * _last(c) + 1, F.lit(2)), lambda at: F.xxhash64(F.substring(c, at, F.lit(2 * SHINGLE))))
     return F.array_distinct(F.element_at(F.transform(F.array(F.col(code)), hashes), 1))
 
 
@@ -174,19 +190,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """Components (id, root) of the hashes of lines under verified links of different lines."""
     sig = stored(signatures(docs))
-    rows = _buckets(sig)
+    couples, large = _buckets(sig)
     unstore(sig)
-    wanted = stored(rows.select("id").distinct())
-    texts = stored(matching(_coded(docs), wanted, "id", "left_semi").groupBy("id").agg(F.min("code").alias("code")))
+    wanted = stored(couples.select(F.col("src").alias("id")).union(couples.select("dst")).union(large.select("id")).distinct())
+    named = _lines(docs).select(F.xxhash64("line").alias("id"), "line")
+    texts = stored(matching(named, wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).select("id", _code().alias("code")))
     unstore(wanted)
-    # Most buckets hold two lines: their pair is compared without further ado.
-    couples = rows.where("k = 2").groupBy("bucket").agg(F.max("id").alias("src"), F.min("id").alias("dst")).select("src", "dst")
-    large = rows.where("k > 2")
     members = stored(_members(large, matching(texts, large.select("id").distinct(), "id", "left_semi")))
     led = stored(_led_pairs(members))
     # First each line meets its last leader only: in a family that is the same line for most.
     best = led.groupBy("id").agg(F.max(F.struct("order", "leader")).alias("best"))
     first = best.select("id", F.col("best.leader").alias("leader"), F.col("best.order").alias("order"))
+    # Most buckets hold two lines: their pair is compared without further ado.
     met = stored(couples.union(_ends(first)).distinct())
     joined = stored(_verified(met, texts))
     roots = stored(_led_by(first, joined))
@@ -197,7 +212,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     labels = roots.join(late, "id", "full").select("id", F.coalesce("root", "late").alias("root"))
     tried, links = met.union(again), joined.union(added)
     named = stored(members.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    for df in (rows, members, led, roots, rest):
+    for df in (couples, large, members, led, roots, rest):
         unstore(df)
     pairs = _open_pairs(named)
     more = stored(_verified(pairs.join(tried, ["src", "dst"], "left_anti"), texts))

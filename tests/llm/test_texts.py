@@ -345,6 +345,35 @@ def test_lines_compare_settled_lines_too(spark):
     assert len(want) == 400 and gone <= want and len(gone) >= 0.97 * len(want)
 
 
+def test_buckets_of_two_lines_are_told_by_their_ends(spark):
+    """Minima and buckets of lines of every length, against plain ones."""
+    base = "the quick brown fox jumps over the lazy dog and 0123456789 runs away from it all"
+    lines = [base[:n] for n in range(1, 60)] + ["x" * 40, "\U0001f600 smile " * 9] + [f"{base} {i}" for i in range(5)] + [f"no. {i // 2} {base[i:]}" for i in range(40)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines * 2)], "doc_id long, text string")
+    sig = line_dedup.stored(line_dedup.signatures(docs))
+    names = {r["id"]: r["line"] for r in docs.select(F.xxhash64("text").alias("id"), F.col("text").alias("line")).distinct().collect()}
+    cut = []
+    for key, line in names.items():
+        code = line.encode("utf-16-be")
+        cut += [(key, bytearray(code[2 * i : 2 * i + 16])) for i in range(max(0, len(code) // 2 - 8) + 1)]
+    hashes = {}
+    for r in spark.createDataFrame(cut, "id long, s binary").select("id", F.hash("s").alias("h")).collect():
+        hashes.setdefault(r["id"], []).append(r["h"])
+    got = {r["id"]: list(r)[1:] for r in sig.collect()}
+    assert got == {key: [min(h ^ m for h in hs) for m in line_dedup._masks()] for key, hs in hashes.items()}
+    buckets = {}
+    for key, minima in got.items():
+        for b, band in enumerate(line_dedup.BANDS):
+            buckets.setdefault((b, *(minima[j] for j in band)), set()).add(key)
+    couples, large = line_dedup._buckets(sig)
+    assert {(r["src"], r["dst"]) for r in couples.collect()} == {(max(s), min(s)) for s in buckets.values() if len(s) == 2}
+    found = {}
+    for r in large.collect():
+        found.setdefault((r["bucket"], r["k"]), set()).add(r["id"])
+    assert all(len(s) == k for (_, k), s in found.items())
+    assert sorted(sorted(s) for s in found.values()) == sorted(map(sorted, {frozenset(s) for s in buckets.values() if len(s) > 2}))
+
+
 def test_no_banded_link_is_lost(spark):
     """Families of 16 variants around the threshold: every link of two lines that share a band ends
     in one component, and nine tenths of all links do."""
