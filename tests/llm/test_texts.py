@@ -345,6 +345,21 @@ def test_lines_compare_settled_lines_too(spark):
     assert len(want) == 400 and gone <= want and len(gone) >= 0.97 * len(want)
 
 
+#: Lines of equal, near and different shingles, repeated ones and short ones among them.
+LINES = ["", "a", "short", "eight ch", "abcabcabcabcabcabc", "abcabcabcabc", "x" * 50, "x" * 9, "é" * 12, *("one line of words that differs at its end only " + "abcdefghijkl"[:n] for n in (0, 2, 4, 8, 12)), "quite another line that is like no other"]
+
+
+def test_sets_of_a_pair_are_made_once_in_generated_code(spark):
+    texts = spark.createDataFrame([(i, bytes(line, "utf-16-be")) for i, line in enumerate(LINES)], "id long, code binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(len(LINES)) for b in range(a)], "src long, dst long")
+    found = line_dedup._verified(pairs, texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 2 and "exists(" not in plan
+    sets = [{line[i : i + 8] for i in range(max(1, len(line) - 7))} for line in LINES]
+    alike = {(a, b) for a in range(len(LINES)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in found.collect()} == alike and alike
+
+
 def test_buckets_of_two_lines_are_told_by_their_ends(spark):
     """Minima and buckets of lines of every length, against plain ones."""
     base = "the quick brown fox jumps over the lazy dog and 0123456789 runs away from it all"
