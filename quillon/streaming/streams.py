@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -56,7 +55,7 @@ def stream_catalog(spark: SparkSession, folder: str, files_per_trigger: int = 1,
     return kept.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["track_id"]).drop("seen_at")
 
 
-def stream_funnel(spark: SparkSession, folder: str, delay: str = "7 days", keep_days: int | None = None, files_per_trigger: int = 1, glob: str = DATED) -> DataFrame:
+def stream_funnel(spark: SparkSession, folder: str, delay: str = "7 days", keep_days: int | None = None, files_per_trigger: int = 1, glob: str = DATED, buckets: int = 1024) -> DataFrame:
     """The batch funnel's reason for each catalogue row of dated files (a date in the path), as a
     stream: track_id, artist_key, genres, position, reason.
 
@@ -65,46 +64,63 @@ def stream_funnel(spark: SparkSession, folder: str, delay: str = "7 days", keep_
     the id's first row without a fault. Rows of files that arrive later still are dropped, as
     Spark does. State: an id's waiting rows, and the position of its accepted row, for ever, or
     for keep_days after it was decided: then the id may be accepted again. Rows without an id need
-    no state.
+    no state. The state of a bucket of ids (by hash; their number is fixed for a checkpoint) is one
+    compressed value, handled as a whole whenever one of them has rows or is due.
     """
     tidy = _numbered(_catalogue(spark, folder, files_per_trigger, glob, position=file_position(F.lit(0)), day=file_day()))
     tidy = tidy.withColumn("position", F.concat("position", F.lit("|"), F.lpad(F.col("line").cast("string"), 20, "0")))
     fault = F.when(F.col("artist_key").isNull(), "missing_artist").when(F.col("url").isNull() | ~F.col("audiodownload_allowed"), "not_downloadable").when(F.size("genres") < 1, "missing_genres")
     rows = tidy.select("track_id", "artist_key", "genres", "position", "day", fault.alias("fault"))
     lost = rows.where("track_id is null").select("track_id", "artist_key", "genres", "position", F.lit("missing_id").alias("reason"))
-    row = T.StructType.fromDDL("artist_key string, genres array<string>, position string, fault string, day long")
     waiting = rows.where("track_id is not null").withWatermark("day", delay)
-    packed = waiting.select("track_id", "day", F.to_json(F.struct("artist_key", "genres", "position", "fault", F.unix_millis("day").alias("day"))).alias("row"))
-    decided = packed.groupBy("track_id").applyInPandasWithState(_decide(keep_days), "track_id string, row string, reason string", "first string, until long, rows array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-    known = decided.withColumn("row", F.from_json("row", row)).select("track_id", "row.artist_key", "row.genres", "row.position", "reason")
+    bucket = F.pmod(F.xxhash64("track_id"), F.lit(buckets)).alias("bucket")
+    packed = waiting.select(bucket, "day", "track_id", F.unix_millis("day").alias("at"), "position", "fault", F.to_json(F.struct("artist_key", "genres")).alias("row"))
+    decided = packed.groupBy("bucket").applyInPandasWithState(_decide(keep_days), "track_id string, position string, row string, reason string", "firsts binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    row = T.StructType.fromDDL("artist_key string, genres array<string>")
+    known = decided.withColumn("row", F.from_json("row", row)).select("track_id", "row.artist_key", "row.genres", "position", "reason")
     return known.unionByName(lost)
 
 
+#: Ids with the position of their accepted row and how long it is kept, and the rows that wait.
+FIRSTS = pa.schema([("track_id", pa.string()), ("first", pa.string()), ("until", pa.int64())])
+WAITING = pa.schema([("track_id", pa.string()), ("at", pa.int64()), ("position", pa.string()), ("fault", pa.string()), ("row", pa.string())])
+NEVER = 2**63 - 1
+
+
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes | None, schema: pa.Schema) -> pd.DataFrame:
+    return (pa.ipc.open_stream(value).read_all() if value else schema.empty_table()).to_pandas()
+
+
 def _decide(keep_days: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, until, rows = state.get if state.exists else (None, None, [])
-        rows, now = list(rows), state.getCurrentWatermarkMs()
-        if until is not None and now > until:
-            first = until = None
-        for frame in frames:
-            rows += frame["row"].tolist()
-        waiting = sorted((json.loads(r).get("day"), r) for r in rows)
-        ready = [r for day, r in waiting if day < now]
-        late = [(day, r) for day, r in waiting if day >= now]
-        sound = [x["position"] for x in map(json.loads, ready) if x.get("fault") is None]
-        if first is None and sound:
-            until = None if keep_days is None else now + keep_days * 86_400_000
-        first = min([*([first] if first is not None else []), *sound], default=None)
-        if not late and first is None:
+        now = state.getCurrentWatermarkMs()
+        firsts, waiting = (_unpacked(v, s) for v, s in zip(state.get if state.exists else (None, None), (FIRSTS, WAITING), strict=True))
+        firsts = firsts[firsts["until"] >= now]
+        waiting = pd.concat([waiting, *(f[WAITING.names] for f in frames)], ignore_index=True).astype({"at": "int64"})
+        due = waiting["at"] < now
+        ready, late = waiting[due], waiting[~due]
+        sound = ready[ready["fault"].isna()].groupby("track_id", sort=False)["position"].min()
+        if len(sound):
+            new = pd.DataFrame({"track_id": sound.index, "first": sound.to_numpy(), "until": NEVER if keep_days is None else now + keep_days * 86_400_000})
+            firsts = pd.concat([firsts, new]).groupby("track_id", sort=False, as_index=False).agg({"first": "min", "until": "first"}).astype({"until": "int64"})
+        if not len(late) and not len(firsts):
             state.remove()
         else:
-            state.update((first, until, [r for _, r in late]))
-            if late or until is not None:
-                state.setTimeoutTimestamp(max(late[0][0] if late else until, now) + 1)
-        if ready:
-            parsed = [json.loads(r) for r in ready]
-            reasons = ["duplicate_id" if first is not None and x["position"] > first else x.get("fault") or "accepted" for x in parsed]
-            yield pd.DataFrame({"track_id": key[0], "row": ready, "reason": reasons})
+            state.update((_packed(firsts, FIRSTS), _packed(late, WAITING)))
+            ends = min([*late["at"], *firsts["until"]])
+            if ends < NEVER:
+                state.setTimeoutTimestamp(max(int(ends), now) + 1)
+        if len(ready):
+            first = ready["track_id"].map(firsts.set_index("track_id")["first"])
+            twice = first.notna() & (ready["position"] > first.fillna(""))
+            yield ready[["track_id", "position", "row"]].assign(reason=ready["fault"].fillna("accepted").mask(twice, "duplicate_id"))
 
     return run
 

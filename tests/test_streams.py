@@ -130,3 +130,25 @@ def test_a_forgotten_id_may_return(spark, tmp_path):
     for keep, reason in ((20, "accepted"), (None, "duplicate_id")):
         found = drained(stream_funnel(spark, str(folder), "1 day", keep), str(tmp_path / f"work{keep}")).collect()
         assert [r["reason"] for r in sorted(found, key=lambda r: r["position"]) if r["track_id"] == "1"] == ["accepted", reason]
+
+
+def test_many_ids_share_a_call_and_keep_the_batch_reasons(spark, tmp_path):
+    """Each id had a call of its own, more than once; now a bucket of ids has one."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    days = {
+        "2024-01-02": [line(str(i), genres=None if i % 13 == 0 else "Rock") for i in range(0, 3000, 5)],
+        "2024-01-01": [line(str(i), url=None if i % 7 == 0 else "u") for i in range(3000)],
+        "2024-02-20": [line(str(i)) for i in range(0, 3000, 3)],
+        "2024-06-01": [line("last")],
+    }
+    for i, (day, lines) in enumerate(days.items()):
+        (folder / f"{day}.jsonl").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"{day}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+    found = drained(stream_funnel(spark, str(folder), "10 days"), str(tmp_path / "work"))
+    batch = readers.catalog_tracks(readers.read_catalog(spark, str(folder))).where("_corrupt is null and track_id <> 'last'")
+    wanted = funnel(batch, "track_id", "artist_key", F.col("audiodownload_allowed") & F.col("audiodownload").isNotNull() & (F.trim("audiodownload") != ""), "genres", ["position"])
+    got = sorted((r["track_id"], r["position"].split("/")[-1].split("|")[0], r["reason"]) for r in found.collect())
+    assert got == sorted((r["track_id"], r["file_name"], r["reason"]) for r in wanted.collect())
+    state = spark.read.format("statestore").load(f"file://{tmp_path}/work/checkpoint")
+    assert 0 < state.count() <= 1024  # of 3,001 ids
