@@ -91,6 +91,20 @@ def test_quantiles_of_many_ranges(spark):
         quantiles.exact_quantiles(df, "v", [2.0])
 
 
+def test_digest_trees_shuffle_their_rows_once(spark):
+    """Rows went through four shuffles and a stored table; the last but one had one key."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 20_000).alias("i"))
+    found = digests.tree_digest(df, "g", ["i"], digests.row_text("i"))
+    rows = found.collect()
+    for r in rows:
+        level = [hashlib.sha256(f"i={i}".encode()).hexdigest() for i in sorted(k * 7919 % 20_000 for k in range(r["g"], 20_000, 2))]
+        for _ in range(digests.LEVELS):
+            level = [hashlib.sha256("\n".join(level[k : k + 1024]).encode()).hexdigest() for k in range(0, len(level), 1024)]
+        assert (r["n"], r["digest"]) == (10_000, level[0])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([x for x in plan.splitlines() if "- Exchange rangepartitioning" in x]) == 1
+
+
 def test_digest_trees_do_not_hang_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(digests, "FAN", 4)
     rows = [(i % 3 if i % 5 else None, i, f"r{i}" if i % 7 else None) for i in range(300)]
