@@ -117,15 +117,17 @@ def artist_profiles(tracks: DataFrame, min_support: float = 0.30, min_songs: int
     Stable tags: frequent enough with the artist and in the catalogue; failing any, repeated
     local tags; failing any, the most frequent ones (ties by name). Weight is support times a
     capped inverse artist frequency. A signature without a genre tag gets the best one for its
-    last place.
+    last place. The tracks are read twice and not shuffled if those of an artist are in one task;
+    an artist's number of tracks is counted with its tags, under none.
     """
-    tags = tracks.select("artist_key", F.explode(F.array_distinct("style_tags")).alias("tag"))
-    counts = tags.groupBy("artist_key", "tag").agg(F.count("*").alias("n"))
+    tags = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_compact(F.array_distinct("style_tags")), F.array().cast("array<string>")))
+    counts = tracks.select("artist_key", F.explode(tags).alias("tag")).groupBy("artist_key", "tag").agg(F.count("*").alias("n"))
     world = counts.groupBy("tag").agg(F.sum("n").alias("n_tracks"), F.count("*").alias("n_artists"))
-    sizes = tracks.groupBy("artist_key").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.count("*").alias("artists"))
+    # One row a tag of the vocabulary, and the one of none.
+    world = world.withColumn("artists", F.max(F.when(F.col("tag").isNull(), F.col("n_artists"))).over(Window.partitionBy()))
     artist = Window.partitionBy("artist_key")
-    base = counts.join(world, "tag").join(sizes, "artist_key").join(F.broadcast(total))
+    sized = counts.withColumn("size", F.max(F.when(F.col("tag").isNull() & F.col("artist_key").isNotNull(), F.col("n"))).over(artist))
+    base = sized.where("size is not null and tag is not null").join(world, "tag")
     support = F.col("n") / F.col("size")
     idf = 1.0 + F.ln((F.col("artists") + 1) / (F.col("n_artists") + 1))
     common = F.row_number().over(artist.orderBy(F.desc("n"), "tag"))
@@ -147,15 +149,17 @@ def artist_profiles(tracks: DataFrame, min_support: float = 0.30, min_songs: int
     return kept.select("artist_key", "tag", "weight", "support", F.row_number().over(artist.orderBy(*order)).alias("rank"))
 
 
-def signature_scores(tracks: DataFrame, profiles: DataFrame) -> DataFrame:
+def signature_scores(tracks: DataFrame, profiles: DataFrame, *keep: str) -> DataFrame:
     """track_id, artist_key, signature_score (weight of the profile's tags on the track over all
-    its weight, rounded to 9 places so that ties do not hang on summation order), tag_overlap."""
-    total = profiles.groupBy("artist_key").agg(F.sum("weight").alias("total"))
-    tags = tracks.select("track_id", "artist_key", F.explode(F.array_distinct("style_tags")).alias("tag"))
-    hits = tags.join(profiles, ["artist_key", "tag"]).groupBy("track_id").agg(F.sum("weight").alias("hit"), F.count("*").alias("tag_overlap"))
-    joined = tracks.select("track_id", "artist_key").join(total, "artist_key", "left").join(hits, "track_id", "left")
-    score = F.when(F.col("total") > 0, F.coalesce("hit", F.lit(0.0)) / F.col("total")).otherwise(0.0)
-    return joined.select("track_id", "artist_key", F.round(score, 9).alias("signature_score"), F.coalesce("tag_overlap", F.lit(0)).alias("tag_overlap"))
+    its weight, rounded to 9 places so that ties do not hang on summation order), tag_overlap, and
+    the columns of tracks to keep. An artist's profile meets its tracks as one value."""
+    own = profiles.groupBy("artist_key").agg(F.sum("weight").alias("total"), F.array_sort(F.collect_list(F.struct("tag", "weight"))).alias("signature"))
+    hits = F.when(F.col("track_id").isNotNull(), F.filter("signature", lambda x: F.array_contains("style_tags", x["tag"])))
+    joined = tracks.select("track_id", "artist_key", "style_tags", *keep).join(own, "artist_key", "left").withColumn("hits", hits)
+    hit = F.coalesce(F.aggregate("hits", F.lit(0.0), lambda total, x: total + x["weight"]), F.lit(0.0))
+    score = F.when(F.col("total") > 0, hit / F.col("total")).otherwise(0.0)
+    overlap = F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long")
+    return joined.select("track_id", "artist_key", F.round(score, 9).alias("signature_score"), overlap.alias("tag_overlap"), *keep)
 
 
 def choose_artists_balanced(artists: DataFrame, count: int, seed: int, families: tuple[str, ...] = FAMILIES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import curation as c
 from quillon.operators.counters import Counters
 from quillon.operators.quantiles import exact_quantiles
-from quillon.plans.views import STAND_IN_EXACT, STAND_IN_KEYWORDS, V_CAPTION, V_FAMILY, V_TRACK, captions, table, tracks
+from quillon.plans.views import STAND_IN_EXACT, STAND_IN_KEYWORDS, V_CAPTION, V_FAMILY, V_TRACK, captions, table, tracks, tracks_by_artist
 from quillon.sources.stored import stored
 
 from .registry import query
@@ -160,7 +160,7 @@ def e6(spark, d):
 
 @query("e7_signature_scores", f"WITH {V_TRACK}, {PROFILE.format(src='v_track', glob=50)}, {SCORE.format(src='v_track')} SELECT track_id, round(signature_score, 6) AS signature_score, tag_overlap FROM score")
 def e7(spark, d):
-    t = tracks(spark, d)
+    t = tracks_by_artist(spark, d)
     return c.signature_scores(t, c.artist_profiles(t)).select("track_id", F.round("signature_score", 6).alias("signature_score"), "tag_overlap")
 
 
