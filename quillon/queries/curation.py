@@ -253,8 +253,8 @@ REPRESENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_key
 
 @query("f2_representative_tracks", f"WITH {V_TRACK}, {PROFILE.format(src='v_track', glob=50)}, {SCORE.format(src='v_track')} SELECT artist_key, track_id, rank FROM ({REPRESENT.format(src='score', k=12)})")
 def f2(spark, d):
-    t = tracks(spark, d)
-    scored = c.signature_scores(t, c.artist_profiles(t)).join(t.select("track_id", "album_id"), "track_id")
+    t = tracks_by_artist(spark, d)
+    scored = c.signature_scores(t, c.artist_profiles(t), "album_id")
     return c.select_representative(scored, 12, strict=False).select("artist_key", "track_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def scans(spark, df, name="lineitem.parquet"):
-    """How often the final plan reads a table, and how many rows it shuffles."""
+    """How often the final plan reads a table."""
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     return len([x for x in plan.splitlines() if "FileScan" in x and name in x])
@@ -36,6 +36,11 @@ def test_signature_scores_read_line_items_once(spark, unbroadcast):
     assert scans(spark, QUERIES["e7_signature_scores"](spark, FOLDER)) == 1
 
 
+def test_representative_tracks_read_line_items_once(spark, unbroadcast):
+    """They were read five times; albums were joined by track."""
+    assert scans(spark, QUERIES["f2_representative_tracks"](spark, FOLDER)) == 1
+
+
 def test_odd_tracks_have_the_joins_scores(spark):
     rows = [("t1", "a", ["x", "y", None, "x"]), ("t2", "a", ["x"]), ("t3", "a", None), ("t4", "a", []), (None, "a", ["y"]), ("t5", None, ["x"]), ("t6", "b", ["genre:z"]), ("t7", "c", [None])]
     t = spark.createDataFrame(rows, "track_id string, artist_key string, style_tags array<string>")
