@@ -12,7 +12,7 @@ from quillon.operators.checks import checked
 from quillon.operators.counters import Counters, watched
 from quillon.operators.dataset import dense_index
 from quillon.operators.quantiles import exact_quantiles
-from quillon.sources.stored import stored
+from quillon.sources.stored import nearby, stored
 
 #: 1/n of a vote in whole units, exact for up to 15 families per track.
 UNITS = 360360
@@ -61,6 +61,11 @@ def tag_frequencies(tracks: DataFrame) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("n_tracks"), F.count_distinct("artist_key").alias("n_artists"))
 
 
+def _combinations(tracks: DataFrame) -> DataFrame:
+    """genres, n_tracks, n_known: each combination of genres, its tracks and those with an id."""
+    return tracks.groupBy("genres").agg(F.count("*").alias("n_tracks"), F.count("track_id").alias("n_known"))
+
+
 def _tag_families(tracks: DataFrame, exact, keywords) -> DataFrame:
     """tag, family: computed once per distinct tag."""
     return tracks.select(F.explode("genres").alias("tag")).distinct().select("tag", direct_family("tag", exact, keywords).alias("family"))
@@ -68,23 +73,27 @@ def _tag_families(tracks: DataFrame, exact, keywords) -> DataFrame:
 
 def genre_cooccurrence(tracks: DataFrame, exact=None, keywords=None) -> DataFrame:
     """Votes (in UNITS) of the known families on a track for each of its unknown tags. tracks:
-    track_id, genres; used several times, so a long plan is better stored first."""
-    tagged = tracks.select("track_id", F.explode("genres").alias("tag")).join(_tag_families(tracks, exact, keywords), "tag")
-    anchors = tagged.where("family is not null").groupBy("track_id").agg(F.collect_set("family").alias("families"))
-    open_tags = tagged.where("family is null").select("track_id", "tag").join(anchors, "track_id")
-    votes = open_tags.select("tag", F.explode("families").alias("family"), (F.lit(UNITS) / F.size("families")).cast("long").alias("units"))
+    track_id, genres, one row a track; each combination of genres is counted once."""
+    return _votes(stored(_combinations(tracks)), exact, keywords)
+
+
+def _votes(combinations: DataFrame, exact, keywords) -> DataFrame:
+    tagged = combinations.where("n_known > 0").select("genres", "n_known", F.explode("genres").alias("tag")).join(_tag_families(combinations, exact, keywords), "tag")
+    anchors = tagged.where("family is not null").groupBy("genres").agg(F.collect_set("family").alias("families"))
+    open_tags = tagged.where("family is null").select("genres", "n_known", "tag").join(anchors, "genres")
+    votes = open_tags.select("tag", F.explode("families").alias("family"), ((F.lit(UNITS) / F.size("families")).cast("long") * F.col("n_known")).alias("units"))
     return votes.groupBy("tag", "family").agg(F.sum("units").alias("units"))
 
 
 def infer_taxonomy(tracks: DataFrame, exact=None, keywords=None, min_cooccurrence: int = 5, min_confidence: float = 0.35, counters: Counters | None = None) -> DataFrame:
     """Every tag: family (null if unresolved), how (direct, inferred, unresolved), confidence, and
-    n_tracks. The inferred family has most votes, ties to the greatest name. The tracks' genres
-    are read once and stored. counters: section taxonomy, tags of each route and tags with tracks
-    in all."""
-    tracks = stored(tracks.select("track_id", "genres"))
-    families = _tag_families(tracks, exact, keywords)
-    frequency = tracks.select(F.explode("genres").alias("tag")).groupBy("tag").agg(F.count("*").alias("n_tracks"))
-    best = genre_cooccurrence(tracks, exact, keywords).groupBy("tag").agg(F.sum("units").alias("total"), F.max(F.struct("units", "family")).alias("top"))
+    n_tracks. The inferred family has most votes, ties to the greatest name. The tracks (one row
+    each) are read once, and their combinations of genres stored. counters: section taxonomy, tags
+    of each route and tags with tracks in all."""
+    found = stored(_combinations(tracks))
+    families = _tag_families(found, exact, keywords)
+    frequency = found.select("n_tracks", F.explode("genres").alias("tag")).groupBy("tag").agg(F.sum("n_tracks").alias("n_tracks"))
+    best = _votes(found, exact, keywords).groupBy("tag").agg(F.sum("units").alias("total"), F.max(F.struct("units", "family")).alias("top"))
     good = best.where((F.col("total") >= min_cooccurrence * UNITS) & (F.col("top.units") / F.col("total") >= min_confidence))
     guess = good.select("tag", F.col("top.family").alias("guess"), (F.col("top.units") / F.col("total")).alias("confidence"))
     joined = frequency.join(families, "tag").join(guess, "tag", "left")
@@ -94,14 +103,19 @@ def infer_taxonomy(tracks: DataFrame, exact=None, keywords=None, min_cooccurrenc
 
 
 def apply_taxonomy(tracks: DataFrame, taxonomy: DataFrame, counters: Counters | None = None) -> DataFrame:
-    """tracks with coarse_genres (sorted distinct families); tracks without any are dropped.
-    counters: section coarse_genres, with tracks and tracks_dropped_without_coarse_genre."""
+    """tracks with coarse_genres (sorted distinct families); tracks without any, or without an id,
+    are dropped. Families are found once for each combination of genres: few combinations come to
+    the tracks, which then stay where they are. counters: section coarse_genres, with tracks and
+    tracks_dropped_without_coarse_genre."""
     known = taxonomy.where("family is not null").select("tag", "family")
-    coarse = tracks.select("track_id", F.explode("genres").alias("tag")).join(known, "tag").groupBy("track_id").agg(F.array_sort(F.collect_set("family")).alias("coarse_genres"))
+    combinations = tracks.where("track_id is not null").select("genres").distinct()
+    coarse = combinations.select("genres", F.explode("genres").alias("tag")).join(known, "tag").groupBy("genres").agg(F.array_sort(F.collect_set("family")).alias("coarse_genres"))
+    coarse = nearby(coarse)
     if counters is None:
-        return tracks.join(coarse, "track_id")
+        return tracks.where("track_id is not null").join(coarse, "genres").select(*tracks.columns, "coarse_genres")
+    found = tracks.join(coarse, "genres", "left").select(*tracks.columns, F.when(F.col("track_id").isNotNull(), F.col("coarse_genres")).alias("coarse_genres"))
     lost = F.col("coarse_genres").isNull()
-    return counters.watch(tracks.join(coarse, "track_id", "left"), "coarse_genres", tracks=F.count("*"), tracks_dropped_without_coarse_genre=F.count_if(lost)).where(~lost)
+    return counters.watch(found, "coarse_genres", tracks=F.count("*"), tracks_dropped_without_coarse_genre=F.count_if(lost)).where(~lost)
 
 
 def dominant_genre(tracks: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:

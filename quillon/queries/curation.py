@@ -47,9 +47,9 @@ def stand_in(spark, d):
     return tracks(spark, d), STAND_IN_EXACT, STAND_IN_KEYWORDS
 
 
-def mapped(spark, d):
+def mapped(spark, d, read=tracks):
     t, exact, words = stand_in(spark, d)
-    return c.apply_taxonomy(t, c.infer_taxonomy(t, exact, words))
+    return c.apply_taxonomy(read(spark, d), c.infer_taxonomy(t, exact, words))
 
 
 @query("c1_rejection_funnel", """
@@ -185,10 +185,10 @@ SELECT 'total' AS section, 'artists' AS name, count(DISTINCT artist_key) AS n FR
 UNION ALL SELECT 'songs_by_genre', dominant_genre, count(*) FROM sel GROUP BY 2 UNION ALL SELECT 'artists_by_genre', dominant_genre, count(*) FROM dominant WHERE artist_key IN (SELECT artist_key FROM sel) GROUP BY 2
 UNION ALL SELECT 'signature_tags', split_part(tag, ':', 1), count(*) FROM profile WHERE artist_key IN (SELECT artist_key FROM sel) GROUP BY 2""")
 def e9c(spark, d):
-    m = mapped(spark, d)
+    m = mapped(spark, d, tracks_by_artist)
     dom = c.dominant_genre(m)
     sel = m.where("duration >= 25").join(dom, "artist_key").withColumn("captioned_clips", F.lit(2))
-    return c.selection_counts(sel, c.artist_profiles(tracks(spark, d)), dom)
+    return c.selection_counts(sel, c.artist_profiles(tracks_by_artist(spark, d)), dom)
 
 
 @query("e9_profile_map", f"WITH {V_TRACK}, {PROFILE.format(src='v_track', glob=50)} SELECT artist_key, string_agg(tag, '|' ORDER BY rank) AS tags, string_agg(round(weight * 1000)::INT::VARCHAR, '|' ORDER BY rank) AS weights, string_agg(round(support * 1000)::INT::VARCHAR, '|' ORDER BY rank) AS supports FROM profile GROUP BY 1")

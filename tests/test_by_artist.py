@@ -50,3 +50,19 @@ def test_odd_tracks_have_the_joins_scores(spark):
     scores = {r["track_id"]: (r["signature_score"], r["tag_overlap"]) for r in c.signature_scores(t, profiles).collect()}
     assert scores.pop("t2")[1] == 1
     assert scores == {"t1": (1.0, 2), "t3": (0.0, 0), "t4": (0.0, 0), None: (0.0, 0), "t5": (0.0, 0), "t6": (1.0, 1), "t7": (0.0, 0)}
+
+
+def test_selection_counts_read_line_items_once(spark, unbroadcast):
+    assert scans(spark, QUERIES["e9_selection_counts"](spark, FOLDER)) == 1
+
+
+def test_combinations_of_genres_give_the_tracks_votes(spark):
+    rows = [("t1", ["pop", "x"]), ("t2", ["pop", "x"]), ("t3", ["jazz", "pop", "x", "y"]), (None, ["jazz", "x"]), ("t4", ["z"]), ("t5", None), ("t6", [])]
+    t = spark.createDataFrame(rows, "track_id string, genres array<string>")
+    exact = {"pop": "pop", "jazz": "jazz"}
+    votes = {(r["tag"], r["family"]): r["units"] / c.UNITS for r in c.genre_cooccurrence(t, exact, ()).collect()}
+    assert votes == {("x", "pop"): 2.5, ("x", "jazz"): 0.5, ("y", "pop"): 0.5, ("y", "jazz"): 0.5}
+    taxonomy = c.infer_taxonomy(t, exact, (), 1, 0.5)
+    assert {r["tag"]: (r["family"], r["n_tracks"]) for r in taxonomy.collect()} == {"pop": ("pop", 3), "jazz": ("jazz", 2), "x": ("pop", 4), "y": ("pop", 1), "z": (None, 1)}
+    coarse = {r["track_id"]: r["coarse_genres"] for r in c.apply_taxonomy(t, taxonomy).collect()}
+    assert coarse == {"t1": ["pop"], "t2": ["pop"], "t3": ["jazz", "pop"]}
