@@ -209,20 +209,21 @@ def select_representative(scored: DataFrame, songs: int, max_per_album: int = 2,
 def build_selection(tracks: DataFrame, captions: DataFrame, num_artists: int, songs_per_artist: int, seed: int = 42, candidate_multiplier: float = 3.0, min_seconds: float = 5.0, exact=None, keywords=None, **profile) -> DataFrame:
     """The whole curation: families, profiles, eligible artists, a balanced first choice, their
     usable captions, a balanced final choice, and each artist's representative tracks. The
-    catalogue, itself and with families, its eligible part and its captioned part are each used
-    several times and written once."""
-    tracks = stored(tracks)
-    mapped = stored(apply_taxonomy(tracks, infer_taxonomy(tracks, exact, keywords)))
+    catalogue is read several times (a long plan is better stored first), with those of an artist
+    in one task at best: then it is not shuffled by artist again. Its eligible part and its
+    captioned part are written once."""
+    mapped = apply_taxonomy(tracks, infer_taxonomy(tracks, exact, keywords))
     profiles, dominant = artist_profiles(mapped, **profile), dominant_genre(mapped)
-    scored = signature_scores(mapped, profiles).join(mapped.select("track_id", "album_id", "duration", "coarse_genres"), "track_id").join(dominant, "artist_key")
+    scored = signature_scores(mapped, profiles, "album_id", "duration", "coarse_genres").join(dominant, "artist_key")
     fit = stored(scored.where((F.col("signature_score") > 0) & F.array_contains("coarse_genres", F.col("dominant_genre"))))
     candidates = max(num_artists, -int(-num_artists * candidate_multiplier // 1), num_artists + 20)
     first = choose_artists_balanced(_catalogue(fit, songs_per_artist), candidates, seed)
-    near = fit.join(first.select("artist_key"), "artist_key", "left_semi")
-    clips = usable_captions(valid_captions(dedup_captions(captions.join(near.select("track_id"), "track_id", "left_semi")), min_seconds), near, min_seconds)
+    near = fit.join(F.broadcast(first.select("artist_key")), "artist_key", "left_semi")
+    own = dedup_captions(captions.join(nearby(near.select("track_id")), "track_id", "left_semi"))
+    clips = usable_captions(valid_captions(own, min_seconds), near, min_seconds)
     counted = stored(near.join(clips.groupBy("track_id").agg(F.count("*").alias("captioned_clips")), "track_id"))
     final = choose_artists_balanced(_catalogue(counted, songs_per_artist), num_artists, seed + 1)
-    chosen = counted.join(final.select("artist_key"), "artist_key", "left_semi")
+    chosen = counted.join(F.broadcast(final.select("artist_key")), "artist_key", "left_semi")
     return select_representative(chosen, songs_per_artist).drop("coarse_genres", "duration")
 
 

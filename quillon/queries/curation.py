@@ -269,6 +269,6 @@ cat2 AS (SELECT artist_key, dominant_genre, count(*) AS n_tracks FROM near GROUP
 pick2 AS ({PICK.format(seed=43, src='cat2', n=6)})
 SELECT artist_key, track_id, dominant_genre, captioned_clips, rank FROM ({REPRESENT.format(src="(SELECT * FROM near WHERE artist_key IN (SELECT artist_key FROM pick2))", k=3)})""")
 def f3(spark, d):
-    t, exact, words = stand_in(spark, d)
-    chosen = c.build_selection(t, captions(spark, d), 6, 3, exact=exact, keywords=words)
+    _, exact, words = stand_in(spark, d)
+    chosen = c.build_selection(tracks_by_artist(spark, d), captions(spark, d), 6, 3, exact=exact, keywords=words)
     return chosen.select("artist_key", "track_id", "dominant_genre", "captioned_clips", F.col("rank").cast("long").alias("rank"))

@@ -66,3 +66,11 @@ def test_combinations_of_genres_give_the_tracks_votes(spark):
     assert {r["tag"]: (r["family"], r["n_tracks"]) for r in taxonomy.collect()} == {"pop": ("pop", 3), "jazz": ("jazz", 2), "x": ("pop", 4), "y": ("pop", 1), "z": (None, 1)}
     coarse = {r["track_id"]: r["coarse_genres"] for r in c.apply_taxonomy(t, taxonomy).collect()}
     assert coarse == {"t1": ["pop"], "t2": ["pop"], "t3": ["jazz", "pop"]}
+
+
+def test_selection_stores_only_what_is_eligible(spark, monkeypatch):
+    """The catalogue was stored as it is and with its families."""
+    kept = []
+    monkeypatch.setattr(c, "stored", lambda df: kept.append(df.columns) or df)
+    c.build_selection(tracks_by_artist(spark, FOLDER), captions(spark, FOLDER), 6, 3)
+    assert kept and not [k for k in kept if "style_tags" in k]
