@@ -268,16 +268,20 @@ def union_rows(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def write_selection(selected: DataFrame, captions: DataFrame, artists: DataFrame, folder: str, config: dict | None = None, stats: dict | None = None) -> None:
-    """The selection's outputs: songs, captions (song x caption), artists; config and stats. They
-    replace the folder together; an empty table is an error and changes nothing."""
+def write_selection(selected: DataFrame, captions: DataFrame, artists: DataFrame | Callable[[DataFrame], DataFrame], folder: str, config: dict | None = None, stats: dict | None = None) -> None:
+    """The selection's outputs: songs, captions (song x caption), artists (a table, or made of the
+    songs); config and stats. They replace the folder together; an empty table is an error and
+    changes nothing. Songs are computed once: the other tables read them as written."""
     spark = selected.sparkSession
 
     def write(to: str) -> None:
         for name, value in (("config", config), ("selection_stats", stats)):
             if value is not None:
                 write_json(spark, value, f"{to}/{name}")
-        for name, df in (("songs", selected), ("captions", selected.join(captions, "track_id")), ("artists", artists)):
-            files.write_filled(df, lambda rows, name=name: rows.write.parquet(f"{to}/{name}"))
+        put = lambda name, df: files.write_filled(df, lambda rows: rows.write.parquet(f"{to}/{name}"))
+        put("songs", selected)
+        songs = spark.read.schema(selected.schema).parquet(f"{to}/songs")
+        put("captions", songs.join(captions, "track_id"))
+        put("artists", artists(songs) if callable(artists) else artists)
 
     files.replace(spark, folder, write)

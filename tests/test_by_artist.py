@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillon.operators import curation as c
 from quillon.plans.views import captions, tracks, tracks_by_artist
 from quillon.queries import QUERIES
+from quillon.sources import readers
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -74,3 +75,16 @@ def test_selection_stores_only_what_is_eligible(spark, monkeypatch):
     monkeypatch.setattr(c, "stored", lambda df: kept.append(df.columns) or df)
     c.build_selection(tracks_by_artist(spark, FOLDER), captions(spark, FOLDER), 6, 3)
     assert kept and not [k for k in kept if "style_tags" in k]
+
+
+def test_a_selections_songs_are_computed_once(spark, tmp_path):
+    """They were computed for each of the three tables."""
+    seen = spark.sparkContext.accumulator(0)
+    odd = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    songs = spark.createDataFrame([(f"t{i}", f"a{i % 2}") for i in range(10)], "id string, artist_key string").select(odd("id").alias("track_id"), "artist_key")
+    clips = spark.createDataFrame([(f"t{i}", i) for i in range(5)], "track_id string, n int")
+    readers.write_selection(songs, clips, lambda rows: rows.groupBy("artist_key").count(), str(tmp_path / "out"))
+    assert seen.value == 10
+    read = lambda n: spark.read.parquet(f"{tmp_path}/out/{n}")
+    assert (read("songs").count(), read("captions").count()) == (10, 5)
+    assert sorted(map(tuple, read("artists").collect())) == [("a0", 5), ("a1", 5)]
